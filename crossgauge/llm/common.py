@@ -88,7 +88,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _POW is None or len(_POW) < n:
         size = max(n, 1 << 16)
         inv = np.uint64(pow(_BASE, -1, 1 << 64))
-        _POW = np.cumprod(np.concatenate(([1], np.full(size - 1, _BASE))).astype(np.uint64), dtype=np.uint64)
+        _POW = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, _BASE, np.uint64))), dtype=np.uint64)
         _INV = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, inv, np.uint64))), dtype=np.uint64)
     return _POW[:n], _INV[:n]
 
@@ -128,26 +128,36 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document index, start, end) of every word of the concatenated texts; documents never share a word."""
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document index, start, end) of every word of the concatenated texts; documents never share a word."""
     if not len(data):
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, none
-    if lower:
-        data = _LOWER[data]
+        return none, none, none
     inside = ~_SPACE[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[off] = True
     begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | cut[1:-1]
+    begins[1:] &= ~inside[:-1]
     ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | cut[1:-1]
+    ends[:-1] &= ~inside[1:]
+    cut = off[1:-1]
+    cut = cut[(cut > 0) & (cut < len(data))]
+    begins[cut] = inside[cut]
+    ends[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    doc = np.searchsorted(off, start, side="right") - 1
-    return span_hash(prefix_hash(data), start, end), doc, start, end
+    per_doc = np.diff(np.searchsorted(start, off))
+    return np.repeat(np.arange(len(off) - 1), per_doc), start, end
 
 
-def chunks(col, limit: int = 4 << 20):
+def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document index, start, end) of every word, A-Z lower-cased."""
+    doc, start, end = word_spans(data, off)
+    return span_hash(prefix_hash(_LOWER[data]), start, end), doc, start, end
+
+
+#: Bytes of text that the numpy steps take at once: their arrays stay in cache and are reused.
+CHUNK = 2 << 20
+
+
+def chunks(col, limit: int = CHUNK):
     """Row ranges of an Arrow string column of about `limit` bytes each (a longer row stands alone)."""
     _, off = string_bytes(col)
     i = 0

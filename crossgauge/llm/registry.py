@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from crossgauge.llm import histogram_shard, license_scan, line_quality
+from crossgauge.llm import histogram_shard, license_scan, line_quality, packing, token_files
 
 QUERIES = {
     "op3_license_scan": license_scan.op3_license_scan,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op10_token_files": token_files.op10_token_files,
     "op8_histogram_shard": histogram_shard.op8_histogram_shard,
     "op9_line_quality": line_quality.op9_line_quality,
 }
