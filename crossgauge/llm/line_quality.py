@@ -5,68 +5,117 @@ DataFrame expressions only: one narrow projection over the scan, no shuffle, so
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossgauge.llm.common import GAP, documents, let
 
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 #: Fixed rules per line.
-ENDS_SENTENCE = r"[.!?:;…。！？।॥][\"'”’»)\]]*[\x20\x09-\x0D]*$"
+ENDS_SENTENCE = r"[.!?:;…。！？।॥][\"'”’»)\]\x20\x09-\x0D]*$"
+TAIL = 8  # characters at a line's end that may hold the sentence's end
 NAVIGATION = r"(?i)^[\x20\x09-\x0D]*(home|menu|login|log in|sign in|sign up|search|next|previous|back to top|skip to content|read more|share|contact us|about us)\b.{0,40}$"
-BOILERPLATE = r"(?i)(cookie|privacy policy|terms of (use|service)|all rights reserved|enable javascript|lorem ipsum|subscribe to our|click here)"
+BOILERPLATE = (
+    "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "lorem ipsum",
+    "subscribe to our", "click here",
+)
 MAX_BARS = 2
 MAX_SYMBOL_SHARE = 0.1
 MIN_SHOUT = 12
 MAX_LOST = 0.3
 
 
-def _letters(line: Column) -> Column:
-    return F.length(F.translate(line, SPACES, ""))
+def _boilerplate(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in BOILERPLATE])
+
 
+def line_passes(line: Column, symbols_in_text: Column | None = None, boilerplate_in_text: Column | None = None) -> Column:
+    """True for a line that reads like prose: ends a sentence and is neither navigation, boilerplate nor shouting.
 
-def line_passes(line: Column) -> Column:
-    """True for a line that reads like prose: ends a sentence and is neither navigation nor boilerplate."""
+    The two optional columns say whether the whole text has any; they only spare work.
+    """
     n = F.length(line)
-    bars = n - F.length(F.translate(line, "|", ""))
-    symbols = n - F.length(F.translate(line, SYMBOLS, ""))
-    shouting = (F.upper(line) == line) & (F.lower(line) != line) & (n >= MIN_SHOUT)
+    symbols = F.regexp_count(line, F.lit(SYMBOLS))
+    bars = F.regexp_count(line, F.lit(r"\|"))
+    symbolic = (bars > MAX_BARS) | (symbols > MAX_SYMBOL_SHARE * n)
+    boiler = _boilerplate(line)
     return (
-        line.rlike(ENDS_SENTENCE)
-        & (bars <= MAX_BARS)
-        & (symbols <= MAX_SYMBOL_SHARE * n)
-        & ~shouting
+        F.substring(line, -TAIL, TAIL).rlike(ENDS_SENTENCE)
+        & ~(symbolic if symbols_in_text is None else F.when(symbols_in_text, symbolic).otherwise(False))
+        & ~(~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (n >= MIN_SHOUT))
         & ~line.rlike(NAVIGATION)
-        & ~line.rlike(BOILERPLATE)
+        & ~(boiler if boilerplate_in_text is None else F.when(boilerplate_in_text, boiler).otherwise(False))
     )
 
 
 def _has_word(line: Column) -> Column:
-    return F.translate(line, SPACES, "") != ""
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that the text has twice or more: sort the windows, mark equal neighbours, merge."""
+def _word_chars(text: Column) -> Column:
+    return F.length(F.concat_ws("", F.split(text, GAP))).cast("long")
+
+
+def _covered(p: Column) -> Column:
+    """Words in the union of the 3-word windows that begin at the sorted places p."""
+    gaps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
+    return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
+
+
+def _window(w: Column, i: Column) -> Column:
+    return F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+
+
+def _repeat_by_text(w: Column) -> Column:
+    """Words inside repeated windows: sort the windows' texts, mark equal neighbours, merge."""
 
     def marked(s: Column) -> Column:
         same = lambda a, b: F.coalesce(F.get(s, a)["t"] == F.get(s, b)["t"], F.lit(False))
         at = F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda k: F.when(same(k, k - 1) | same(k, k + 1), F.get(s, k)["p"]))
         return F.sort_array(F.filter(at, lambda p: p.isNotNull()))
 
-    def covered(p: Column) -> Column:
-        gaps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
-        return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(_window(w, i).alias("t"), i.alias("p")))
+    return let(let(F.sort_array(windows), marked), _covered)
+
 
-    def windows(w: Column) -> Column:
-        return F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - 3),
-                lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("p")),
-            )
-        )
+#: Low bits of a packed long that hold a window's place; the rest are bits of its hash.
+PLACE = 20
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(words, lambda w: let(let(windows(w), marked), covered)))
+
+def _repeat_words(words: Column) -> Column:
+    """The same count, mostly on longs: texts without equal window hashes have none; else (hash bits, place) are sorted as longs.
+
+    Neighbours with equal hash bits are compared as text. If any differ, or the text has 2**20 windows, the count is taken by text.
+    """
+    place = (1 << PLACE) - 1
+
+    def packed(w: Column) -> Column:
+        def one(i: Column) -> Column:
+            h = F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+            return h.bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long"))
+
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), one)
+
+    def by_hash(w: Column) -> Column:
+        high = lambda x: F.shiftright(x, PLACE)
+        at = lambda x: x.bitwiseAND(F.lit(place)).cast("int")
+
+        def pairs(s: Column) -> Column:  # neighbours with equal hash bits, as two places
+            found = F.transform(s, lambda x, k: F.when(high(x) == high(F.get(s, k + 1)), F.struct(at(x).alias("a"), at(F.get(s, k + 1)).alias("b"))))
+            return F.filter(found, lambda x: x.isNotNull())
+
+        def count(p: Column) -> Column:
+            places = F.sort_array(F.array_distinct(F.flatten(F.transform(p, lambda x: F.array(x["a"], x["b"])))))
+            true = F.forall(p, lambda x: _window(w, x["a"]) == _window(w, x["b"]))
+            return F.when(F.size(p) == 0, F.lit(0).cast("long")).when(true, let(places, _covered)).otherwise(_repeat_by_text(w))
+
+        return let(let(F.sort_array(packed(w)), pairs), count)
+
+    few, many = F.size(words) < 4, F.size(words) > place
+    return F.when(few, F.lit(0).cast("long")).when(many, let(words, _repeat_by_text)).otherwise(let(words, by_hash))
 
 
 def line_first_clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
@@ -75,26 +124,26 @@ def line_first_clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     Null text counts as empty: no words, base_failed. Extra input columns are ignored; duplicate ids give one row each.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(text, GAP), lambda x: x != "")
+    words = F.filter(F.split("text", GAP), lambda x: x != "")
     base = docs.select("doc_id", text.alias("text"))
-    base = base.select("doc_id", "text", F.filter(F.split("text", "\n"), _has_word).alias("lines"), words.alias("words"))
+    base = base.select(
+        "*", F.filter(F.split("text", "\n"), _has_word).alias("lines"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        _boilerplate(F.col("text")).alias("boiler"),
+        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.concat_ws("", w)).cast("long").alias("chars"), _repeat_words(w).alias("again"))).alias("w"),
+    )
+    passes = lambda x: line_passes(x, F.col("n_symbols") > 0, F.col("boiler"))
     counted = base.select(
-        "doc_id",
+        "doc_id", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", F.col("w.again").alias("n_repeat_words"),
+        F.array_join(F.filter("lines", passes), "\n").alias("clean_text"),
         let(F.col("lines"), lambda a: F.struct(
             (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("dup"),
-            F.filter(a, line_passes).alias("kept"),
+            _word_chars(F.concat_ws("", F.filter(a, lambda x: ~passes(x)))).alias("lost"),
         )).alias("judged"),
-        _letters(F.col("text")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(F.col("words"), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("again"))).alias("w"),
     )
-    kept_chars = _letters(F.concat_ws("", "judged.kept")).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        counted.select(
-            "doc_id", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("judged.dup").alias("n_dup_lines"),
-            F.col("w.again").alias("n_repeat_words"), F.array_join("judged.kept", "\n").alias("clean_text"), kept_chars.alias("kept_chars"),
-        )
+        counted.withColumns({"n_dup_lines": F.col("judged.dup"), "kept_chars": F.col("word_chars") - F.col("judged.lost")})
+        .drop("judged")
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("kept_chars") >= (1 - max_lost) * F.col("word_chars")))
     )
@@ -117,12 +166,12 @@ cov AS (SELECT doc_id, count(DISTINCT i + o) AS again FROM rep, (VALUES (0), (1)
 l AS (SELECT doc_id, x, length(regexp_replace(x, '{_SQL_SPACES}', '', 'g')) AS c
       FROM (SELECT doc_id, unnest(lines) AS x FROM w)),
 good AS (SELECT doc_id, sum(c) AS c FROM l
-  WHERE regexp_matches(x, '[.!?:;\x{{2026}}\x{{3002}}\x{{FF01}}\x{{FF1F}}\x{{0964}}\x{{0965}}]["''\x{{201D}}\x{{2019}}\x{{00BB}})\]]*[ \t\n\v\f\r]*$')
+  WHERE regexp_matches(right(x, {TAIL}), '[.!?:;\x{{2026}}\x{{3002}}\x{{FF01}}\x{{FF1F}}\x{{0964}}\x{{0965}}]["''\x{{201D}}\x{{2019}}\x{{00BB}})\] \t\n\v\f\r]*$')
     AND length(x) - length(replace(x, '|', '')) <= {MAX_BARS}
     AND length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) <= {MAX_SYMBOL_SHARE} * length(x)
-    AND NOT (upper(x) = x AND lower(x) <> x AND length(x) >= {MIN_SHOUT})
+    AND NOT (NOT regexp_matches(x, '\p{{Ll}}') AND regexp_matches(x, '\p{{Lu}}') AND length(x) >= {MIN_SHOUT})
     AND NOT regexp_matches(x, '(?i)^[ \t\n\v\f\r]*(home|menu|login|log in|sign in|sign up|search|next|previous|back to top|skip to content|read more|share|contact us|about us)\b.{{0,40}}$')
-    AND NOT regexp_matches(x, '{BOILERPLATE}')
+    AND NOT ({" OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)})
   GROUP BY doc_id),
 s AS (SELECT w.doc_id, len(words)::BIGINT AS n_words,
         length(regexp_replace(text, '{_SQL_SPACES}', '', 'g'))::BIGINT AS word_chars,
