@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from crossgauge.llm import histogram_shard, license_scan, line_quality, packing, token_files
+from crossgauge.llm import decontaminate, histogram_shard, language_id, license_scan, line_quality, packing, quality_classifier, token_files
 
 QUERIES = {
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_license_scan": license_scan.op3_license_scan,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
-    "op10_token_files": token_files.op10_token_files,
+    "op6_language_id": language_id.op6_language_id,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_histogram_shard": histogram_shard.op8_histogram_shard,
     "op9_line_quality": line_quality.op9_line_quality,
+    "op10_token_files": token_files.op10_token_files,
 }
 ORACLE_SQL = {
     "op3_license_scan": license_scan.ORACLE,
