@@ -121,28 +121,48 @@ def identify(docs: DataFrame, kernel: Kernel | None) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        import regex
 
-        letter = regex.compile(r"\p{L}")
-        k = model.value
         for batch in batches:
-            for i, j in chunks(batch.column(2)):
-                part = batch.slice(i, j - i)
-                texts = part.column(2)
-                lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-                if k is not None:
-                    f = k.scores(*string_bytes(texts))
-                    best = f.argmax(1)
-                    value = np.clip((1 + f[np.arange(len(f)), best]) / 2, 0, 1)
-                    for r, t in enumerate(texts.to_pylist()):
-                        if t and letter.search(t):
-                            lang[r], score[r] = k.langs[best[r]], value[r]
+            for part, lang, score in _judged(batch, 2, model.value):
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(lang), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _judged(batch, text: int, kernel: Kernel | None):
+    """(rows, languages, scores) of the parts of a batch whose column number `text` is the text."""
+    import regex
+
+    letter = regex.compile(r"\p{L}")
+    for i, j in chunks(batch.column(text)):
+        part = batch.slice(i, j - i)
+        texts = part.column(text)
+        lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        if kernel is not None:
+            f = kernel.scores(*string_bytes(texts))
+            best = f.argmax(1)
+            value = np.clip((1 + f[np.arange(len(f)), best]) / 2, 0, 1)
+            for r, t in enumerate(texts.to_pylist()):
+                if t and letter.search(t):
+                    lang[r], score[r] = kernel.langs[best[r]], value[r]
+        yield part, lang, score
+
+
+def keep_identified(docs: DataFrame, kernel: Kernel | None, least: float = MIN_SCORE) -> DataFrame:
+    """docs' rows, all columns, whose language is determined with a score of at least `least`."""
+    model, at = docs.sparkSession.sparkContext.broadcast(kernel), docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part, lang, score in _judged(batch, at, model.value):
+                yield part.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(lang, score, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel | None:
     rows = training_sample(docs, sample)
     if not rows:

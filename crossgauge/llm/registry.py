@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from crossgauge.llm import decontaminate, histogram_shard, language_id, license_scan, line_quality, packing, quality_classifier, token_files
+from crossgauge.llm import decontaminate, histogram_shard, language_id, license_scan, line_quality, ngram_jaccard, packing, quality_classifier, suffix_dedup, token_files
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_language_id": language_id.op6_language_id,
     "op7_decontaminate": decontaminate.op7_decontaminate,
