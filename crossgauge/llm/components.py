@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +20,51 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, component (its least node) of every node in an edge (a, b), by alternating large and small stars.
+#: Edges that one task closes by itself; more are closed part by part, then by star rounds over the parts' forests.
+EDGES_A_TASK = 1_000_000
 
-    The edges of each round are written to the shared folder; self-loops are kept as nodes of their own.
+
+def _forest(batches):
+    """Rows (a, b) of a part -> every node with the least node that the part's edges connect it with."""
+    import pyarrow as pa
+
+    parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, where = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = where[: len(a)], where[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):  # roots hook on to the least label that an edge shows them
+            np.minimum.at(new, label[side], low)
+        while (jump := new[new]).tobytes() != new.tobytes():
+            new = jump
+        if (new == label).all():
+            break
+        label = new
+    yield pa.record_batch([pa.array(nodes), pa.array(nodes[label])], names=["a", "b"])
+
+
+def connected_components(edges: DataFrame, rounds: int = 40, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
+    """node, component (its least node) of every node in an edge (a, b); self-loops are nodes of their own.
+
+    Every part of at most about edges_a_task edges becomes a forest of stars; several parts' forests are merged by
+    alternating large and small stars, whose edges are written to the shared folder each round.
     """
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = stash(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges")
+    parts = max(1, -(-edges.count() // edges_a_task))
+    forest = stash(edges.repartition(parts).mapInArrow(_forest, "a long, b long"), "forest")
+    if parts == 1:
+        return forest.toDF("node", "component")
+    nodes = forest.select(F.col("a").alias("node")).distinct()
+    now = stash(forest.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     for _ in range(rounds):
         new = stash(_star(_star(now, True), False), "edges")
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        same = new.agg(*mark).first() == now.agg(*mark).first()
         unstash(now)
         now = new
         if same:

@@ -1,10 +1,10 @@
 """Exact n-gram Jaccard self-join by prefix filters under several global orders.
 
 Texts are sets of hashed 5-word shingles; texts with one set are one class. Two classes with Jaccard >= 0.8 differ in
-at most a fifth of either, so under any global order their first floor(n / 5) + l tokens share at least l. Order one
-(hash order, l = 1 + n // 10) is joined over the corpus: postings travel as packed blocks, and a class whose prefix
-shares too few tokens with other classes can have no link and drops out. What is left falls into groups connected by
-order one's tokens; inside a group, pairs must also share a token under order two, the two filters are intersected,
+at most a fifth of either, so under any global order their first floor(n / 5) + l tokens share at least l. Order one (tokens of
+heavy slots of a fixed-size count sketch last, else by hash; l = 1 + n // 10) is joined over the corpus: postings travel
+as packed blocks, and a class whose prefix shares too few tokens with other classes can have no link and drops out.
+What is left falls into groups connected by the tokens of order one's first floor(n / 5) + 1; inside a group, pairs must also share a token under order two, the two filters are intersected,
 and the remaining pairs are verified on their whole sets. A group too large for a task is split into pairs of blocks.
 """
 
@@ -22,6 +22,8 @@ NUM, DEN = 80, 100
 #: Classes of a group that are compared in one task; larger groups go as pairs of blocks.
 BLOCK = 1024
 POSTINGS_A_BUCKET = 2_000_000
+#: Slots of the sketch that tells heavy tokens, summed in SLICES parts. It only orders tokens: any order gives the same links.
+SKETCH_BITS, SLICES = 19, 16
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -74,21 +76,59 @@ def _classes(owner: np.ndarray, token: np.ndarray, size: np.ndarray) -> np.ndarr
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls of every row."""
+    """doc_id, n_shingles, cls of every row (slice -1), and every task's token counts by slot of the sketch, in slices."""
 
     def run(batches):
         import pyarrow as pa
 
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        names = ["doc_id", "n_shingles", "cls", "slice", "counts"]
         for batch in batches:
             for i, j in chunks(batch.column(1)):
                 owner, token, size = shingle_sets(*string_bytes(batch.column(1).slice(i, j - i)))
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(_classes(owner, token, size))], names=["doc_id", "n_shingles", "cls"])
+                sketch += np.bincount(_slot(token), minlength=len(sketch)).astype(np.uint32)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(_classes(owner, token, size)), pa.array(np.full(j - i, -1, np.int32)), pa.nulls(j - i, pa.binary())], names=names)
+        rows = [(None, None, None, k, part.tobytes()) for k, part in enumerate(np.split(sketch, SLICES)) if part.any()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, slice int, counts binary")
 
 
-def shared_prefixes(docs: DataFrame, buckets: int) -> DataFrame:
-    """token, cls, n: order one's prefix tokens that two or more classes have. Postings are packed by bucket of the token."""
+def _slot(token: np.ndarray) -> np.ndarray:
+    return (mix64(token) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def heavy_slots(parts: DataFrame) -> np.ndarray:
+    """A mask over the sketch's slots: those whose count stands out from the mean. 2**SKETCH_BITS numbers reach the driver."""
+
+    def add(batches):
+        import pyarrow as pa
+
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
+                x = np.frombuffer(blob, np.uint32).astype(np.uint64)
+                total[k] = total[k] + x if k in total else x
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
+
+    counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES))
+    for r in parts.select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
+        counts[r["slice"]] = np.frombuffer(r["counts"], np.uint64)
+    mean = counts.mean()
+    return counts.ravel() > mean + 6 * mean**0.5 + 8
+
+
+def _ordered(owner: np.ndarray, token: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Order one of tokens that are sorted by (owner, token): the heavy ones of an owner last."""
+    return np.argsort(2 * owner + heavy[_slot(token)], kind="stable")
+
+
+def shared_prefixes(docs: DataFrame, buckets: int, heavy) -> DataFrame:
+    """token, cls, n, core: order one's prefix tokens that two or more classes have; core: within the shortest prefix that links share.
+
+    Postings are packed by bucket of the token. heavy: broadcast mask of the sketch.
+    """
 
     def emit(batches):
         import pyarrow as pa
@@ -99,8 +139,10 @@ def shared_prefixes(docs: DataFrame, buckets: int) -> DataFrame:
                 if not len(token):
                     continue
                 cls = _classes(owner, token, size)
-                begin = np.cumsum(size) - size
-                use = np.arange(len(token)) - begin[owner] < _prefix(size)[owner]
+                token = token[_ordered(owner, token, heavy.value)]
+                place = np.arange(len(token)) - (np.cumsum(size) - size)[owner]
+                use = place < _prefix(size)[owner]
+                core = (place < (_prefix(size) - _extra(size) + 1)[owner])[use].astype(np.uint8)
                 token, owner = token[use], owner[use]
                 bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -111,46 +153,46 @@ def shared_prefixes(docs: DataFrame, buckets: int) -> DataFrame:
                 for b in np.flatnonzero(np.diff(cut)).tolist():
                     at = order[cut[b] : cut[b + 1]]
                     there, own = np.unique(owner[at], return_inverse=True)
-                    rows.append((b, low[at].tobytes(), own.astype(np.uint32).tobytes() if len(there) > 65535 else own.astype(np.uint16).tobytes(), np.ascontiguousarray(table[:, there]).tobytes()))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "tokens", "owners", "table"])
+                    rows.append((b, low[at].tobytes(), core[at].tobytes(), own.astype(np.uint32).tobytes() if len(there) > 65535 else own.astype(np.uint16).tobytes(), np.ascontiguousarray(table[:, there]).tobytes()))
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "tokens", "core", "owners", "table"])
 
     def gather(batches):
         import pyarrow as pa
 
         def shared(bucket, parts):
-            token, cls, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            token, cls, n, core = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(token, kind="stable")
             token = token[order]
             same = token[1:] == token[:-1]
             twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
             token, order = token[twice], order[twice]
-            cls, n = cls[order], n[order]
+            cls, n, core = cls[order], n[order], core[order]
             order = np.lexsort((cls, token))
-            token, cls, n = token[order], cls[order], n[order]
+            token, cls, n, core = token[order], cls[order], n[order], core[order]
             if len(token):
                 new = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
-                token, cls, n = token[new], cls[new], n[new]
+                token, cls, n, core = token[new], cls[new], n[new], core[new]
                 same = token[1:] == token[:-1]
                 twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-                token, cls, n = token[twice], cls[twice], n[twice]
-            return pa.record_batch([pa.array((bucket << 32) + token.astype(np.int64)), pa.array(cls), pa.array(n)], names=["token", "cls", "n"])
+                token, cls, n, core = token[twice], cls[twice], n[twice], core[twice]
+            return pa.record_batch([pa.array((bucket << 32) + token.astype(np.int64)), pa.array(cls), pa.array(n), pa.array(core > 0)], names=["token", "cls", "n", "core"])
 
         now, parts = None, []
         for batch in batches:
-            for b, t, o, table in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for b, t, c, o, table in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if b != now and parts:
                     yield shared(now, parts)
                     parts = []
                 now = b
                 token, table = np.frombuffer(t, np.uint32), np.frombuffer(table, np.int64).reshape(2, -1)
                 own = np.frombuffer(o, np.uint32 if len(o) == 4 * len(token) else np.uint16)
-                parts.append((token, table[0][own], table[1][own]))
+                parts.append((token, table[0][own], table[1][own], np.frombuffer(c, np.uint8)))
         if parts:
             yield shared(now, parts)
 
-    packed = docs.select("text").mapInArrow(emit, "bucket int, tokens binary, owners binary, table binary")
+    packed = docs.select("text").mapInArrow(emit, "bucket int, tokens binary, core binary, owners binary, table binary")
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(gather, "token long, cls long, n long")
+    return dealt.mapInArrow(gather, "token long, cls long, n long, core boolean")
 
 
 def _links(sets: list[np.ndarray], left: np.ndarray | None) -> list[tuple[int, int]]:
@@ -219,7 +261,7 @@ def _verify(batches):
             if part and part[0][0][:3] != (grp, i, j):
                 found += close(part)
                 part = []
-            part.append(((grp, i, j, blk), cls, np.frombuffer(blob, np.uint64)))
+            part.append(((grp, i, j, blk), cls, np.frombuffer(blob, np.uint64)))  # in order one
         yield pack(found)
     if part:
         yield pack(close(part))
@@ -232,13 +274,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = stash(summaries(docs), "sets")
+    found = stash(summaries(docs), "sets")
+    seen = found.where("slice < 0").select("doc_id", "n_shingles", "cls")
+    heavy = spark.sparkContext.broadcast(heavy_slots(found.where("slice >= 0")))  # 2**SKETCH_BITS flags
     total = seen.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(0.3 * total) // POSTINGS_A_BUCKET))
-    shared = stash(shared_prefixes(docs, buckets), "prefixes")
+    shared = stash(shared_prefixes(docs, buckets, heavy), "prefixes")
     least = F.expr("n * 8 div 10")  # the smallest set that a set of n can link with, at most
     enough = shared.groupBy("cls", "n").agg(F.count("*").alias("k")).where(F.col("k") >= 1 + F.floor(least / 10)).select("cls")
     live = shared.join(enough, "cls", "left_semi")
+    live = live.where("core")
     hubs = live.groupBy("token").agg(F.min("cls").alias("b"), F.count("*").alias("k")).where("k > 1")
     edges = live.join(hubs, "token").select(F.col("cls").alias("a"), "b").distinct()
     groups = stash(connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("grp")), "groups")
@@ -254,9 +299,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             for i, j in chunks(batch.column(5)):
                 part = batch.slice(i, j - i)
                 owner, token, size = shingle_sets(*string_bytes(part.column(5)))
+                cls = _classes(owner, token, size)
+                token = token[_ordered(owner, token, heavy.value)]
                 cut = np.cumsum(size)
                 blobs = [token[c - n : c].tobytes() for c, n in zip(cut.tolist(), size.tolist(), strict=True)]
-                yield pa.record_batch([*(part.column(c) for c in range(4)), pa.array(_classes(owner, token, size)), pa.array(blobs, pa.binary())], names=["grp", "blocks", "blk", "want", "cls", "tokens"])
+                yield pa.record_batch([*(part.column(c) for c in range(4)), pa.array(cls), pa.array(blobs, pa.binary())], names=["grp", "blocks", "blk", "want", "cls", "tokens"])
 
     held = members.select("grp", "blocks", "blk", F.col("cls").alias("want"), "doc_id").join(docs, "doc_id").select("grp", "blocks", "blk", "want", "doc_id", "text")
     # a row with the same doc_id but another text is not the class's; of equal ones, one stays
