@@ -21,3 +21,8 @@ def query(*ids: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from crossgauge.plans import q_io, q_relational, q_stats, q_text  # noqa: F401
