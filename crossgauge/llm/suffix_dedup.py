@@ -163,10 +163,9 @@ def maximal_repeats(contexts: list[tuple[bytes, bytes]], length: int = LENGTH):
     stack: list[tuple[int, int]] = []  # (common prefix, left bound) of the open intervals
     for i, now in enumerate(prefix):
         left = i
-        while stack and stack[-1][0] >= now:
+        while stack and stack[-1][0] > now:
             depth, left = stack.pop()
-            if depth > now or not stack:
-                yield from _runs(contexts, rank, order[left : i + 1], min(depth, length), length)
+            yield from _runs(contexts, rank, order[left : i + 1], min(depth, length), length)
         if now and (not stack or stack[-1][0] < now):
             stack.append((now, left))
 
