@@ -132,7 +132,7 @@ def stratified_split(df: DataFrame, stratum: str, item: str, seed: int, dev: flo
     """split in train, dev, test, by hash order inside every stratum; disjoint and exhaustive."""
     w = W.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string"))), item)
     at = (F.row_number().over(w) - 1) / F.count("*").over(W.partitionBy(stratum))
-    return df.withColumn("split", F.when(at < test, "test").when(at < test + dev, "dev").otherwise("train"))
+    return df.withColumn("split", F.when(at < test, "test").when(at < round(test + dev, 12), "dev").otherwise("train"))
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: list) -> DataFrame:

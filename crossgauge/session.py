@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,6 +20,14 @@ def build_session(name: str = "crossgauge", master: str | None = None, **conf: s
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers started from another folder import the package; a cluster without shared folders needs --py-files instead."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
