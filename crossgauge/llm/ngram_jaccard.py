@@ -4,14 +4,18 @@ Texts are sets of hashed 5-word shingles; texts with one set are one class. Two
 at most a fifth of either, so under any global order their first floor(n / 5) + l tokens share at least l. Order one (tokens of
 heavy slots of a fixed-size count sketch last, else by hash; l = 1 + n // 10) is joined over the corpus: postings travel
 as packed blocks, and a class whose prefix shares too few tokens with other classes can have no link and drops out.
-What is left falls into groups connected by the tokens of order one's first floor(n / 5) + 1; inside a group, pairs must also share a token under order two, the two filters are intersected,
-and the remaining pairs are verified on their whole sets. A group too large for a task is split into pairs of blocks.
+What is left is looked at on whole sets: order two puts a class's tokens by how many of these classes have them, rarest
+first; a class whose tokens are its own to more than a fifth drops out, and those that share a token of order two's first
+floor(n / 5) + 1 form groups. Inside a group, pairs must share prefix tokens under order one and a third (hash) order,
+the filters are intersected, and the remaining pairs are verified on their whole sets. A group too large for a task is
+split into pairs of blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crossgauge.llm.common import chunks, documents, mix64, stash, string_bytes, words
@@ -125,7 +129,7 @@ def _ordered(owner: np.ndarray, token: np.ndarray, heavy: np.ndarray) -> np.ndar
 
 
 def shared_prefixes(docs: DataFrame, buckets: int, heavy) -> DataFrame:
-    """token, cls, n, core: order one's prefix tokens that two or more classes have; core: within the shortest prefix that links share.
+    """token, cls, n: order one's prefix tokens that two or more classes have.
 
     Postings are packed by bucket of the token. heavy: broadcast mask of the sketch.
     """
@@ -142,7 +146,6 @@ def shared_prefixes(docs: DataFrame, buckets: int, heavy) -> DataFrame:
                 token = token[_ordered(owner, token, heavy.value)]
                 place = np.arange(len(token)) - (np.cumsum(size) - size)[owner]
                 use = place < _prefix(size)[owner]
-                core = (place < (_prefix(size) - _extra(size) + 1)[owner])[use].astype(np.uint8)
                 token, owner = token[use], owner[use]
                 bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -153,46 +156,46 @@ def shared_prefixes(docs: DataFrame, buckets: int, heavy) -> DataFrame:
                 for b in np.flatnonzero(np.diff(cut)).tolist():
                     at = order[cut[b] : cut[b + 1]]
                     there, own = np.unique(owner[at], return_inverse=True)
-                    rows.append((b, low[at].tobytes(), core[at].tobytes(), own.astype(np.uint32).tobytes() if len(there) > 65535 else own.astype(np.uint16).tobytes(), np.ascontiguousarray(table[:, there]).tobytes()))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "tokens", "core", "owners", "table"])
+                    rows.append((b, low[at].tobytes(), own.astype(np.uint32).tobytes() if len(there) > 65535 else own.astype(np.uint16).tobytes(), np.ascontiguousarray(table[:, there]).tobytes()))
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["bucket", "tokens", "owners", "table"])
 
     def gather(batches):
         import pyarrow as pa
 
         def shared(bucket, parts):
-            token, cls, n, core = (np.concatenate(x) for x in zip(*parts, strict=True))
+            token, cls, n = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(token, kind="stable")
             token = token[order]
             same = token[1:] == token[:-1]
             twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
             token, order = token[twice], order[twice]
-            cls, n, core = cls[order], n[order], core[order]
+            cls, n = cls[order], n[order]
             order = np.lexsort((cls, token))
-            token, cls, n, core = token[order], cls[order], n[order], core[order]
+            token, cls, n = token[order], cls[order], n[order]
             if len(token):
                 new = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
-                token, cls, n, core = token[new], cls[new], n[new], core[new]
+                token, cls, n = token[new], cls[new], n[new]
                 same = token[1:] == token[:-1]
                 twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-                token, cls, n, core = token[twice], cls[twice], n[twice], core[twice]
-            return pa.record_batch([pa.array((bucket << 32) + token.astype(np.int64)), pa.array(cls), pa.array(n), pa.array(core > 0)], names=["token", "cls", "n", "core"])
+                token, cls, n = token[twice], cls[twice], n[twice]
+            return pa.record_batch([pa.array((bucket << 32) + token.astype(np.int64)), pa.array(cls), pa.array(n)], names=["token", "cls", "n"])
 
         now, parts = None, []
         for batch in batches:
-            for b, t, c, o, table in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for b, t, o, table in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if b != now and parts:
                     yield shared(now, parts)
                     parts = []
                 now = b
                 token, table = np.frombuffer(t, np.uint32), np.frombuffer(table, np.int64).reshape(2, -1)
                 own = np.frombuffer(o, np.uint32 if len(o) == 4 * len(token) else np.uint16)
-                parts.append((token, table[0][own], table[1][own], np.frombuffer(c, np.uint8)))
+                parts.append((token, table[0][own], table[1][own]))
         if parts:
             yield shared(now, parts)
 
-    packed = docs.select("text").mapInArrow(emit, "bucket int, tokens binary, core binary, owners binary, table binary")
+    packed = docs.select("text").mapInArrow(emit, "bucket int, tokens binary, owners binary, table binary")
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(gather, "token long, cls long, n long, core boolean")
+    return dealt.mapInArrow(gather, "token long, cls long, n long")
 
 
 def _links(sets: list[np.ndarray], left: np.ndarray | None) -> list[tuple[int, int]]:
@@ -257,11 +260,13 @@ def _verify(batches):
     part: list = []
     for batch in batches:
         found = []
-        for grp, i, j, blk, cls, blob in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+        lists = batch.column(5)
+        tokens = [lists[r].values.to_numpy().view(np.uint64) for r in range(batch.num_rows)]
+        for grp, i, j, blk, cls, own in zip(*(batch.column(c).to_pylist() for c in range(5)), tokens, strict=True):
             if part and part[0][0][:3] != (grp, i, j):
                 found += close(part)
                 part = []
-            part.append(((grp, i, j, blk), cls, np.frombuffer(blob, np.uint64)))  # in order one
+            part.append(((grp, i, j, blk), cls, own))  # tokens in order one
         yield pack(found)
     if part:
         yield pack(close(part))
@@ -282,33 +287,38 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = stash(shared_prefixes(docs, buckets, heavy), "prefixes")
     least = F.expr("n * 8 div 10")  # the smallest set that a set of n can link with, at most
     enough = shared.groupBy("cls", "n").agg(F.count("*").alias("k")).where(F.col("k") >= 1 + F.floor(least / 10)).select("cls")
-    live = shared.join(enough, "cls", "left_semi")
-    live = live.where("core")
-    hubs = live.groupBy("token").agg(F.min("cls").alias("b"), F.count("*").alias("k")).where("k > 1")
-    edges = live.join(hubs, "token").select(F.col("cls").alias("a"), "b").distinct()
-    groups = stash(connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("grp")), "groups")
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
-    members = seen.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(groups, "cls").join(sizes, "grp")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    members = members.withColumns({"blk": F.pmod(F.xxhash64("cls"), blocks).cast("int"), "blocks": blocks})
+    members = seen.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(enough, "cls", "left_semi")
 
     def sets(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for i, j in chunks(batch.column(5)):
-                part = batch.slice(i, j - i)
-                owner, token, size = shingle_sets(*string_bytes(part.column(5)))
+            for i, j in chunks(batch.column(1)):
+                owner, token, size = shingle_sets(*string_bytes(batch.column(1).slice(i, j - i)))
                 cls = _classes(owner, token, size)
                 token = token[_ordered(owner, token, heavy.value)]
-                cut = np.cumsum(size)
-                blobs = [token[c - n : c].tobytes() for c, n in zip(cut.tolist(), size.tolist(), strict=True)]
-                yield pa.record_batch([*(part.column(c) for c in range(4)), pa.array(cls), pa.array(blobs, pa.binary())], names=["grp", "blocks", "blk", "want", "cls", "tokens"])
-
-    held = members.select("grp", "blocks", "blk", F.col("cls").alias("want"), "doc_id").join(docs, "doc_id").select("grp", "blocks", "blk", "want", "doc_id", "text")
-    # a row with the same doc_id but another text is not the class's; of equal ones, one stays
-    held = held.mapInArrow(sets, "grp long, blocks int, blk int, want long, cls long, tokens binary").where("want = cls").drop("want")
-    parts = held.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blk", "cls", "tokens")
+                at = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(cls), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(token.view(np.int64)))], names=["want", "cls", "n", "tokens"])
+
+    held = members.select(F.col("cls").alias("want"), "doc_id").join(docs, "doc_id").select("want", "text")
+    # a row with the same doc_id but another text is not the class's; of equal rows one stays
+    held = held.mapInArrow(sets, "want long, cls long, n long, tokens array<long>").where("want = cls").drop("want")
+    held = stash(held.dropDuplicates(["cls"]), "candidates")
+
+    every = held.select("cls", "n", F.explode("tokens").alias("token"))
+    known = every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    several = every.join(known, "token")
+    w = W.partitionBy("cls")
+    several = several.withColumns({"own": F.col("n") - F.count("*").over(w), "place": F.row_number().over(w.orderBy("k", "token"))})
+    core = several.where(F.col("place") + F.col("own") <= F.col("n") - F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}") + 1).select("token", "cls")
+    core = stash(core, "core")
+    hubs = core.groupBy("token").agg(F.min("cls").alias("b"), F.count("*").alias("k")).where("k > 1")
+    edges = core.join(hubs, "token").select(F.col("cls").alias("a"), "b").distinct()
+    groups = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    placed = groups.join(sizes, "grp").withColumns({"blk": F.pmod(F.xxhash64("cls"), blocks).cast("int"), "blocks": blocks})
+    parts = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(held.select("cls", "tokens"), "cls")
     parts = parts.select("grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "tokens")
     links = parts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls").mapInArrow(_verify, "cls long, root long, n_links long")
     links = stash(links, "links")
