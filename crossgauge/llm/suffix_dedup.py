@@ -82,7 +82,7 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
                 same = (rec["gram"][1:] == rec["gram"][:-1]) & (rec["context"][1:] == rec["context"][:-1])
                 rec["twice"][:-1] |= same
                 rec["twice"][1:] |= same
-                spread = rec["gram"].copy()
+                spread = mix64(rec["gram"])  # anchors are least hashes: their own high bits are small
                 more = np.concatenate(([False], same))  # a class's further members here are settled: they go anywhere
                 rec["twice"][more] = 2
                 spread[more] = mix64(rec["place"][more].astype(np.uint64) * np.uint64(1 << 32) + rec["doc"][more])
