@@ -193,11 +193,11 @@ def _scan(batches):
 
     def close(part):
         pairs = [(ctx[:n][::-1], ctx[n:]) for _, _, _, n, ctx in part]
-        found: dict[int, list] = {}
+        most_before, most_after = [-1] * len(part), [0] * len(part)  # all spans of a member hold its anchor: their union is one span
         for _, depth, members in maximal_repeats(pairs):
             for m, before in members:
-                found.setdefault(m, []).append((before, depth))
-        return [(part[m][0], part[m][1], part[m][2] - b, part[m][2] + d) for m, spans in found.items() for b, d in spans]
+                most_before[m], most_after[m] = max(most_before[m], before), max(most_after[m], depth)
+        return [(part[m][0], part[m][1], part[m][2] - b, part[m][2] + d) for m, (b, d) in enumerate(zip(most_before, most_after, strict=True)) if d]
 
     def pack(rows):
         cols = list(zip(*rows, strict=True)) or [()] * 4
