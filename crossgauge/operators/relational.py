@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossgauge.functions import vectors as V
-
 
 def join_languages(frames: dict[str, DataFrame], on: str = "item_id") -> DataFrame:
     """Inner join of one frame per language; other columns get the language as a suffix."""
@@ -49,25 +47,68 @@ def both_correct() -> Column:
     return (F.col("pred_src") == F.col("gold")) & (F.col("pred_tgt") == F.col("gold"))
 
 
-def neighbours(left: DataFrame, right: DataFrame, tau: float) -> DataFrame:
-    """Pairs (l, r, sim) of unit vectors with sim >= tau; frames have (id, v). The right side must be the smaller one.
-
-    All pairs are compared: Spark picks a broadcast nested loop only while the right side is under its own size
-    threshold, and a Cartesian product of partitions beyond it. Add a blocking key to both frames to compare within it.
-    """
-    a, b = left.select(F.col("id").alias("l"), F.col("v").alias("lv")), right.select(F.col("id").alias("r"), F.col("v").alias("rv"))
-    return a.join(b, V.dot(F.col("lv"), F.col("rv")) >= tau).select("l", "r", V.dot(F.col("lv"), F.col("rv")).alias("sim"))
+#: Vectors of the right side that are held against the left at once.
+VECTOR_BLOCK = 20_000
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, tau: float) -> DataFrame:
-    """Pairs that are each other's nearest at or above tau; ties go to the smaller id."""
-    return _mutual(neighbours(left, right, tau))
+def nearest(left: DataFrame, right: DataFrame, block: int = VECTOR_BLOCK) -> DataFrame:
+    """side, id, other, sim: each left row's nearest right row (side l) and each right row's nearest left row (side r).
 
-
-def _mutual(pairs: DataFrame) -> DataFrame:
-    best_r = pairs.groupBy("l").agg(F.min_by("r", F.struct(-F.col("sim"), F.col("r"))).alias("r"))
-    best_l = pairs.groupBy("r").agg(F.min_by("l", F.struct(-F.col("sim"), F.col("l"))).alias("l"))
-    return pairs.join(best_r, ["l", "r"], "left_semi").join(best_l, ["l", "r"], "left_semi")
+    Frames have (id, v), v of unit length; ties go to the smaller id; null vectors are left out. The right side, the
+    smaller one, passes in blocks of fixed size: a block is broadcast, and the left side is scored against it by matrix
+    products, batch by batch. Only best rows leave a task, so no pair is ever emitted.
+    """
+    import numpy as np
+
+    spark = left.sparkSession
+    left, right = (x.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("v IS NOT NULL") for x in (left, right))
+    schema = "side string, id long, other long, sim double"
+    frames, rows = [spark.createDataFrame([], schema)], []
+
+    def score(held):
+        def run(batches):
+            import pyarrow as pa
+
+            ids, v = held.value
+            best, owner = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = b.column(0).to_numpy()
+                order = np.argsort(own, kind="stable")
+                own = own[order]
+                sim = np.stack(b.column(1).to_numpy(zero_copy_only=False))[order] @ v.T
+                top = sim.argmax(1)
+                yield pa.record_batch([pa.array(["l"] * len(own)), pa.array(own), pa.array(ids[top]), pa.array(sim[np.arange(len(own)), top])], names=["side", "id", "other", "sim"])
+                at = sim.argmax(0)
+                value = sim[at, np.arange(len(ids))]
+                better = (value > best) | ((value == best) & (own[at] < owner))
+                best, owner = np.where(better, value, best), np.where(better, own[at], owner)
+            there = best > -np.inf
+            yield pa.record_batch([pa.array(["r"] * int(there.sum()), pa.string()), pa.array(ids[there]), pa.array(owner[there]), pa.array(best[there])], names=["side", "id", "other", "sim"])
+
+        return run
+
+    def close():
+        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])))
+        frames.append(left.mapInArrow(score(held), schema))
+        rows.clear()
+
+    for r in right.sort("id").toLocalIterator():  # one block at a time is on the driver
+        rows.append(r)
+        if len(rows) == block:
+            close()
+    if rows:
+        close()
+    found = reduce(lambda a, b: a.union(b), frames)
+    return found.groupBy("side", "id").agg(F.min_by("other", F.struct(-F.col("sim"), F.col("other"))).alias("other"), F.max("sim").alias("sim"))
+
+
+def mutual_nearest(left: DataFrame, right: DataFrame, tau: float, block: int = VECTOR_BLOCK) -> DataFrame:
+    """Pairs (l, r, sim) that are each other's nearest, at or above tau."""
+    best = nearest(left, right, block).where(F.col("sim") >= tau)
+    a, b = best.where("side = 'l'"), best.where("side = 'r'")
+    return a.select(F.col("id").alias("l"), F.col("other").alias("r"), "sim").join(b.select(F.col("other").alias("l"), F.col("id").alias("r")), ["l", "r"])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -107,7 +107,25 @@ def source_target(spark, d):
     return joined.select("item_id", "seed", "gold", "pred_src", "pred_tgt", "lang")
 
 
-@query("JOIN-04", "JOIN-05", "JOIN-12", "SET-04", sql="""WITH o AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01') SELECT count(*) AS n_src, count(o.k) AS joined, count(*) - count(o.k) AS orphans FROM orders LEFT JOIN o ON o.k = o_orderkey""")
+@query("JOIN-05", sql="""SELECT n.conv_id AS item_id, n.turn AS native_turn, m.turn AS mt_turn FROM conversations n JOIN conversations m ON n.conv_id = m.conv_id AND n.role = 'user' AND m.role = 'assistant' AND m.turn = n.turn + 1""")
+def native_mt_pairs(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("item_id"), "turn", "role")
+    native = c.where("role = 'user'").select("item_id", F.col("turn").alias("native_turn"), (F.col("turn") + 1).alias("mt_turn"))
+    return native.join(c.where("role = 'assistant'").select("item_id", F.col("turn").alias("mt_turn")), ["item_id", "mt_turn"]).select("item_id", "native_turn", "mt_turn")
+
+
+@query("JOIN-12", sql="""WITH e AS (SELECT vec_id % 100 AS item, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 300 AND label < 2), m AS (SELECT item, label, max_by(v, vec) AS v FROM (SELECT *, v[1] AS vec FROM e) GROUP BY 1, 2)
+SELECT a.item, round(list_dot_product(a.v, b.v), 6) AS sim FROM m a JOIN m b ON a.item = b.item AND a.label = 0 AND b.label = 1""")
+def human_reference(spark, d):
+    from crossgauge.functions.vectors import dot
+
+    e = table(spark, d, "embeddings").where("vec_id < 300 AND label < 2").select((F.col("vec_id") % 100).alias("item"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    m = e.groupBy("item", "label").agg(F.max_by("v", F.get("v", 0)).alias("v"))
+    a, b = m.where("label = 0").select("item", F.col("v").alias("x")), m.where("label = 1").select("item", F.col("v").alias("y"))
+    return a.join(b, "item").select("item", F.round(dot(F.col("x"), F.col("y")), 6).alias("sim"))
+
+
+@query("JOIN-04", "SET-04", sql="""WITH o AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01') SELECT count(*) AS n_src, count(o.k) AS joined, count(*) - count(o.k) AS orphans FROM orders LEFT JOIN o ON o.k = o_orderkey""")
 def parity(spark, d):
     o = table(spark, d, "lineitem").where("l_shipdate < timestamp'1995-01-01'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("hit", F.lit(1))
     x = table(spark, d, "orders").select("o_orderkey").join(o, "o_orderkey", "left")
@@ -140,10 +158,10 @@ def mutual_neighbours(spark, d):
     return R.mutual_nearest(_vectors(spark, d, 0), _vectors(spark, d, 1), TAU).select("l", "r", r6(F.col("sim"), "sim"))
 
 
-@query("JOIN-09", sql=f"WITH {_mnn(0, 1, 'ab', 0.1)}, {_mnn(0, 2, 'ac', 0.1)}, {_mnn(1, 2, 'bc', 0.1)} SELECT ab.l AS a, ab.r AS b, ac.r AS c FROM ab JOIN ac ON ab.l = ac.l JOIN bc ON bc.l = ab.r AND bc.r = ac.r")
+@query("JOIN-09", sql=f"WITH {_mnn(0, 1, 'ab', -1.0)}, {_mnn(0, 2, 'ac', -1.0)}, {_mnn(1, 2, 'bc', -1.0)} SELECT ab.l AS a, ab.r AS b, ac.r AS c FROM ab JOIN ac ON ab.l = ac.l JOIN bc ON bc.l = ab.r AND bc.r = ac.r")
 def consistent_triples(spark, d):
     v = [_vectors(spark, d, i) for i in range(3)]
-    ab, ac, bc = (R.mutual_nearest(v[i], v[j], 0.1).select("l", "r") for i, j in ((0, 1), (0, 2), (1, 2)))
+    ab, ac, bc = (R.mutual_nearest(v[i], v[j], -1.0).select("l", "r") for i, j in ((0, 1), (0, 2), (1, 2)))
     t = ab.toDF("a", "b").join(ac.toDF("a", "c"), "a")
     return t.join(bc.toDF("b", "c"), ["b", "c"], "left_semi").select("a", "b", "c")
 
@@ -422,8 +440,8 @@ def histogram(spark, d):
 
 @query("WIN-03", sql="""WITH p AS (SELECT a.vec_id, max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS sim FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1 GROUP BY 1) SELECT vec_id, round(sim, 6) AS sim FROM p""")
 def nearest(spark, d):
-    p = R.neighbours(_vectors(spark, d, 0), _vectors(spark, d, 1), -2.0)
-    return p.groupBy(F.col("l").alias("vec_id")).agg(r6(F.max("sim"), "sim"))
+    p = R.nearest(_vectors(spark, d, 0), _vectors(spark, d, 1)).where("side = 'l'")
+    return p.select(F.col("id").alias("vec_id"), r6(F.col("sim"), "sim"))
 
 
 @query("WIN-07", sql="SELECT user_id, event_type, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")

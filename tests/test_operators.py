@@ -21,7 +21,9 @@ def test_mean_std_of_one_row_is_zero(spark):
 def test_mutual_nearest_breaks_ties_by_id(spark):
     a = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "id long, v array<double>")
     b = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "id long, v array<double>")
-    assert [(r["l"], r["r"]) for r in R.mutual_nearest(a, b, 0.5).collect()] == [(1, 7)]
+    for block in (1, 100):
+        assert [(r["l"], r["r"]) for r in R.mutual_nearest(a, b, 0.5, block).collect()] == [(1, 7)]
+    assert R.mutual_nearest(a, b.limit(0), 0.5).count() == 0 and R.mutual_nearest(a.limit(0), b, 0.5).count() == 0
 
 
 def test_upsert_replaces_only_its_keys(spark):
