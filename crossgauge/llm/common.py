@@ -11,6 +11,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Slots of the bounded filter that goes before a join with a part of the documents.
+SLOTS = 1 << 18
+
+
+def likely(docs: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
+    """docs' rows whose id may be among ids: a filter of at most SLOTS broadcast rows that spares an exact join most of its shuffle."""
+    slot = F.pmod(F.xxhash64(col), F.lit(SLOTS)).cast("int").alias("_slot")
+    return docs.withColumn("_slot", slot).join(F.broadcast(ids.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
+
+
 #: Word of the corpus contracts: a maximal run of anything but space and TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import chunks, documents, mix64, stash, string_bytes, words
+from crossgauge.llm.common import chunks, documents, likely, mix64, stash, string_bytes, words
 from crossgauge.llm.components import connected_components
 
 SHINGLE = 5
@@ -288,6 +288,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     least = F.expr("n * 8 div 10")  # the smallest set that a set of n can link with, at most
     enough = shared.groupBy("cls", "n").agg(F.count("*").alias("k")).where(F.col("k") >= 1 + F.floor(least / 10)).select("cls")
     members = seen.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(enough, "cls", "left_semi")
+    members = stash(members, "members")
 
     def sets(batches):
         import pyarrow as pa
@@ -300,7 +301,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                 at = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(cls), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(token.view(np.int64)))], names=["want", "cls", "n", "tokens"])
 
-    held = members.select(F.col("cls").alias("want"), "doc_id").join(docs, "doc_id").select("want", "text")
+    held = members.select(F.col("cls").alias("want"), "doc_id").join(likely(docs, members), "doc_id").select("want", "text")
     # a row with the same doc_id but another text is not the class's; of equal rows one stays
     held = held.mapInArrow(sets, "want long, cls long, n long, tokens array<long>").where("want = cls").drop("want")
     held = stash(held.dropDuplicates(["cls"]), "candidates")
