@@ -3,7 +3,7 @@
 Items (longer ones in segments) are sorted by the score they need and cut into blocks; a block keeps for every term
 the largest impact of its items. A passage skips every block whose bound - the sum of its terms' block maxima - stays
 below the least score that the block asks for; items of the other blocks are scored in full and those at or above
-their own threshold are verified: word 5-grams of the item's question and of its answer must occur in the passage.
+their own threshold are verified: half of the word 5-grams of the item's question and of the 3-grams of its answer must occur in the passage.
 Passages are windows of 2 * STEP words every STEP words, so a segment (at most STEP words) lies whole in one.
 """
 
@@ -20,9 +20,10 @@ BLOCKS = 64
 K1, B = 1.2, 0.75
 #: Of a segment's own BM25 score, how much a passage must reach.
 SHARE = 0.7
-#: Word n-grams compared in verification, and the share that must be found of question and of answer.
-GRAM = 5
-FOUND = 0.7
+#: Word n-grams compared in verification, of questions and of answers, and the share of each that must be found: one edit
+#: in an answer of ten words still leaves half of its 3-grams.
+QUESTION_GRAM, ANSWER_GRAM = 5, 3
+FOUND = 0.5
 #: The index is broadcast; test items beyond this many bytes of text are taken in blocks of that size.
 INDEX_BYTES = 8 << 20
 
@@ -76,8 +77,8 @@ class Index:
         self.post_impact = np.array([p[2] for p in post])
         self.post_at = np.searchsorted(np.array([p[0] for p in post], np.int64), np.arange(len(self.terms) + 1))
         half = [max(1, (2 * len(segments[i][1]) + 2) // 3) for i in order.tolist()]  # the question: the first two thirds
-        self.question = [_grams(segments[i][1][:q], GRAM) for i, q in zip(order.tolist(), half, strict=True)]
-        self.answer = [_grams(segments[i][1][q:], GRAM) for i, q in zip(order.tolist(), half, strict=True)]
+        self.question = [_grams(segments[i][1][:q], QUESTION_GRAM) for i, q in zip(order.tolist(), half, strict=True)]
+        self.answer = [_grams(segments[i][1][q:], ANSWER_GRAM) for i, q in zip(order.tolist(), half, strict=True)]
         self.question_words = half
         self.answer_words = [len(segments[i][1]) - q for i, q in zip(order.tolist(), half, strict=True)]
         slots = 1 << max(10, int(np.ceil(np.log2(max(1, len(self.terms))))) + 3)
@@ -131,13 +132,13 @@ class Index:
             stop = first[d + 1] if d + 1 < len(first) else len(h)
             own = h[first[d] + p * self.step : min(stop, first[d] + (p + 2) * self.step)]
             for i in hit.tolist():
-                q, a = self._found(self.question[i], self.question_words[i], own), self._found(self.answer[i], self.answer_words[i], own)
+                q, a = self._found(self.question[i], self.question_words[i], QUESTION_GRAM, own), self._found(self.answer[i], self.answer_words[i], ANSWER_GRAM, own)
                 if q >= FOUND and a >= FOUND:
                     yield d, int(self.item[i]), float(total[i]), float(q), float(a)
 
     @staticmethod
-    def _found(grams: np.ndarray, n_words: int, own: np.ndarray) -> float:
-        return float(np.isin(grams, _grams(own, min(GRAM, n_words))).mean()) if n_words else 1.0
+    def _found(grams: np.ndarray, n_words: int, gram: int, own: np.ndarray) -> float:
+        return float(np.isin(grams, _grams(own, min(gram, n_words))).mean()) if n_words else 1.0
 
 
 def contaminated(docs: DataFrame, items: DataFrame, step: int = STEP, index_bytes: int = INDEX_BYTES) -> DataFrame:
