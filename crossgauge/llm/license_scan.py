@@ -71,11 +71,16 @@ def known_digests(spark: SparkSession, notices=NOTICES) -> DataFrame:
     return spark.createDataFrame(sorted(rows), "digest string, license_id string, family string")
 
 
-def license_scan(docs: DataFrame, known: DataFrame, longest: int | None = None) -> DataFrame:
+#: Every spelling of every notice has this in its lower-cased text; canonical_text can't make it from anything else.
+STEM = "licen"
+
+
+def license_scan(docs: DataFrame, known: DataFrame, longest: int | None = None, stem: str | None = None) -> DataFrame:
     """doc_id, license_id, family, scope ('text' or 'line'), n_hits: every known licence that a document holds as a whole text or line.
 
     longest: the most characters that a known canonical text has; a longer unit can't equal one and isn't hashed
     (canonical text is never longer than the unit with one blank a character, so nothing is lost).
+    stem: letters that any unit equal to a known text must hold as they are; others aren't normalised.
     Null and empty texts give no rows; repeated lines count in n_hits.
     """
     base = docs.select("doc_id", F.col("text").alias("_t")).where(F.col("_t").isNotNull())
@@ -88,6 +93,8 @@ def license_scan(docs: DataFrame, known: DataFrame, longest: int | None = None)
             )
         ).alias("u"),
     ).select("doc_id", "u.scope", "u.unit")
+    if stem is not None:
+        units = units.where(F.contains(F.lower("unit"), F.lit(stem)))
     units = units.withColumn("canon", canonical(F.col("unit"))).where(F.col("canon") != "")
     if longest is not None:
         units = units.where(F.length("canon") <= longest)
@@ -96,8 +103,9 @@ def license_scan(docs: DataFrame, known: DataFrame, longest: int | None = None)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    longest = max(len(canonical_text(t)) for _, _, t in NOTICES)
-    return license_scan(documents(spark, sf_dir), known_digests(spark), longest)
+    texts = [canonical_text(t) for _, _, t in NOTICES]
+    stem = STEM if all(STEM in t for t in texts) else None
+    return license_scan(documents(spark, sf_dir), known_digests(spark), max(map(len, texts)), stem)
 
 
 def _sql_canonical(x: str) -> str:
