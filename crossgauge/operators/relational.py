@@ -166,6 +166,8 @@ def disambiguate(df: DataFrame, key: str, *order: Column) -> DataFrame:
 def hash_sample(df: DataFrame, keys: list[str], item: str, n: int, seed: int) -> DataFrame:
     """n rows of every key, chosen and ordered by a hash of seed and item: the same on any cluster."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")))
+    if not keys:  # a top-n: only n rows meet in one task
+        df = df.orderBy(order, item).limit(n)
     return df.withColumn("pick", F.row_number().over(W.partitionBy(*keys).orderBy(order, item))).where(F.col("pick") <= n)
 
 

@@ -490,13 +490,14 @@ def stratified(spark, d):
     return R.stratified_split(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 3, 0.1, 0.1).select("doc_id", "split")
 
 
-@query("SMP-03", "VEC-04", "VEC-05", sql="""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY md5('1:' || vec_id), vec_id) AS a, row_number() OVER (ORDER BY md5('2:' || vec_id), vec_id) AS b FROM embeddings WHERE label = 0)
+@query("SMP-03", "VEC-04", "VEC-05", sql="""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY md5('1:' || vec_id), vec_id) AS a, row_number() OVER (ORDER BY md5('2:' || vec_id), vec_id) AS b FROM (SELECT * FROM embeddings WHERE label = 0 ORDER BY md5('1:' || vec_id), vec_id LIMIT 40))
 SELECT count(*) AS n, round(avg(list_dot_product(x.v, y.v)), 6) AS mean, round(quantile_cont(list_dot_product(x.v, y.v), 0.5), 6) AS median, round(quantile_cont(list_dot_product(x.v, y.v), 0.95), 6) AS p95, round(avg((list_dot_product(x.v, y.v) >= 0.2)::INT::DOUBLE), 6) AS share FROM e x JOIN e y ON x.a = y.b""")
 def shuffled_control(spark, d):
     from crossgauge.functions.vectors import dot
 
     e = _vectors(spark, d, 0)
-    a, b = (R.hash_sample(e, [], "id", 1 << 30, s) for s in (1, 2))
+    a = R.hash_sample(e, [], "id", 40, 1)  # a bounded sample is the operator
+    b = R.hash_sample(a.drop("pick"), [], "id", 40, 2)
     x = a.select("pick", F.col("v").alias("x")).join(b.select("pick", F.col("v").alias("y")), "pick").select(dot(F.col("x"), F.col("y")).alias("s"))
     return x.agg(F.count("*").alias("n"), r6(F.avg("s"), "mean"), r6(F.percentile("s", 0.5), "median"), r6(F.percentile("s", 0.95), "p95"), r6(F.avg((F.col("s") >= 0.2).cast("double")), "share"))
 
