@@ -170,6 +170,22 @@ def test_encoder_equals_the_tokenizer(text):
     assert Encoder(tokenizer_path(TOKENIZER), slot_bits=10).encode(text).tolist() == _tokenizer().encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_equals_the_tokenizer_on_any_text():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from crossgauge.llm.tokens import TOKENIZER, Encoder, tokenizer_path
+
+    ours, theirs = Encoder(tokenizer_path(TOKENIZER), slot_bits=6, kept_ids=64), _tokenizer()
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.text(st.sampled_from(list("ab,. \n\t'sé×…1٣ \u00a0\u0085Ж!<|>")), max_size=40))
+    def same(text):
+        assert ours.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+    same()
+
+
 def test_token_files_round_trip(docs, empty):
     tokenizer = _tokenizer()
     shards = token_files.write_token_files(docs, shard_ids=300)
@@ -218,10 +234,13 @@ def test_decontamination(spark, empty):
     items = [(i, prose(200 + i, 20 + 10 * i)) for i in range(8)] + [(8, None), (9, "")]
     rows = [(i, prose(300 + i, 150) + " " + items[i][1].upper() + " " + prose(400 + i, 90)) for i in range(8)] + [(20, prose(500, 400)), (21, None), (22, ""), (23, " ".join(items[3][1].split()[:12]))]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
+    edited = items[6][1].split()
+    edited[-4] = "edited"
+    frame = frame.union(spark.createDataFrame([(30, prose(600, 100) + " " + " ".join(edited) + " " + prose(601, 100))], frame.schema))
     found = decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(i, i) for i in range(8)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [*((i, i) for i in range(8)), (30, 6)]
     in_blocks = decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id long, text string"), index_bytes=400)
-    assert sorted((r["doc_id"], r["item_id"]) for r in in_blocks.collect()) == [(i, i) for i in range(8)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in in_blocks.collect()) == [*((i, i) for i in range(8)), (30, 6)]
     assert decontaminate.contaminated(empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontaminate.contaminated(frame, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
