@@ -1,19 +1,23 @@
-"""License scan by canonical digest: texts are normalised, then whole texts and whole lines are hash-joined to known digests.
+"""License scan by canonical digest: whole texts, runs of lines and lines are normalised and matched to known digests.
 
 Canonical form: lower case, equivalent spellings folded, copyright lines dropped, punctuation and white space made
-single blanks. The known side is a fixed table of notices, so it is broadcast by construction; the join stays
-map-side and the corpus is never shuffled.
+single blanks. The known side is a fixed table of notices and of whole licence texts, so it is broadcast by
+construction; the join stays map-side and the corpus is never shuffled. Runs of lines are looked for from lines that
+start as a known text does: a text has a fixed count of words, so a start has one end a text, and only that is hashed.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from crossgauge.llm.common import documents
+from crossgauge.llm.license_texts import TEXTS
 
 #: Licence notices (SPDX id, family, notice text).
 NOTICES = (
@@ -66,21 +70,111 @@ def canonical_text(text: str) -> str:
     return out.strip()
 
 
-def known_digests(spark: SparkSession, notices=NOTICES) -> DataFrame:
-    rows = {(hashlib.sha256(canonical_text(t).encode()).hexdigest(), i, f) for i, f, t in notices}
+def known_digests(spark: SparkSession, notices=NOTICES, texts=TEXTS) -> DataFrame:
+    rows = {(hashlib.sha256(canonical_text(t).encode()).hexdigest(), i, f) for i, f, t in notices} | {(x, i, f) for i, f, _, _, _, x in texts}
     return spark.createDataFrame(sorted(rows), "digest string, license_id string, family string")
 
 
-#: Every spelling of every notice has this in its lower-cased text; canonical_text can't make it from anything else.
-STEM = "licen"
-
-
-def license_scan(docs: DataFrame, known: DataFrame, longest: int | None = None, stem: str | None = None) -> DataFrame:
-    """doc_id, license_id, family, scope ('text' or 'line'), n_hits: every known licence that a document holds as a whole text or line.
+#: Every spelling of every notice and whole text has one of these in its lower-cased text; canonical_text can't make them from anything else.
+STEMS = ("licen", "permi")
+#: First words by which a run of lines is recognised as the start of a known text.
+HEAD = 3
+#: A line that starts with `copyright` and goes on so is part of a wrapped licence, not somebody's notice.
+_BODY = re.compile(r"copyright\W+(notices?|holders?|owners?|licen[cs]es?|laws?|and|or|in|on|to|the|is|of|for|by law|statement|interest|protection|permission|treaty|disclaimer|status|patent|related|the software)\b")
+_OWN = re.compile(r"[\W_]*(copyright\b|\(c\)|©)")
+_YEAR = re.compile(r"\b(19|20)\d\d\b|copyright|[<\[{](year|yyyy)")
+_PARTS = [(_plain(a).split(), _plain(b).split()) for a, b in SPELLINGS]
+
+
+def line_words(line: str) -> list[str]:
+    """Words of one line of a licence; none for copyright notices and `all rights reserved`."""
+    low = line.lower()
+    at = _OWN.match(low)
+    if at and not (_BODY.match(low, at.start(1)) if at[1] == "copyright" else not _YEAR.search(low)):
+        return []
+    words = re.findall(r"[a-z0-9]+", low)
+    return [] if words == ["all", "rights", "reserved"] else words
+
+
+def _folded(words: list[str], last: list[bool]) -> tuple[list[str], list[bool]]:
+    """Equivalent spellings made one; last: whether a word ends its line."""
+    for a, b in _PARTS:
+        if a[0] not in words:
+            continue
+        w, e, i = [], [], 0
+        while i < len(words):
+            if words[i : i + len(a)] == a:
+                w += b
+                e += [False] * (len(b) - 1) + [last[i + len(a) - 1]]
+                i += len(a)
+            else:
+                w.append(words[i])
+                e.append(last[i])
+                i += 1
+        words, last = w, e
+    return words, last
+
+
+def run_words(text: str) -> list[str]:
+    """Canonical words of a text of several lines."""
+    words = [w for x in text.split("\n") for w in line_words(x)]
+    return _folded(words, [False] * len(words))[0]
+
+
+def known_runs(notices=NOTICES, texts=TEXTS) -> dict:
+    """First words -> [(words, digest, license_id, family)] of the notices and texts, longest first."""
+    out: dict[tuple, set] = {}
+    for i, f, t in notices:
+        w = canonical_text(t).split()
+        out.setdefault(tuple(w[:HEAD]), set()).add((len(w), hashlib.sha256(" ".join(w).encode()).hexdigest(), i, f))
+    for i, f, head, n, _, digest in texts:
+        out.setdefault(tuple(head.split()), set()).add((n, digest, i, f))
+    return {k: sorted(v, reverse=True) for k, v in out.items()}
+
+
+def runs(text: str, known: dict) -> list[tuple[str, str, str]]:
+    """(license_id, family, scope) of the runs of two or more lines with words that equal a known text.
+
+    scope is 'text' if no other line has words, else 'lines'. A run inside a longer one of the same licence doesn't
+    count, nor does a whole text that the digest of the whole text finds anyway.
+    """
+    lines = [w for w in map(line_words, text.split("\n")) if w]
+    words = [x for w in lines for x in w]
+    last = [k == len(w) - 1 for w in lines for k in range(len(w))]
+    found, at = [], 0
+    for line in lines:
+        head, _ = _folded(words[at : at + 4 * HEAD], last[at : at + 4 * HEAD])
+        for n, digest, i, f in known.get(tuple(head[:HEAD]), ()):
+            w, e = _folded(words[at : at + 2 * n + 8], last[at : at + 2 * n + 8])
+            if n <= len(w) and e[n - 1] and n > len(_folded(line, [False] * len(line))[0]) and hashlib.sha256(" ".join(w[:n]).encode()).hexdigest() == digest:
+                stop = at + n if len(w) == len(words[at : at + 2 * n + 8]) else at + _raw(words[at:], last[at:], n)
+                found.append((at, stop, digest, i, f))
+        at += len(line)
+    whole = hashlib.sha256(canonical_text(text).encode()).hexdigest() if found else ""
+    out = []
+    for a, b, digest, i, f in found:
+        inside = any((c, d) != (a, b) and c <= a and b <= d and i == j for c, d, _, j, _ in found)
+        everything = a == 0 and b == len(words)
+        if not inside and not (everything and whole == digest):
+            out.append((i, f, "text" if everything else "lines"))
+    return out
+
+
+def _raw(words: list[str], last: list[bool], n: int) -> int:
+    """How many words as they stand make the first n folded ones: the line end where the count is reached."""
+    for k in range(max(1, n // 2), min(len(words), 2 * n + 8) + 1):
+        if last[k - 1] and len(_folded(words[:k], last[:k])[0]) == n:
+            return k
+    return n
+
+
+def license_scan(docs: DataFrame, known: DataFrame, longest: int | None = None, stem: str | tuple[str, ...] | None = None, known_lines: dict | None = None) -> DataFrame:
+    """doc_id, license_id, family, scope ('text', 'lines' or 'line'), n_hits: every known licence that a document holds as a whole text, a run of lines or a line.
 
     longest: the most characters that a known canonical text has; a longer unit can't equal one and isn't hashed
     (canonical text is never longer than the unit with one blank a character, so nothing is lost).
-    stem: letters that any unit equal to a known text must hold as they are; others aren't normalised.
+    stem: letters, one of which any unit equal to a known text must hold as they are; others aren't normalised.
+    known_lines: the known texts for runs of lines (known_runs() by default).
     Null and empty texts give no rows; repeated lines count in n_hits.
     """
     base = docs.select("doc_id", F.col("text").alias("_t")).where(F.col("_t").isNotNull())
@@ -93,19 +187,35 @@ def license_scan(docs: DataFrame, known: DataFrame, longest: int | None = None,
             )
         ).alias("u"),
     ).select("doc_id", "u.scope", "u.unit")
-    if stem is not None:
-        units = units.where(F.contains(F.lower("unit"), F.lit(stem)))
+    stems = (stem,) if isinstance(stem, str) else stem or ()
+
+    def may_hold(c):
+        return reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(x)) for x in stems], F.lit(not stems))
+
+    units = units.where(may_hold("unit"))
     units = units.withColumn("canon", canonical(F.col("unit"))).where(F.col("canon") != "")
     if longest is not None:
         units = units.where(F.length("canon") <= longest)
     hits = units.withColumn("digest", F.sha2("canon", 256)).join(F.broadcast(known), "digest")
+    table = known_runs() if known_lines is None else known_lines
+
+    def in_runs(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(d, *x) for d, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for x in runs(t, table)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.record_batch([pa.array([x.as_py() for x in cols[0]], batch.schema.field(0).type), *[pa.array(c, pa.string()) for c in cols[1:]]], names=["doc_id", "license_id", "family", "scope"])
+
+    whole = base.where(may_hold("_t") & F.contains(F.col("_t"), F.lit("\n"))).mapInArrow(in_runs, StructType([base.schema["doc_id"], *[StructField(c, StringType()) for c in ("license_id", "family", "scope")]]))
+    hits = hits.select("doc_id", "license_id", "family", "scope").unionByName(whole)
     return hits.groupBy("doc_id", "license_id", "family", "scope").agg(F.count("*").alias("n_hits"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [canonical_text(t) for _, _, t in NOTICES]
-    stem = STEM if all(STEM in t for t in texts) else None
-    return license_scan(documents(spark, sf_dir), known_digests(spark), max(map(len, texts)), stem)
+    stems = STEMS if all(any(x in t for x in STEMS) for t in texts) else None
+    return license_scan(documents(spark, sf_dir), known_digests(spark), max([*map(len, texts), *[n for *_, n, _ in TEXTS]]), stems)
 
 
 def _sql_canonical(x: str) -> str:

@@ -283,6 +283,31 @@ def test_license_digests(spark, empty):
     assert license_scan.license_scan(empty, known).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_licenses_and_wrapped_notices(spark):
+    import os
+    import textwrap
+
+    known = license_scan.known_digests(spark)
+    rows = [(0, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + MIT), (1, "intro words\nLicensed under the\nApache Licence, Version 2.0.\nmore words"), (2, MIT.replace("free of charge", "for a fee"))]
+    rows += [(3 + k, "int main;\n" + "\n".join(" * " + x for x in textwrap.wrap(MIT, 30 + k)) + "\nint x;") for k in range(30)]  # some wraps start a line with `copyright`
+    want = [(0, "MIT", "text", 1), (1, "Apache-2.0", "lines", 1), *[(3 + k, "MIT", "lines", 1) for k in range(30)]]
+    shipped = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "BSD": "BSD-3-Clause", "MPL-2.0": "MPL-2.0"}
+    for k, (name, spdx) in enumerate(shipped.items()):
+        if os.path.exists(f"/usr/share/common-licenses/{name}"):
+            with open(f"/usr/share/common-licenses/{name}") as f:
+                rows.append((50 + k, f.read()))
+            want.append((50 + k, spdx, "text", 1))
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), known, max(n for *_, n, _ in license_scan.TEXTS), license_scan.STEMS).collect()
+    assert sorted((r["doc_id"], r["license_id"], r["scope"], r["n_hits"]) for r in got) == sorted(want)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
