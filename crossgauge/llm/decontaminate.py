@@ -3,7 +3,9 @@
 Items (longer ones in segments) are sorted by the score they need and cut into blocks; a block keeps for every term
 the largest impact of its items. A passage skips every block whose bound - the sum of its terms' block maxima - stays
 below the least score that the block asks for; items of the other blocks are scored in full and those at or above
-their own threshold are verified: half of the word 5-grams of the item's question and of the 3-grams of its answer must occur in the passage.
+their own threshold are verified: half of the word 5-grams of the item's question and of the 3-grams of its answer must
+occur in the passage, or, as one edit breaks most n-grams of a short part, a part of under SHORT words must occur with
+at most a quarter of its words edited (one at least).
 Passages are windows of 2 * STEP words every STEP words, so a segment (at most STEP words) lies whole in one.
 """
 
@@ -24,6 +26,8 @@ SHARE = 0.7
 #: in an answer of ten words still leaves half of its 3-grams.
 QUESTION_GRAM, ANSWER_GRAM = 5, 3
 FOUND = 0.5
+#: Parts of fewer words are also taken as found by edit distance.
+SHORT = 25
 #: The index is broadcast; test items beyond this many bytes of text are taken in blocks of that size.
 INDEX_BYTES = 8 << 20
 
@@ -37,6 +41,16 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _edits(part: np.ndarray, own: np.ndarray) -> int:
+    """The fewest word insertions, deletions and substitutions between the part and any stretch of own."""
+    step = np.arange(len(own) + 1)
+    row = np.zeros(len(own) + 1, np.int64)
+    for i, w in enumerate(part.tolist()):
+        new = np.minimum(np.concatenate(([i + 1], row[:-1] + (own != np.uint64(w)))), row + 1)
+        row = np.minimum.accumulate(new - step) + step
+    return int(row.min())
+
+
 class Index:
     def __init__(self, items: list[tuple[int, str]], step: int = STEP):
         import pyarrow as pa
@@ -79,8 +93,8 @@ class Index:
         half = [max(1, (2 * len(segments[i][1]) + 2) // 3) for i in order.tolist()]  # the question: the first two thirds
         self.question = [_grams(segments[i][1][:q], QUESTION_GRAM) for i, q in zip(order.tolist(), half, strict=True)]
         self.answer = [_grams(segments[i][1][q:], ANSWER_GRAM) for i, q in zip(order.tolist(), half, strict=True)]
-        self.question_words = half
-        self.answer_words = [len(segments[i][1]) - q for i, q in zip(order.tolist(), half, strict=True)]
+        self.question_hash = [segments[i][1][:q] for i, q in zip(order.tolist(), half, strict=True)]
+        self.answer_hash = [segments[i][1][q:] for i, q in zip(order.tolist(), half, strict=True)]
         slots = 1 << max(10, int(np.ceil(np.log2(max(1, len(self.terms))))) + 3)
         self.shift = np.uint64(64 - int(np.log2(slots)))
         self.filter = np.zeros(slots, bool)
@@ -132,13 +146,22 @@ class Index:
             stop = first[d + 1] if d + 1 < len(first) else len(h)
             own = h[first[d] + p * self.step : min(stop, first[d] + (p + 2) * self.step)]
             for i in hit.tolist():
-                q, a = self._found(self.question[i], self.question_words[i], QUESTION_GRAM, own), self._found(self.answer[i], self.answer_words[i], ANSWER_GRAM, own)
+                q = self._found(self.question[i], self.question_hash[i], QUESTION_GRAM, own)
+                a = self._found(self.answer[i], self.answer_hash[i], ANSWER_GRAM, own)
                 if q >= FOUND and a >= FOUND:
                     yield d, int(self.item[i]), float(total[i]), float(q), float(a)
 
     @staticmethod
-    def _found(grams: np.ndarray, n_words: int, gram: int, own: np.ndarray) -> float:
-        return float(np.isin(grams, _grams(own, min(gram, n_words))).mean()) if n_words else 1.0
+    def _found(grams: np.ndarray, part: np.ndarray, gram: int, own: np.ndarray) -> float:
+        n = len(part)
+        if not n:
+            return 1.0
+        share = float(np.isin(grams, _grams(own, min(gram, n))).mean())
+        if share < FOUND and n < SHORT:
+            edits = _edits(part, own)
+            if edits < n and edits <= max(1, n // 4):
+                return 1 - edits / n
+        return share
 
 
 def contaminated(docs: DataFrame, items: DataFrame, step: int = STEP, index_bytes: int = INDEX_BYTES) -> DataFrame:

@@ -245,6 +245,26 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminated(frame, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_finds_every_one_word_edit():
+    import pyarrow as pa
+
+    from crossgauge.llm.common import string_bytes, words
+
+    items = [(n, prose(800 + n, n)) for n in range(15, 65)]
+    index = decontaminate.Index(items)
+
+    def hits(texts):
+        h, doc, _, _ = words(*string_bytes(pa.array(texts, pa.string())))
+        return {(d, i) for d, i, *_ in index.search(h, doc)}
+
+    for n, text in items:
+        w = text.split()
+        edits = [" ".join([prose(900 + n, 50), *w[:k], "edited", *w[k + 1 :], prose(990 + n, 50)]) for k in range(n)]
+        assert {(k, n) for k in range(n)} <= hits(edits), n
+        loose = " ".join(x for y in zip(w, prose(950 + n, n).split(), strict=True) for x in y)
+        assert not hits([" ".join(w[::-1]), loose, " ".join(w[: (2 * n + 2) // 3])]), n
+
+
 def test_histogram_sort_shards(spark, docs, empty):
     from pyspark.sql import functions as F
 
