@@ -26,6 +26,9 @@ LANDMARKS = 40
 RIDGE = 1e-2
 #: A document whose best score is lower is rejected by the pipeline.
 MIN_SCORE = 0.3
+#: So is one of whose byte 3-grams without digits, by occurrences, a smaller part occurs in the landmarks: a score near 0.5 only says
+#: that a text is unlike every learned language.
+MIN_KNOWN = 0.5
 
 
 def _grams(data: np.ndarray, off: np.ndarray):
@@ -41,6 +44,8 @@ def _grams(data: np.ndarray, off: np.ndarray):
         yield doc[: len(code)][ok], code[ok] + (0, 0, 256, 256 + 65536)[n]
 
 
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
 _CODES = 256 + 65536 + (1 << 24)
 
 
@@ -91,6 +96,17 @@ class Kernel:
             seen[doc, table[code]] = True
         return seen[:, : self.width].astype(np.float32), seen.sum(1)
 
+    def known(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Per text the share of its 3-grams without a digit that occur in a landmark; 1 for texts too short to have a 3-gram."""
+        n, hit = np.zeros(len(off) - 1), np.zeros(len(off) - 1)
+        for k, (doc, code) in enumerate(_grams(data, off)):
+            if k == 2:
+                low = code - (256 + 65536)
+                ok = ~(_DIGIT[low >> 16] | _DIGIT[low >> 8 & 255] | _DIGIT[low & 255])
+                n = np.bincount(doc[ok], minlength=len(n))
+                hit = np.bincount(doc[ok], self.table()[code[ok]] < self.width, len(hit))
+        return np.where(np.diff(off) < 3, 1.0, hit / np.maximum(n, 1))
+
     def kernel(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         seen, size = self.presence(data, off)
         return (seen @ self.marks) / np.sqrt(np.maximum(size, 1))[:, None].astype(np.float32)
@@ -149,8 +165,8 @@ def _judged(batch, text: int, kernel: Kernel | None):
         yield part, lang, score
 
 
-def keep_identified(docs: DataFrame, kernel: Kernel | None, least: float = MIN_SCORE) -> DataFrame:
-    """docs' rows, all columns, whose language is determined with a score of at least `least`."""
+def keep_identified(docs: DataFrame, kernel: Kernel | None, least: float = MIN_SCORE, known: float = MIN_KNOWN) -> DataFrame:
+    """docs' rows, all columns, whose language is determined with a score of at least `least` and whose 3-grams are known to a share of at least `known`."""
     model, at = docs.sparkSession.sparkContext.broadcast(kernel), docs.columns.index("text")
 
     def run(batches):
@@ -158,7 +174,8 @@ def keep_identified(docs: DataFrame, kernel: Kernel | None, least: float = MIN_S
 
         for batch in batches:
             for part, lang, score in _judged(batch, at, model.value):
-                yield part.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(lang, score, strict=True)]))
+                seen = np.zeros(len(lang)) if model.value is None else model.value.known(*string_bytes(part.column(at)))
+                yield part.filter(pa.array([x != UNDETERMINED and bool(s >= least and k >= known) for x, s, k in zip(lang, score, seen, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -221,6 +221,17 @@ def test_language_id(spark, docs, empty):
     assert language_id.fit(empty) is None and language_id.keep_identified(docs, language_id.fit(docs)).columns == docs.columns
 
 
+def test_texts_unlike_every_learned_language_are_rejected(spark):
+    import base64
+
+    learned = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    kernel = language_id.fit(learned)
+    noise = np.random.default_rng(1).bytes(1500)
+    foreign = ["人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。", "Все люди рождаются свободными и равными в своем достоинстве и правах.", "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق.", "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता प्राप्त है।", base64.b64encode(noise).decode(), base64.b64encode(noise * 200).decode(), noise.hex()]
+    assert language_id.keep_identified(spark.createDataFrame([(i, t, None) for i, t in enumerate(foreign)], learned.schema), kernel).count() == 0
+    assert language_id.keep_identified(learned, kernel).count() == learned.count()
+
+
 def test_quality_classifier_learns(spark):
     good, bad = [prose(i, 60) + "." for i in range(80)], [" | ".join(prose(100 + i, 60).upper().split()) for i in range(80)]
     table, bias = quality_classifier.train([t.encode() for t in good[:60] + bad[:60]], [1] * 60 + [0] * 60)
