@@ -89,9 +89,10 @@ def padded(spark, d):
 
 @query("MOD-03", "MOD-04")
 def logistic_baseline(spark, d):
-    """A logistic baseline trained by aggregated gradient steps on the first four dimensions of the vectors."""
-    x = table(spark, d, "embeddings").select(F.slice("embedding", 1, 4).alias("x"), (F.col("label") == 0).cast("double").alias("y"))
-    return spark.createDataFrame([(i, w) for i, w in enumerate(M.sgd_logistic(x, "x", "y", 4))], "i int, w double")
+    """A logistic baseline trained by aggregated gradient steps on all dimensions of the vectors."""
+    x = table(spark, d, "embeddings").select(F.col("embedding").alias("x"), (F.col("label") == 0).cast("double").alias("y"))
+    dim = x.agg(F.max(F.size("x"))).first()[0] or 0
+    return spark.createDataFrame([(i, w) for i, w in enumerate(M.sgd_logistic(x, "x", "y", dim))], "i int, w double")
 
 
 @query("MOD-07", sql="SELECT 'time_zone' AS key, true AS ok UNION ALL SELECT 'adaptive', true")

@@ -1,3 +1,5 @@
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from crossgauge.operators import bootstrap as B
@@ -92,3 +94,16 @@ def test_upsert_stream(spark, tmp_path):
     spark.createDataFrame([("x", 1, "b"), ("x", 2, "c")], schema).write.parquet(src)
     upsert_stream(spark.readStream.schema(schema).parquet(src), path, ["p", "k"], ["p"], f"{tmp_path}/cp").awaitTermination(60)
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, "b"), (2, "c")]
+
+
+def test_logistic_baseline_takes_whole_vectors(spark):
+    from crossgauge.plans import q_io
+    from tests.conftest import SF
+
+    x = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    v, y = np.array(x["embedding"].tolist(), float), (x["label"] == 0).to_numpy(float)
+    v, w = np.hstack([v, np.ones((len(v), 1))]), np.zeros(v.shape[1] + 1)
+    for _ in range(5):
+        w -= 0.5 * v.T @ (1 / (1 + np.exp(-v @ w)) - y) / len(v)
+    got = [r["w"] for r in sorted(q_io.logistic_baseline(spark, SF).collect())]
+    assert np.allclose(got, w)
