@@ -11,14 +11,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Slots of the bounded filter that goes before a join with a part of the documents.
-SLOTS = 1 << 18
+#: Ids that are broadcast to thin out a table of texts before a join: about 0.2 GB as a hash relation at this bound.
+BROADCAST_IDS = 1 << 22
 
 
-def likely(docs: DataFrame, ids: DataFrame, col: str = "doc_id") -> DataFrame:
-    """docs' rows whose id may be among ids: a filter of at most SLOTS broadcast rows that spares an exact join most of its shuffle."""
-    slot = F.pmod(F.xxhash64(col), F.lit(SLOTS)).cast("int").alias("_slot")
-    return docs.withColumn("_slot", slot).join(F.broadcast(ids.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
+def only(docs: DataFrame, ids: DataFrame, n: int, col: str) -> DataFrame:
+    """docs' rows whose col may be among the n ids: exactly those while n ids may be broadcast, all beyond that. An exact join must follow."""
+    return docs.join(F.broadcast(ids.select(col)), col, "left_semi") if n <= BROADCAST_IDS else docs
 
 
 #: Word of the corpus contracts: a maximal run of anything but space and TAB..CR.
@@ -26,14 +25,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-#: Rows that pass to Python at once: a batch of whole texts is then some MB, in the JVM's direct memory and in the worker.
+#: Rows and bytes that pass to Python at once, which bounds the JVM's direct memory and the worker; a longer text goes alone.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower Spark's batch size where it is at its default."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lower Spark's batch sizes where they are larger."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    now = spark.conf.get(size)
+    if now in ("67108864b", "-1") or now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +51,11 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temp folder only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir); a temp folder only where none is set and the session runs in one JVM."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/crossgauge-checkpoints-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -72,7 +78,13 @@ def stash(df: DataFrame, name: str = "stash") -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the shuffles behind a written table are of no more use
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

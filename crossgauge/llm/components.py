@@ -24,17 +24,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 EDGES_A_TASK = 1_000_000
 
 
-def _forest(batches):
-    """Rows (a, b) of a part -> every node with the least node that the part's edges connect it with."""
-    import pyarrow as pa
-
-    parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
-    if not parts:
-        return
-    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-    nodes, where = np.unique(np.concatenate((a, b)), return_inverse=True)
-    a, b = where[: len(a)], where[len(a) :]
-    label = np.arange(len(nodes))
+def least_reachable(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of the nodes 0..n-1 that the edges (a, b) connect each node with."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -43,8 +35,20 @@ def _forest(batches):
         while (jump := new[new]).tobytes() != new.tobytes():
             new = jump
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+def _forest(batches):
+    """Rows (a, b) of a part -> every node with the least node that the part's edges connect it with."""
+    import pyarrow as pa
+
+    parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, where = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label = least_reachable(where[: len(a)], where[len(a) :], len(nodes))
     yield pa.record_batch([pa.array(nodes), pa.array(nodes[label])], names=["a", "b"])
 
 

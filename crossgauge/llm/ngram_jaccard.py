@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import chunks, documents, likely, mix64, stash, string_bytes, words
-from crossgauge.llm.components import connected_components
+from crossgauge.llm.common import CHUNK, chunks, documents, mix64, only, stash, string_bytes, unstash, words
+from crossgauge.llm.components import connected_components, least_reachable
 
 SHINGLE = 5
 NUM, DEN = 80, 100
-#: Classes of a group that are compared in one task; larger groups go as pairs of blocks.
+#: Classes of a group that are compared in one task; larger groups go as pairs of blocks. Their shared tokens are counted in slices of COLUMNS.
 BLOCK = 1024
+COLUMNS = 4096
 POSTINGS_A_BUCKET = 2_000_000
 #: Slots of the sketch that tells heavy tokens, summed in SLICES parts. It only orders tokens: any order gives the same links.
 SKETCH_BITS, SLICES = 19, 16
@@ -80,23 +81,23 @@ def _classes(owner: np.ndarray, token: np.ndarray, size: np.ndarray) -> np.ndarr
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls of every row (slice -1), and every task's token counts by slot of the sketch, in slices."""
+    """doc_id, key (hash of id and text), n_shingles, cls of every row (slice -1), and every task's token counts by slot of the sketch, in slices."""
 
     def run(batches):
         import pyarrow as pa
 
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        names = ["doc_id", "n_shingles", "cls", "slice", "counts"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        names = ["doc_id", "key", "n_shingles", "cls", "slice", "counts"]
         for batch in batches:
-            for i, j in chunks(batch.column(1)):
-                owner, token, size = shingle_sets(*string_bytes(batch.column(1).slice(i, j - i)))
+            for i, j in chunks(batch.column(2)):
+                owner, token, size = shingle_sets(*string_bytes(batch.column(2).slice(i, j - i)))
                 sketch += np.bincount(_slot(token), minlength=len(sketch)).astype(np.uint32)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(_classes(owner, token, size)), pa.array(np.full(j - i, -1, np.int32)), pa.nulls(j - i, pa.binary())], names=names)
-        rows = [(None, None, None, k, part.tobytes()) for k, part in enumerate(np.split(sketch, SLICES)) if part.any()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], names=names)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(_classes(owner, token, size)), pa.array(np.full(j - i, -1, np.int32)), pa.nulls(j - i, pa.binary())], names=names)
+        rows = [(None, None, None, None, k, part.tobytes()) for k, part in enumerate(np.split(sketch, SLICES)) if part.any()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, slice int, counts binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n_shingles long, cls long, slice int, counts binary")
 
 
 def _slot(token: np.ndarray) -> np.ndarray:
@@ -128,57 +129,48 @@ def _ordered(owner: np.ndarray, token: np.ndarray, heavy: np.ndarray) -> np.ndar
     return np.argsort(2 * owner + heavy[_slot(token)], kind="stable")
 
 
-def shared_prefixes(docs: DataFrame, buckets: int, heavy) -> DataFrame:
-    """token, cls, n: order one's prefix tokens that two or more classes have.
+def _packed(token: np.ndarray, owner: np.ndarray, cls: np.ndarray, size: np.ndarray, buckets: int):
+    """Postings as a record batch, a row for each bucket of the tokens: their low bits, their owners, and the owners' classes and sizes."""
+    import pyarrow as pa
 
-    Postings are packed by bucket of the token. heavy: broadcast mask of the sketch.
-    """
+    bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    table = np.stack([cls, size.astype(np.int64)])
+    low = token.astype(np.uint32)
+    rows = []
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        at = order[cut[b] : cut[b + 1]]
+        there, own = np.unique(owner[at], return_inverse=True)
+        rows.append((b, low[at].tobytes(), own.astype(np.uint32 if len(there) > 65535 else np.uint16).tobytes(), np.ascontiguousarray(table[:, there]).tobytes()))
+    return pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["bucket", "tokens", "owners", "table"])
 
-    def emit(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for i, j in chunks(batch.column(0)):
-                owner, token, size = shingle_sets(*string_bytes(batch.column(0).slice(i, j - i)))
-                if not len(token):
-                    continue
-                cls = _classes(owner, token, size)
-                token = token[_ordered(owner, token, heavy.value)]
-                place = np.arange(len(token)) - (np.cumsum(size) - size)[owner]
-                use = place < _prefix(size)[owner]
-                token, owner = token[use], owner[use]
-                bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                table = np.stack([cls, size.astype(np.int64)])
-                low = token.astype(np.uint32)
-                rows = []
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    at = order[cut[b] : cut[b + 1]]
-                    there, own = np.unique(owner[at], return_inverse=True)
-                    rows.append((b, low[at].tobytes(), own.astype(np.uint32).tobytes() if len(there) > 65535 else own.astype(np.uint16).tobytes(), np.ascontiguousarray(table[:, there]).tobytes()))
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["bucket", "tokens", "owners", "table"])
+def _shared(packed: DataFrame, buckets: int) -> DataFrame:
+    """token, cls, n, k of packed postings: the tokens that k >= 2 classes have. A token is known by its bucket and its low 32 bits."""
 
     def gather(batches):
         import pyarrow as pa
 
+        def several(token):
+            same = token[1:] == token[:-1]
+            return np.concatenate(([False], same)) | np.concatenate((same, [False]))
+
         def shared(bucket, parts):
             token, cls, n = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(token, kind="stable")
-            token = token[order]
-            same = token[1:] == token[:-1]
-            twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            token, order = token[twice], order[twice]
-            cls, n = cls[order], n[order]
+            order = order[several(token[order])]
+            token, cls, n = token[order], cls[order], n[order]
             order = np.lexsort((cls, token))
             token, cls, n = token[order], cls[order], n[order]
-            if len(token):
+            if len(token):  # copies of a class's text count once
                 new = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
                 token, cls, n = token[new], cls[new], n[new]
-                same = token[1:] == token[:-1]
-                twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+                twice = several(token)
                 token, cls, n = token[twice], cls[twice], n[twice]
-            return pa.record_batch([pa.array((bucket << 32) + token.astype(np.int64)), pa.array(cls), pa.array(n)], names=["token", "cls", "n"])
+            begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+            count = np.diff(np.append(begin, len(token)))
+            return pa.record_batch([pa.array((bucket << 32) + token.astype(np.int64)), pa.array(cls), pa.array(n), pa.array(np.repeat(count, count))], names=["token", "cls", "n", "k"])
 
         now, parts = None, []
         for batch in batches:
@@ -193,42 +185,82 @@ def shared_prefixes(docs: DataFrame, buckets: int, heavy) -> DataFrame:
         if parts:
             yield shared(now, parts)
 
-    packed = docs.select("text").mapInArrow(emit, "bucket int, tokens binary, owners binary, table binary")
-    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(gather, "token long, cls long, n long")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "token long, cls long, n long, k long")
 
 
-def _links(sets: list[np.ndarray], left: np.ndarray | None) -> list[tuple[int, int]]:
+def shared_prefixes(docs: DataFrame, buckets: int, heavy) -> DataFrame:
+    """token, cls, n, k: order one's prefix tokens that k >= 2 classes have. heavy: broadcast mask of the sketch."""
+
+    def emit(batches):
+        for batch in batches:
+            for i, j in chunks(batch.column(0)):
+                owner, token, size = shingle_sets(*string_bytes(batch.column(0).slice(i, j - i)))
+                if not len(token):
+                    continue
+                cls = _classes(owner, token, size)
+                token = token[_ordered(owner, token, heavy.value)]
+                place = np.arange(len(token)) - (np.cumsum(size) - size)[owner]
+                use = place < _prefix(size)[owner]
+                yield _packed(token[use], owner[use], cls, size, buckets)
+
+    return _shared(docs.select("text").mapInArrow(emit, "bucket int, tokens binary, owners binary, table binary"), buckets)
+
+
+def shared_tokens(held: DataFrame, buckets: int) -> DataFrame:
+    """token, cls, n, k: the tokens of whole sets (cls, n, tokens) that k >= 2 classes have."""
+
+    def emit(batches):
+        for batch in batches:
+            cls, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            stop = np.cumsum(size)
+            i = 0
+            while i < len(size):  # some rows at a time
+                j = max(i + 1, int(np.searchsorted(stop, stop[i] - size[i] + CHUNK // 8, side="right")))
+                token = batch.column(2).slice(i, j - i).flatten().to_numpy().view(np.uint64)
+                yield _packed(token, np.repeat(np.arange(j - i), size[i:j]), cls[i:j], size[i:j], buckets)
+                i = j
+
+    return _shared(held.select("cls", "n", "tokens").mapInArrow(emit, "bucket int, tokens binary, owners binary, table binary"), buckets)
+
+
+def _overlaps(parts: list[np.ndarray]) -> np.ndarray:
+    """How many tokens any two parts share; COLUMNS shared tokens at a time."""
+    k = len(parts)
+    tokens, where, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    row, column = np.repeat(np.arange(k), [len(p) for p in parts]), (np.cumsum(n > 1) - 1)[where]
+    use = n[where] > 1
+    row, column = row[use], column[use]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((k, k), np.int32)
+    for low in range(0, int((n > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        rows, there = np.unique(row[a:b], return_inverse=True)  # parts without any of these tokens are left out
+        x = np.zeros((len(rows), int(column[b - 1]) - low + 1), np.float32)
+        x[there, column[a:b] - low] = 1
+        out[np.ix_(rows, rows)] += (x @ x.T).astype(np.int32)
+    return out
+
+
+def _links(sets: list[np.ndarray], left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with Jaccard >= 0.8; with `left` given (a mask), only pairs of one left and one other."""
     k = len(sets)
     size = np.array([len(s) for s in sets])
-
-    def incidence(parts: list[np.ndarray]) -> np.ndarray:
-        flat = np.concatenate(parts)
-        tokens, where, n = np.unique(flat, return_inverse=True, return_counts=True)
-        use = n[where] > 1
-        column = np.cumsum(n > 1) - 1
-        out = np.zeros((k, int((n > 1).sum())), np.float32)
-        out[np.repeat(np.arange(k), [len(p) for p in parts])[use], column[where[use]]] = 1
-        return out
-
     allowed = (size[:, None] * DEN >= size[None, :] * NUM) & (size[None, :] * DEN >= size[:, None] * NUM)
     if left is not None:
         allowed &= left[:, None] != left[None, :]
     allowed = np.triu(allowed, 1)
-    for order in (sets, [np.sort(mix64(s ^ _SECOND)) for s in sets]):  # candidates share a prefix token under each order
+    for mixed in (False, True):  # candidates share a prefix token under each order
         if not allowed.any():
-            return []
-        x = incidence([s[: _prefix(len(s))] for s in order])
-        allowed &= x @ x.T > 0
+            break
+        allowed &= _overlaps([(np.sort(mix64(s ^ _SECOND)) if mixed else s)[: _prefix(len(s))] for s in sets]) > 0
     i, j = np.nonzero(allowed)
     if len(i) <= 4 * k:
         both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
     else:
-        x = incidence(sets)
-        both = (x @ x.T)[i, j].astype(np.int64)
+        both = _overlaps(sets)[i, j].astype(np.int64)
     hit = DEN * both >= NUM * (size[i] + size[j] - both)
-    return list(zip(i[hit].tolist(), j[hit].tolist(), strict=True))
+    return i[hit], j[hit]
 
 
 def _verify(batches):
@@ -237,24 +269,14 @@ def _verify(batches):
 
     def close(part):
         left = None if part[0][0][1] == part[0][0][2] else np.array([r[0][3] == r[0][1] for r in part])
-        cls = [r[1] for r in part]
-        root = list(range(len(cls)))
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        degree = np.zeros(len(cls), np.int64)
-        for a, b in _links([r[2] for r in part], left):
-            degree[[a, b]] += 1
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-        return [(c, cls[find(x)], int(degree[x])) for x, c in enumerate(cls) if degree[x]]
+        cls = np.array([r[1] for r in part], np.int64)
+        a, b = _links([r[2] for r in part], left)
+        degree = np.bincount(np.concatenate((a, b)), minlength=len(cls))
+        there = np.flatnonzero(degree)
+        return cls[there], cls[least_reachable(a, b, len(cls))][there], degree[there]
 
     def pack(found):
-        cols = list(zip(*found, strict=True)) or [()] * 3
+        cols = [np.concatenate(x) for x in zip(*found, strict=True)] or [()] * 3
         return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["cls", "root", "n_links"])
 
     part: list = []
@@ -264,31 +286,34 @@ def _verify(batches):
         tokens = [lists[r].values.to_numpy().view(np.uint64) for r in range(batch.num_rows)]
         for grp, i, j, blk, cls, own in zip(*(batch.column(c).to_pylist() for c in range(5)), tokens, strict=True):
             if part and part[0][0][:3] != (grp, i, j):
-                found += close(part)
+                found.append(close(part))
                 part = []
             part.append(((grp, i, j, blk), cls, own))  # tokens in order one
         yield pack(found)
     if part:
-        yield pack(close(part))
+        yield pack([close(part)])
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (classes linked with the document's) of every row.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Rows with one doc_id each give a row.
+    Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows and rows with one doc_id
+    each give a row; rows without a doc_id are linked like others, and the id of a component is the least there is.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
     found = stash(summaries(docs), "sets")
-    seen = found.where("slice < 0").select("doc_id", "n_shingles", "cls")
+    seen = found.where("slice < 0").select("doc_id", "key", "n_shingles", "cls")
     heavy = spark.sparkContext.broadcast(heavy_slots(found.where("slice >= 0")))  # 2**SKETCH_BITS flags
-    total = seen.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(0.3 * total) // POSTINGS_A_BUCKET))
-    shared = stash(shared_prefixes(docs, buckets, heavy), "prefixes")
+    parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), seen.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(parts, -(-int(0.3 * total) // POSTINGS_A_BUCKET))
+    classes = stash(seen.where("n_shingles > 0").groupBy("cls").agg(F.min("key").alias("key"), F.min("doc_id").alias("least")), "classes")
+    shared = shared_prefixes(docs, buckets, heavy)
     least = F.expr("n * 8 div 10")  # the smallest set that a set of n can link with, at most
-    enough = shared.groupBy("cls", "n").agg(F.count("*").alias("k")).where(F.col("k") >= 1 + F.floor(least / 10)).select("cls")
-    members = seen.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(enough, "cls", "left_semi")
-    members = stash(members, "members")
+    slack = F.floor(F.col("n") * F.col("n") / F.lit(1 << 32))  # tokens of one huge set that fall together
+    enough = shared.groupBy("cls", "n").agg(F.count("*").alias("c")).where(F.col("c") + slack >= 1 + F.floor(least / 10)).select("cls")
+    members = stash(classes.join(enough, "cls", "left_semi").select(F.col("cls").alias("want"), "key"), "members")
+    n_members = members.count()
 
     def sets(batches):
         import pyarrow as pa
@@ -301,35 +326,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                 at = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(cls), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(token.view(np.int64)))], names=["want", "cls", "n", "tokens"])
 
-    held = members.select(F.col("cls").alias("want"), "doc_id").join(likely(docs, members), "doc_id").select("want", "text")
-    # a row with the same doc_id but another text is not the class's; of equal rows one stays
-    held = held.mapInArrow(sets, "want long, cls long, n long, tokens array<long>").where("want = cls").drop("want")
-    held = stash(held.dropDuplicates(["cls"]), "candidates")
+    held = members.join(only(docs, members, n_members, "key"), "key").select("want", "text")
+    held = stash(held.mapInArrow(sets, "want long, cls long, n long, tokens array<long>").where("want = cls").drop("want"), "candidates")
+    if held.count() > n_members:  # a class's chosen row is there more than once
+        held = stash(held.dropDuplicates(["cls"]), "candidates")
+    buckets = max(parts, -(-(held.agg(F.sum("n")).first()[0] or 0) // POSTINGS_A_BUCKET))
 
-    every = held.select("cls", "n", F.explode("tokens").alias("token"))
-    known = every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    several = every.join(known, "token")
     w = W.partitionBy("cls")
-    several = several.withColumns({"own": F.col("n") - F.count("*").over(w), "place": F.row_number().over(w.orderBy("k", "token"))})
-    core = several.where(F.col("place") + F.col("own") <= F.col("n") - F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}") + 1).select("token", "cls")
+    several = shared_tokens(held, buckets).withColumns({"own": F.col("n") - F.count("*").over(w), "place": F.row_number().over(w.orderBy("k", "token"))})
+    core = several.where(F.col("place") + F.col("own") - F.floor(F.col("n") * F.col("n") / F.lit(1 << 32)) <= F.col("n") - F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}") + 1).select("token", "cls")
     core = stash(core, "core")
     hubs = core.groupBy("token").agg(F.min("cls").alias("b"), F.count("*").alias("k")).where("k > 1")
     edges = core.join(hubs, "token").select(F.col("cls").alias("a"), "b").distinct()
     groups = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = groups.join(sizes, "grp").withColumns({"blk": F.pmod(F.xxhash64("cls"), blocks).cast("int"), "blocks": blocks})
-    parts = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(held.select("cls", "tokens"), "cls")
-    parts = parts.select("grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "tokens")
-    links = parts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls").mapInArrow(_verify, "cls long, root long, n_links long")
+    placed = stash(groups.join(sizes, "grp").withColumns({"blk": F.pmod(F.xxhash64("cls"), blocks).cast("int"), "blocks": blocks}), "groups")
+    unstash(core)
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(held.select("cls", "tokens"), "cls")
+    pairs = pairs.select("grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "tokens")
+    links = pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls").mapInArrow(_verify, "cls long, root long, n_links long")
     links = stash(links, "links")
+    unstash(held)
     linked = connected_components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     degree = links.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
-    labelled = seen.join(linked.select(F.col("node").alias("cls"), "component").join(degree, "cls"), "cls", "left")
-    labelled = labelled.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "cls")))
-    names = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(names, "component", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # names are settled by class, so that only one join sees every document
+    linked = linked.select(F.col("node").alias("cls"), "component").join(degree, "cls").join(classes.select("cls", "least"), "cls")
+    names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = linked.join(names, "component").select("cls", "component_id", "n_links")
+    of_class = classes.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"), "n_links")
+    out = seen.join(of_class, "cls", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
