@@ -20,6 +20,24 @@ def only(docs: DataFrame, ids: DataFrame, n: int, col: str) -> DataFrame:
     return docs.join(F.broadcast(ids.select(col)), col, "left_semi") if n <= BROADCAST_IDS else docs
 
 
+def without(docs: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """docs' rows whose col is not among the ids (a written table of distinct values); the ids are broadcast while they are few enough."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, col, "left_anti")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key() -> Column:
+    """What tells rows apart: a hash of id and text. Only repeated rows share it; null ids and texts have one too."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 #: Word of the corpus contracts: a maximal run of anything but space and TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"

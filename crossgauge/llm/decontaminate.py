@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import chunks, documents, mix64, string_bytes, words
+from crossgauge.llm.common import chunks, documents, fresh, mix64, row_key, stash, string_bytes, without, words
 
 STEP = 64
 BLOCKS = 64
@@ -197,5 +197,12 @@ def contaminated(docs: DataFrame, items: DataFrame, step: int = STEP, index_byte
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_found", "answer_found")])
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs' rows, all columns, that hold no test item. Null and empty texts stay, repeated rows share their fate, ids may be null."""
+    key = fresh(docs, "_key")
+    hits = contaminated(docs.select(row_key().alias("doc_id"), "text"), items).select(F.col("doc_id").alias(key)).distinct()
+    return without(docs.withColumn(key, row_key()), stash(hits, "hits"), key).select(*docs.columns)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

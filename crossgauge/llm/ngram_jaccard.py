@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import CHUNK, chunks, documents, mix64, only, stash, string_bytes, unstash, words
+from crossgauge.llm.common import CHUNK, chunks, documents, fresh, mix64, only, row_key, stash, string_bytes, unstash, without, words
 from crossgauge.llm.components import connected_components, least_reachable
 
 SHINGLE = 5
@@ -294,14 +294,10 @@ def _verify(batches):
         yield pack([close(part)])
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (classes linked with the document's) of every row.
-
-    Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows and rows with one doc_id
-    each give a row; rows without a doc_id are linked like others, and the id of a component is the least there is.
-    """
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n_shingles, component (a class of the document's component; null without shingles), component_id, n_links of every row."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", row_key())
     found = stash(summaries(docs), "sets")
     seen = found.where("slice < 0").select("doc_id", "key", "n_shingles", "cls")
     heavy = spark.sparkContext.broadcast(heavy_slots(found.where("slice >= 0")))  # 2**SKETCH_BITS flags
@@ -353,10 +349,36 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # names are settled by class, so that only one join sees every document
     linked = linked.select(F.col("node").alias("cls"), "component").join(degree, "cls").join(classes.select("cls", "least"), "cls")
     names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = linked.join(names, "component").select("cls", "component_id", "n_links")
-    of_class = classes.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"), "n_links")
+    linked = linked.join(names, "component").select("cls", "component", "component_id", "n_links")
+    of_class = classes.join(linked, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), F.coalesce("component_id", "least").alias("component_id"), "n_links")
     out = seen.join(of_class, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "key", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (classes linked with the document's) of every row.
+
+    Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows and rows with one doc_id
+    each give a row; rows without a doc_id are linked like others, and the id of a component is the least there is.
+    """
+    return _named(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs' rows, all columns, without near duplicates: of every component the row with the least doc_id (null last) stays, once.
+
+    Rows without shingles are linked with nothing and all stay, repeated ones too. Columns may have any names.
+    """
+    named = stash(_named(docs).select("doc_id", "key", "component").where("component is not null"), "named")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    kept = named.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
+    key = fresh(docs, "_key")
+    gone = stash(named.select("key").distinct().join(kept, "key", "left_anti").toDF(key), "gone")
+    twice = stash(named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(kept, "key", "left_semi").select(F.col("key").alias(key)), "twice")
+    rest = without(docs.withColumn(key, row_key()), gone, key)
+    if n := twice.count():  # rows that are there more than once
+        rest = without(rest, twice, key).unionByName(only(rest, twice, n, key).join(twice, key, "left_semi").dropDuplicates([key]))
+    return rest.select(*docs.columns)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

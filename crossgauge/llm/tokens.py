@@ -18,8 +18,8 @@ from crossgauge.llm.common import _SPACE, CHUNK, chunks, prefix_hash, span_hash,
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Slots of a worker's table are 2**SLOT_BITS, 14 bytes each; it also holds KEPT_IDS ids.
-SLOT_BITS = 22
-KEPT_IDS = 16 << 20
+SLOT_BITS = 20
+KEPT_IDS = 4 << 20
 _WHOLE = 0xFFFF  # size of a piece whose text must go whole
 
 _TAIL = np.isin(np.arange(256), list(b".,"))

@@ -339,6 +339,27 @@ def test_whole_licenses_and_wrapped_notices(spark):
     assert sorted((r["doc_id"], r["license_id"], r["scope"], r["n_hits"]) for r in got) == sorted(want)
 
 
+def test_one_of_each_keeps_the_least_of_every_component(spark, docs, empty):
+    base, other = prose(1, 120), prose(2)
+    rows = [(5, base), (3, base), (3, base), (None, base), (9, other), (9, prose(7)), (None, prose(8)), (None, prose(8)), (4, ""), (4, ""), (None, None), (8, base + " tail")]
+    got = ngram_jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in got) == Counter([(3, base), (9, other), (9, prose(7)), (None, prose(8)), (4, ""), (4, ""), (None, None)])
+    clash = docs.withColumn("_key", docs.doc_id * 2)
+    kept = ngram_jaccard.one_of_each(clash)
+    assert kept.columns == clash.columns and all(r["_key"] == 2 * r["doc_id"] for r in kept.collect())
+    assert ngram_jaccard.one_of_each(empty).count() == 0
+
+
+def test_uncontaminated_drops_rows_not_ids(spark, docs, empty):
+    item = prose(50, 40)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, prose(1)), (1, f"x {item} y"), (None, f"{item}"), (None, prose(2)), (2, None), (3, ""), (1, prose(1))]
+    got = decontaminate.uncontaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert Counter(tuple(r) for r in got) == Counter([(1, prose(1)), (1, prose(1)), (None, prose(2)), (2, None), (3, "")])
+    assert decontaminate.uncontaminated(empty, items).count() == 0
+    assert decontaminate.uncontaminated(docs, items.limit(0)).count() == docs.count()
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
