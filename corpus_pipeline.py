@@ -17,29 +17,31 @@ ORACLE_SQL = None
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the model is fitted on a bounded sample of the labelled ones."""
+    """Documents with a language; the model is fitted on a bounded sample of the labelled ones.
+
+    Null and empty texts and those without a letter go, and all if no row has a language; ids, ties and repeated rows
+    play no part.
+    """
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the least id."""
-    kept = ngram_jaccard.jaccard_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """Of every group of near duplicates the document with the least id (null last), once; rows without words all stay."""
+    return ngram_jaccard.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 200-byte strings that occur twice; a document goes if no word is left."""
+    """Texts without the 200-byte strings that occur twice, repeated rows included; a document goes if no word is left or its text is null."""
     return suffix_dedup.without_repeats(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(hits, "doc_id", "left_anti")
+    """Documents that hold no benchmark item; null and empty texts hold none, repeated rows share their fate."""
+    return decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 2048 tokens."""
+    """Training sequences of at most 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset; a null text is one end id."""
     return packing.best_fit_pack(stash(packing.pieces(docs), "pieces"))
 
 
