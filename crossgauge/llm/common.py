@@ -88,13 +88,20 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stash(df: DataFrame, name: str = "stash") -> DataFrame:
+#: Narrow rows (ids, counts) that go into one file of a stash.
+ROWS_A_FILE = 500_000
+
+
+def stash(df: DataFrame, name: str = "stash", rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, a lost executor loses nothing.
 
+    rows: a bound on the rows of a narrow table, from which its last stage gets as many tasks as it needs files.
     Files go when the session's Python process ends.
     """
     spark = df.sparkSession
     small_batches(spark)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the shuffles behind a written table are of no more use
     before = spark.conf.get(clean)

@@ -52,13 +52,13 @@ def _forest(batches):
     yield pa.record_batch([pa.array(nodes), pa.array(nodes[label])], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame, rounds: int = 40, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 40, edges_a_task: int = EDGES_A_TASK, most: int | None = None) -> DataFrame:
     """node, component (its least node) of every node in an edge (a, b); self-loops are nodes of their own.
 
     Every part of at most about edges_a_task edges becomes a forest of stars; several parts' forests are merged by
-    alternating large and small stars, whose edges are written to the shared folder each round.
+    alternating large and small stars, whose edges are written to the shared folder each round. most: a bound on the edges.
     """
-    edges = stash(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges")
+    edges = stash(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges", most)
     parts = max(1, -(-edges.count() // edges_a_task))
     forest = stash(edges.repartition(parts).mapInArrow(_forest, "a long, b long"), "forest")
     if parts == 1:

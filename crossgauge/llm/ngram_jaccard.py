@@ -301,14 +301,15 @@ def _named(docs: DataFrame) -> DataFrame:
     found = stash(summaries(docs), "sets")
     seen = found.where("slice < 0").select("doc_id", "key", "n_shingles", "cls")
     heavy = spark.sparkContext.broadcast(heavy_slots(found.where("slice >= 0")))  # 2**SKETCH_BITS flags
-    parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), seen.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, total = (x or 0 for x in seen.agg(F.count("*"), F.sum("n_shingles")).first())
     buckets = max(parts, -(-int(0.3 * total) // POSTINGS_A_BUCKET))
-    classes = stash(seen.where("n_shingles > 0").groupBy("cls").agg(F.min("key").alias("key"), F.min("doc_id").alias("least")), "classes")
+    classes = stash(seen.where("n_shingles > 0").groupBy("cls").agg(F.min("key").alias("key"), F.min("doc_id").alias("least")), "classes", rows)
     shared = shared_prefixes(docs, buckets, heavy)
     least = F.expr("n * 8 div 10")  # the smallest set that a set of n can link with, at most
     slack = F.floor(F.col("n") * F.col("n") / F.lit(1 << 32))  # tokens of one huge set that fall together
     enough = shared.groupBy("cls", "n").agg(F.count("*").alias("c")).where(F.col("c") + slack >= 1 + F.floor(least / 10)).select("cls")
-    members = stash(classes.join(enough, "cls", "left_semi").select(F.col("cls").alias("want"), "key"), "members")
+    members = stash(classes.join(enough, "cls", "left_semi").select(F.col("cls").alias("want"), "key"), "members", rows)
     n_members = members.count()
 
     def sets(batches):
@@ -334,17 +335,17 @@ def _named(docs: DataFrame) -> DataFrame:
     core = stash(core, "core")
     hubs = core.groupBy("token").agg(F.min("cls").alias("b"), F.count("*").alias("k")).where("k > 1")
     edges = core.join(hubs, "token").select(F.col("cls").alias("a"), "b").distinct()
-    groups = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
+    groups = connected_components(edges, most=core.count()).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = stash(groups.join(sizes, "grp").withColumns({"blk": F.pmod(F.xxhash64("cls"), blocks).cast("int"), "blocks": blocks}), "groups")
+    placed = stash(groups.join(sizes, "grp").withColumns({"blk": F.pmod(F.xxhash64("cls"), blocks).cast("int"), "blocks": blocks}), "groups", n_members)
     unstash(core)
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(held.select("cls", "tokens"), "cls")
     pairs = pairs.select("grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "tokens")
     links = pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls").mapInArrow(_verify, "cls long, root long, n_links long")
     links = stash(links, "links")
     unstash(held)
-    linked = connected_components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    linked = connected_components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")), most=links.count())
     degree = links.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
     # names are settled by class, so that only one join sees every document
     linked = linked.select(F.col("node").alias("cls"), "component").join(degree, "cls").join(classes.select("cls", "least"), "cls")
@@ -370,11 +371,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows without shingles are linked with nothing and all stay, repeated ones too. Columns may have any names.
     """
     named = stash(_named(docs).select("doc_id", "key", "component").where("component is not null"), "named")
+    rows = named.count()
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     kept = named.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))
     key = fresh(docs, "_key")
-    gone = stash(named.select("key").distinct().join(kept, "key", "left_anti").toDF(key), "gone")
-    twice = stash(named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(kept, "key", "left_semi").select(F.col("key").alias(key)), "twice")
+    gone = stash(named.select("key").distinct().join(kept, "key", "left_anti").toDF(key), "gone", rows)
+    twice = stash(named.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(kept, "key", "left_semi").select(F.col("key").alias(key)), "twice", rows)
     rest = without(docs.withColumn(key, row_key()), gone, key)
     if n := twice.count():  # rows that are there more than once
         rest = without(rest, twice, key).unionByName(only(rest, twice, n, key).join(twice, key, "left_semi").dropDuplicates([key]))
