@@ -252,10 +252,35 @@ def test_decontamination(spark, empty):
     assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [*((i, i) for i in range(8)), (30, 6)]
     in_blocks = decontaminate.contaminated(frame, spark.createDataFrame(items, "item_id long, text string"), index_bytes=400)
     assert sorted((r["doc_id"], r["item_id"]) for r in in_blocks.collect()) == [*((i, i) for i in range(8)), (30, 6)]
+    exact = lambda x: sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in x.collect())
+    assert exact(in_blocks) == exact(found)  # scores and thresholds are the whole test set's
+    unnamed = spark.createDataFrame([(None, items[2][1]), (None, items[2][1]), (5, items[5][1])], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame, unnamed).collect()) == [(2, None), (5, 5)]
     assert decontaminate.contaminated(empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontaminate.contaminated(frame, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_block_max_wand_equals_scoring_everything():
+    """Every passage against every segment by the BM25 formula, without an index."""
+    rng = np.random.default_rng(5)
+    common = [np.uint64(x) for x in range(1, 30)]
+    rare = [np.uint64(x) for x in range(1000, 1400)]
+    texts = [" ".join(f"w{int(x)}" for x in rng.choice(np.array(common + rare[: 40 + 3 * i], np.uint64), int(rng.integers(5, 150)))) for i in range(120)]
+    index = decontaminate.Index(list(enumerate(texts)))
+    segments = [h for _, h in decontaminate._segments(texts, decontaminate.STEP)]
+    df, mean = Counter(int(w) for h in segments for w in set(h.tolist())), np.mean([len(h) for h in segments])
+
+    def impacts(h):
+        return {w: np.log(1 + (len(segments) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(h) / mean)) for w, n in Counter(h.tolist()).items()}
+
+    weights = [impacts(h) for h in segments]
+    passages = [np.unique(np.concatenate([segments[i][: int(rng.integers(1, 70))], segments[(7 * i) % len(segments)][:9]])) for i in range(len(segments))]
+    want = sorted(round(x, 6) for p in passages for w in weights if (x := sum(v for k, v in w.items() if k in set(p.tolist()))) >= 0.7 * sum(w.values()))
+    terms = [np.searchsorted(index.terms, p) for p in passages]
+    got = list(index._above(np.concatenate(terms), np.cumsum([0] + [len(t) for t in terms[:-1]])))
+    assert sorted(round(s, 6) for _, _, s in got) == want and len(want) > 50
+
+
 def test_decontamination_finds_every_one_word_edit():
     import pyarrow as pa
 
