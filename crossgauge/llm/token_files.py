@@ -1,8 +1,9 @@
 """Token files in Re-Pair form: per shard the frequent id pairs become nonterminals, again and again; documents stay addressable.
 
-A shard's blob, little-endian: magic "RPR1", then u32 counts of documents, rules and symbols and the first
-nonterminal, then doc ids (i64), ids per document (u32), symbols per document (u32), rules (u32 pairs), ids per rule
-(u32), symbols (u16, or u32 for large vocabularies). No rule spans two documents, so a document is read by
+A shard's blob, little-endian: magic "RPR2", then u32 counts of documents, rules and symbols, the first nonterminal, and
+how many documents have no id (they come first), then doc ids (i64), ids per document (u32), symbols per document
+(u32), ids per rule (u32), and the rules' pairs and the symbols, packed with as many bits as the largest symbol needs.
+No rule spans two documents, so a document is read by
 expanding its own symbols only. Shards are rows of a Parquet table, written by Spark's own committer into the
 shared folder: a lost or repeated task leaves no half-written shard.
 """
@@ -22,77 +23,94 @@ from crossgauge.llm.tokens import TOKENIZER, encoder
 
 END_ID = 0
 SHARD_IDS = 1 << 20
-ROUNDS = 3
-PAIRS_A_ROUND = 256
-#: A pair seen less often in a shard gets no rule.
+#: Pairs replaced between two counts of all pairs; rounds go on until no pair is seen FEWEST times in the shard, where a rule stops paying.
+PAIRS_A_ROUND = 2048
 FEWEST = 8
 _SLOTS = 1 << 18
-MAGIC = b"RPR1"
+MAGIC = b"RPR2"
+_BITS = np.uint64(32)
+_NONE = np.uint64((1 << 64) - 1)  # no pair: its symbols are beyond every rule's
 
 
 def _slots(key: np.ndarray) -> np.ndarray:
-    if key.dtype == np.uint32:
-        return ((key * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.int64)
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
 
 
 def _frequent(key: np.ndarray, slot: np.ndarray, most: int) -> np.ndarray:
-    """The pairs seen most often, exactly counted; hashed counts only rule out slots that can't hold one of them."""
+    """At most `most` of the pairs seen FEWEST times or more, the most frequent ones, exactly counted; hashed counts only rule out slots that can't hold one."""
     heavy = np.bincount(slot, minlength=_SLOTS)
     floor = max(FEWEST, int(np.partition(heavy, -2 * most)[-2 * most]))
     found, n = np.unique(key[(heavy >= floor)[slot]], return_counts=True)
-    top = found[np.lexsort((found, -n))[:most]]
-    return np.sort(top[np.sort(n)[::-1][: len(top)] >= FEWEST])
+    found, n = found[n >= FEWEST], n[n >= FEWEST]
+    found, n = found[found != _NONE], n[found != _NONE]
+    return np.sort(found[np.lexsort((found, -n))[:most]])
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, lengths: np.ndarray, first: int, pairs: int = PAIRS_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols per document, rules): rule r, named first + r, stands for the two symbols rules[r]."""
-    kind, bits = (np.uint32, 16) if first + rounds * pairs < (1 << 16) - 1 else (np.uint64, 32)
-    none = kind((1 << 2 * bits) - 1)  # no pair: its symbols are beyond every rule's
-    seq = ids.astype(kind)
+    seq = ids.astype(np.uint64)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(lengths) - 1] = True
-    rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        key = (seq[:-1] << kind(bits)) | seq[1:]
-        key[last[:-1]] = none
+    known, names = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # the rules' pairs, sorted, and their numbers
+    while len(seq) > 1:
+        key = (seq[:-1] << _BITS) | seq[1:]
+        key[last[:-1]] = _NONE
         slot = _slots(key)
         top = _frequent(key, slot, pairs)
-        top = top[top != none]
         if not len(top):
             break
+        new = top[~np.isin(top, known)]  # a pair that overlaps kept back keeps its rule
+        known = np.concatenate((known, new))
+        names = np.concatenate((names, len(names) + np.arange(len(new))))
+        order = np.argsort(known)
+        known, names = known[order], names[order]
+        name = names[np.searchsorted(known, top)]
         table = np.full(_SLOTS, -1, np.int64)
         table[_slots(top)] = np.arange(len(top))  # of two pairs in a slot one waits for the next round
         at = table[slot]
         where = np.flatnonzero(at >= 0)
         where = where[top[at[where]] == key[where]]
         # of hits that overlap, every other one counts, from the left of each run
-        run = np.concatenate(([True], np.diff(where) > 1)) if len(where) else np.zeros(0, bool)
-        begin = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0)) if len(where) else where
+        run = np.concatenate(([True], np.diff(where) > 1))
+        begin = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
         where = where[(np.arange(len(where)) - begin) % 2 == 0]
-        seq[where] = (first + made + at[where]).astype(kind)
+        seq[where] = (first + name[at[where]]).astype(np.uint64)
         last[where] = last[where + 1]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq, last = seq[keep], last[keep]
-        rules.append(np.stack([top >> kind(bits), top & kind((1 << bits) - 1)], 1).astype(np.uint32))
-        made += len(top)
     ends = np.flatnonzero(last) + 1
-    return seq, np.diff(np.concatenate(([0], ends))), np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    rules = np.zeros((len(known), 2), np.uint32)
+    rules[names] = np.stack([known >> _BITS, known & np.uint64((1 << 32) - 1)], 1)
+    return seq, np.diff(np.concatenate(([0], ends))), rules
+
+
+def _pack(values: np.ndarray, bits: int) -> bytes:
+    """Numbers as so many bits each, one after another."""
+    return np.packbits((values[:, None] >> np.arange(bits, dtype=values.dtype)) & values.dtype.type(1) != 0).tobytes()
 
 
-def encode_shard(doc_ids, ids: np.ndarray, lengths: np.ndarray, first: int) -> bytes:
-    seq, per_doc, rules = compress(ids, lengths, first)
+def _unpack(blob: np.ndarray, begin: int, n: int, bits: int) -> np.ndarray:
+    """n numbers from the begin-th on, of the bytes of _pack."""
+    low, high = begin * bits // 8, -(-(begin + n) * bits // 8)
+    flat = np.unpackbits(blob[low:high])[begin * bits - 8 * low :][: n * bits].reshape(n, bits)
+    out = np.zeros(n, np.int64)
+    for k in range(bits):
+        out |= flat[:, k].astype(np.int64) << k
+    return out
+
+
+def encode_shard(doc_ids, ids: np.ndarray, lengths: np.ndarray, first: int, pairs: int = PAIRS_A_ROUND) -> bytes:
+    """doc_ids: ascending, None first."""
+    seq, per_doc, rules = compress(ids, lengths, first, pairs)
     size = np.ones(first + len(rules), np.uint32)
-    for r, (a, b) in enumerate(rules):
+    for r, (a, b) in enumerate(rules.tolist()):
         size[first + r] = size[a] + size[b]
-    kind = "<u2" if first + len(rules) <= 1 << 16 else "<u4"
+    bits = (first + len(rules) - 1).bit_length()
+    unnamed = sum(x is None for x in doc_ids)
     return b"".join((
-        MAGIC, struct.pack("<4I", len(lengths), len(rules), len(seq), first), np.asarray(doc_ids, "<i8").tobytes(), lengths.astype("<u4").tobytes(),
-        per_doc.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), size[first:].astype("<u4").tobytes(), seq.astype(kind).tobytes(),
+        MAGIC, struct.pack("<5I", len(lengths), len(rules), len(seq), first, unnamed), np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(),
+        lengths.astype("<u4").tobytes(), per_doc.astype("<u4").tobytes(), size[first:].astype("<u4").tobytes(), _pack(rules.ravel(), bits), _pack(seq.astype(np.uint32), bits),
     ))
 
 
@@ -102,8 +120,8 @@ class Shard:
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
             raise ValueError("not a token shard")
-        docs, rules, symbols, self.first = struct.unpack_from("<4I", blob, 4)
-        at = 20
+        docs, rules, self.n_symbols, self.first, unnamed = struct.unpack_from("<5I", blob, 4)
+        at = 24
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -111,38 +129,46 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.lengths, self.per_doc = take("<i8", docs), take("<u4", docs).astype(np.int64), take("<u4", docs).astype(np.int64)
-        self.rules, self.sizes = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules).astype(np.int64)
-        self.seq = take("<u2" if self.first + rules <= 1 << 16 else "<u4", symbols)
-        texts: list[np.ndarray] = []
-        for a, b in self.rules.tolist():
-            texts.append(np.concatenate([texts[x - self.first] if x >= self.first else np.array([x], "<u4") for x in (a, b)]))
-        self.flat = np.concatenate(texts) if texts else np.zeros(0, "<u4")
-        self.base = np.cumsum(self.sizes) - self.sizes
+        ids = take("<i8", docs).tolist()
+        self.doc_ids = [None] * unnamed + ids[unnamed:]
+        self.lengths, self.per_doc = take("<u4", docs).astype(np.int64), take("<u4", docs).astype(np.int64)
+        self.begin = np.cumsum(self.per_doc) - self.per_doc
+        self.sizes = take("<u4", rules).astype(np.int64)
+        self.bits = (self.first + rules - 1).bit_length()
+        self.rules = _unpack(take("u1", -(-2 * rules * self.bits // 8)), 0, 2 * rules, self.bits).reshape(-1, 2)
+        self.packed = take("u1", -(-self.n_symbols * self.bits // 8))
+
+    def symbols(self, begin: int = 0, n: int | None = None) -> np.ndarray:
+        return _unpack(self.packed, begin, self.n_symbols - begin if n is None else n, self.bits)
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for: all rules in them are opened once a round, at places that the expansion lengths give."""
+        total = np.ones(len(seq), np.int64)
         rule = seq >= self.first
-        size = np.ones(len(seq), np.int64)
-        which = seq[rule].astype(np.int64) - self.first
-        size[rule] = self.sizes[which]
-        begin = np.cumsum(size) - size
-        out = np.zeros(int(size.sum()), "<u4")
-        out[begin[~rule]] = seq[~rule]
-        n = self.sizes[which]
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(begin[rule], n) + inner] = self.flat[np.repeat(self.base[which], n) + inner]
-        return out
+        total[rule] = self.sizes[seq[rule] - self.first]
+        out = np.zeros(int(total.sum()), "<u4")
+        place = np.cumsum(total) - total
+        while True:
+            out[place[~rule]] = seq[~rule]
+            if not rule.any():
+                return out
+            seq, place = seq[rule] - self.first, place[rule]
+            left, right = self.rules[seq].T
+            step = np.ones(len(left), np.int64)
+            deep = left >= self.first
+            step[deep] = self.sizes[left[deep] - self.first]
+            seq, place = np.concatenate((left, right)), np.concatenate((place, place + step))
+            rule = seq >= self.first
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document, from its own symbols only."""
-        at = int(self.per_doc[:k].sum())
-        return self.expand(self.seq[at : at + int(self.per_doc[k])])
+        return self.expand(self.symbols(int(self.begin[k]), int(self.per_doc[k])))
 
 
-def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, shard_ids: int = SHARD_IDS, pairs: int = PAIRS_A_ROUND) -> DataFrame:
     """Encode every text, append the end id, write shards in ascending doc_id order; returns the table of shards.
 
-    Null text counts as empty. A shard holds at least one document and is closed once it has shard_ids ids.
+    Null text counts as empty; documents without an id come first. A shard holds at least one document and is closed once it has shard_ids ids.
     """
 
     def run(batches):
@@ -157,7 +183,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, shard_ids: in
         def shut():
             nonlocal n_shard, total, kept
             lengths = np.array([len(x) for x in kept[1]], np.int64)
-            blob = encode_shard([-1 if x is None else x for x in kept[0]], np.concatenate(kept[1]), lengths, first)
+            blob = encode_shard(kept[0], np.concatenate(kept[1]), lengths, first, pairs)
             out = pa.record_batch([pa.array([part], pa.int32()), pa.array([n_shard], pa.int32()), pa.array([int(lengths.sum())]), pa.array([blob], pa.binary())], names=["part", "shard", "n_ids", "blob"])
             n_shard, total, kept = n_shard + 1, 0, ([], [])
             return out
@@ -178,7 +204,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, shard_ids: in
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the shards. A null doc_id is written as -1."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the shards."""
 
     def run(batches):
         import pyarrow as pa
@@ -186,10 +212,10 @@ def read_token_files(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, shard, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 s = Shard(blob)
-                ids, ends = s.expand(s.seq), np.cumsum(s.lengths)
+                ids, ends = s.expand(s.symbols()), np.cumsum(s.lengths)
                 crc = [zlib.crc32(ids[b - n : b].tobytes()) for b, n in zip(ends.tolist(), s.lengths.tolist(), strict=True)]
                 where = [pa.array(np.full(len(ends), x, np.int32)) for x in (part, shard)]
-                yield pa.record_batch([*where, pa.array(s.doc_ids), pa.array(ends - s.lengths), pa.array(s.lengths), pa.array(crc, pa.int64())], names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([*where, pa.array(s.doc_ids, pa.int64()), pa.array(ends - s.lengths), pa.array(s.lengths), pa.array(crc, pa.int64())], names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_base"))

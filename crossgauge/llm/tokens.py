@@ -4,7 +4,8 @@ A byte-level BPE splits a text at every blank that stands before a non-blank, an
 the letter before it, so the ids of a text whose white space is single blanks and single line feeds are those of
 its pieces, one after another. numpy finds the pieces of a batch, looks their 64-bit hashes up in a direct-mapped
 table, and gathers the ids; only pieces that aren't in the table reach the tokenizer. Any other text goes to the
-tokenizer whole. The table saves work and never changes an id: a newer word takes a slot, a full table is emptied.
+tokenizer whole, as does one that holds the literal of an added token. The table saves work: a newer word takes a
+slot, a full table is emptied. Two pieces count as equal by a 64-bit hash of their bytes.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.model, self.symbols = self.tokenizer.model, _byte_symbols()
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.shift = np.uint64(64 - slot_bits)
@@ -123,13 +124,19 @@ class Encoder:
         bad[ends] |= space[ends]
         bad[off[:-1][full]] |= space[off[:-1][full]]
         odd[np.searchsorted(off, np.flatnonzero(bad), side="right") - 1] = True
+        raw = data.tobytes()
+        for literal in self.special:  # a text that holds an added token's literal goes whole
+            at = raw.find(literal)
+            while at >= 0:
+                odd[np.searchsorted(off, at, side="right") - 1] = True
+                at = raw.find(literal, at + 1)
         use = ~odd[doc]
         doc, start, end = doc[use], start[use], end[use]
         if len(start):
             tail = np.where((end - start > 1) & _TAIL[data[end - 1]] & self._letter(data, end - 2), data[end - 1], 0)
             start = start - (start > off[doc])  # with the separator before it
             stem = end - (tail > 0)
-            at, size = self.look_up(span_hash(prefix_hash(data), start, stem), data.tobytes(), start, stem)
+            at, size = self.look_up(span_hash(prefix_hash(data), start, stem), raw, start, stem)
             if (large := size == _WHOLE).any():
                 odd[doc[large]] = True
                 size[large] = 0

@@ -159,11 +159,10 @@ def _tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t
 
 
-@pytest.mark.parametrize("text", ["", "a", " a", "a b\nc", "a\tb  c", "x\n\ny", " \n", "a b c", "it's 's don't, 5.5.", "<|endoftext|> z", "é.. b…. c×. a, é, x., .", "ab,\ncd. ef!!\n*** $$$ gh%%%", "नमस्ते दुनिया. १२", "ʰa b, c", "y" * 5000])
+@pytest.mark.parametrize("text", ["", "a", " a", "a b\nc", "a\tb  c", "x\n\ny", " \n", "a b c", "it's 's don't, 5.5.", "<|endoftext|> z", "a <|endoftext|> b", "a<|endoftext|>b, <|endoftext| >c", "é.. b…. c×. a, é, x., .", "ab,\ncd. ef!!\n*** $$$ gh%%%", "नमस्ते दुनिया. १२", "ʰa b, c", "y" * 5000])
 def test_encoder_equals_the_tokenizer(text):
     from crossgauge.llm.tokens import TOKENIZER, Encoder, tokenizer_path
 
@@ -200,11 +199,48 @@ def test_token_files_round_trip(docs, empty):
     assert token_files.read_token_files(token_files.write_token_files(empty)).count() == 0
 
 
+def test_token_files_keep_rows_without_an_id(spark):
+    rows = [(None, "one two"), (-1, "three"), (None, None), (0, "<|endoftext|> four"), (0, "<|endoftext|> four")]
+    got = token_files.read_token_files(token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter({None: 2, -1: 1, 0: 2})
+    want, tokenizer = Counter(), _tokenizer()
+    for i, t in rows:
+        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        want[(i, len(ids), zlib.crc32(ids.tobytes()))] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 2048])
+def test_repair_goes_on_until_no_pair_is_frequent(pairs):
+    rng = np.random.default_rng(3)
+    phrase = rng.integers(0, 500, 200)
+    ids = np.concatenate([np.tile(phrase, 64), rng.integers(0, 40, 5000), np.zeros(3000, np.int64)]).astype(np.uint16)
+    cut = np.sort(rng.choice(len(ids), 30, replace=False))
+    lengths = np.diff(np.concatenate(([0], cut[cut > 0], [len(ids)])))
+    shard = token_files.Shard(token_files.encode_shard(list(range(len(lengths))), ids, lengths, 500, pairs))
+    assert shard.expand(shard.symbols()).tolist() == ids.tolist()
+    ends = np.cumsum(lengths)
+    assert all(shard.document(k).tolist() == ids[e - n : e].tolist() for k, (e, n) in enumerate(zip(ends, lengths, strict=True)))
+    depth = [0] * 500
+    for a, b in shard.rules.tolist():
+        depth.append(1 + max(depth[a], depth[b]))
+    assert max(depth) > 6 and len({tuple(r) for r in shard.rules.tolist()}) == len(shard.rules)
+    seen = Counter()
+    for k in range(len(lengths)):
+        s, last = shard.symbols(int(shard.begin[k]), int(shard.per_doc[k])).tolist(), None
+        for i, pair in enumerate(zip(s, s[1:], strict=False)):
+            if pair == last and pair[0] == pair[1]:  # of a run of one symbol, every other pair counts
+                last = None
+                continue
+            seen[pair], last = seen[pair] + 1, pair
+    assert max(seen.values()) < token_files.FEWEST
+
+
 def test_repair_rules_do_not_span_documents():
     ids = np.array([5, 6] * 40 + [7], np.uint16)
     blob = token_files.encode_shard([1, 2, 3], ids, np.array([3, 41, 37]), 100)
     shard = token_files.Shard(blob)
-    assert len(shard.rules) and shard.expand(shard.seq).tolist() == ids.tolist()
+    assert len(shard.rules) and shard.expand(shard.symbols()).tolist() == ids.tolist()
     assert [shard.document(k).tolist() for k in range(3)] == [ids[:3].tolist(), ids[3:44].tolist(), ids[44:].tolist()]
 
 
