@@ -14,10 +14,10 @@ from crossgauge.llm.common import GAP, documents, let
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Fixed rules per line.
-ENDS_SENTENCE = r"[.!?:;…。！？।॥][\"'”’»)\]\x20\x09-\x0D]*$"
+STOPS = ".!?:;…。！？।॥"
+CLOSING = "\"'”’»)] \t\n\v\f\r"  # may follow the stop
 #: A line of so many sentences may end without a stop.
 SENTENCE, SENTENCES = "[.!?] ", 3
-TAIL = 8  # characters at a line's end that may hold the sentence's end
 NAVIGATION = r"(?i)^[\x20\x09-\x0D]*(home|menu|login|log in|sign in|sign up|search|next|previous|back to top|skip to content|read more|share|contact us|about us)\b.{0,40}$"
 BOILERPLATE = (
     "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript", "lorem ipsum",
@@ -40,12 +40,13 @@ def line_passes(line: Column, symbols_in_text: Column | None = None, boilerplate
     The two optional columns say whether the whole text has any; they only spare work.
     """
     n = F.length(line)
+    last = F.right(F.rtrim(line, F.lit(CLOSING)), F.lit(1))
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
     bars = F.regexp_count(line, F.lit(r"\|"))
     symbolic = (bars > MAX_BARS) | (symbols > MAX_SYMBOL_SHARE * n)
     boiler = _boilerplate(line)
     return (
-        (F.substring(line, -TAIL, TAIL).rlike(ENDS_SENTENCE) | (F.regexp_count(line, F.lit(SENTENCE)) >= SENTENCES))
+        ((last != "") & F.contains(F.lit(STOPS), last) | (F.regexp_count(line, F.lit(SENTENCE)) >= SENTENCES))
         & ~(symbolic if symbols_in_text is None else F.when(symbols_in_text, symbolic).otherwise(False))
         & ~(~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (n >= MIN_SHOUT))
         & ~line.rlike(NAVIGATION)
@@ -168,7 +169,7 @@ cov AS (SELECT doc_id, count(DISTINCT i + o) AS again FROM rep, (VALUES (0), (1)
 l AS (SELECT doc_id, x, length(regexp_replace(x, '{_SQL_SPACES}', '', 'g')) AS c
       FROM (SELECT doc_id, unnest(lines) AS x FROM w)),
 good AS (SELECT doc_id, sum(c) AS c FROM l
-  WHERE (len(regexp_extract_all(x, '{SENTENCE}')) >= {SENTENCES} OR regexp_matches(right(x, {TAIL}), '[.!?:;\x{{2026}}\x{{3002}}\x{{FF01}}\x{{FF1F}}\x{{0964}}\x{{0965}}]["''\x{{201D}}\x{{2019}}\x{{00BB}})\] \t\n\v\f\r]*$'))
+  WHERE (len(regexp_extract_all(x, '{SENTENCE}')) >= {SENTENCES} OR regexp_matches(x, '[.!?:;\x{{2026}}\x{{3002}}\x{{FF01}}\x{{FF1F}}\x{{0964}}\x{{0965}}]["''\x{{201D}}\x{{2019}}\x{{00BB}})\] \t\n\v\f\r]*$'))
     AND length(x) - length(replace(x, '|', '')) <= {MAX_BARS}
     AND length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) <= {MAX_SYMBOL_SHARE} * length(x)
     AND NOT (NOT regexp_matches(x, '\p{{Ll}}') AND regexp_matches(x, '\p{{Lu}}') AND length(x) >= {MIN_SHOUT})
