@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import documents, stash
+from crossgauge.llm.common import documents, fresh, stash
 
 #: Hex digits of the key added per round; the key has 32: 16 of the group's hash, then 16 of the row's.
 STEP = 2
 LONGEST = 32
 BEYOND = "g"  # sorts after every key
+#: Rows of a shard that are numbered together; one row of the broadcast table of offsets stands for so many.
+ROWS_A_CELL = 100_000
 
 
 def _after(cell: str) -> str:
@@ -65,26 +67,26 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float) -> list[str]:
     return [done[k] for k in sorted(done)]
 
 
-def histogram_shard(df: DataFrame, group: Column, row: Column, size: Column, shards: int = 40, tolerance: float = 0.002, salts: int = 16) -> DataFrame:
-    """df's rows with shard (int, sizes near equal) and slot (long, gapless from 0 in each shard).
+def histogram_shard(df: DataFrame, group: Column, row: Column, size: Column, shards: int = 40, tolerance: float = 0.002, rows_a_cell: int = ROWS_A_CELL) -> DataFrame:
+    """df's rows with shard (int, sizes near equal) and slot (long, gapless from 0 in each shard); df's own columns of these names give way.
 
-    group: rows that should stand together; row: tells rows apart; size: bytes (null: 0).
-    Equal (group, row) pairs may part. An empty table gives an empty frame.
+    group: rows that should stand together; row: tells rows apart; size: bytes (null: 0). df is read several times: pass a
+    stored table. Equal (group, row) pairs may part, nulls are values like others. An empty table gives an empty frame.
     """
+    h1, h2, width, key, cell, n, base, rank = (fresh(df, f"_{x}") for x in ("h1", "h2", "size", "key", "cell", "n", "base", "rank"))
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    keyed = df.withColumns({"_h1": F.xxhash64(group), "_h2": F.xxhash64(row, group, F.lit(7)), "_size": F.coalesce(size, F.lit(0)).cast("long")})
-    keyed = keyed.withColumn("_key", F.concat(hexed(F.col("_h1")), hexed(F.col("_h2"))))
-    cuts = splitters(keyed, shards, tolerance)
-    reached = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("_key") >= c)) if cuts else F.lit(0)
-    # slots: rows are numbered inside fine sub-ranges of a shard; the sub-ranges' offsets come from one bounded table
-    dealt = keyed.withColumns({"shard": reached.cast("int"), "_part": F.substring("_key", 1, 2), "_salt": F.pmod(F.col("_h2"), F.lit(salts)).cast("int")})
-    cell = ["shard", "_part", "_salt"]
-    offsets = dealt.groupBy(*cell).agg(F.count("*").alias("_n"))
-    offsets = offsets.withColumn("_base", F.sum("_n").over(W.partitionBy("shard").orderBy("_part", "_salt").rowsBetween(W.unboundedPreceding, -1)))
-    offsets = offsets.select(*cell, F.coalesce("_base", F.lit(0)).alias("_base"))  # at most (shards + 256) * salts rows
-    placed = dealt.withColumn("_rank", F.row_number().over(W.partitionBy(*cell).orderBy("_key")) - 1)
-    out = placed.join(F.broadcast(offsets), cell)
-    return out.select(*df.columns, "shard", (F.col("_base") + F.col("_rank")).cast("long").alias("slot"))
+    keyed = df.withColumns({h1: F.xxhash64(group), h2: F.xxhash64(row, group, F.lit(7)), width: F.coalesce(size, F.lit(0)).cast("long")})
+    keyed = keyed.withColumn(key, F.concat(hexed(F.col(h1)), hexed(F.col(h2))))
+    cuts = splitters(keyed.select(F.col(width).alias("_size"), F.col(key).alias("_key")), shards, tolerance)
+    reached = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(key) >= c)) if cuts else F.lit(0)
+    # slots: rows are numbered inside cells of a shard, dealt by the row's own hash so that a hot group falls into many; one table has the cells' offsets
+    cells = max(1, -(-df.count() // (shards * rows_a_cell)))
+    dealt = keyed.drop("shard", "slot").withColumns({"shard": reached.cast("int"), cell: F.pmod(F.col(h2), F.lit(cells)).cast("int")})
+    offsets = dealt.groupBy("shard", cell).agg(F.count("*").alias(n))
+    offsets = offsets.withColumn(base, F.coalesce(F.sum(n).over(W.partitionBy("shard").orderBy(cell).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed = dealt.withColumn(rank, F.row_number().over(W.partitionBy("shard", cell).orderBy(key)) - 1)
+    out = placed.join(F.broadcast(offsets.select("shard", cell, base)), ["shard", cell])  # about shards * cells rows
+    return out.select(*[c for c in df.columns if c not in ("shard", "slot")], "shard", (F.col(base) + F.col(rank)).cast("long").alias("slot"))
 
 
 def op8_histogram_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
