@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crossgauge.llm.common import _LOWER, chunks, documents, held_out, string_bytes
@@ -19,11 +20,14 @@ from crossgauge.llm.common import _LOWER, chunks, documents, held_out, string_by
 UNDETERMINED = "und"
 #: N-grams outside the landmarks only count for |G(x)|, through so many hash slots.
 OTHER = 4096
-#: Bounds of the fitted sample: labelled texts, their longest size in bytes, landmarks per language.
+#: Bounds of the fitted sample: labelled texts, shared evenly by the languages, their longest size in bytes (so at most 200 MB reach
+#: the driver), landmarks per language.
 SAMPLE = 3000
-LONGEST = 1 << 20
+LONGEST = 1 << 16
 LANDMARKS = 40
 RIDGE = 1e-2
+#: Texts times columns of a dense presence matrix.
+CELLS = 1 << 23
 #: A document whose best score is lower is rejected by the pipeline.
 MIN_SCORE = 0.3
 #: So is one of whose byte 3-grams without digits, by occurrences, a smaller part occurs in the landmarks: a score near 0.5 only says
@@ -108,23 +112,35 @@ class Kernel:
         return np.where(np.diff(off) < 3, 1.0, hit / np.maximum(n, 1))
 
     def kernel(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        seen, size = self.presence(data, off)
-        return (seen @ self.marks) / np.sqrt(np.maximum(size, 1))[:, None].astype(np.float32)
+        out = np.zeros((len(off) - 1, self.marks.shape[1]), np.float32)
+        step = max(1, CELLS // (self.width + OTHER))
+        for i in range(0, len(out), step):  # some texts at a time: a batch of short ones would make a wide matrix
+            cut = off[i : i + step + 1]
+            seen, size = self.presence(data[cut[0] : cut[-1]], cut - cut[0])
+            out[i : i + step] = (seen @ self.marks) / np.sqrt(np.maximum(size, 1))[:, None].astype(np.float32)
+        return out
 
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         return self.kernel(data, off) @ self.weights
 
 
 def training_sample(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> list[tuple[str, str]]:
-    """At most `sample` (text, lang) rows that aren't held out, chosen by a hash of the id; bounded in rows and bytes."""
-    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-    usable = usable.where(F.coalesce(~held_out(), F.lit(False)))
-    total = docs.where(F.col("lang").isNotNull()).count()
-    share = min(1.0, sample / max(1, total)) * (1 << 30)
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    rows = usable.where(order < math.ceil(share)).select(order.alias("o"), "text", "lang").toLocalIterator()
-    kept = sorted(rows, key=lambda r: (r["o"], r["text"]))[:sample]
-    return [(r["text"], r["lang"]) for r in kept]
+    """At most `sample` (text, lang) rows that aren't held out, chosen by a hash of the id; bounded in rows and bytes.
+
+    Every language gets an equal part, the `sample` most frequent ones if there are more. Of rows with one id and
+    language the one with the least text counts; held-out rows, null ids, null languages and empty texts are left out.
+    """
+    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.octet_length("text").between(1, longest)) & F.coalesce(~held_out(), F.lit(False)))
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()
+    if not counts:
+        return []
+    each = sample // len(counts)
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("o")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], math.ceil(min(1.0, 1.5 * each / r["count"]) * (1 << 30))) for r in counts], "lang string, share long")
+    few = usable.select("doc_id", order, "text", "lang").join(F.broadcast(shares), "lang").where("o < share")  # at most `sample` languages
+    few = few.groupBy("lang", "o", "doc_id").agg(F.min("text").alias("text"))
+    ranked = few.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("o", "doc_id"))).where(F.col("k") <= each)
+    return [(r["text"], r["lang"]) for r in ranked.orderBy("o", "lang", "doc_id").select("text", "lang").toLocalIterator()]
 
 
 def identify(docs: DataFrame, kernel: Kernel | None) -> DataFrame:
