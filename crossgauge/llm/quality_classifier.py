@@ -24,7 +24,7 @@ EPOCHS = 5
 RATE = 0.5
 #: Bounds of the fitted sample: labelled texts and their longest size in bytes.
 SAMPLE = 4000
-LONGEST = 1 << 18
+LONGEST = 1 << 16
 THRESHOLD = 0.3
 
 
@@ -91,16 +91,18 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> list[tuple[bytes, int]]:
-    """At most `sample` (text, label) rows that aren't held out, chosen by a hash of the id; labels are cut first, so the join is small."""
+    """At most `sample` (text, label) rows that aren't held out, chosen by a hash of the id; labels are cut first, so the join is small.
+
+    An id with both labels counts as 1; of rows with one id the one with the least text counts; null ids, null texts and
+    texts beyond `longest` bytes are left out.
+    """
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.coalesce(~held_out(), F.lit(False)))
-    share = min(1.0, sample / max(1, marked.count())) * (1 << 30)
+    share = min(1.0, 1.5 * sample / max(1, marked.count())) * (1 << 30)
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    few = marked.withColumn("o", order).where(F.col("o") < math.ceil(share)).groupBy("doc_id", "o").agg(F.max("label").alias("label"))
-    if few.limit(2 * sample).count() >= 2 * sample:
-        raise ValueError("the sample is not bounded")
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-    rows = sorted(texts.join(F.broadcast(few), "doc_id").select("o", "text", "label").toLocalIterator(), key=lambda r: (r["o"], r["text"]))
-    return [(r["text"].encode(), r["label"]) for r in rows[:sample]]
+    few = marked.withColumn("o", order).where(F.col("o") < math.ceil(share)).groupBy("doc_id", "o").agg(F.max("label").alias("label")).orderBy("o", "doc_id").limit(sample)
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= longest)
+    rows = texts.join(F.broadcast(few), "doc_id").groupBy("o", "doc_id", "label").agg(F.min("text").alias("text"))  # at most `sample` ids
+    return [(r["text"].encode(), r["label"]) for r in rows.orderBy("o", "doc_id").toLocalIterator()]
 
 
 def score(docs: DataFrame, table: np.ndarray, bias: float, threshold: float = THRESHOLD) -> DataFrame:
