@@ -10,9 +10,11 @@ equal anchors at equal places. Only anchored suffixes are sorted. The work goes
    array), a stack scan of their common prefixes gives the interval tree, and inside every interval the members are
    ordered by what stands before them; runs that agree for 200 bytes in all are maximal repeats, kept with all their
    occurrences, whose left extensions differ (or end).
-3. what the repeats cover is cut from the documents.
+3. an anchor with more than HOT classes (a passage that a large part of the documents hold, each with other text around)
+   is not compared in one task: its suffixes are cut into all their 200-byte windows, which are counted by hash.
+4. what the repeats cover is cut from the documents.
 
-Python holds one document batch or the contexts of one anchor (350 bytes each) at a time.
+Python holds one document batch or the contexts of one anchor (at most HOT of 350 bytes) at a time.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import chunks, documents, mix64, prefix_hash, span_hash, stash, string_bytes
+from crossgauge.llm.common import chunks, documents, mix64, prefix_hash, span_hash, stash, string_bytes, without
 
 LENGTH = 200
 GRAM = 50
 POSTINGS_A_BUCKET = 1_000_000
+#: Distinct contexts of one anchor that are compared in one task.
+HOT = 4096
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -217,33 +221,74 @@ def _scan(batches):
         yield pack(close(part))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def _contexts(batches):
+    """Rows (doc_id, key, asked, text): the text around every anchor that is asked for."""
+    import pyarrow as pa
+
+    done = None
+    for batch in batches:
+        for row in range(batch.num_rows):  # one document's contexts at a time
+            if (now := (batch.column(0)[row], batch.column(1)[row])) == done:  # the same row again
+                continue
+            done = now
+            text = (batch.column(3)[row].as_py() or "").encode()
+            a = batch.column(2)[row].values
+            place, before, after = (a.field(k).to_numpy() for k in range(3))
+            ctx = [text[p - b : p + f] for p, b, f in zip(place.tolist(), before.tolist(), after.tolist(), strict=True)]
+            same = [pa.array([batch.column(c)[row].as_py()] * len(place), pa.int64()) for c in range(2)]
+            yield pa.record_batch([a.field(3), *same, a.field(0), a.field(1), pa.array(ctx, pa.binary())], names=["gram", "doc_id", "key", "place", "before", "context"])
+
+
+def _windows(batches):
+    """The same rows: every window of LENGTH bytes that holds an asked anchor's gram, as a hash and the places from and to."""
+    import pyarrow as pa
+
+    done = None
+    for batch in batches:
+        for row in range(batch.num_rows):
+            if (now := (batch.column(0)[row], batch.column(1)[row])) == done:
+                continue
+            done = now
+            sums = prefix_hash(np.frombuffer((batch.column(3)[row].as_py() or "").encode(), np.uint8))
+            a = batch.column(2)[row].values
+            place, before, after = (a.field(k).to_numpy().astype(np.int64) for k in range(3))
+            first, n = place - before, np.maximum(0, before + np.minimum(after, LENGTH) - LENGTH + 1)
+            which = np.repeat(np.arange(len(n)), n)
+            start = first[which] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            h = span_hash(sums, start, start + LENGTH)
+            same = [pa.array([batch.column(c)[row].as_py()] * len(start), pa.int64()) for c in range(2)]
+            yield pa.record_batch([a.field(3).take(pa.array(which)), pa.array(h.view(np.int64)), *same, pa.array(place[which].astype(np.int32)), pa.array(start.astype(np.int32))], names=["gram", "window", "doc_id", "key", "place", "start"])
+
+
+def _asked(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, key, asked places, text of the documents that have any."""
+    asked = places.groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "before", "after", "gram")).alias("asked"))
+    return asked.join(docs, ["key"]).where(asked.doc_id.eqNullSafe(docs.doc_id)).select(asked.doc_id, "key", "asked", "text")
+
+
+def repeated_spans(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """doc_id, key, start, stop: byte spans of documents (by id and hash of the text) that repeated 200-byte strings cover; they overlap."""
-    spark = docs.sparkSession
+    spark, hot = docs.sparkSession, hot or HOT
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     postings = int(size * 2 / (LENGTH - GRAM + 2))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // POSTINGS_A_BUCKET))
     found = stash(_postings(docs, buckets), "anchors")
     spans = found.where(F.col("kind").isin(1, 3)).where(f"before + after >= {LENGTH}").select("doc_id", "key", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("stop"))
-    asked = found.where("kind >= 2").groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "before", "after", "gram")).alias("asked"))
-
-    def cut(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for row in range(batch.num_rows):  # one document's contexts at a time
-                text = (batch.column(3)[row].as_py() or "").encode()
-                a = batch.column(2)[row].values
-                place, before, after = (a.field(k).to_numpy() for k in range(3))
-                n = len(place)
-                ctx = [text[p - b : p + f] for p, b, f in zip(place.tolist(), before.tolist(), after.tolist(), strict=True)]
-                same = [pa.array([batch.column(c)[row].as_py()] * n, pa.int64()) for c in range(2)]
-                yield pa.record_batch([a.field(3), *same, a.field(0), a.field(1), pa.array(ctx, pa.binary())], names=["gram", "doc_id", "key", "place", "before", "context"])
-
-    held = asked.join(docs, ["key"]).where(asked.doc_id.eqNullSafe(docs.doc_id)).select(asked.doc_id, "key", "asked", "text")
-    contexts = held.mapInArrow(cut, "gram long, doc_id long, key long, place int, before int, context binary")
+    several = found.where("kind >= 2")
+    total = several.count()
+    grams = stash(several.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram"), "hot", total // hot)  # at most total / hot rows
+    cold = without(several, grams, "gram")
+    contexts = _asked(cold, docs).mapInArrow(_contexts, "gram long, doc_id long, key long, place int, before int, context binary")
     tree = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan, "doc_id long, key long, start int, stop int")
-    return spans.union(tree)
+    spans = spans.union(tree)
+    if grams.count():
+        heat = several.join(grams, "gram", "left_semi")
+        windows = _asked(heat, docs).mapInArrow(_windows, "gram long, window long, doc_id long, key long, place int, start int")
+        windows = stash(windows, "windows")
+        twice = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
+        covered = windows.join(twice, ["gram", "window"], "left_semi").groupBy("doc_id", "key", "place").agg(F.min("start").alias("start"), (F.max("start") + LENGTH).alias("stop"))
+        spans = spans.union(covered.select("doc_id", "key", "start", "stop"))
+    return spans
 
 
 def _kept(data: bytes, spans) -> tuple[bytes, int]:
