@@ -168,6 +168,10 @@ def _raw(words: list[str], last: list[bool], n: int) -> int:
     return n
 
 
+#: Known digests that are broadcast; a larger table is joined by exchange.
+KNOWN_ROWS = 1 << 20
+
+
 def license_scan(docs: DataFrame, known: DataFrame, longest: int | None = None, stem: str | tuple[str, ...] | None = None, known_lines: dict | None = None) -> DataFrame:
     """doc_id, license_id, family, scope ('text', 'lines' or 'line'), n_hits: every known licence that a document holds as a whole text, a run of lines or a line.
 
@@ -196,7 +200,8 @@ def license_scan(docs: DataFrame, known: DataFrame, longest: int | None = None,
     units = units.withColumn("canon", canonical(F.col("unit"))).where(F.col("canon") != "")
     if longest is not None:
         units = units.where(F.length("canon") <= longest)
-    hits = units.withColumn("digest", F.sha2("canon", 256)).join(F.broadcast(known), "digest")
+    few = known.count() <= KNOWN_ROWS
+    hits = units.withColumn("digest", F.sha2("canon", 256)).join(F.broadcast(known) if few else known, "digest")
     table = known_runs() if known_lines is None else known_lines
 
     def in_runs(batches):
