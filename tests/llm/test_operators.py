@@ -38,7 +38,9 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_suffix_dedup_equals_brute_force(docs, empty):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_suffix_dedup_equals_brute_force(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # with 1 every anchor of several contexts goes by windows
     got = {r["doc_id"]: r for r in suffix_dedup.dedup_spans(docs).collect()}
     data = {r[0]: (r[1] or "").encode() for r in corpus()}
     seen = Counter(b[k : k + 200] for b in data.values() for k in range(len(b) - 199))
@@ -54,6 +56,25 @@ def test_suffix_dedup_equals_brute_force(docs, empty):
     assert suffix_dedup.without_repeats(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 20])
+def test_one_passage_in_many_texts_and_many_equal_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    passage = prose(77, 45)
+    texts = [prose(2000 + i, 25) + passage + prose(4000 + i, 25) for i in range(60)] + [prose(5000 + i, 25) + passage[: 230 + i] + prose(6000 + i, 25) for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500, prose(9, 60))] * 300 + [(None, prose(8, 60)), (None, prose(8, 60)), (None, prose(7, 60))]
+    got = suffix_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    data = [(t or "").encode() for _, t in rows]
+    seen = Counter(b[k : k + 200] for b in data for k in range(len(b) - 199))
+    want = Counter()
+    for (i, _), b in zip(rows, data, strict=True):
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        want[(i, len(b), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == want
+
+
 def test_maximal_repeats_report_all_occurrences():
     tail = b"r" * 200
     groups = list(suffix_dedup.maximal_repeats([(b"abc", tail), (b"abd", tail), (b"xyz", tail)]))
@@ -351,7 +372,14 @@ def test_histogram_sort_shards(spark, docs, empty):
     assert set(sizes) == set(range(8)) and max(abs(v - mean) for v in sizes.values()) <= 0.01 * mean + 70
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert histogram_shard.histogram_shard(empty, F.col("text"), F.col("doc_id"), F.col("n_chars")).count() == 0
-    assert histogram_shard.histogram_shard(docs.drop("shard"), F.col("text"), F.col("doc_id"), F.col("n_chars"), shards=3).count() == 15
+    for cell in (2, 10**6):  # clashing names; one text in most rows
+        clash = docs.withColumns({"_h1": F.lit(1), "_key": F.lit("k"), "slot": F.lit(9), "_size": F.lit(0), "_cell": F.lit(3)})
+        out = histogram_shard.histogram_shard(clash, F.lit("one"), F.col("doc_id"), F.col("doc_id"), shards=3, rows_a_cell=cell)
+        assert sorted(out.columns) == sorted(clash.columns)
+        slots = defaultdict(list)
+        for r in out.collect():
+            slots[r["shard"]].append(r["slot"])
+        assert sum(map(len, slots.values())) == 15 and all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
 def test_line_rules(spark, docs, empty):
@@ -361,6 +389,9 @@ def test_line_rules(spark, docs, empty):
     rows = [(0, clean), (1, menu), (2, twice), (3, None), (4, "a\na\n\n b"), (5, clean + "\nBuy cookies: accept our cookie policy.")]
     got = {r["doc_id"]: r for r in line_quality.line_first_clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i]["kept"] for i in range(6)] == [True, False, False, False, False, True]
+    far = "\n".join(x + " " * 20 + '”)' * 6 for x in clean.split("\n"))  # the stop is far from the line's end
+    r = line_quality.line_first_clean(spark.createDataFrame([(7, far), (8, far.replace(".", ""))], "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["kept"]) for x in r) == [(7, True), (8, False)]
     assert got[2]["n_repeat_words"] == 120 and got[2]["base_failed"]
     assert (got[4]["n_dup_lines"], got[4]["n_words"], got[3]["n_words"]) == (1, 3, 0)
     assert got[5]["clean_text"] == clean
