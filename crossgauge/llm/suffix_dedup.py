@@ -25,13 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import chunks, documents, mix64, prefix_hash, span_hash, stash, string_bytes, without
+from crossgauge.llm.common import BROADCAST_IDS, chunks, documents, mix64, only, prefix_hash, span_hash, stash, string_bytes, without
 
 LENGTH = 200
 GRAM = 50
 POSTINGS_A_BUCKET = 1_000_000
 #: Distinct contexts of one anchor that are compared in one task.
-HOT = 4096
+HOT = 8192
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -240,13 +240,11 @@ def _contexts(batches):
 
 
 def _windows(batches):
-    """The same rows: every window of LENGTH bytes that holds an asked anchor's gram, as a hash and the places from and to."""
-    import pyarrow as pa
-
+    """For each of the same rows: its ids, its anchors' places, and every window of LENGTH bytes that holds an anchor's gram: which anchor, a hash, a place."""
     done = None
     for batch in batches:
         for row in range(batch.num_rows):
-            if (now := (batch.column(0)[row], batch.column(1)[row])) == done:
+            if (now := (batch.column(0)[row], batch.column(1)[row])) == done:  # the same row again
                 continue
             done = now
             sums = prefix_hash(np.frombuffer((batch.column(3)[row].as_py() or "").encode(), np.uint8))
@@ -255,9 +253,17 @@ def _windows(batches):
             first, n = place - before, np.maximum(0, before + np.minimum(after, LENGTH) - LENGTH + 1)
             which = np.repeat(np.arange(len(n)), n)
             start = first[which] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            h = span_hash(sums, start, start + LENGTH)
-            same = [pa.array([batch.column(c)[row].as_py()] * len(start), pa.int64()) for c in range(2)]
-            yield pa.record_batch([a.field(3).take(pa.array(which)), pa.array(h.view(np.int64)), *same, pa.array(place[which].astype(np.int32)), pa.array(start.astype(np.int32))], names=["gram", "window", "doc_id", "key", "place", "start"])
+            gram = a.field(3).to_numpy().view(np.uint64)
+            yield now[0].as_py(), now[1].as_py(), which, span_hash(sums, start, start + LENGTH) ^ mix64(gram)[which], start
+
+
+def _count_windows(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [h for *_, h, _ in _windows([batch])]
+        h, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+        yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["window", "n"])
 
 
 def _asked(places: DataFrame, docs: DataFrame) -> DataFrame:
@@ -266,6 +272,36 @@ def _asked(places: DataFrame, docs: DataFrame) -> DataFrame:
     return asked.join(docs, ["key"]).where(asked.doc_id.eqNullSafe(docs.doc_id)).select(asked.doc_id, "key", "asked", "text")
 
 
+def _hot_spans(asked: DataFrame) -> DataFrame:
+    """doc_id, key, start, stop covered by the windows of the asked anchors that occur twice, known by 64 bits of window and gram.
+
+    All windows of an anchor hold it, so what they cover is one span.
+    """
+    twice = asked.mapInArrow(_count_windows, "window long, n long").groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
+    twice = stash(twice, "windows")
+    if twice.count() <= BROADCAST_IDS:
+        held = asked.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in twice.toLocalIterator()], np.int64).view(np.uint64)))
+    else:
+        held = None
+
+    def cover(batches):
+        import pyarrow as pa
+
+        known = None if held is None else held.value
+        for doc_id, key, which, h, start in _windows(batches):
+            if known is not None:
+                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                use = known[at] == h if len(known) else np.zeros(len(h), bool)
+                which, h, start = which[use], h[use], start[use]
+            cols = [pa.array([doc_id] * len(h), pa.int64()), pa.array([key] * len(h), pa.int64()), pa.array(which.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(start.astype(np.int32))]
+            yield pa.record_batch(cols, names=["doc_id", "key", "which", "window", "start"])
+
+    rows = asked.mapInArrow(cover, "doc_id long, key long, which int, window long, start int")
+    if held is None:
+        rows = rows.join(twice, "window", "left_semi")
+    return rows.groupBy("doc_id", "key", "which").agg(F.min("start").alias("start"), (F.max("start") + LENGTH).alias("stop")).select("doc_id", "key", "start", "stop")
+
+
 def repeated_spans(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """doc_id, key, start, stop: byte spans of documents (by id and hash of the text) that repeated 200-byte strings cover; they overlap."""
     spark, hot = docs.sparkSession, hot or HOT
@@ -283,11 +319,9 @@ def repeated_spans(docs: DataFrame, hot: int | None = None) -> DataFrame:
     spans = spans.union(tree)
     if grams.count():
         heat = several.join(grams, "gram", "left_semi")
-        windows = _asked(heat, docs).mapInArrow(_windows, "gram long, window long, doc_id long, key long, place int, start int")
-        windows = stash(windows, "windows")
-        twice = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
-        covered = windows.join(twice, ["gram", "window"], "left_semi").groupBy("doc_id", "key", "place").agg(F.min("start").alias("start"), (F.max("start") + LENGTH).alias("stop"))
-        spans = spans.union(covered.select("doc_id", "key", "start", "stop"))
+        keys = stash(heat.select("key").distinct(), "keys", total)
+        asked = stash(_asked(heat, only(docs, keys, keys.count(), "key")), "asked")
+        spans = spans.union(_hot_spans(asked))
     return spans
 
 
