@@ -212,8 +212,8 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return span_hash(prefix_hash(_LOWER[data]), start, end), doc, start, end
 
 
-#: Bytes of text that the numpy steps take at once: their arrays stay in cache and are reused.
-CHUNK = 2 << 20
+#: Bytes of text that the numpy steps take at once: their arrays (8 bytes a byte, some of them) stay small and in cache.
+CHUNK = 1 << 19
 
 
 def chunks(col, limit: int = CHUNK):

@@ -27,6 +27,8 @@ NUM, DEN = 80, 100
 BLOCK = 1024
 COLUMNS = 4096
 POSTINGS_A_BUCKET = 2_000_000
+#: Postings that a map task gathers before it packs them by bucket, and rows of a batch that leaves Python.
+POSTINGS_A_PACK, ROWS_OUT = 1 << 18, 1 << 16
 #: Slots of the sketch that tells heavy tokens, summed in SLICES parts. It only orders tokens: any order gives the same links.
 SKETCH_BITS, SLICES = 19, 16
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -146,6 +148,25 @@ def _packed(token: np.ndarray, owner: np.ndarray, cls: np.ndarray, size: np.ndar
     return pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["bucket", "tokens", "owners", "table"])
 
 
+def _packs(parts, buckets: int):
+    """Record batches of (token, owner, cls, size) parts, POSTINGS_A_PACK postings or more in each but the last."""
+    kept, n = [], 0
+
+    def pack():
+        base = np.cumsum([0] + [len(c) for _, _, c, _ in kept[:-1]])
+        owner = np.concatenate([o + b for (_, o, _, _), b in zip(kept, base, strict=True)])
+        return _packed(np.concatenate([t for t, *_ in kept]), owner, np.concatenate([c for _, _, c, _ in kept]), np.concatenate([s for *_, s in kept]), buckets)
+
+    for part in parts:
+        kept.append(part)
+        n += len(part[0])
+        if n >= POSTINGS_A_PACK:
+            yield pack()
+            kept, n = [], 0
+    if n:
+        yield pack()
+
+
 def _shared(packed: DataFrame, buckets: int) -> DataFrame:
     """token, cls, n, k of packed postings: the tokens that k >= 2 classes have. A token is known by its bucket and its low 32 bits."""
 
@@ -170,20 +191,22 @@ def _shared(packed: DataFrame, buckets: int) -> DataFrame:
                 token, cls, n = token[twice], cls[twice], n[twice]
             begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
             count = np.diff(np.append(begin, len(token)))
-            return pa.record_batch([pa.array((bucket << 32) + token.astype(np.int64)), pa.array(cls), pa.array(n), pa.array(np.repeat(count, count))], names=["token", "cls", "n", "k"])
+            cols = ((bucket << 32) + token.astype(np.int64), cls, n, np.repeat(count, count))
+            for i in range(0, len(token), ROWS_OUT):
+                yield pa.record_batch([pa.array(c[i : i + ROWS_OUT]) for c in cols], names=["token", "cls", "n", "k"])
 
         now, parts = None, []
         for batch in batches:
             for b, t, o, table in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if b != now and parts:
-                    yield shared(now, parts)
+                    yield from shared(now, parts)
                     parts = []
                 now = b
                 token, table = np.frombuffer(t, np.uint32), np.frombuffer(table, np.int64).reshape(2, -1)
                 own = np.frombuffer(o, np.uint32 if len(o) == 4 * len(token) else np.uint16)
                 parts.append((token, table[0][own], table[1][own]))
         if parts:
-            yield shared(now, parts)
+            yield from shared(now, parts)
 
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "token long, cls long, n long, k long")
 
@@ -191,17 +214,18 @@ def _shared(packed: DataFrame, buckets: int) -> DataFrame:
 def shared_prefixes(docs: DataFrame, buckets: int, heavy) -> DataFrame:
     """token, cls, n, k: order one's prefix tokens that k >= 2 classes have. heavy: broadcast mask of the sketch."""
 
-    def emit(batches):
+    def prefixes(batches):
         for batch in batches:
             for i, j in chunks(batch.column(0)):
                 owner, token, size = shingle_sets(*string_bytes(batch.column(0).slice(i, j - i)))
-                if not len(token):
-                    continue
                 cls = _classes(owner, token, size)
                 token = token[_ordered(owner, token, heavy.value)]
                 place = np.arange(len(token)) - (np.cumsum(size) - size)[owner]
                 use = place < _prefix(size)[owner]
-                yield _packed(token[use], owner[use], cls, size, buckets)
+                yield token[use], owner[use], cls, size
+
+    def emit(batches):
+        yield from _packs(prefixes(batches), buckets)
 
     return _shared(docs.select("text").mapInArrow(emit, "bucket int, tokens binary, owners binary, table binary"), buckets)
 
@@ -209,7 +233,7 @@ def shared_prefixes(docs: DataFrame, buckets: int, heavy) -> DataFrame:
 def shared_tokens(held: DataFrame, buckets: int) -> DataFrame:
     """token, cls, n, k: the tokens of whole sets (cls, n, tokens) that k >= 2 classes have."""
 
-    def emit(batches):
+    def rows(batches):
         for batch in batches:
             cls, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             stop = np.cumsum(size)
@@ -217,9 +241,12 @@ def shared_tokens(held: DataFrame, buckets: int) -> DataFrame:
             while i < len(size):  # some rows at a time
                 j = max(i + 1, int(np.searchsorted(stop, stop[i] - size[i] + CHUNK // 8, side="right")))
                 token = batch.column(2).slice(i, j - i).flatten().to_numpy().view(np.uint64)
-                yield _packed(token, np.repeat(np.arange(j - i), size[i:j]), cls[i:j], size[i:j], buckets)
+                yield token, np.repeat(np.arange(j - i), size[i:j]), cls[i:j], size[i:j]
                 i = j
 
+    def emit(batches):
+        yield from _packs(rows(batches), buckets)
+
     return _shared(held.select("cls", "n", "tokens").mapInArrow(emit, "bucket int, tokens binary, owners binary, table binary"), buckets)
 
 
