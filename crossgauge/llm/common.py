@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +90,18 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def _freed_shuffles(spark: SparkSession):
+    """Shuffle files go when a query ends: behind a written table they are of no more use."""
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(clean, before)
+
+
 #: Narrow rows (ids, counts) that go into one file of a stash.
 ROWS_A_FILE = 500_000
 
@@ -103,17 +117,64 @@ def stash(df: DataFrame, name: str = "stash", rows: int | None = None) -> DataFr
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the shuffles behind a written table are of no more use
-    before = spark.conf.get(clean)
-    spark.conf.set(clean, "true")
-    try:
+    with _freed_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(clean, before)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a row group of a table that Python workers write.
+ROW_GROUP = 8 << 20
+
+
+def stash_map(df: DataFrame, f, schema: str, name: str = "stash") -> DataFrame:
+    """stash(df.mapInArrow(f, schema)), but the Python workers write their Parquet files themselves where the shared folder is a mounted one.
+
+    That spares the way back into the JVM. Every attempt of a task writes a file of its own; the files of the attempts
+    that ended well (one at most for each task) are the table, so a lost executor or a repeated task adds nothing.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    spark = df.sparkSession
+    root = urlparse(shared_dir(spark))
+    if root.scheme not in ("", "file"):
+        return stash(df.mapInArrow(f, schema), name)
+    small_batches(spark)
+    folder, kind = f"{root.path}/{name}-{uuid.uuid4().hex}", to_arrow_schema(StructType.fromDDL(schema))
+    os.makedirs(folder)
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        path, kept = f"{folder}/part-{uuid.uuid4().hex}.parquet", []
+        writer = None
+
+        def flush():
+            nonlocal writer, kept
+            writer = writer or pq.ParquetWriter(path, kind, use_dictionary=False)
+            writer.write_table(pa.Table.from_batches(kept))
+            kept = []
+
+        for out in f(batches):
+            if out.num_rows:
+                kept.append(pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(out.columns, kind, strict=True)], schema=kind))
+                if sum(b.nbytes for b in kept) >= ROW_GROUP:
+                    flush()
+        if kept:
+            flush()
+        if writer:
+            writer.close()
+            yield pa.record_batch([pa.array([path])], names=["path"])
+
+    with _freed_shuffles(spark):
+        paths = [r["path"] for r in df.mapInArrow(write, "path string").collect()]
+    atexit.register(_delete, spark, folder)
+    read = spark.read.schema(schema)
+    return read.parquet(*(f"file://{x}" for x in paths)) if paths else spark.createDataFrame([], schema)
+
+
 def unstash(df: DataFrame) -> None:
     """Delete the files behind a stashed frame that is no longer read."""
     for f in {os.path.dirname(x) for x in df.inputFiles()}:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import stash, unstash
+from crossgauge.llm.common import stash, stash_map, unstash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -60,7 +60,7 @@ def connected_components(edges: DataFrame, rounds: int = 40, edges_a_task: int =
     """
     edges = stash(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges", most)
     parts = max(1, -(-edges.count() // edges_a_task))
-    forest = stash(edges.repartition(parts).mapInArrow(_forest, "a long, b long"), "forest")
+    forest = stash_map(edges.repartition(parts), _forest, "a long, b long", "forest")
     if parts == 1:
         return forest.toDF("node", "component")
     nodes = forest.select(F.col("a").alias("node")).distinct()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import CHUNK, chunks, documents, fresh, mix64, only, row_key, stash, string_bytes, unstash, without, words
+from crossgauge.llm.common import CHUNK, chunks, documents, fresh, mix64, only, row_key, stash, stash_map, string_bytes, unstash, without, words
 from crossgauge.llm.components import connected_components, least_reachable
 
 SHINGLE = 5
@@ -99,7 +99,7 @@ def summaries(docs: DataFrame) -> DataFrame:
         rows = [(None, None, None, None, k, part.tobytes()) for k, part in enumerate(np.split(sketch, SLICES)) if part.any()]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names=names)
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n_shingles long, cls long, slice int, counts binary")
+    return stash_map(docs.select("doc_id", "key", "text"), run, "doc_id long, key long, n_shingles long, cls long, slice int, counts binary", "sets")
 
 
 def _slot(token: np.ndarray) -> np.ndarray:
@@ -325,7 +325,7 @@ def _named(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, component (a class of the document's component; null without shingles), component_id, n_links of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", row_key())
-    found = stash(summaries(docs), "sets")
+    found = summaries(docs)
     seen = found.where("slice < 0").select("doc_id", "key", "n_shingles", "cls")
     heavy = spark.sparkContext.broadcast(heavy_slots(found.where("slice >= 0")))  # 2**SKETCH_BITS flags
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -348,10 +348,11 @@ def _named(docs: DataFrame) -> DataFrame:
                 cls = _classes(owner, token, size)
                 token = token[_ordered(owner, token, heavy.value)]
                 at = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(cls), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(token.view(np.int64)))], names=["want", "cls", "n", "tokens"])
+                out = pa.record_batch([pa.array(cls), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(token.view(np.int64)))], names=["cls", "n", "tokens"])
+                yield out.filter(pa.array(batch.column(0).slice(i, j - i).to_numpy() == cls))
 
     held = members.join(only(docs, members, n_members, "key"), "key").select("want", "text")
-    held = stash(held.mapInArrow(sets, "want long, cls long, n long, tokens array<long>").where("want = cls").drop("want"), "candidates")
+    held = stash_map(held, sets, "cls long, n long, tokens array<long>", "candidates")
     if held.count() > n_members:  # a class's chosen row is there more than once
         held = stash(held.dropDuplicates(["cls"]), "candidates")
     buckets = max(parts, -(-(held.agg(F.sum("n")).first()[0] or 0) // POSTINGS_A_BUCKET))
@@ -369,8 +370,8 @@ def _named(docs: DataFrame) -> DataFrame:
     unstash(core)
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(held.select("cls", "tokens"), "cls")
     pairs = pairs.select("grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "tokens")
-    links = pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls").mapInArrow(_verify, "cls long, root long, n_links long")
-    links = stash(links, "links")
+    links = pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls")
+    links = stash_map(links, _verify, "cls long, root long, n_links long", "links")
     unstash(held)
     linked = connected_components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")), most=links.count())
     degree = links.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
@@ -397,7 +398,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without shingles are linked with nothing and all stay, repeated ones too. Columns may have any names.
     """
-    named = stash(_named(docs).select("doc_id", "key", "component").where("component is not null"), "named")
+    named = stash(_named(docs).select("doc_id", "key", "component").where("component is not null"), "named", docs.count())
     rows = named.count()
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     kept = named.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.key").alias("key"))

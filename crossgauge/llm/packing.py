@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import documents, stash
+from crossgauge.llm.common import documents, stash_map
 from crossgauge.llm.tokens import TOKENIZER, encoder
 
 CAPACITY = 2048
@@ -95,7 +95,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each document's ids and the end id; only longer ones are cut, the first piece takes the rest.
+    """A written table of doc_id, piece, start, length, ids_crc32: each document's ids and the end id; only longer ones are cut, the first piece takes the rest.
 
     Null text counts as empty: one piece that is the end id.
     """
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                     start, n, k = start + n, capacity, k + 1
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return stash_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long", "pieces")
 
 
 def best_fit_pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, rows_per_bucket: int = 200_000) -> DataFrame:
@@ -148,4 +148,4 @@ def best_fit_pack(items: DataFrame, length: str = "length", capacity: int = CAPA
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    return best_fit_pack(stash(pieces(documents(spark, sf_dir) if docs is None else docs), "pieces"))
+    return best_fit_pack(pieces(documents(spark, sf_dir) if docs is None else docs))

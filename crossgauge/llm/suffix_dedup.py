@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import BROADCAST_IDS, chunks, documents, mix64, only, prefix_hash, span_hash, stash, string_bytes, without
+from crossgauge.llm.common import BROADCAST_IDS, chunks, documents, mix64, only, prefix_hash, span_hash, stash, stash_map, string_bytes, without
 
 LENGTH = 200
 GRAM = 50
@@ -142,7 +142,7 @@ def _postings(docs: DataFrame, buckets: int) -> DataFrame:
             yield judged(parts)
 
     packed = docs.select("doc_id", "key", "text").mapInArrow(emit, "bucket int, rec binary, ids array<long>, keys array<long>")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "doc_id long, key long, place int, before int, after int, gram long, kind int")
+    return stash_map(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), gather, "doc_id long, key long, place int, before int, after int, gram long, kind int", "anchors")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -308,7 +308,7 @@ def repeated_spans(docs: DataFrame, hot: int | None = None) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     postings = int(size * 2 / (LENGTH - GRAM + 2))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // POSTINGS_A_BUCKET))
-    found = stash(_postings(docs, buckets), "anchors")
+    found = _postings(docs, buckets)
     spans = found.where(F.col("kind").isin(1, 3)).where(f"before + after >= {LENGTH}").select("doc_id", "key", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("stop"))
     several = found.where("kind >= 2")
     total = several.count()
@@ -351,7 +351,7 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     """docs with a column _spans: the covered spans of each row, null if it has none."""
     docs = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_text")})
-    spans = stash(repeated_spans(keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("key"), F.col("_text").alias("text"))), "spans")
+    spans = repeated_spans(keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("key"), F.col("_text").alias("text")))
     spans = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("_spans")).toDF("_id2", "_key2", "_spans")
     joined = keyed.join(spans, (F.col("_key") == F.col("_key2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
     return joined.drop("_text", "_id", "_key", "_id2", "_key2")

@@ -4,8 +4,8 @@ A shard's blob, little-endian: magic "RPR2", then u32 counts of documents, rules
 how many documents have no id (they come first), then doc ids (i64), ids per document (u32), symbols per document
 (u32), ids per rule (u32), and the rules' pairs and the symbols, packed with as many bits as the largest symbol needs.
 No rule spans two documents, so a document is read by
-expanding its own symbols only. Shards are rows of a Parquet table, written by Spark's own committer into the
-shared folder: a lost or repeated task leaves no half-written shard.
+expanding its own symbols only. Shards are rows of a Parquet table in the shared folder, made of the files of tasks
+that ended well: a lost or repeated task leaves no half-written shard in it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import documents, stash
+from crossgauge.llm.common import documents, stash_map
 from crossgauge.llm.tokens import TOKENIZER, encoder
 
 END_ID = 0
@@ -200,7 +200,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, shard_ids: in
             yield shut()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stash(ordered.mapInArrow(run, "part int, shard int, n_ids long, blob binary"), "token-shards")
+    return stash_map(ordered, run, "part int, shard int, n_ids long, blob binary", "token-shards")
 
 
 def read_token_files(shards: DataFrame) -> DataFrame:
