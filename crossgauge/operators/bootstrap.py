@@ -1,29 +1,52 @@
 """Bootstrap intervals and verdicts.
 
-Row draws are hash-derived: draw b's i-th row is md5("b:i") modulo n, the same in any engine; they make n_boot * n rows
-and suit item sets that fit a report. count_bootstrap resamples counts instead (a multinomial over at most k*k cells a
-group), so its cost doesn't depend on n.
+A metric that depends on counts only - a confusion table, the sizes of clusters - is resampled on those counts: rows of a
+cell are alike, so drawing row numbers and looking up their cells is the row bootstrap. `resampled` draws them by an
+integer hash that any engine can repeat; it costs n_boot * n hashes, moves no rows, and suits item sets that fit a report.
+`count_bootstrap` draws the same distribution as a multinomial, so its cost doesn't depend on n.
 """
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from crossgauge.functions.keys import md5_bucket
 
-
-def row_draws(df: DataFrame, keys: list[str], order: list[str], n_boot: int) -> DataFrame:
-    """Every key's rows resampled n_boot times: keys, b and the other columns. Paired columns stay paired."""
-    w = W.partitionBy(*keys)
-    items = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
-    picks = items.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    bits = md5_bucket(1 << 32, F.col("b"), F.col("_i"))
-    picks = picks.select(*keys, "b", (bits % F.col("_n")).cast("int").alias("_i"))
-    return picks.join(items.drop("_n"), [*keys, "_i"]).drop("_i")
+MASK = (1 << 32) - 1
+#: Odd multipliers of a 32-bit mixer; with them no product leaves a signed 64-bit number.
+MIX, STEP = 0x45D9F3B, 0x9E3779B
+
+
+def _mixed(df: DataFrame, col: str) -> DataFrame:
+    """Two rounds of xor-shift and multiply, modulo 2**32."""
+    x = F.col(col)
+    for _ in range(2):
+        df = df.withColumn(col, (x.bitwiseXOR(F.shiftright(x, 16)) * MIX).bitwiseAND(F.lit(MASK)))
+    return df.withColumn(col, x.bitwiseXOR(F.shiftright(x, 16)))
+
+
+def resampled(cells: DataFrame, keys: list[str], cell: list[str], n: str, n_boot: int, most: int = 16) -> DataFrame:
+    """keys, b, cell columns, m: how many of a key's rows draw b (0 to n_boot - 1) takes from each of its cells.
+
+    cells: (keys, cell, n), at most `most` cells a key. Rows are numbered along the sorted cells; draw b's i-th row is
+    hash(b, i) modulo their number. Columns of one cell stay together, so paired metrics stay paired.
+    """
+    spark = cells.sparkSession
+    held = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cell, n))).alias("_c"), F.sum(n).alias("_n"))
+    upto = F.transform("_c", lambda _, j: F.aggregate(F.slice("_c", 1, j + 1), F.lit(0).cast("long"), lambda acc, x: acc + x[n]))
+    held = held.withColumn("_upto", upto)
+    draws = held.select(*keys, "_n", "_upto", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("b"))
+    draws = _mixed(draws.repartition(spark.sparkContext.defaultParallelism, *keys, "b").withColumn("_h", F.col("b") + 1), "_h")
+    picks = draws.select(*keys, "b", "_n", "_upto", "_h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_x"))
+    picks = _mixed(picks.withColumn("_x", (F.col("_h") + F.col("_x") * STEP).bitwiseAND(F.lit(MASK))), "_x")
+    pick = F.col("_x") % F.col("_n")
+    at = [F.coalesce(F.get("_upto", F.lit(k)), F.col("_n")) for k in range(most)]
+    inside = [F.count_if((pick < at[k]) & (pick >= (at[k - 1] if k else F.lit(0)))) for k in range(most)]
+    counts = picks.groupBy(*keys, "b").agg(F.array(*inside).alias("_m"))
+    rows = counts.join(held.select(*keys, "_c"), keys).select(*keys, "b", "_m", F.posexplode("_c").alias("_k", "_cell"))
+    return rows.select(*keys, "b", *[F.col(f"_cell.{c}").alias(c) for c in cell], F.get("_m", F.col("_k")).alias("m"))
 
 
 def interval(draws: DataFrame, keys: list[str], value: str, ci: float = 0.95) -> DataFrame:

@@ -47,60 +47,53 @@ def both_correct() -> Column:
     return (F.col("pred_src") == F.col("gold")) & (F.col("pred_tgt") == F.col("gold"))
 
 
-#: Vectors of the right side that are held against the left at once.
-VECTOR_BLOCK = 20_000
+#: Vectors of either side that one task holds, and rows of their similarity matrix at a time.
+VECTOR_BLOCK, TILE = 20_000, 1024
 
 
 def nearest(left: DataFrame, right: DataFrame, block: int = VECTOR_BLOCK) -> DataFrame:
     """side, id, other, sim: each left row's nearest right row (side l) and each right row's nearest left row (side r).
 
-    Frames have (id, v), v of unit length; ties go to the smaller id; null vectors are left out. The right side, the
-    smaller one, passes in blocks of fixed size: a block is broadcast, and the left side is scored against it by matrix
-    products, batch by batch. Only best rows leave a task, so no pair is ever emitted.
+    Frames have (id, v), v of unit length; ties go to the smaller id; null vectors are left out. Both sides are dealt
+    into blocks, and every pair of blocks is one task's matrix product. Only best rows leave a task: no pair is emitted,
+    and no vector passes through the driver.
     """
     import numpy as np
 
-    spark = left.sparkSession
     left, right = (x.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("v IS NOT NULL") for x in (left, right))
-    schema = "side string, id long, other long, sim double"
-    frames, rows = [spark.createDataFrame([], schema)], []
-
-    def score(held):
-        def run(batches):
-            import pyarrow as pa
-
-            ids, v = held.value
-            best, owner = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own = b.column(0).to_numpy()
-                order = np.argsort(own, kind="stable")
-                own = own[order]
-                sim = np.stack(b.column(1).to_numpy(zero_copy_only=False))[order] @ v.T
-                top = sim.argmax(1)
-                yield pa.record_batch([pa.array(["l"] * len(own)), pa.array(own), pa.array(ids[top]), pa.array(sim[np.arange(len(own)), top])], names=["side", "id", "other", "sim"])
-                at = sim.argmax(0)
-                value = sim[at, np.arange(len(ids))]
-                better = (value > best) | ((value == best) & (own[at] < owner))
-                best, owner = np.where(better, value, best), np.where(better, own[at], owner)
-            there = best > -np.inf
-            yield pa.record_batch([pa.array(["r"] * int(there.sum()), pa.string()), pa.array(ids[there]), pa.array(owner[there]), pa.array(best[there])], names=["side", "id", "other", "sim"])
-
-        return run
-
-    def close():
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])))
-        frames.append(left.mapInArrow(score(held), schema))
-        rows.clear()
-
-    for r in right.sort("id").toLocalIterator():  # one block at a time is on the driver
-        rows.append(r)
-        if len(rows) == block:
-            close()
-    if rows:
-        close()
-    found = reduce(lambda a, b: a.union(b), frames)
+    n_left, n_right = (max(1, -(-x.count() // block)) for x in (left, right))
+
+    def dealt(x: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        x = x.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int"))
+        return x.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))).groupBy("_l", "_r")
+
+    def vectors(table):
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        v = np.stack(table.column("v").combine_chunks().to_numpy(zero_copy_only=False)) if len(ids) else np.zeros((0, 0))
+        return ids[order], v[order]
+
+    def best(a, b):
+        import pyarrow as pa
+
+        (ids, x), (others, y) = vectors(a), vectors(b)
+        if not len(ids) or not len(others):
+            return pa.table({"side": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        of_left, sim_left = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        of_right, sim_right = np.zeros(len(others), np.int64), np.full(len(others), -np.inf)
+        for i in range(0, len(ids), TILE):
+            sim = x[i : i + TILE] @ y.T
+            top = sim.argmax(1)
+            of_left[i : i + TILE], sim_left[i : i + TILE] = others[top], sim[np.arange(len(sim)), top]
+            at = sim.argmax(0)
+            value = sim[at, np.arange(len(others))]
+            better = value > sim_right  # rows come by id: an equal one later has the larger id
+            of_right, sim_right = np.where(better, ids[i + at], of_right), np.where(better, value, sim_right)
+        sides = pa.array(["l"] * len(ids) + ["r"] * len(others))
+        return pa.table({"side": sides, "id": np.concatenate((ids, others)), "other": np.concatenate((of_left, of_right)), "sim": np.concatenate((sim_left, sim_right))})
+
+    pairs = dealt(left, "_l", n_left, "_r", n_right).cogroup(dealt(right, "_r", n_right, "_l", n_left))
+    found = pairs.applyInArrow(best, "side string, id long, other long, sim double")
     return found.groupBy("side", "id").agg(F.min_by("other", F.struct(-F.col("sim"), F.col("other"))).alias("other"), F.max("sim").alias("sim"))
 
 

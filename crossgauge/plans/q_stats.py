@@ -13,44 +13,126 @@ from crossgauge.operators import relational as R
 from crossgauge.plans import derived as D
 from crossgauge.plans.registry import query
 from crossgauge.session import table
+from crossgauge.sources import io as S
 
 P = D.SQL_PREDS
-N_BOOT = 100
+N_BOOT = 1000
 r6 = lambda c, name: F.round(c, 6).alias(name)
-_DRAWS = f"""items AS (SELECT lang, item_id, gold, pred_src, pred_tgt, row_number() OVER (PARTITION BY lang ORDER BY item_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM preds WHERE seed = 0),
-picks AS (SELECT lang, b, {D.b(1 << 32, 'b', 'i')} % n AS i FROM items, (SELECT unnest(range({N_BOOT})) AS b)),
-draws AS (SELECT p.b, t.* FROM picks p JOIN items t ON t.lang = p.lang AND t.i = p.i)"""
 
 
-@query("STA-01", sql=f"""WITH {P}, {_DRAWS}, a AS (SELECT lang, b, avg((pred_tgt = gold)::INT::DOUBLE) AS acc, (coalesce(2.0 * sum((gold = 0 AND pred_tgt = 0)::INT) / nullif(sum((gold = 0)::INT) + sum((pred_tgt = 0)::INT), 0), 0) + coalesce(2.0 * sum((gold = 1 AND pred_tgt = 1)::INT) / nullif(sum((gold = 1)::INT) + sum((pred_tgt = 1)::INT), 0), 0)) / 2 AS f1 FROM draws GROUP BY 1, 2)
-SELECT lang, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high FROM a GROUP BY 1""")
+def _mix_sql(expr: str, frm: str, keep: str) -> str:
+    """The bootstrap's integer mixer as nested selects: `keep` columns and x."""
+    q = f"SELECT {keep}, {expr} AS x FROM {frm}"
+    for _ in range(2):
+        q = f"SELECT {keep}, (xor(x, x >> 16) * {B.MIX}) & {B.MASK} AS x FROM ({q})"
+    return f"SELECT {keep}, xor(x, x >> 16) AS x FROM ({q})"
+
+
+def _draws_sql(keys: str, cell: str) -> str:
+    """draws(keys, b, cell, m) from a CTE cells(keys, cell, n): the same row numbers as bootstrap.resampled."""
+    on = " AND ".join(f"p.{k} = u.{k}" for k in keys.split(", "))
+    of_u = ", ".join(f"u.{c}" for c in cell.split(", "))
+    return f"""upto AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY {cell})::BIGINT AS hi FROM cells),
+tot AS (SELECT {keys}, sum(n)::BIGINT AS total FROM cells GROUP BY ALL),
+heads AS ({_mix_sql('b + 1', f'(SELECT *, unnest(range({N_BOOT}))::BIGINT AS b FROM tot)', f'{keys}, b, total')}),
+picks AS (SELECT {keys}, b, x % total AS pick FROM ({_mix_sql(f'(h + i * {B.STEP}) & {B.MASK}', '(SELECT * EXCLUDE (x), x AS h, unnest(range(total))::BIGINT AS i FROM heads)', f'{keys}, b, total')})),
+draws AS (SELECT {', '.join(f'p.{k}' for k in keys.split(', '))}, p.b, {of_u}, count(*) AS m FROM picks p JOIN upto u ON {on} AND p.pick < u.hi AND p.pick >= u.hi - u.n GROUP BY ALL)"""
+
+
+_CELLS = "cells AS (SELECT lang, seed, gold, pred_src, pred_tgt, count(*) AS n FROM preds GROUP BY ALL)"
+_BY_RUN = f"{_CELLS}, {_draws_sql('lang, seed', 'gold, pred_src, pred_tgt')}"
+
+
+def _f1(pred, n):
+    """Macro-F1 over the classes 0 and 1 of weighted (gold, pred) cells."""
+    def one(k):
+        both = F.sum(F.when((F.col("gold") == k) & (F.col(pred) == k), 2 * F.col(n)).otherwise(0))
+        either = F.sum(F.when(F.col("gold") == k, F.col(n)).otherwise(0) + F.when(F.col(pred) == k, F.col(n)).otherwise(0))
+        return F.coalesce(F.try_divide(both.cast("double"), either.cast("double")), F.lit(0.0))
+
+    return (one(0) + one(1)) / 2
+
+
+def _f1_sql(pred: str) -> str:
+    def one(k):
+        return f"coalesce(sum(CASE WHEN gold = {k} AND {pred} = {k} THEN 2 * m ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN gold = {k} THEN m ELSE 0 END + CASE WHEN {pred} = {k} THEN m ELSE 0 END), 0), 0)"
+
+    return f"({one(0)} + {one(1)}) / 2"
+
+
+def _run_draws(spark, d):
+    cells = D.predictions(spark, d).groupBy("lang", "seed", "gold", "pred_src", "pred_tgt").agg(F.count("*").alias("n"))
+    return cells, B.resampled(cells, ["lang", "seed"], ["gold", "pred_src", "pred_tgt"], "n", N_BOOT, most=8)
+
+
+@query("STA-01", sql=f"""WITH {P}, {_BY_RUN}, a AS (SELECT lang, seed, b, {_f1_sql('pred_tgt')} AS f1 FROM draws GROUP BY 1, 2, 3)
+SELECT lang, seed, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high FROM a GROUP BY 1, 2""")
 def metric_interval(spark, d):
-    draws = B.row_draws(D.predictions(spark, d).where("seed = 0").select("lang", "item_id", "gold", "pred_tgt"), ["lang"], ["item_id"], N_BOOT)
-    ci = B.interval(R.classification(draws, ["lang", "b"], "gold", "pred_tgt", 2), ["lang"], "macro_f1")
-    return ci.select("lang", r6(F.col("low"), "low"), r6(F.col("high"), "high"))
+    """Item bootstrap of macro-F1, every language and seed."""
+    _, draws = _run_draws(spark, d)
+    ci = B.interval(draws.groupBy("lang", "seed", "b").agg(_f1("pred_tgt", "m").alias("f1")), ["lang", "seed"], "f1")
+    return ci.select("lang", "seed", r6(F.col("low"), "low"), r6(F.col("high"), "high"))
+
+
+_GAP = "(sum(CASE WHEN pred_src = gold THEN m ELSE 0 END) - sum(CASE WHEN pred_tgt = gold THEN m ELSE 0 END))::DOUBLE / sum(m)"
+
+
+def _gap(n):
+    right = lambda c: F.sum(F.when(F.col(c) == F.col("gold"), F.col(n)).otherwise(0))
+    return (right("pred_src") - right("pred_tgt")).cast("double") / F.sum(n)
 
 
-@query("STA-02", "STA-03", "STA-11", "CND-04", sql=f"""WITH {P}, {_DRAWS}, g AS (SELECT lang, b, avg((pred_src = gold)::INT::DOUBLE) - avg((pred_tgt = gold)::INT::DOUBLE) AS gap FROM draws GROUP BY 1, 2), o AS (SELECT lang, avg((pred_src = gold)::INT::DOUBLE) - avg((pred_tgt = gold)::INT::DOUBLE) AS gap FROM items GROUP BY 1)
-SELECT o.lang, round(any_value(o.gap), 6) AS gap, round(quantile_cont(g.gap, 0.025), 6) AS low, round(quantile_cont(g.gap, 0.975), 6) AS high, quantile_cont(g.gap, 0.025) <= 0 AND quantile_cont(g.gap, 0.975) >= 0 AS ci_contains_zero FROM o JOIN g ON g.lang = o.lang GROUP BY 1""")
+def run_gaps(spark, d):
+    """lang, seed, n_items, gap, low, high of every run; the interval's draws take both sides' rows together."""
+    cells, draws = _run_draws(spark, d)
+    ci = B.interval(draws.groupBy("lang", "seed", "b").agg(_gap("m").alias("gap")), ["lang", "seed"], "gap")
+    return cells.groupBy("lang", "seed").agg(F.sum("n").alias("n_items"), _gap("n").alias("gap")).join(ci, ["lang", "seed"])
+
+
+_GAPS_SQL = f"""{_BY_RUN}, g AS (SELECT lang, seed, b, {_GAP} AS gap FROM draws GROUP BY 1, 2, 3),
+ci AS (SELECT lang, seed, quantile_cont(gap, 0.025) AS low, quantile_cont(gap, 0.975) AS high FROM g GROUP BY 1, 2),
+pt AS (SELECT lang, seed, sum(m)::BIGINT AS n_items, {_GAP} AS gap FROM (SELECT *, n AS m FROM cells) GROUP BY 1, 2)"""
+
+
+@query("STA-02", "STA-03", sql=f"""WITH {P}, {_GAPS_SQL} SELECT lang, seed, round(gap, 6) AS gap, round(low, 6) AS low, round(high, 6) AS high, low <= 0 AND high >= 0 AS ci_contains_zero FROM pt JOIN ci USING (lang, seed)""")
 def transfer_gap(spark, d):
-    x = D.predictions(spark, d).where("seed = 0").select("lang", "item_id", (F.col("pred_src") == F.col("gold")).cast("double").alias("s"), (F.col("pred_tgt") == F.col("gold")).cast("double").alias("t"))
-    gap = F.avg("s") - F.avg("t")
-    ci = B.interval(B.row_draws(x, ["lang"], ["item_id"], N_BOOT).groupBy("lang", "b").agg(gap.alias("gap")), ["lang"], "gap")  # paired: both sides use the same rows
-    return x.groupBy("lang").agg(r6(gap, "gap")).join(ci, "lang").select("lang", "gap", r6(F.col("low"), "low"), r6(F.col("high"), "high"), ((F.col("low") <= 0) & (F.col("high") >= 0)).alias("ci_contains_zero"))
+    g = run_gaps(spark, d)
+    return g.select("lang", "seed", *[r6(F.col(c), c) for c in ("gap", "low", "high")], ((F.col("low") <= 0) & (F.col("high") >= 0)).alias("ci_contains_zero"))
+
 
+@query("STA-11", sql=f"""WITH {P}, g AS (SELECT lang, seed, avg((pred_src = gold)::INT::DOUBLE) - avg((pred_tgt = gold)::INT::DOUBLE) AS gap FROM preds WHERE lang <> 'fr' OR seed = 0 GROUP BY 1, 2)
+SELECT lang, count(*) AS n_seeds, round(avg(gap), 6) AS gap_mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(gap) ELSE 0 END, 6) AS gap_std, CASE WHEN count(*) > 1 THEN abs(avg(gap)) < stddev_samp(gap) END AS within_seed_noise FROM g GROUP BY 1""")
+def seed_noise(spark, d):
+    """Whether a gap is smaller than its deviation over the seeds; unknown for a language with one seed."""
+    right = lambda c: F.avg((F.col(c) == F.col("gold")).cast("double"))
+    g = D.predictions(spark, d).where("lang <> 'fr' OR seed = 0").groupBy("lang", "seed").agg((right("pred_src") - right("pred_tgt")).alias("gap"))
+    m = R.mean_std(g, ["lang"], "gap")
+    return m.select("lang", F.col("n").alias("n_seeds"), r6(F.col("mean"), "gap_mean"), r6(F.col("std"), "gap_std"), F.when(F.col("n") > 1, F.abs("mean") < F.col("std")).alias("within_seed_noise"))
 
-_UNITS = f"""units AS (SELECT seed, lang IN ('fr', 'es') AS side, lang, item_id, count(*) AS n, sum((label_group = 'linguistic')::INT) AS k FROM fails GROUP BY ALL),
-un AS (SELECT *, row_number() OVER (PARTITION BY seed, side ORDER BY lang, item_id) - 1 AS i, count(*) OVER (PARTITION BY seed, side) AS m FROM units),
-up AS (SELECT seed, side, b, {D.b(1 << 32, 'b', 'i')} % m AS i FROM un, (SELECT unnest(range({N_BOOT})) AS b)),
-ud AS (SELECT u.seed, u.side, p.b, sum(k)::DOUBLE / sum(n) AS share FROM up p JOIN un u ON u.seed = p.seed AND u.side = p.side AND u.i = p.i GROUP BY ALL),
-ci AS (SELECT seed, side, quantile_cont(share, 0.025) AS low, quantile_cont(share, 0.975) AS high FROM ud GROUP BY 1, 2), pt AS (SELECT seed, side, sum(k)::DOUBLE / sum(n) AS share FROM units GROUP BY 1, 2)"""
+
+@query("CND-04", sql=f"""WITH {P}, {_GAPS_SQL} SELECT 'task2_' || lang || '_seed' || seed AS run_id, n_items, round(gap, 6) AS gap, round(low, 6) AS low, round(high, 6) AS high FROM pt JOIN ci USING (lang, seed)""")
+def run_condition(spark, d):
+    """A condition's arms become a prediction log, the log a gap with its interval, the gap a row of the run log."""
+    path = S.scratch(spark, "runs")
+    runs = run_gaps(spark, d).select(F.concat(F.lit("task2_"), "lang", F.lit("_seed"), "seed").alias("run_id"), "n_items", "gap", "low", "high")
+    S.append_log(runs, path)
+    return S.read_log(spark, path, "run_id string, n_items long, gap double, low double, high double")
+
+
+_UNITS = f"""units AS (SELECT seed, lang IN ('fr', 'es') AS side, lang, item_id, count(*) AS size, sum((label_group = 'linguistic')::INT)::BIGINT AS hits FROM fails GROUP BY ALL),
+cells AS (SELECT seed, side, size, hits, count(*) AS n FROM units GROUP BY ALL), {_draws_sql('seed, side', 'size, hits')},
+ud AS (SELECT seed, side, b, sum(m * hits)::DOUBLE / sum(m * size) AS share FROM draws GROUP BY 1, 2, 3),
+ci AS (SELECT seed, side, quantile_cont(share, 0.025) AS low, quantile_cont(share, 0.975) AS high FROM ud GROUP BY 1, 2), pt AS (SELECT seed, side, sum(hits)::DOUBLE / sum(size) AS share FROM units GROUP BY 1, 2)"""
 
 
 def _share_ci(spark, d):
-    units = D.failures(spark, d).groupBy("seed", F.col("lang").isin("fr", "es").alias("side"), "lang", "item_id").agg(F.count("*").alias("n"), F.count_if(F.col("label_group") == "linguistic").alias("k"))
-    share = (F.sum("k") / F.sum("n")).alias("share")
-    ci = B.interval(B.row_draws(units, ["seed", "side"], ["lang", "item_id"], N_BOOT).groupBy("seed", "side", "b").agg(share), ["seed", "side"], "share")
-    return units.groupBy("seed", "side").agg(share).join(ci, ["seed", "side"])
+    """Share of linguistic failures, resampled by cluster: a unit's failures stay together, units of one size and one count are alike."""
+    units = D.failures(spark, d).groupBy("seed", F.col("lang").isin("fr", "es").alias("side"), "lang", "item_id").agg(F.count("*").alias("size"), F.count_if(F.col("label_group") == "linguistic").alias("hits"))
+    cells = units.groupBy("seed", "side", "size", "hits").agg(F.count("*").alias("n"))
+    share = lambda n: (F.sum(F.col(n) * F.col("hits")).cast("double") / F.sum(F.col(n) * F.col("size"))).alias("share")
+    draws = B.resampled(cells, ["seed", "side"], ["size", "hits"], "n", N_BOOT, most=8)
+    ci = B.interval(draws.groupBy("seed", "side", "b").agg(share("m")), ["seed", "side"], "share")
+    return cells.groupBy("seed", "side").agg(share("n")).join(ci, ["seed", "side"])
 
 
 @query("STA-04", sql=f"WITH {D.SQL_FAILURES}, {_UNITS} SELECT seed, side, round(share, 6) AS share, round(low, 6) AS low, round(high, 6) AS high FROM pt JOIN ci USING (seed, side)")
@@ -58,13 +140,33 @@ def cluster_bootstrap(spark, d):
     return _share_ci(spark, d).select("seed", "side", r6(F.col("share"), "share"), r6(F.col("low"), "low"), r6(F.col("high"), "high"))
 
 
-@query("STA-05", "STA-06", "STA-07", "STA-08", sql=f"""WITH {D.SQL_FAILURES}, {_UNITS}, c AS (SELECT a.seed, a.high < b.low OR b.high < a.low AS sep, pa.share - pb.share AS diff FROM ci a JOIN ci b ON a.seed = b.seed AND a.side AND NOT b.side JOIN pt pa ON pa.seed = a.seed AND pa.side JOIN pt pb ON pb.seed = a.seed AND NOT pb.side)
-SELECT 'linguistic' AS measure, CASE WHEN sum(sep::INT) = 0 THEN 'within noise' WHEN count(DISTINCT diff > 0) FILTER (sep) > 1 THEN 'seeds disagree' WHEN sum(sep::INT) = count(*) THEN 'held' ELSE 'one seed only' END AS verdict FROM c""")
-def share_verdict(spark, d):
+_VERDICT = "CASE WHEN sum(sep::INT) = 0 THEN 'within noise' WHEN count(DISTINCT diff > 0) FILTER (sep) > 1 THEN 'seeds disagree' WHEN sum(sep::INT) = count(*) THEN 'held' ELSE 'one seed only' END"
+_COMPARED = "c AS (SELECT a.seed, a.high < b.low OR b.high < a.low AS sep, pa.share - pb.share AS diff FROM ci a JOIN ci b ON a.seed = b.seed AND a.side AND NOT b.side JOIN pt pa ON pa.seed = a.seed AND pa.side JOIN pt pb ON pb.seed = a.seed AND NOT pb.side)"
+
+
+def _compared(spark, d):
+    """seed, sep, diff: group A against group B in every replicate."""
     s = _share_ci(spark, d)
     a, b = s.where("side").drop("side").toDF("seed", "a", "a_low", "a_high"), s.where("NOT side").drop("side").toDF("seed", "b", "b_low", "b_high")
-    c = a.join(b, "seed").select(F.lit("linguistic").alias("measure"), B.separated(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high")).alias("sep"), (F.col("a") - F.col("b")).alias("diff"))
-    return B.verdict(c, ["measure"], "sep", "diff", "seed")
+    sep = B.separated(F.col("a_low"), F.col("a_high"), F.col("b_low"), F.col("b_high"))
+    return a.join(b, "seed").select(F.lit("linguistic").alias("measure"), "seed", sep.alias("sep"), (F.col("a") - F.col("b")).alias("diff"))
+
+
+@query("STA-05", "STA-07", sql=f"WITH {D.SQL_FAILURES}, {_UNITS}, {_COMPARED} SELECT 'linguistic' AS measure, seed, sep, round(diff, 6) AS diff FROM c")
+def compared_groups(spark, d):
+    return _compared(spark, d).select("measure", "seed", "sep", r6(F.col("diff"), "diff"))
+
+
+@query("STA-06", sql=f"WITH {D.SQL_FAILURES}, {_UNITS}, {_COMPARED} SELECT 'linguistic' AS measure, {_VERDICT} AS verdict FROM c")
+def share_verdict(spark, d):
+    return B.verdict(_compared(spark, d), ["measure"], "sep", "diff", "seed")
+
+
+@query("STA-08", sql=f"WITH {D.SQL_FAILURES}, {_UNITS}, {_COMPARED} SELECT 'all' AS scope, 'linguistic' AS measure, {_VERDICT} AS verdict FROM c UNION ALL SELECT 'converged', 'linguistic', {_VERDICT} FROM c WHERE seed <> 2")
+def verdicts_by_scope(spark, d):
+    """The same comparison over all seeds and over those that converged; one pass over the intervals serves both."""
+    scopes = F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("seed") != 2, "converged")))).alias("scope")
+    return B.verdict(_compared(spark, d).select("*", scopes), ["scope", "measure"], "sep", "diff", "seed")
 
 
 @query("STA-01-counts")
