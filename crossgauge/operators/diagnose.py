@@ -36,12 +36,14 @@ def gate_status(ours: Column, published: Column, diagnosed: Column, tolerance: f
     )
 
 
-def caveats(question: Column, measure: Column, targets: Column) -> Column:
+def caveats(question: Column, comparison: Column, measure: Column, targets: Column) -> Column:
+    """Names of the caveats that could explain a difference; targets: those of both sides."""
     linguistic = lambda first: measure.isin(first, "linguistic")
     return F.array_compact(F.array(
         F.when(linguistic("morphological_masking") & F.array_contains(targets, "hin"), "hindi_morphology"),
         F.when((question == "provenance") & linguistic("translation_drift"), "native_drift"),
         F.when((question == "provenance") & F.array_contains(targets, "ben"), "bengali_digits"),
+        F.when(F.startswith(comparison, F.lit("Task 3")), "task3_ceiling"),
     ))
 
 

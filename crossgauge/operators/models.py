@@ -47,10 +47,18 @@ def hash_scorer(classes: int = 2):
     return score
 
 
-def translate_distinct(df: DataFrame, text: str, out: str, translate: Callable[[list[str]], list[str]], batch: int = 32) -> DataFrame:
+def reconcile_flags(flags, text):
+    """Flags with empty_output if and only if the text is blank; null flags count as none."""
+    own = F.coalesce(flags, F.array().cast("array<string>"))
+    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    return F.when(~blank, F.array_remove(own, "empty_output")).when(F.array_contains(own, "empty_output"), own).otherwise(F.array_append(own, F.lit("empty_output")))
+
+
+def translate_distinct(df: DataFrame, text: str, out: str, translate: Callable[[list[str]], list[str]], batch: int = 32, done: DataFrame | None = None) -> DataFrame:
     """Translate every distinct text once, in batches that are halved when the translator fails; a single text that fails is null and flagged.
 
-    Distinct texts go through mapInPandas and are joined back by their hash.
+    done: a checkpoint with the columns text and out; its texts are taken from it (`resumed`). Distinct texts go through
+    mapInPandas and are joined back by their hash.
     """
 
     def halving(texts: list[str]) -> list[str | None]:
@@ -65,15 +73,23 @@ def translate_distinct(df: DataFrame, text: str, out: str, translate: Callable[[
     def run(frames):
         for pdf in frames:
             texts = pdf["t"].tolist()
-            done: list = []
+            made: list = []
             for i in range(0, len(texts), batch):
-                done += halving(texts[i : i + batch])
-            yield pd.DataFrame({"k": pdf["k"], out: done, f"{out}_flags": [["empty_output"] if not (x or "").strip() else [] for x in done]})
+                made += halving(texts[i : i + batch])
+            yield pd.DataFrame({"k": pdf["k"], "made": made})
 
     keyed = df.withColumn("_k", F.sha2(text, 256))
     distinct = keyed.where(F.col(text).isNotNull()).groupBy(F.col("_k").alias("k")).agg(F.first(text).alias("t"))
-    done = distinct.mapInPandas(run, f"k string, {out} string, {out}_flags array<string>")
-    return keyed.join(done, keyed._k == done.k, "left").drop("_k", "k")
+    if done is None:
+        old = None
+    else:
+        old = done.select(F.sha2(text, 256).alias("k"), F.col(out).alias("made")).dropDuplicates(["k"])
+        distinct = distinct.join(old.select("k"), "k", "left_anti")
+    every = distinct.mapInPandas(run, "k string, made string").withColumn("resumed", F.lit(False))
+    if old is not None:
+        every = every.unionByName(old.withColumn("resumed", F.lit(True)))
+    joined = keyed.join(every, keyed._k == every.k, "left").withColumn("resumed", F.coalesce("resumed", F.lit(False)))
+    return joined.withColumn(out, F.col("made")).withColumn(f"{out}_flags", reconcile_flags(F.lit(None).cast("array<string>"), F.col("made"))).drop("_k", "k", "made")
 
 
 def pad(tokens, length: int, filler: int = 0):

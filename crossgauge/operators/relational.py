@@ -15,6 +15,12 @@ def join_languages(frames: dict[str, DataFrame], on: str = "item_id") -> DataFra
     return reduce(lambda a, b: a.join(b, on, "inner"), renamed)
 
 
+def completeness(df: DataFrame, needed: list[str]) -> DataFrame:
+    """How many rows there are, and how many have a null or an empty string in a needed column."""
+    lacks = reduce(lambda a, b: a | b, [F.col(c).isNull() | (F.col(c).cast("string") == "") for c in needed])
+    return df.agg(F.count("*").alias("joined"), F.count_if(lacks).alias("incomplete"))
+
+
 def in_all(df: DataFrame, key: str, group: str, n: int) -> DataFrame:
     """Keys that occur in n groups."""
     return df.groupBy(key).agg(F.count_distinct(group).alias("_n")).where(F.col("_n") == n).select(key)

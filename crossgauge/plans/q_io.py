@@ -15,7 +15,7 @@ from crossgauge.session import health, table
 P = D.SQL_PREDS
 
 
-@query("SNK-01", "SNK-02", "SNK-03", "SNK-06", sql=f"""WITH {P}, old AS (SELECT lang, item_id, seed, pred_src AS pred FROM preds), new AS (SELECT lang, item_id, seed, pred_tgt AS pred FROM preds WHERE lang = 'de' AND seed = 1)
+@query("SNK-02", sql=f"""WITH {P}, old AS (SELECT lang, item_id, seed, pred_src AS pred FROM preds), new AS (SELECT lang, item_id, seed, pred_tgt AS pred FROM preds WHERE lang = 'de' AND seed = 1)
 SELECT lang, item_id, seed, pred FROM new UNION ALL SELECT * FROM old WHERE NOT (lang = 'de' AND seed = 1)""")
 def upserted_log(spark, d):
     p, path = D.predictions(spark, d), S.scratch(spark, "log")
@@ -55,19 +55,7 @@ def manifest_check(spark, d):
     return S.verify_manifest(S.manifest(x, "block_id"), S.manifest(tampered, "block_id"), "block_id")
 
 
-@query("SNK-11", "SRC-18", "REP-01", "REP-03", sql=f"WITH {D.SQL_FAILURES} SELECT label_group, count(*) AS n, true AS one_config FROM fails GROUP BY 1")
-def stamped_report(spark, d):
-    r = S.stamped(D.failures(spark, d).groupBy("label_group").agg(F.count("*").alias("n")), {"n_boot": 1000, "seed": 7})
-    one = r.agg((F.count_distinct("config_hash") == 1).alias("one_config"))
-    return r.select("label_group", "n").crossJoin(one)
-
-
-@query("SRC-13", "SRC-14", sql="SELECT 'tau' AS key, '0.82' AS value UNION ALL SELECT 'labels', '[\"a\", \"b\"]'")
-def json_config(spark, d):
-    return S.read_json_rows(spark, {"tau": 0.82, "labels": ["a", "b"]})
-
-
-@query("SRC-15", "VEC-06", "MOD-01")
+@query("SRC-15", "VEC-06")
 def embedded(spark, d):
     """Distinct texts are embedded by the hash stand-in and kept by id."""
     x = table(spark, d, "documents").select("doc_id", "text")
@@ -81,12 +69,6 @@ def registry(spark, d):
     return C.retention(files.select("file", "run_hash"), files.where("file LIKE 'n%'").select("run_hash"), files.where("file LIKE 'r%'").select("run_hash")).select("file", "verdict")
 
 
-@query("MOD-05", sql="SELECT doc_id, list_resize(list_transform(string_split(text, ' ')[1:4], lambda x: length(x)), 4, 0)::BIGINT[] AS ids FROM documents")
-def padded(spark, d):
-    x = table(spark, d, "documents")
-    return x.select("doc_id", M.pad(F.transform(F.slice(F.split("text", " "), 1, 4), lambda t: F.length(t)), 4).cast("array<bigint>").alias("ids"))
-
-
 @query("MOD-03", "MOD-04")
 def logistic_baseline(spark, d):
     """A logistic baseline trained by aggregated gradient steps on all dimensions of the vectors."""

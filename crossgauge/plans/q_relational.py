@@ -19,7 +19,7 @@ r6 = lambda c, name: F.round(c, 6).alias(name)
 # ---- scans and filters
 
 
-@query("SRC-01", "SRC-02", "SRC-03", "SRC-04", "SRC-06", "FLT-08", sql="SELECT doc_id, source, lang, n_chars FROM documents WHERE source = 'src1' AND lang IN ('en', 'de') AND n_chars BETWEEN 100 AND 5000")
+@query("SRC-06", "FLT-08", sql="SELECT doc_id, source, lang, n_chars FROM documents WHERE source = 'src1' AND lang IN ('en', 'de') AND n_chars BETWEEN 100 AND 5000")
 def split_scan(spark, d):
     return table(spark, d, "documents").where("source = 'src1' AND lang IN ('en', 'de')").where(F.col("n_chars").between(100, 5000)).select("doc_id", "source", "lang", "n_chars")
 
@@ -30,11 +30,6 @@ def string_scan(spark, d):
     return x.na.fill("")
 
 
-@query("SRC-07", "SRC-08", "SRC-09", sql=f"WITH {P} SELECT item_id, seed, gold, pred_src AS pred FROM preds WHERE lang = 'de'")
-def log_scan(spark, d):
-    return D.arm_log(spark, d, "src").where("condition_id = 'de_src'").select("item_id", "seed", "gold", "pred")
-
-
 @query("SRC-11", sql="SELECT DISTINCT source AS condition_id FROM documents WHERE source NOT IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5')")
 def unknown_conditions(spark, d):
     plan = spark.createDataFrame([(f"src{i}",) for i in range(6)], "condition_id string")
@@ -86,7 +81,7 @@ def violations(spark, d):
 # ---- joins
 
 
-@query("JOIN-01", "SET-03", "AGG-33", "JOIN-23", sql="""SELECT a.conv_id AS item_id, count(*) AS n FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user') a JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant') b USING (conv_id) JOIN (SELECT conv_id FROM conversations WHERE role = 'system') c USING (conv_id) GROUP BY 1""")
+@query("JOIN-01", "SET-03", "AGG-33", sql="""SELECT a.conv_id AS item_id, count(*) AS n FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user') a JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant') b USING (conv_id) JOIN (SELECT conv_id FROM conversations WHERE role = 'system') c USING (conv_id) GROUP BY 1""")
 def nway_join(spark, d):
     c = table(spark, d, "conversations").withColumnRenamed("conv_id", "item_id")
     one = {r: c.where(F.col("role") == r).select("item_id", "turn") for r in ROLES}
@@ -114,17 +109,6 @@ def native_mt_pairs(spark, d):
     return native.join(c.where("role = 'assistant'").select("item_id", F.col("turn").alias("mt_turn")), ["item_id", "mt_turn"]).select("item_id", "native_turn", "mt_turn")
 
 
-@query("JOIN-12", sql="""WITH e AS (SELECT vec_id % 100 AS item, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 300 AND label < 2), m AS (SELECT item, label, max_by(v, vec) AS v FROM (SELECT *, v[1] AS vec FROM e) GROUP BY 1, 2)
-SELECT a.item, round(list_dot_product(a.v, b.v), 6) AS sim FROM m a JOIN m b ON a.item = b.item AND a.label = 0 AND b.label = 1""")
-def human_reference(spark, d):
-    from crossgauge.functions.vectors import dot
-
-    e = table(spark, d, "embeddings").where("vec_id < 300 AND label < 2").select((F.col("vec_id") % 100).alias("item"), "label", F.col("embedding").cast("array<double>").alias("v"))
-    m = e.groupBy("item", "label").agg(F.max_by("v", F.get("v", 0)).alias("v"))
-    a, b = m.where("label = 0").select("item", F.col("v").alias("x")), m.where("label = 1").select("item", F.col("v").alias("y"))
-    return a.join(b, "item").select("item", F.round(dot(F.col("x"), F.col("y")), 6).alias("sim"))
-
-
 @query("JOIN-04", "SET-04", sql="""WITH o AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01') SELECT count(*) AS n_src, count(o.k) AS joined, count(*) - count(o.k) AS orphans FROM orders LEFT JOIN o ON o.k = o_orderkey""")
 def parity(spark, d):
     o = table(spark, d, "lineitem").where("l_shipdate < timestamp'1995-01-01'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("hit", F.lit(1))
@@ -182,7 +166,7 @@ def direction_ranking(spark, d):
     return m.select("src_lang", "tgt_lang", "r1", "r2", "r3", r6(F.col("score"), "score"), F.row_number().over(W.orderBy("score", "src_lang", "tgt_lang")).alias("place"))
 
 
-@query("JOIN-15", "JOIN-16", "AGG-11", "AGG-12", sql=f"""WITH {P}, e AS (SELECT lang, seed, count(*) AS evaluated FROM preds GROUP BY 1, 2), f AS (SELECT lang, seed, count(*) AS failed FROM preds WHERE pred_src = gold AND pred_tgt <> gold GROUP BY 1, 2)
+@query("AGG-11", "AGG-12", sql=f"""WITH {P}, e AS (SELECT lang, seed, count(*) AS evaluated FROM preds GROUP BY 1, 2), f AS (SELECT lang, seed, count(*) AS failed FROM preds WHERE pred_src = gold AND pred_tgt <> gold GROUP BY 1, 2)
 SELECT lang, seed, evaluated, coalesce(failed, 0) AS failed, round(coalesce(failed, 0)::DOUBLE / evaluated, 6) AS rate FROM e LEFT JOIN f USING (lang, seed)""")
 def failure_rates(spark, d):
     p = D.predictions(spark, d).groupBy("lang", "seed").agg(F.count("*").alias("evaluated"), F.count_if(R.mismatch()).alias("failed"))  # one pass instead of two joined counts
@@ -203,14 +187,6 @@ def affected_cells(spark, d):
     return f.join(f.where("seed = 2 AND label = 'seed_unstable'").select("lang").distinct(), "lang", "left_semi").select("item_id", "seed")
 
 
-@query("JOIN-20", "WIN-06", "ING-04", sql="WITH r AS (SELECT text, min(doc_id) AS rep FROM documents GROUP BY 1), t AS (SELECT rep, text, replace(substr(text, 1, 20), 'e', 'E') AS translation FROM r) SELECT doc_id, rep, translation FROM documents JOIN t USING (text)")
-def representative_broadcast(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("key"), "text")
-    reps = x.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text"))
-    done = reps.select("key", "rep", F.replace(F.substring("text", 1, 20), F.lit("e"), F.lit("E")).alias("translation"))
-    return x.select("doc_id", "key").join(done, "key").select("doc_id", "rep", "translation")
-
-
 @query("JOIN-21", sql="SELECT (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0) AS pending, count(*) AS n, count(CASE WHEN doc_id % 3 = 0 THEN 1 END) AS done FROM documents")
 def resume(spark, d):
     x = table(spark, d, "documents").select("doc_id")
@@ -225,13 +201,6 @@ def score_writeback(spark, d):
     return x.join(D.scores(spark, d).select("item_id", "labse_sim"), "item_id", "left").agg(F.count("*").alias("n"), F.count("labse_sim").alias("scored"))
 
 
-@query("JOIN-24", sql="""SELECT (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0)) AS labels_only, (SELECT count(*) FROM documents WHERE doc_id % 5 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)) AS documents_only, (SELECT count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)) AS doubled""")
-def reconciliation(spark, d):
-    a = table(spark, d, "labels").groupBy("doc_id").agg(F.count("*").alias("a"))
-    b = table(spark, d, "documents").where("doc_id % 5 <> 0").select("doc_id", F.lit(1).alias("b"))
-    return a.join(b, "doc_id", "full").agg(F.coalesce(F.sum(F.when(F.col("b").isNull(), F.col("a"))), F.lit(0)).alias("labels_only"), F.count_if(F.col("a").isNull()).alias("documents_only"), F.count_if(F.col("a") > 1).alias("doubled"))
-
-
 @query("JOIN-25", "DIA-06", sql=f"""WITH {P} SELECT a.item_id, a.seed, CASE WHEN a.lang = 'es' THEN 'not_applicable' WHEN b.pred_tgt = b.gold THEN 'fired' ELSE 'not_fired' END AS status FROM preds a LEFT JOIN preds b ON a.item_id = b.item_id AND b.seed = (a.seed + 1) % 3 WHERE a.pred_src = a.gold AND a.pred_tgt <> a.gold""")
 def provenance(spark, d):
     p = D.predictions(spark, d)
@@ -344,7 +313,7 @@ def failed_items(spark, d):
     return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("runs"), "item_id")))
 
 
-@query("AGG-26", "AGG-27", "AGG-32", "AGG-55", sql="""SELECT lang, count(*) AS n, count(DISTINCT text) AS n_texts, count(*) - count(DISTINCT text) AS doubled, min(length(text)) AS shortest, max(length(text)) AS longest, round(quantile_cont(length(text), 0.5), 6) AS median,
+@query("AGG-26", sql="""SELECT lang, count(*) AS n, count(DISTINCT text) AS n_texts, count(*) - count(DISTINCT text) AS doubled, min(length(text)) AS shortest, max(length(text)) AS longest, round(quantile_cont(length(text), 0.5), 6) AS median,
   sum((text = '')::INT)::BIGINT AS empty, sum(regexp_matches(text, '[0-9]')::INT)::BIGINT AS with_digit, sum(contains(text, '$')::INT)::BIGINT AS with_currency, count(DISTINCT source) AS n_sources FROM documents GROUP BY 1""")
 def split_audit(spark, d):
     x = table(spark, d, "documents").groupBy("lang")
@@ -354,7 +323,7 @@ def split_audit(spark, d):
                  F.count_if(F.col("text").rlike("[0-9]")).alias("with_digit"), F.count_if(F.contains(F.col("text"), F.lit("$"))).alias("with_currency"), F.count_distinct("source").alias("n_sources"))
 
 
-@query("AGG-28", "AGG-30", "ING-02", sql="""SELECT conv_id, list_sort(list(DISTINCT role)) AS roles FROM conversations GROUP BY 1 HAVING count(DISTINCT role) > 1""")
+@query("AGG-28", "ING-02", sql="""SELECT conv_id, list_sort(list(DISTINCT role)) AS roles FROM conversations GROUP BY 1 HAVING count(DISTINCT role) > 1""")
 def disagreements(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_set("role")).alias("roles")).where(F.size("roles") > 1)
 
@@ -391,7 +360,7 @@ def calibration(spark, d):
     return x.select("src_lang", "tau", r6(F.col("r"), "rejected"), F.when(F.col("r") > 0.2, "raise").otherwise("keep").alias("verdict"))
 
 
-@query("AGG-42", "AGG-45", "AGG-49", "SNK-08", sql="""SELECT source AS block_id, count(*) AS n, CASE WHEN count(DISTINCT lang) = 1 THEN max(lang) ELSE 'mixed' END AS origin, min(lang) AS first_lang, sum(n_chars)::BIGINT AS chars, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY 1""")
+@query("AGG-42", "AGG-49", sql="""SELECT source AS block_id, count(*) AS n, CASE WHEN count(DISTINCT lang) = 1 THEN max(lang) ELSE 'mixed' END AS origin, min(lang) AS first_lang, sum(n_chars)::BIGINT AS chars, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY 1""")
 def manifest_counts(spark, d):
     g = table(spark, d, "documents").groupBy(F.col("source").alias("block_id")).agg(F.count("*").alias("n"), F.when(F.count_distinct("lang") == 1, F.max("lang")).otherwise("mixed").alias("origin"), F.min("lang").alias("first_lang"), F.sum("n_chars").alias("chars"))
     return g.crossJoin(g.agg(F.sum("n").alias("total")))
@@ -468,12 +437,6 @@ def flag_examples(spark, d):
     return R.first_per(x, ["flag"], F.col("item_id"), F.col("seed"), n=5).select("flag", "item_id", "seed")
 
 
-@query("WIN-14", sql="SELECT lang, printf('R%s-%02d', lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id)) AS finding FROM documents WHERE doc_id < 100")
-def finding_ids(spark, d):
-    x = table(spark, d, "documents").where("doc_id < 100")
-    return x.select("lang", F.format_string("R%s-%02d", "lang", F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))).alias("finding"))
-
-
 @query("SRT-01", "SRT-02", "SRT-03", sql="SELECT doc_id, lang FROM documents ORDER BY CASE lang WHEN 'fr' THEN 1 WHEN 'en' THEN 2 WHEN 'de' THEN 3 ELSE 4 END, n_chars DESC, doc_id LIMIT 40")
 def custom_order(spark, d):
     order = F.array_position(F.array(*map(F.lit, ("fr", "en", "de", "es"))), F.col("lang"))
@@ -490,7 +453,7 @@ def stratified(spark, d):
     return R.stratified_split(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 3, 0.1, 0.1).select("doc_id", "split")
 
 
-@query("SMP-03", "VEC-04", "VEC-05", sql="""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY md5('1:' || vec_id), vec_id) AS a, row_number() OVER (ORDER BY md5('2:' || vec_id), vec_id) AS b FROM (SELECT * FROM embeddings WHERE label = 0 ORDER BY md5('1:' || vec_id), vec_id LIMIT 40))
+@query("SMP-03", sql="""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY md5('1:' || vec_id), vec_id) AS a, row_number() OVER (ORDER BY md5('2:' || vec_id), vec_id) AS b FROM (SELECT * FROM embeddings WHERE label = 0 ORDER BY md5('1:' || vec_id), vec_id LIMIT 40))
 SELECT count(*) AS n, round(avg(list_dot_product(x.v, y.v)), 6) AS mean, round(quantile_cont(list_dot_product(x.v, y.v), 0.5), 6) AS median, round(quantile_cont(list_dot_product(x.v, y.v), 0.95), 6) AS p95, round(avg((list_dot_product(x.v, y.v) >= 0.2)::INT::DOUBLE), 6) AS share FROM e x JOIN e y ON x.a = y.b""")
 def shuffled_control(spark, d):
     from crossgauge.functions.vectors import dot

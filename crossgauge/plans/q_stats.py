@@ -181,14 +181,7 @@ def largest_batch(spark, d):
     return x.groupBy((F.col("p_size") % 7).alias("encoder")).agg(F.coalesce(F.max(F.when(F.col("p_size") * F.col("b") <= 400, F.col("b"))), F.lit(0)).alias("largest"))
 
 
-@query("STA-09", sql="""SELECT q, m, t, list_filter([CASE WHEN m IN ('morphological_masking', 'linguistic') AND list_contains(string_split(t, ','), 'hin') THEN 'hindi_morphology' END, CASE WHEN q = 'provenance' AND m IN ('translation_drift', 'linguistic') THEN 'native_drift' END, CASE WHEN q = 'provenance' AND list_contains(string_split(t, ','), 'ben') THEN 'bengali_digits' END], lambda x: x IS NOT NULL) AS caveats
-FROM (VALUES ('target', 'linguistic', 'hin,ben'), ('provenance', 'linguistic', 'ben'), ('source', 'class_collapse', 'tel')) AS v(q, m, t)""")
-def caveats(spark, d):
-    x = spark.createDataFrame([("target", "linguistic", "hin,ben"), ("provenance", "linguistic", "ben"), ("source", "class_collapse", "tel")], "q string, m string, t string")
-    return x.select("*", G.caveats(F.col("q"), F.col("m"), F.split("t", ",")).alias("caveats"))
-
-
-@query("STA-10", "JOIN-27", "JOIN-28", "JOIN-29", sql=f"""WITH {D.SQL_CELLS} SELECT a.source, a.target, round(a.gap_mean, 6) AS base, round(b.gap_mean, 6) AS large, round(b.gap_mean - a.gap_mean, 6) AS delta, abs(b.gap_mean - a.gap_mean) > sqrt(a.gap_std * a.gap_std + b.gap_std * b.gap_std) AS beyond_noise, round(b.gap_mean / nullif(a.gap_mean, 0), 6) AS ratio FROM gaps a JOIN gaps b ON a.source = b.source AND a.target = b.target AND a.encoder = 'base' AND b.encoder = 'large'""")
+@query("STA-10", "JOIN-27", sql=f"""WITH {D.SQL_CELLS} SELECT a.source, a.target, round(a.gap_mean, 6) AS base, round(b.gap_mean, 6) AS large, round(b.gap_mean - a.gap_mean, 6) AS delta, abs(b.gap_mean - a.gap_mean) > sqrt(a.gap_std * a.gap_std + b.gap_std * b.gap_std) AS beyond_noise, round(b.gap_mean / nullif(a.gap_mean, 0), 6) AS ratio FROM gaps a JOIN gaps b ON a.source = b.source AND a.target = b.target AND a.encoder = 'base' AND b.encoder = 'large'""")
 def encoder_comparison(spark, d):
     g = D.gaps(spark, d).groupBy("source", "target").pivot("encoder", list(D.ENCODERS)).agg(F.first("gap_mean").alias("m"), F.first("gap_std").alias("s"))
     delta = F.col("large_m") - F.col("base_m")
@@ -203,14 +196,14 @@ def baseline_gate(spark, d):
     return pub.join(ours, "lang", "left").select("lang", G.gate_status(F.col("ours"), F.col("published"), F.col("diagnosed"), 0.02).alias("status"))
 
 
-@query("STA-13", "STA-15", "STA-16", sql="""SELECT p_partkey AS k, p_size * 1000000 AS params, round(16.0 * p_size * 1000000 / 1073741824, 6) AS floor_gib, round(greatest(0, p_retailprice / 100 - 16.0 * p_size * 1000000 / 1073741824), 6) AS activation_gib FROM part""")
+@query("STA-13", "STA-16", sql="""SELECT p_partkey AS k, p_size * 1000000 AS params, round(16.0 * p_size * 1000000 / 1073741824, 6) AS floor_gib, round(greatest(0, p_retailprice / 100 - 16.0 * p_size * 1000000 / 1073741824), 6) AS activation_gib FROM part""")
 def memory_model(spark, d):
     params = (F.col("p_size") * 1000000).alias("params")
     floor = F.lit(16.0) * F.col("p_size") * 1000000 / (1 << 30)
     return table(spark, d, "part").select(F.col("p_partkey").alias("k"), params, r6(floor, "floor_gib"), r6(F.greatest(F.lit(0.0), F.col("p_retailprice") / 100 - floor), "activation_gib"))
 
 
-@query("STA-17", "REP-04", sql=f"""WITH {D.SQL_CELLS}, v AS (SELECT encoder, source, string_agg(target, ',' ORDER BY target) AS targets, avg(gap_mean) > 0.25 AS held FROM gaps GROUP BY 1, 2 UNION ALL SELECT encoder, source, string_agg(target, ',' ORDER BY target), avg(gap_mean) > 0.25 FROM gaps WHERE target <> 'en' GROUP BY 1, 2)
+@query("STA-17", sql=f"""WITH {D.SQL_CELLS}, v AS (SELECT encoder, source, string_agg(target, ',' ORDER BY target) AS targets, avg(gap_mean) > 0.25 AS held FROM gaps GROUP BY 1, 2 UNION ALL SELECT encoder, source, string_agg(target, ',' ORDER BY target), avg(gap_mean) > 0.25 FROM gaps WHERE target <> 'en' GROUP BY 1, 2)
 SELECT a.encoder, a.source, a.targets, a.held, b.held AS held_without FROM v a JOIN v b ON a.encoder = b.encoder AND a.source = b.source AND contains(a.targets, 'en') AND NOT contains(b.targets, 'en')""")
 def sibling_verdict(spark, d):
     g = D.gaps(spark, d)
@@ -289,12 +282,12 @@ UNION ALL SELECT 'transfer_mt', block || '_to_' || target || '_mt', quadrant, bl
 UNION ALL SELECT 'translationese', 'within_' || lang, family || '->' || family, native_block || '/' || lang, string_agg(DISTINCT o.b || '/' || lang, '|' ORDER BY o.b || '/' || lang) FROM lang_dim, (SELECT native_block AS b FROM lang_dim WHERE native_block IS NOT NULL) o WHERE native_block IS NOT NULL GROUP BY lang, family, native_block)"""
 
 
-@query("CND-01", "CND-02", "CND-03", "CND-11", "CND-07", sql=f"WITH {_NAT} SELECT kind, name, quadrant, train, eval FROM conds")
+@query("CND-01", "CND-02", "CND-03", sql=f"WITH {_NAT} SELECT kind, name, quadrant, train, eval FROM conds")
 def condition_matrix(spark, d):
     return C.matrix(D.lang_dim(spark)).select("kind", "name", "quadrant", "train", F.array_join("eval", "|").alias("eval"))
 
 
-@query("JOIN-31", "CND-05", "JOIN-33", sql=f"WITH {_NAT} SELECT name, seed, CASE WHEN split_part(train, '/', 2) = 'fr' AND seed = 1 THEN 'blocked' ELSE 'runnable' END AS status FROM conds, (SELECT unnest([0, 1, 2]) AS seed)")
+@query("JOIN-31", sql=f"WITH {_NAT} SELECT name, seed, CASE WHEN split_part(train, '/', 2) = 'fr' AND seed = 1 THEN 'blocked' ELSE 'runnable' END AS status FROM conds, (SELECT unnest([0, 1, 2]) AS seed)")
 def run_plan(spark, d):
     registry = spark.createDataFrame([(x, s) for x in ("en", "de", "fr") for s in D.SEEDS if (x, s) != ("fr", 1)], "model_lang string, seed int")
     return C.plan(C.matrix(D.lang_dim(spark)), D.SEEDS, registry).select("name", "seed", "status")

@@ -148,7 +148,7 @@ def integrity_tests(spark, d):
     return pairs(spark).select("id", F.round(T.length_ratio(left, right), 6).alias("ratio"), T.placeholder_leaked(left, right).alias("placeholder"), T.escape_leaked(right).alias("escape"), T.encoding_corrupted(right).alias("corrupt"), T.corruption_flags(right).alias("flags"))
 
 
-@query("STR-13", "WIN-13", "AGG-31", sql=f"""WITH {D.SQL_SCORES}, r AS (SELECT *, (length(tgt_text) + 1)::DOUBLE / (length(src_text) + 1) AS ratio FROM scores),
+@query("STR-13", "WIN-13", sql=f"""WITH {D.SQL_SCORES}, r AS (SELECT *, (length(tgt_text) + 1)::DOUBLE / (length(src_text) + 1) AS ratio FROM scores),
 m AS (SELECT *, quantile_cont(ratio, 0.5) OVER (PARTITION BY src_lang, tgt_lang) AS med FROM r)
 SELECT src_lang, tgt_lang, count(*) AS n, round(max(med), 6) AS median_ratio, sum((ratio < 0.5 * med AND trim(tgt_text) <> '')::INT)::BIGINT AS truncated FROM m GROUP BY 1, 2""")
 def truncation(spark, d):
@@ -192,7 +192,7 @@ def suffix_stripping(spark, d):
 LEXICON = ["the and", "in the", "de la", "der", "que"]
 
 
-@query("STR-20", "STR-21", "SMP-04", sql=f"""SELECT lang, coalesce(list_filter({LEXICON}, lambda t: contains(text, t))[1], 'none') AS term, count(*) AS n FROM documents GROUP BY ALL""")
+@query("STR-20", "STR-21", sql=f"""SELECT lang, coalesce(list_filter({LEXICON}, lambda t: contains(text, t))[1], 'none') AS term, count(*) AS n FROM documents GROUP BY ALL""")
 def lexicon_terms(spark, d):
     term = F.coalesce(T.first_term(F.col("text"), LEXICON), F.lit("none"))
     return table(spark, d, "documents").groupBy("lang", term.alias("term")).agg(F.count("*").alias("n"))
@@ -222,7 +222,7 @@ def salience_spans(spark, d):
     return x.select("id", hit.alias("hit"), F.round(V.salience_share(sal, hit), 6).alias("share"))
 
 
-@query("STR-23", "AGG-41", sql=f"""WITH {D.SQL_SCORES}, t AS (SELECT src_lang, tgt_lang, len(list_filter(regexp_split_to_array(src_text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) AS a, len(list_filter(regexp_split_to_array(tgt_text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) AS b FROM scores)
+@query("STR-23", sql=f"""WITH {D.SQL_SCORES}, t AS (SELECT src_lang, tgt_lang, len(list_filter(regexp_split_to_array(src_text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) AS a, len(list_filter(regexp_split_to_array(tgt_text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) AS b FROM scores)
 SELECT src_lang, tgt_lang, round(avg(a), 6) AS src_tokens, round(avg(b), 6) AS tgt_tokens, sum((a > 0 AND b::DOUBLE / a >= 2.0)::INT)::BIGINT AS fires FROM t GROUP BY 1, 2""")
 def fragmentation(spark, d):
     x = D.scores(spark, d).select("src_lang", "tgt_lang", T.token_count(F.col("src_text")).alias("a"), T.token_count(F.col("tgt_text")).alias("b"), T.fragmentation_ratio(F.col("src_text"), F.col("tgt_text")).alias("r"))
@@ -277,7 +277,7 @@ def span_checks(spark, d):
 # ---- vectors
 
 
-@query("VEC-01", "VEC-02", "JOIN-10", "JOIN-11", sql="""WITH p AS (SELECT a.vec_id, a.label, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+@query("VEC-01", "VEC-02", sql="""WITH p AS (SELECT a.vec_id, a.label, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, round(list_dot_product(x, y), 6) AS sim, round(sqrt(list_dot_product(x, x)), 6) AS norm, round(list_dot_product(x, y) / sqrt(list_dot_product(x, x)), 6) AS from_unit FROM p""")
 def pair_similarity(spark, d):
     e = table(spark, d, "embeddings")
@@ -286,8 +286,3 @@ def pair_similarity(spark, d):
     return x.select("vec_id", F.round(V.dot(F.col("embedding"), F.col("other")), 6).alias("sim"), F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.dot(V.normalise(F.col("embedding")), F.col("other")), 6).alias("from_unit"))
 
 
-@query("VEC-08", "MOD-02", sql="""WITH v AS (SELECT vec_id, embedding[1:3]::DOUBLE[] AS x FROM embeddings) SELECT vec_id, list_position(x, list_max(x)) - 1 AS pred,
-  round(exp(x[1] - list_max(x)) / list_sum(list_transform(x, lambda y: exp(y - list_max(x)))), 6) AS p0 FROM v""")
-def argmax_softmax(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).cast("array<double>").alias("x"))
-    return v.select("vec_id", V.argmax(F.col("x")).cast("long").alias("pred"), F.round(F.get(V.softmax(F.col("x")), 0), 6).alias("p0"))

@@ -25,4 +25,4 @@ def query(*ids: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from crossgauge.plans import q_io, q_relational, q_stats, q_text  # noqa: F401
+    from crossgauge.plans import q_corpus, q_io, q_joins, q_relational, q_stats, q_text  # noqa: F401

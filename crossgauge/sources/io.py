@@ -18,8 +18,12 @@ RUNS = "run_id string, encoder string, split string, seed int, config_hash strin
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); the machine's own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/crossgauge-{os.getpid()}"
+    """A new path in the folder that all executors share (spark.checkpoint.dir); the machine's own only in a session of one JVM."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/crossgauge-{os.getpid()}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -36,6 +40,39 @@ def read_corpus(spark: SparkSession, path: str, schema: str | None = None, **par
     return df
 
 
+class BrokenRule(ValueError):
+    """Rows break the rules of their table."""
+
+
+def require(df: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """df, if every row keeps every rule; one pass counts what breaks each. Rules are SQL conditions; a null one counts as broken."""
+    counts = df.agg(*[F.count_if(~F.coalesce(F.expr(rule), F.lit(False))).alias(name) for name, rule in rules.items()]).first()
+    if broken := {k: n for k, n in counts.asDict().items() if n}:
+        raise BrokenRule(", ".join(f"{k}: {n} rows" for k, n in sorted(broken.items())))
+    return df
+
+
+def not_empty(df: DataFrame, what: str) -> DataFrame:
+    if df.isEmpty():
+        raise BrokenRule(f"no rows: {what}")
+    return df
+
+
+def write_split(df: DataFrame, path: str, rules: dict[str, str], *by: str) -> None:
+    """write_partitioned behind the rules."""
+    write_partitioned(require(df, rules), path, *by)
+
+
+def read_split(spark: SparkSession, path: str, schema: str, rules: dict[str, str], **partition) -> DataFrame:
+    """read_corpus under the rules; partitions that hold nothing are an error."""
+    return not_empty(require(read_corpus(spark, path, schema, **partition), rules), f"{path} {partition}")
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file of a folder that Spark can read."""
+    spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def upsert_table(new: DataFrame, path: str, keys: list[str], *by: str) -> None:
     """Replace the rows with new's keys and keep the rest, reading and rewriting only the partitions that new touches.
 
