@@ -28,11 +28,11 @@ PAIRS_A_ROUND = 2048
 FEWEST = 8
 _SLOTS = 1 << 18
 MAGIC = b"RPR2"
-_BITS = np.uint64(32)
-_NONE = np.uint64((1 << 64) - 1)  # no pair: its symbols are beyond every rule's
 
 
 def _slots(key: np.ndarray) -> np.ndarray:
+    if key.dtype == np.uint32:
+        return ((key * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.int64)
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
 
 
@@ -41,20 +41,25 @@ def _frequent(key: np.ndarray, slot: np.ndarray, most: int) -> np.ndarray:
     heavy = np.bincount(slot, minlength=_SLOTS)
     floor = max(FEWEST, int(np.partition(heavy, -2 * most)[-2 * most]))
     found, n = np.unique(key[(heavy >= floor)[slot]], return_counts=True)
-    found, n = found[n >= FEWEST], n[n >= FEWEST]
-    found, n = found[found != _NONE], n[found != _NONE]
+    use = (n >= FEWEST) & (found != np.iinfo(key.dtype).max)
+    found, n = found[use], n[use]
     return np.sort(found[np.lexsort((found, -n))[:most]])
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, first: int, pairs: int = PAIRS_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols per document, rules): rule r, named first + r, stands for the two symbols rules[r]."""
-    seq = ids.astype(np.uint64)
+    kind, bits = np.uint32, 16  # a pair is one number: both symbols' bits; all ones is no pair
+    seq = ids.astype(kind)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(lengths) - 1] = True
-    known, names = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # the rules' pairs, sorted, and their numbers
+    known, names = np.zeros(0, kind), np.zeros(0, np.int64)  # the rules' pairs, sorted, and their numbers
     while len(seq) > 1:
-        key = (seq[:-1] << _BITS) | seq[1:]
-        key[last[:-1]] = _NONE
+        if bits == 16 and first + len(known) + pairs >= (1 << 16) - 1:  # symbols outgrow 16 bits
+            kind, bits = np.uint64, 32
+            known = (known.astype(kind) >> kind(16) << kind(32)) | (known.astype(kind) & kind(0xFFFF))
+            seq = seq.astype(kind)
+        key = (seq[:-1] << kind(bits)) | seq[1:]
+        key[last[:-1]] = np.iinfo(kind).max
         slot = _slots(key)
         top = _frequent(key, slot, pairs)
         if not len(top):
@@ -74,14 +79,14 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first: int, pairs: int = PAIR
         run = np.concatenate(([True], np.diff(where) > 1))
         begin = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
         where = where[(np.arange(len(where)) - begin) % 2 == 0]
-        seq[where] = (first + name[at[where]]).astype(np.uint64)
+        seq[where] = (first + name[at[where]]).astype(kind)
         last[where] = last[where + 1]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq, last = seq[keep], last[keep]
     ends = np.flatnonzero(last) + 1
     rules = np.zeros((len(known), 2), np.uint32)
-    rules[names] = np.stack([known >> _BITS, known & np.uint64((1 << 32) - 1)], 1)
+    rules[names] = np.stack([known >> kind(bits), known & kind((1 << bits) - 1)], 1)
     return seq, np.diff(np.concatenate(([0], ends))), rules
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -19,8 +20,8 @@ from crossgauge.llm.common import _SPACE, CHUNK, chunks, prefix_hash, span_hash,
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Slots of a worker's table are 2**SLOT_BITS, 14 bytes each; it also holds KEPT_IDS ids.
-SLOT_BITS = 20
-KEPT_IDS = 4 << 20
+SLOT_BITS = 21
+KEPT_IDS = 8 << 20
 _WHOLE = 0xFFFF  # size of a piece whose text must go whole
 
 _TAIL = np.isin(np.arange(256), list(b".,"))
@@ -56,25 +57,25 @@ class Encoder:
         self.flat, self.used = np.zeros(kept_ids, self.dtype), 0
         self.tails = np.zeros(256, self.dtype)
         for c in b".,":
-            (self.tails[c],) = np.frombuffer(self.pretoken(chr(c)), self.dtype)
+            (self.tails[c],) = self.pretoken(bytes([c]))
+        self.line_feed = self.pretoken(b"\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def pretoken(self, text: str) -> bytes:
+    def pretoken(self, raw: bytes) -> list[int]:
         """A text that the pre-tokenizer would not split: straight to the model."""
-        symbols = text.encode().decode("latin1").translate(self.symbols)
-        return np.array([t.id for t in self.model.tokenize(symbols)], self.dtype).tobytes()
+        return [t.id for t in self.model.tokenize(raw.decode("latin1").translate(self.symbols))]
 
-    def piece(self, raw: bytes) -> bytes | None:
+    def piece(self, raw: bytes) -> list[int] | None:
         """Ids of a separator and word; None if the word has white space of another kind inside, or is huge."""
         text = raw.decode()
         sep, word = (text[0], text[1:]) if text[0] in " \n" else ("", text)
         if word.split() != [word] or len(raw) > 4096:
             return None
-        lead = " " if sep == " " else ""
-        out = self.pretoken(lead + word) if word.isalpha() else self.whole(lead + word)
-        return self.pretoken("\n") + out if sep == "\n" else out
+        own = raw[1:] if sep == "\n" else raw
+        out = self.pretoken(own) if word.isalpha() else self.tokenizer.encode(own.decode(), add_special_tokens=False).ids
+        return self.line_feed + out if sep == "\n" else out
 
     def look_up(self, hashes: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in flat, number of ids) of every piece; what the table lacks is encoded and kept."""
@@ -86,9 +87,8 @@ class Encoder:
             new, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
             first = missing[first]
             ids = [self.piece(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-            width = self.dtype.itemsize
-            sizes = np.array([_WHOLE if x is None else len(x) // width for x in ids], np.uint16)
-            flat = np.frombuffer(b"".join(x for x in ids if x), self.dtype)
+            sizes = np.array([_WHOLE if x is None else len(x) for x in ids], np.uint16)
+            flat = np.fromiter(chain.from_iterable(x for x in ids if x), self.dtype)
             if self.used + len(flat) > len(self.flat):
                 if self.used:
                     self.keys[:] = 0

@@ -231,18 +231,19 @@ def test_token_files_keep_rows_without_an_id(spark):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("first", [500, 65_300, 70_000])
 @pytest.mark.parametrize("pairs", [1, 7, 2048])
-def test_repair_goes_on_until_no_pair_is_frequent(pairs):
+def test_repair_goes_on_until_no_pair_is_frequent(pairs, first):
     rng = np.random.default_rng(3)
     phrase = rng.integers(0, 500, 200)
     ids = np.concatenate([np.tile(phrase, 64), rng.integers(0, 40, 5000), np.zeros(3000, np.int64)]).astype(np.uint16)
     cut = np.sort(rng.choice(len(ids), 30, replace=False))
     lengths = np.diff(np.concatenate(([0], cut[cut > 0], [len(ids)])))
-    shard = token_files.Shard(token_files.encode_shard(list(range(len(lengths))), ids, lengths, 500, pairs))
+    shard = token_files.Shard(token_files.encode_shard(list(range(len(lengths))), ids, lengths, first, pairs))
     assert shard.expand(shard.symbols()).tolist() == ids.tolist()
     ends = np.cumsum(lengths)
     assert all(shard.document(k).tolist() == ids[e - n : e].tolist() for k, (e, n) in enumerate(zip(ends, lengths, strict=True)))
-    depth = [0] * 500
+    depth = [0] * first
     for a, b in shard.rules.tolist():
         depth.append(1 + max(depth[a], depth[b]))
     assert max(depth) > 6 and len({tuple(r) for r in shard.rules.tolist()}) == len(shard.rules)
