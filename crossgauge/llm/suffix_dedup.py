@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import BROADCAST_IDS, chunks, documents, mix64, only, prefix_hash, span_hash, stash, stash_map, string_bytes, without
+from crossgauge.llm.common import BROADCAST_IDS, chunks, documents, fresh, mix64, only, prefix_hash, span_hash, stash, stash_map, string_bytes, without
 
 LENGTH = 200
 GRAM = 50
@@ -347,14 +347,15 @@ def _merged(spans):
         yield now
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs with a column _spans: the covered spans of each row, null if it has none."""
-    docs = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_text")})
-    spans = repeated_spans(keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("key"), F.col("_text").alias("text")))
-    spans = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("_spans")).toDF("_id2", "_key2", "_spans")
-    joined = keyed.join(spans, (F.col("_key") == F.col("_key2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
-    return joined.drop("_text", "_id", "_key", "_id2", "_key2")
+def _with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: the covered spans of each row, null if it has none."""
+    own, doc, key, found = (fresh(docs, f"_{x}") for x in ("id", "doc", "key", "spans"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({own: F.col("doc_id").cast("long"), key: F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text)})
+    spans = repeated_spans(keyed.select(F.col(own).alias("doc_id"), F.col(key).alias("key"), text.alias("text")))
+    spans = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias(found)).toDF(doc, f"{key}2", found)
+    joined = keyed.join(spans, (F.col(key) == F.col(f"{key}2")) & F.col(own).eqNullSafe(F.col(doc)), "left")
+    return joined.select(*docs.columns, found), found
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
@@ -375,8 +376,8 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return found.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found, _ = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -392,7 +393,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             cols[at] = pa.array(text, pa.string())
             yield pa.record_batch(cols, names=batch.schema.names[:-1])
 
-    out = _with_spans(docs).select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    out = _with_spans(docs)[0].mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
