@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -197,6 +199,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Powers that a worker keeps; those for a longer text are made for it alone.
+KEPT_POWERS = (1 << 19) + 1024
 _POW: np.ndarray | None = None
 _INV: np.ndarray | None = None
 _VAL = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -205,12 +209,14 @@ _VAL = mix64(np.arange(1, 257, dtype=np.uint64))
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     global _POW, _INV
-    if _POW is None or len(_POW) < n:
-        size = max(n, 1 << 16)
-        inv = np.uint64(pow(_BASE, -1, 1 << 64))
-        _POW = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, _BASE, np.uint64))), dtype=np.uint64)
-        _INV = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, inv, np.uint64))), dtype=np.uint64)
-    return _POW[:n], _INV[:n]
+    if _POW is not None and len(_POW) >= n:
+        return _POW[:n], _INV[:n]
+    size = max(n, KEPT_POWERS)
+    inv = np.uint64(pow(_BASE, -1, 1 << 64))
+    pw, iv = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64))), dtype=np.uint64) for x in (_BASE, inv))
+    if size == KEPT_POWERS:
+        _POW, _INV = pw, iv
+    return pw[:n], iv[:n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -277,11 +283,22 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 CHUNK = 1 << 19
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """glibc's malloc_trim, or nothing to call where the C library has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
 def chunks(col, limit: int = CHUNK):
-    """Row ranges of an Arrow string column of about `limit` bytes each (a longer row stands alone)."""
+    """Row ranges of an Arrow string column of about `limit` bytes each (a longer row stands alone).
+
+    After the last one the process gives freed memory back: workers are reused, and what one task's arrays took would
+    stay with them.
+    """
     _, off = string_bytes(col)
     i = 0
     while i < len(off) - 1:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
         yield i, j
         i = j
+    _trim()(0)

@@ -85,9 +85,12 @@ class Kernel:
     def table(self) -> np.ndarray:
         """n-gram code -> column; made once in each process."""
         if self._table is None:
-            rest = ((np.arange(_CODES, dtype=np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int32)
-            self._table = rest + self.width
-            self._table[self.codes] = np.arange(self.width)
+            table = np.empty(_CODES, np.uint16 if self.width + OTHER <= 1 << 16 else np.uint32)
+            for i in range(0, _CODES, 1 << 18):  # the other n-grams' slots, without large arrays on the way
+                code = np.arange(i, min(i + (1 << 18), _CODES), dtype=np.uint32)
+                table[i : i + len(code)] = ((code * np.uint32(0x9E3779B1)) >> np.uint32(20)) + np.uint32(self.width)
+            table[self.codes] = np.arange(self.width)
+            self._table = table
         return self._table
 
     def __getstate__(self):
