@@ -23,6 +23,8 @@ from crossgauge.llm.tokens import TOKENIZER, encoder
 
 END_ID = 0
 SHARD_IDS = 1 << 20
+#: A job that only encodes can keep a larger table of words in its workers: 2**22 slots of 14 bytes.
+SLOT_BITS = 22
 #: Pairs replaced between two counts of all pairs; rounds go on until no pair is seen FEWEST times in the shard, where a rule stops paying.
 PAIRS_A_ROUND = 2048
 FEWEST = 8
@@ -180,7 +182,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, shard_ids: in
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, part, n_shard = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, n_shard = encoder(tokenizer, SLOT_BITS), TaskContext.get().partitionId(), 0
         first = enc.tokenizer.get_vocab_size()
         kept: tuple[list, list] = ([], [])
         total = 0

@@ -171,6 +171,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(name_or_path: str = TOKENIZER) -> Encoder:
+def encoder(name_or_path: str = TOKENIZER, slot_bits: int = SLOT_BITS) -> Encoder:
     """One for each worker process."""
-    return Encoder(tokenizer_path(name_or_path))
+    return Encoder(tokenizer_path(name_or_path), slot_bits)
