@@ -261,7 +261,7 @@ def number_fields(spark, d):
 
 @query("NUM-08", "NUM-09", "NUM-10", "ING-03", "AGG-34")
 def span_recovery(spark, d):
-    rows = [(1, "50 हजार लोग", "50", "50, 000 people"), (2, "24 মিলিয়ন", "২৪", "2.4 crore, or 24 million"), (3, "145, 146", "146", "rules 145,146,150"), (4, "x", "7", "none"), (5, "5 5", "5", "5 and 5"), (6, "y", "abc", "1")]
+    rows = [(1, "70 हजार घर", "70", "70, 000 houses"), (2, "24 মিলিয়ন", "২৪", "2.4 crore, or 24 million"), (3, "211, 212", "212", "pages 211,212,219"), (4, "x", "7", "none"), (5, "5 5", "5", "5 and 5"), (6, "y", "abc", "1")]
     x = spark.createDataFrame(rows, "id int, src string, num string, tgt string")
     x = x.select("id", N.recover_span_udf("tgt", "num", "src").alias("r"), N.candidates_udf("tgt").alias("found"), N.scale_shifted_udf("src", "tgt", F.coalesce(N.parse_number(F.col("num")), F.lit(0.0))).alias("shifted"))
     return x.select("id", "r.*", F.size("found").alias("n_candidates"), "shifted")
