@@ -6,9 +6,10 @@ heavy slots of a fixed-size count sketch last, else by hash; l = 1 + n // 10) is
 as packed blocks, and a class whose prefix shares too few tokens with other classes can have no link and drops out.
 What is left is looked at on whole sets: order two puts a class's tokens by how many of these classes have them, rarest
 first; a class whose tokens are its own to more than a fifth drops out, and those that share a token of order two's first
-floor(n / 5) + 1 form groups. Inside a group, pairs must share prefix tokens under order one and a third (hash) order,
-the filters are intersected, and the remaining pairs are verified on their whole sets. A group too large for a task is
-split into pairs of blocks.
+floor(n / 5) + 1 meet: every such token leads its classes to the smallest of them, its hub, so a group is a hub's own
+neighbourhood and never a chain of neighbourhoods. Inside a group, pairs must share prefix tokens under order one and a
+third (hash) order, the filters are intersected, and the remaining pairs are verified on their whole sets. A pair that
+meets at several hubs is counted at the first. A group too large for a task is split into pairs of blocks.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from crossgauge.llm.components import connected_components, least_reachable
 
 SHINGLE = 5
 NUM, DEN = 80, 100
-#: Classes of a group that are compared in one task; larger groups go as pairs of blocks. Their shared tokens are counted in slices of COLUMNS.
+#: Classes of a group, and tokens of their sets, that are compared in one task; larger groups go as pairs of blocks. Their shared tokens are counted in slices of COLUMNS.
 BLOCK = 1024
+TOKENS_A_BLOCK = 1 << 21
 COLUMNS = 4096
 POSTINGS_A_BUCKET = 2_000_000
 #: Postings that a map task gathers before it packs them by bucket, and rows of a batch that leaves Python.
@@ -291,13 +293,20 @@ def _links(sets: list[np.ndarray], left: np.ndarray | None) -> tuple[np.ndarray,
 
 
 def _verify(batches):
-    """Rows (grp, i, j, blk, cls, set), sorted by (grp, i, j): for each class its least linked class in the part, and its links."""
+    """Rows (grp, i, j, blk, cls, set, hubs), sorted by (grp, i, j): for each class its least linked class in the part, and its links.
+
+    Links that an earlier hub sees too are left to it.
+    """
     import pyarrow as pa
 
     def close(part):
         left = None if part[0][0][1] == part[0][0][2] else np.array([r[0][3] == r[0][1] for r in part])
         cls = np.array([r[1] for r in part], np.int64)
         a, b = _links([r[2] for r in part], left)
+        earlier = [r[3][r[3] < part[0][0][0]] for r in part]
+        if len(a) and any(map(len, earlier)):
+            here = _overlaps(earlier)[a, b] == 0
+            a, b = a[here], b[here]
         degree = np.bincount(np.concatenate((a, b)), minlength=len(cls))
         there = np.flatnonzero(degree)
         return cls[there], cls[least_reachable(a, b, len(cls))][there], degree[there]
@@ -309,13 +318,14 @@ def _verify(batches):
     part: list = []
     for batch in batches:
         found = []
-        lists = batch.column(5)
+        lists, near = batch.column(5), batch.column(6)
         tokens = [lists[r].values.to_numpy().view(np.uint64) for r in range(batch.num_rows)]
-        for grp, i, j, blk, cls, own in zip(*(batch.column(c).to_pylist() for c in range(5)), tokens, strict=True):
+        hubs = [near[r].values.to_numpy() for r in range(batch.num_rows)]
+        for grp, i, j, blk, cls, own, hub in zip(*(batch.column(c).to_pylist() for c in range(5)), tokens, hubs, strict=True):
             if part and part[0][0][:3] != (grp, i, j):
                 found.append(close(part))
                 part = []
-            part.append(((grp, i, j, blk), cls, own))  # tokens in order one
+            part.append(((grp, i, j, blk), cls, own, hub))  # tokens in order one
         yield pack(found)
     if part:
         yield pack([close(part)])
@@ -359,17 +369,18 @@ def _named(docs: DataFrame) -> DataFrame:
 
     w = W.partitionBy("cls")
     several = shared_tokens(held, buckets).withColumns({"own": F.col("n") - F.count("*").over(w), "place": F.row_number().over(w.orderBy("k", "token"))})
-    core = several.where(F.col("place") + F.col("own") - F.floor(F.col("n") * F.col("n") / F.lit(1 << 32)) <= F.col("n") - F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}") + 1).select("token", "cls")
+    core = several.where(F.col("place") + F.col("own") - F.floor(F.col("n") * F.col("n") / F.lit(1 << 32)) <= F.col("n") - F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}") + 1).select("token", "cls", "n")
     core = stash(core, "core")
-    hubs = core.groupBy("token").agg(F.min("cls").alias("b"), F.count("*").alias("k")).where("k > 1")
-    edges = core.join(hubs, "token").select(F.col("cls").alias("a"), "b").distinct()
-    groups = connected_components(edges, most=core.count()).select(F.col("node").alias("cls"), F.col("component").alias("grp"))
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = stash(groups.join(sizes, "grp").withColumns({"blk": F.pmod(F.xxhash64("cls"), blocks).cast("int"), "blocks": blocks}), "groups", n_members)
+    hubs = core.groupBy("token").agg(F.min(F.struct("n", "cls")).alias("hub"), F.count("*").alias("k")).where("k > 1")  # the smallest has the fewest neighbours
+    groups = stash(core.join(hubs, "token").select(F.col("hub.cls").alias("grp"), "cls", "n").distinct(), "groups")
     unstash(core)
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(held.select("cls", "tokens"), "cls")
-    pairs = pairs.select("grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "tokens")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens") / TOKENS_A_BLOCK)).cast("int")
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).select("grp", blocks.alias("blocks"))
+    near = groups.groupBy("cls").agg(F.collect_list("grp").alias("hubs"))  # a fifth of the set's tokens, at most
+    sets_ = held.select("cls", "tokens").join(near, "cls")
+    placed = groups.select("grp", "cls").join(sizes, "grp").withColumn("blk", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets_, "cls")
+    pairs = pairs.select("grp", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "tokens", "hubs")
     links = pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls")
     links = stash_map(links, _verify, "cls long, root long, n_links long", "links")
     unstash(held)
