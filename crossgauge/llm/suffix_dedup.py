@@ -11,7 +11,7 @@ equal anchors at equal places. Only anchored suffixes are sorted. The work goes
    ordered by what stands before them; runs that agree for 200 bytes in all are maximal repeats, kept with all their
    occurrences, whose left extensions differ (or end).
 3. an anchor with more than HOT classes (a passage that a large part of the documents hold, each with other text around)
-   is not compared in one task: its suffixes are cut into all their 200-byte windows, which are counted by hash.
+   is not compared in one task: its suffixes are cut into all their 200-byte windows, which are counted by anchor and hash.
 4. what the repeats cover is cut from the documents.
 
 Python holds one document batch or the contexts of one anchor (at most HOT of 350 bytes) at a time.
@@ -192,7 +192,7 @@ def _runs(contexts, rank, members, depth, length):
 
 
 def _scan(batches):
-    """Rows (gram, doc_id, key, place, before, context), sorted by gram: the spans that repeats cover, as places from and to."""
+    """Rows (gram, doc_id, key, place, before, context), sorted by the first four: the spans that repeats cover, as places from and to."""
     import pyarrow as pa
 
     def close(part):
@@ -215,6 +215,8 @@ def _scan(batches):
                 if len(part) > 1:
                     out += close(part)
                 now, part = gram, []
+            elif part[-1][:3] == rest[:3]:  # the same row again
+                continue
             part.append(rest)
         yield pack(out)
     if len(part) > 1:
@@ -240,7 +242,7 @@ def _contexts(batches):
 
 
 def _windows(batches):
-    """For each of the same rows: its ids, its anchors' places, and every window of LENGTH bytes that holds an anchor's gram: which anchor, a hash, a place."""
+    """For each of the same rows: its ids, its anchors' places, and every window of LENGTH bytes that holds an anchor's gram: which anchor, its gram, a hash, a place."""
     done = None
     for batch in batches:
         for row in range(batch.num_rows):
@@ -253,17 +255,21 @@ def _windows(batches):
             first, n = place - before, np.maximum(0, before + np.minimum(after, LENGTH) - LENGTH + 1)
             which = np.repeat(np.arange(len(n)), n)
             start = first[which] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            gram = a.field(3).to_numpy().view(np.uint64)
-            yield now[0].as_py(), now[1].as_py(), which, span_hash(sums, start, start + LENGTH) ^ mix64(gram)[which], start
+            yield now[0].as_py(), now[1].as_py(), which, a.field(3).to_numpy()[which], span_hash(sums, start, start + LENGTH).view(np.int64), start
 
 
 def _count_windows(batches):
     import pyarrow as pa
 
     for batch in batches:
-        found = [h for *_, h, _ in _windows([batch])]
-        h, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-        yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["window", "n"])
+        found = [(g, h) for *_, g, h, _ in _windows([batch])]
+        if not found:
+            continue
+        gram, h = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((h, gram))
+        gram, h = gram[order], h[order]
+        begin = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (h[1:] != h[:-1])))) if len(h) else np.zeros(0, np.int64)
+        yield pa.record_batch([pa.array(gram[begin]), pa.array(h[begin]), pa.array(np.diff(np.append(begin, len(h))))], names=["gram", "window", "n"])
 
 
 def _asked(places: DataFrame, docs: DataFrame) -> DataFrame:
@@ -273,32 +279,34 @@ def _asked(places: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _hot_spans(asked: DataFrame) -> DataFrame:
-    """doc_id, key, start, stop covered by the windows of the asked anchors that occur twice, known by 64 bits of window and gram.
+    """doc_id, key, start, stop covered by the windows of the asked anchors that occur twice, known by 64 bits of the gram and 64 of the window.
 
     All windows of an anchor hold it, so what they cover is one span.
     """
-    twice = asked.mapInArrow(_count_windows, "window long, n long").groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
+    twice = asked.mapInArrow(_count_windows, "gram long, window long, n long").groupBy("gram", "window").agg(F.sum("n").alias("n")).where("n > 1").select("gram", "window")
     twice = stash(twice, "windows")
+    held = None
     if twice.count() <= BROADCAST_IDS:
-        held = asked.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in twice.toLocalIterator()], np.int64).view(np.uint64)))
-    else:
-        held = None
+        table = twice.toArrow()
+        gram, window = (table.column(k).to_numpy() for k in range(2))
+        order = np.argsort(window)
+        held = asked.sparkSession.sparkContext.broadcast((gram[order], window[order]))
 
     def cover(batches):
         import pyarrow as pa
 
         known = None if held is None else held.value
-        for doc_id, key, which, h, start in _windows(batches):
+        for doc_id, key, which, gram, h, start in _windows(batches):
             if known is not None:
-                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                use = known[at] == h if len(known) else np.zeros(len(h), bool)
-                which, h, start = which[use], h[use], start[use]
-            cols = [pa.array([doc_id] * len(h), pa.int64()), pa.array([key] * len(h), pa.int64()), pa.array(which.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(start.astype(np.int32))]
-            yield pa.record_batch(cols, names=["doc_id", "key", "which", "window", "start"])
+                at = np.minimum(np.searchsorted(known[1], h), max(0, len(known[1]) - 1))
+                use = (known[1][at] == h) & (known[0][at] == gram) if len(known[1]) else np.zeros(len(h), bool)
+                which, gram, h, start = which[use], gram[use], h[use], start[use]
+            cols = [pa.array([doc_id] * len(h), pa.int64()), pa.array([key] * len(h), pa.int64()), pa.array(which.astype(np.int32)), pa.array(gram), pa.array(h), pa.array(start.astype(np.int32))]
+            yield pa.record_batch(cols, names=["doc_id", "key", "which", "gram", "window", "start"])
 
-    rows = asked.mapInArrow(cover, "doc_id long, key long, which int, window long, start int")
+    rows = asked.mapInArrow(cover, "doc_id long, key long, which int, gram long, window long, start int")
     if held is None:
-        rows = rows.join(twice, "window", "left_semi")
+        rows = rows.join(twice, ["gram", "window"], "left_semi")
     return rows.groupBy("doc_id", "key", "which").agg(F.min("start").alias("start"), (F.max("start") + LENGTH).alias("stop")).select("doc_id", "key", "start", "stop")
 
 
@@ -315,7 +323,7 @@ def repeated_spans(docs: DataFrame, hot: int | None = None) -> DataFrame:
     grams = stash(several.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram"), "hot", total // hot)  # at most total / hot rows
     cold = without(several, grams, "gram")
     contexts = _asked(cold, docs).mapInArrow(_contexts, "gram long, doc_id long, key long, place int, before int, context binary")
-    tree = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(_scan, "doc_id long, key long, start int, stop int")
+    tree = contexts.repartition("gram").sortWithinPartitions("gram", "doc_id", "key", "place").mapInArrow(_scan, "doc_id long, key long, start int, stop int")
     spans = spans.union(tree)
     if grams.count():
         heat = several.join(grams, "gram", "left_semi")
@@ -347,13 +355,23 @@ def _merged(spans):
         yield now
 
 
+def _merge(batches):
+    """Rows (doc_id, key, spans): the spans merged, so that equal rows each get a short list."""
+    import pyarrow as pa
+
+    for batch in batches:
+        merged = [[{"start": a, "stop": b} for a, b in _merged(spans)] for spans in batch.column(2).to_pylist()]
+        yield pa.record_batch([*batch.columns[:2], pa.array(merged, batch.schema.field(2).type)], names=batch.schema.names)
+
+
 def _with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with one more column, and its name: the covered spans of each row, null if it has none."""
+    """docs with one more column, and its name: the covered spans of each row, merged, null if it has none."""
     own, doc, key, found = (fresh(docs, f"_{x}") for x in ("id", "doc", "key", "spans"))
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({own: F.col("doc_id").cast("long"), key: F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text)})
     spans = repeated_spans(keyed.select(F.col(own).alias("doc_id"), F.col(key).alias("key"), text.alias("text")))
-    spans = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias(found)).toDF(doc, f"{key}2", found)
+    spans = spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # equal rows have equal spans
+    spans = spans.mapInArrow(_merge, "doc_id long, key long, spans array<struct<start: int, stop: int>>").toDF(doc, f"{key}2", found)
     joined = keyed.join(spans, (F.col(key) == F.col(f"{key}2")) & F.col(own).eqNullSafe(F.col(doc)), "left")
     return joined.select(*docs.columns, found), found
 

@@ -464,3 +464,71 @@ def test_pipeline_stages(spark, docs):
             assert after.count() <= now.count()
         now = after
     assert now.count() > 0
+
+
+def test_thousands_of_equal_rows_without_an_id(spark):
+    """Each text gets its spans once, so equal rows cost in proportion."""
+    text = prose(11, 350)
+    rows = [(None, text)] * 5000 + [(1, prose(12, 80)), (None, None), (None, None)]
+    got = suffix_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    nothing = hashlib.sha256(b"").hexdigest()
+    n = len(text.encode())
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == {
+        (None, n, n, 1, nothing): 5000, (None, 0, 0, 0, nothing): 2, (1, len(prose(12, 80)), 0, 0, hashlib.sha256(prose(12, 80).encode()).hexdigest()): 1}
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_shared_passages_do_not_chain(spark, monkeypatch):
+    """Texts of passages from a pool, hardly any linked: groups are neighbourhoods, not the whole corpus; near copies and links are all found."""
+    rng = np.random.default_rng(6)
+    pool = [prose(10_000 + i, 30) for i in range(400)]
+    texts = ["\n".join(pool[k] for k in rng.choice(400, 6, replace=False)) for _ in range(400)]
+    for i in range(0, 40, 2):  # near copies of some
+        w = texts[i].split()
+        w[int(rng.integers(len(w)))] = "changed"
+        texts.append(" ".join(w))
+        texts.append(texts[i] + " tail")
+    seen = []
+    whole = ngram_jaccard.stash
+
+    def watched(df, name="stash", rows=None):
+        out = whole(df, name, rows)
+        if name == "groups":
+            seen.append(out.groupBy("grp").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "stash", watched)
+    got = {r["doc_id"]: r for r in ngram_jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    sets = [shingles(t) for t in texts]
+    links = defaultdict(set)
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                links[a].add(b)
+                links[b].add(a)
+    assert {i: r["n_links"] for i, r in got.items()} == {i: len(links[i]) for i in range(len(texts))}
+    assert all(got[a]["component_id"] == got[b]["component_id"] for a in links for b in links[a])
+    assert len({r["component_id"] for r in got.values()}) == 400
+    assert seen and max(seen) < 60
+
+
+@pytest.mark.parametrize("block, tokens", [(8, 1 << 21), (1024, 2000)])
+def test_groups_in_pairs_of_blocks(spark, monkeypatch, block, tokens):
+    """A cluster of near copies cut into blocks by classes or by tokens: every link once."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
+    monkeypatch.setattr(ngram_jaccard, "TOKENS_A_BLOCK", tokens)
+    rng, base = np.random.default_rng(7), prose(13, 150).split()
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for k in rng.choice(150, int(rng.integers(0, 5)), replace=False):
+            w[k] = f"edit{rng.integers(1000)}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r["n_links"] for r in ngram_jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    sets = [frozenset(shingles(t)) for t in texts]
+    classes = set(sets)
+    assert got == {i: sum(s != t and 5 * len(s & t) >= 4 * len(s | t) for t in classes) for i, s in enumerate(sets)}
