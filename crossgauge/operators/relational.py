@@ -62,7 +62,7 @@ def nearest(left: DataFrame, right: DataFrame, block: int = VECTOR_BLOCK) -> Dat
 
     Frames have (id, v), v of unit length; ties go to the smaller id; null vectors are left out. Both sides are dealt
     into blocks, and every pair of blocks is one task's matrix product. Only best rows leave a task: no pair is emitted,
-    and no vector passes through the driver.
+    and no vector passes through the driver. neighbours.search does without most pairs of blocks.
     """
     import numpy as np
 
@@ -103,13 +103,6 @@ def nearest(left: DataFrame, right: DataFrame, block: int = VECTOR_BLOCK) -> Dat
     return found.groupBy("side", "id").agg(F.min_by("other", F.struct(-F.col("sim"), F.col("other"))).alias("other"), F.max("sim").alias("sim"))
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, tau: float, block: int = VECTOR_BLOCK) -> DataFrame:
-    """Pairs (l, r, sim) that are each other's nearest, at or above tau."""
-    best = nearest(left, right, block).where(F.col("sim") >= tau)
-    a, b = best.where("side = 'l'"), best.where("side = 'r'")
-    return a.select(F.col("id").alias("l"), F.col("other").alias("r"), "sim").join(b.select(F.col("other").alias("l"), F.col("id").alias("r")), ["l", "r"])
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows, and the old ones whose key is not among them."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

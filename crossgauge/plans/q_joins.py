@@ -12,6 +12,7 @@ from crossgauge.functions.vectors import dot
 from crossgauge.operators import conditions as C
 from crossgauge.operators import diagnose as G
 from crossgauge.operators import models as M
+from crossgauge.operators import neighbours as N
 from crossgauge.operators import relational as R
 from crossgauge.plans import derived as D
 from crossgauge.plans.q_stats import _NAT
@@ -229,7 +230,7 @@ def independence_tests(spark, d):
     y = b.select("i", F.col("v").alias("y"))
     aligned = ka.join(y, "i").select(F.lit("B1_row_aligned").alias("test"), dot(F.col("x"), F.col("y")).alias("s"))
     shuffled = ka.join(kb, "j").drop("i").withColumnRenamed("i2", "i").join(y, "i").select(F.lit("B1_shuffled_control").alias("test"), dot(F.col("x"), F.col("y")).alias("s"))
-    near = R.nearest(ka.select(F.col("i").alias("id"), F.col("x").alias("v")), b.select("id", "v")).where("side = 'l'").select(F.lit("B2_nearest_neighbour").alias("test"), F.col("sim").alias("s"))
+    near = N.nearest(ka.select(F.col("i").alias("id"), F.col("x").alias("v")), b.select("id", "v"), "l").select(F.lit("B2_nearest_neighbour").alias("test"), F.col("sim").alias("s"))
     s = aligned.unionByName(shuffled).unionByName(near)
     m = s.groupBy("test").agg(F.count("*").alias("n"), r6(F.avg("s"), "mean"), r6(F.percentile("s", 0.5), "median"), r6(F.percentile("s", 0.95), "p95"), r6(F.max("s"), "most"), r6(F.avg((F.col("s") >= TAU).cast("double")), "share"))
     return m.withColumn("parallel_suspected", F.max(F.when(F.col("test") == "B2_nearest_neighbour", F.col("share") > 0.5)).over(W.partitionBy()))  # three rows
@@ -246,7 +247,7 @@ def calibration_controls(spark, d):
     out = None
     for name, x, y in _CONTROLS:
         few = R.hash_sample(_set(spark, d, x), [], "id", 30, 5).select("id", "v")  # a bounded sample is the test
-        s = R.nearest(few, _set(spark, d, y)).where("side = 'l'").select(F.lit(name).alias("control"), F.col("sim").alias("s"))
+        s = N.nearest(few, _set(spark, d, y), "l").select(F.lit(name).alias("control"), F.col("sim").alias("s"))
         out = s if out is None else out.unionByName(s)
     return out.groupBy("control").agg(F.count("*").alias("n"), r6(F.percentile("s", 0.5), "median"), r6(F.avg("s"), "mean"), r6(F.avg((F.col("s") >= TAU).cast("double")), "share"))
 

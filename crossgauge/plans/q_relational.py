@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crossgauge.operators import neighbours as N
 from crossgauge.operators import relational as R
 from crossgauge.plans import derived as D
 from crossgauge.plans.registry import query
@@ -139,13 +140,13 @@ def _mnn(a, b, name, tau=TAU):
 
 @query("JOIN-08", "WIN-04", "VEC-03", sql=f"WITH {_mnn(0, 1, 'm')} SELECT l, r, round(sim, 6) AS sim FROM m")
 def mutual_neighbours(spark, d):
-    return R.mutual_nearest(_vectors(spark, d, 0), _vectors(spark, d, 1), TAU).select("l", "r", r6(F.col("sim"), "sim"))
+    return N.mutual_nearest(_vectors(spark, d, 0), _vectors(spark, d, 1), TAU).select("l", "r", r6(F.col("sim"), "sim"))
 
 
 @query("JOIN-09", sql=f"WITH {_mnn(0, 1, 'ab', -1.0)}, {_mnn(0, 2, 'ac', -1.0)}, {_mnn(1, 2, 'bc', -1.0)} SELECT ab.l AS a, ab.r AS b, ac.r AS c FROM ab JOIN ac ON ab.l = ac.l JOIN bc ON bc.l = ab.r AND bc.r = ac.r")
 def consistent_triples(spark, d):
     v = [_vectors(spark, d, i) for i in range(3)]
-    ab, ac, bc = (R.mutual_nearest(v[i], v[j], -1.0).select("l", "r") for i, j in ((0, 1), (0, 2), (1, 2)))
+    ab, ac, bc = (N.mutual_nearest(v[i], v[j], -1.0).select("l", "r") for i, j in ((0, 1), (0, 2), (1, 2)))
     t = ab.toDF("a", "b").join(ac.toDF("a", "c"), "a")
     return t.join(bc.toDF("b", "c"), ["b", "c"], "left_semi").select("a", "b", "c")
 
@@ -409,7 +410,7 @@ def histogram(spark, d):
 
 @query("WIN-03", sql="""WITH p AS (SELECT a.vec_id, max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS sim FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label = 1 GROUP BY 1) SELECT vec_id, round(sim, 6) AS sim FROM p""")
 def nearest(spark, d):
-    p = R.nearest(_vectors(spark, d, 0), _vectors(spark, d, 1)).where("side = 'l'")
+    p = N.nearest(_vectors(spark, d, 0), _vectors(spark, d, 1), "l")
     return p.select(F.col("id").alias("vec_id"), r6(F.col("sim"), "sim"))
 
 

@@ -20,23 +20,32 @@ N_BOOT = 1000
 r6 = lambda c, name: F.round(c, 6).alias(name)
 
 
-def _mix_sql(expr: str, frm: str, keep: str) -> str:
-    """The bootstrap's integer mixer as nested selects: `keep` columns and x."""
-    q = f"SELECT {keep}, {expr} AS x FROM {frm}"
+def _mix_sql(x: str) -> str:
+    """The bootstrap's integer mixer of an expression."""
     for _ in range(2):
-        q = f"SELECT {keep}, (xor(x, x >> 16) * {B.MIX}) & {B.MASK} AS x FROM ({q})"
-    return f"SELECT {keep}, xor(x, x >> 16) AS x FROM ({q})"
+        x = f"((xor({x}, ({x}) >> 16) * {B.MIX}) & {B.MASK})"
+    return f"xor({x}, {x} >> 16)"
+
+
+#: Tables of up to 2**11 coins: enough for 4095 rows of a key.
+_COINS = [B.fair_coins(k) for k in range(12)]
 
 
 def _draws_sql(keys: str, cell: str) -> str:
-    """draws(keys, b, cell, m) from a CTE cells(keys, cell, n): the same row numbers as bootstrap.resampled."""
-    on = " AND ".join(f"p.{k} = u.{k}" for k in keys.split(", "))
+    """draws(keys, b, cell, m) from a CTE cells(keys, cell, n): the same splits as bootstrap.resampled. It needs WITH RECURSIVE."""
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
     of_u = ", ".join(f"u.{c}" for c in cell.split(", "))
-    return f"""upto AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY {cell})::BIGINT AS hi FROM cells),
-tot AS (SELECT {keys}, sum(n)::BIGINT AS total FROM cells GROUP BY ALL),
-heads AS ({_mix_sql('b + 1', f'(SELECT *, unnest(range({N_BOOT}))::BIGINT AS b FROM tot)', f'{keys}, b, total')}),
-picks AS (SELECT {keys}, b, x % total AS pick FROM ({_mix_sql(f'(h + i * {B.STEP}) & {B.MASK}', '(SELECT * EXCLUDE (x), x AS h, unnest(range(total))::BIGINT AS i FROM heads)', f'{keys}, b, total')})),
-draws AS (SELECT {', '.join(f'p.{k}' for k in keys.split(', '))}, p.b, {of_u}, count(*) AS m FROM picks p JOIN upto u ON {on} AND p.pick < u.hi AND p.pick >= u.hi - u.n GROUP BY ALL)"""
+    digit = _mix_sql(f"((x + (k + 1) * {B.DIGIT}) & {B.MASK})")
+    left = f"coalesce(list_sum(list_transform(range(12), lambda k: CASE WHEN (m >> k) & 1 = 1 THEN firsts[k + 1] + len(list_filter(coins[k + 1], lambda c: c <= {digit})) ELSE 0 END)), 0)::BIGINT"
+    return f"""upto AS (SELECT *, sum(n) OVER w::BIGINT AS hi, row_number() OVER w AS i FROM cells WINDOW w AS (PARTITION BY {keys} ORDER BY {cell})),
+tot AS (SELECT {keys}, sum(n)::BIGINT AS total, count(*) AS n_cells FROM cells GROUP BY ALL),
+draw AS (SELECT b, {_mix_sql('(b + 1)')} AS h FROM (SELECT unnest(range({N_BOOT}))::BIGINT AS b)),
+tables AS (SELECT {[list(t) for _, t in _COINS]} AS coins, {[f for f, _ in _COINS]} AS firsts),
+walk AS (SELECT u.i, {', '.join(f'u.{k}' for k in keys.split(', '))}, (u.hi << {B.LEVELS}) // total AS bound, b, h, 0 AS level, 1::BIGINT AS node, total AS m, 0::BIGINT AS below FROM upto u JOIN tot t ON {on('u', 't')} AND u.i < n_cells, draw
+  UNION ALL SELECT i, {keys}, bound, b, h, level + 1, 2 * node + goes, CASE WHEN goes = 1 THEN m - x ELSE x END, below + goes * x FROM
+  (SELECT * EXCLUDE (x), {left} AS x FROM (SELECT *, (bound >> ({B.LEVELS - 1} - level)) & 1 AS goes, {_mix_sql(f'((h + node * {B.STEP}) & {B.MASK})')} AS x FROM walk, tables WHERE m > 0 AND level < {B.LEVELS}))),
+edges AS (SELECT i, {keys}, b, max(below) AS edge FROM walk GROUP BY ALL UNION ALL SELECT n_cells, {keys}, b, total FROM tot, draw),
+draws AS (SELECT {', '.join(f'e.{k}' for k in keys.split(', '))}, e.b, {of_u}, e.edge - coalesce(lag(e.edge) OVER (PARTITION BY {', '.join(f'e.{k}' for k in keys.split(', '))}, e.b ORDER BY e.i), 0) AS m FROM edges e JOIN upto u ON {on('e', 'u')} AND e.i = u.i)"""
 
 
 _CELLS = "cells AS (SELECT lang, seed, gold, pred_src, pred_tgt, count(*) AS n FROM preds GROUP BY ALL)"
@@ -62,10 +71,10 @@ def _f1_sql(pred: str) -> str:
 
 def _run_draws(spark, d):
     cells = D.predictions(spark, d).groupBy("lang", "seed", "gold", "pred_src", "pred_tgt").agg(F.count("*").alias("n"))
-    return cells, B.resampled(cells, ["lang", "seed"], ["gold", "pred_src", "pred_tgt"], "n", N_BOOT, most=8)
+    return cells, B.resampled(cells, ["lang", "seed"], ["gold", "pred_src", "pred_tgt"], "n", N_BOOT)
 
 
-@query("STA-01", sql=f"""WITH {P}, {_BY_RUN}, a AS (SELECT lang, seed, b, {_f1_sql('pred_tgt')} AS f1 FROM draws GROUP BY 1, 2, 3)
+@query("STA-01", sql=f"""WITH RECURSIVE {P}, {_BY_RUN}, a AS (SELECT lang, seed, b, {_f1_sql('pred_tgt')} AS f1 FROM draws GROUP BY 1, 2, 3)
 SELECT lang, seed, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high FROM a GROUP BY 1, 2""")
 def metric_interval(spark, d):
     """Item bootstrap of macro-F1, every language and seed."""
@@ -94,7 +103,7 @@ ci AS (SELECT lang, seed, quantile_cont(gap, 0.025) AS low, quantile_cont(gap, 0
 pt AS (SELECT lang, seed, sum(m)::BIGINT AS n_items, {_GAP} AS gap FROM (SELECT *, n AS m FROM cells) GROUP BY 1, 2)"""
 
 
-@query("STA-02", "STA-03", sql=f"""WITH {P}, {_GAPS_SQL} SELECT lang, seed, round(gap, 6) AS gap, round(low, 6) AS low, round(high, 6) AS high, low <= 0 AND high >= 0 AS ci_contains_zero FROM pt JOIN ci USING (lang, seed)""")
+@query("STA-02", "STA-03", sql=f"""WITH RECURSIVE {P}, {_GAPS_SQL} SELECT lang, seed, round(gap, 6) AS gap, round(low, 6) AS low, round(high, 6) AS high, low <= 0 AND high >= 0 AS ci_contains_zero FROM pt JOIN ci USING (lang, seed)""")
 def transfer_gap(spark, d):
     g = run_gaps(spark, d)
     return g.select("lang", "seed", *[r6(F.col(c), c) for c in ("gap", "low", "high")], ((F.col("low") <= 0) & (F.col("high") >= 0)).alias("ci_contains_zero"))
@@ -110,7 +119,7 @@ def seed_noise(spark, d):
     return m.select("lang", F.col("n").alias("n_seeds"), r6(F.col("mean"), "gap_mean"), r6(F.col("std"), "gap_std"), F.when(F.col("n") > 1, F.abs("mean") < F.col("std")).alias("within_seed_noise"))
 
 
-@query("CND-04", sql=f"""WITH {P}, {_GAPS_SQL} SELECT 'task2_' || lang || '_seed' || seed AS run_id, n_items, round(gap, 6) AS gap, round(low, 6) AS low, round(high, 6) AS high FROM pt JOIN ci USING (lang, seed)""")
+@query("CND-04", sql=f"""WITH RECURSIVE {P}, {_GAPS_SQL} SELECT 'task2_' || lang || '_seed' || seed AS run_id, n_items, round(gap, 6) AS gap, round(low, 6) AS low, round(high, 6) AS high FROM pt JOIN ci USING (lang, seed)""")
 def run_condition(spark, d):
     """A condition's arms become a prediction log, the log a gap with its interval, the gap a row of the run log."""
     path = S.scratch(spark, "runs")
@@ -130,12 +139,12 @@ def _share_ci(spark, d):
     units = D.failures(spark, d).groupBy("seed", F.col("lang").isin("fr", "es").alias("side"), "lang", "item_id").agg(F.count("*").alias("size"), F.count_if(F.col("label_group") == "linguistic").alias("hits"))
     cells = units.groupBy("seed", "side", "size", "hits").agg(F.count("*").alias("n"))
     share = lambda n: (F.sum(F.col(n) * F.col("hits")).cast("double") / F.sum(F.col(n) * F.col("size"))).alias("share")
-    draws = B.resampled(cells, ["seed", "side"], ["size", "hits"], "n", N_BOOT, most=8)
+    draws = B.resampled(cells, ["seed", "side"], ["size", "hits"], "n", N_BOOT)
     ci = B.interval(draws.groupBy("seed", "side", "b").agg(share("m")), ["seed", "side"], "share")
     return cells.groupBy("seed", "side").agg(share("n")).join(ci, ["seed", "side"])
 
 
-@query("STA-04", sql=f"WITH {D.SQL_FAILURES}, {_UNITS} SELECT seed, side, round(share, 6) AS share, round(low, 6) AS low, round(high, 6) AS high FROM pt JOIN ci USING (seed, side)")
+@query("STA-04", sql=f"WITH RECURSIVE {D.SQL_FAILURES}, {_UNITS} SELECT seed, side, round(share, 6) AS share, round(low, 6) AS low, round(high, 6) AS high FROM pt JOIN ci USING (seed, side)")
 def cluster_bootstrap(spark, d):
     return _share_ci(spark, d).select("seed", "side", r6(F.col("share"), "share"), r6(F.col("low"), "low"), r6(F.col("high"), "high"))
 
@@ -152,17 +161,17 @@ def _compared(spark, d):
     return a.join(b, "seed").select(F.lit("linguistic").alias("measure"), "seed", sep.alias("sep"), (F.col("a") - F.col("b")).alias("diff"))
 
 
-@query("STA-05", "STA-07", sql=f"WITH {D.SQL_FAILURES}, {_UNITS}, {_COMPARED} SELECT 'linguistic' AS measure, seed, sep, round(diff, 6) AS diff FROM c")
+@query("STA-05", "STA-07", sql=f"WITH RECURSIVE {D.SQL_FAILURES}, {_UNITS}, {_COMPARED} SELECT 'linguistic' AS measure, seed, sep, round(diff, 6) AS diff FROM c")
 def compared_groups(spark, d):
     return _compared(spark, d).select("measure", "seed", "sep", r6(F.col("diff"), "diff"))
 
 
-@query("STA-06", sql=f"WITH {D.SQL_FAILURES}, {_UNITS}, {_COMPARED} SELECT 'linguistic' AS measure, {_VERDICT} AS verdict FROM c")
+@query("STA-06", sql=f"WITH RECURSIVE {D.SQL_FAILURES}, {_UNITS}, {_COMPARED} SELECT 'linguistic' AS measure, {_VERDICT} AS verdict FROM c")
 def share_verdict(spark, d):
     return B.verdict(_compared(spark, d), ["measure"], "sep", "diff", "seed")
 
 
-@query("STA-08", sql=f"WITH {D.SQL_FAILURES}, {_UNITS}, {_COMPARED} SELECT 'all' AS scope, 'linguistic' AS measure, {_VERDICT} AS verdict FROM c UNION ALL SELECT 'converged', 'linguistic', {_VERDICT} FROM c WHERE seed <> 2")
+@query("STA-08", sql=f"WITH RECURSIVE {D.SQL_FAILURES}, {_UNITS}, {_COMPARED} SELECT 'all' AS scope, 'linguistic' AS measure, {_VERDICT} AS verdict FROM c UNION ALL SELECT 'converged', 'linguistic', {_VERDICT} FROM c WHERE seed <> 2")
 def verdicts_by_scope(spark, d):
     """The same comparison over all seeds and over those that converged; one pass over the intervals serves both."""
     scopes = F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("seed") != 2, "converged")))).alias("scope")

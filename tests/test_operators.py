@@ -3,6 +3,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from crossgauge.operators import bootstrap as B
+from crossgauge.operators import neighbours as N
 from crossgauge.operators import relational as R
 from crossgauge.operators.diagnose import collapsed, route
 from crossgauge.operators.models import translate_distinct
@@ -24,8 +25,8 @@ def test_mutual_nearest_breaks_ties_by_id(spark):
     a = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "id long, v array<double>")
     b = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "id long, v array<double>")
     for block in (1, 100):
-        assert [(r["l"], r["r"]) for r in R.mutual_nearest(a, b, 0.5, block).collect()] == [(1, 7)]
-    assert R.mutual_nearest(a, b.limit(0), 0.5).count() == 0 and R.mutual_nearest(a.limit(0), b, 0.5).count() == 0
+        assert [(r["l"], r["r"]) for r in N.mutual_nearest(a, b, 0.5, block).collect()] == [(1, 7)]
+    assert N.mutual_nearest(a, b.limit(0), 0.5).count() == 0 and N.mutual_nearest(a.limit(0), b, 0.5).count() == 0
 
 
 def test_upsert_replaces_only_its_keys(spark):
