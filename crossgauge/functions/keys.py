@@ -67,3 +67,13 @@ def config_hash(config: dict) -> str:
 
 def fingerprint(config: dict, without: tuple[str, ...] = ("batch_size",)) -> str:
     return config_hash({k: v for k, v in config.items() if k not in without})
+
+
+def config_hash_of(fields: dict[str, Column]) -> Column:
+    """config_hash of every row's configuration; the order of the fields doesn't matter."""
+    canonical = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    return F.substring(F.sha2(canonical, 256), 1, 16)
+
+
+def fingerprint_of(fields: dict[str, Column], without: tuple[str, ...] = ("batch_size",)) -> Column:
+    return config_hash_of({k: v for k, v in fields.items() if k not in without})

@@ -1,19 +1,14 @@
-"""Numbers, scale words, currencies and spans in text.
-
-What one regular expression can say stays in the JVM; reading values with their scale words, matching multisets
-under a tolerance and recovering spans with offsets are Arrow-batched Pandas UDFs over plain Python functions.
-"""
+"""Numbers, scale words, currencies and spans in text, as column expressions that stay in the JVM."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from crossgauge.functions.text import ESCAPE, PLACEHOLDER, ZEROS, to_ascii_digits
+from crossgauge.functions.text import corruption_flags, to_ascii_digits
 
 #: Scale words by multiplier.
 SCALES = {
@@ -40,15 +35,14 @@ REACH = 12
 TOLERANCE = 1e-6
 
 
-def _struct(**fields) -> StructType:
-    return StructType([StructField(k, v) for k, v in fields.items()])
+#: A number of folded text without grouping commas, and up to REACH characters behind it that aren't digits.
+VALUE = rf"({PLAIN})([^0-9]{{0,{REACH}}})"
+_WORDS = sorted(((w, m) for m, ws in SCALES.items() for w in ws), key=lambda x: -len(x[0]))
 
 
-_NUMBERS, _NAMES = ArrayType(DoubleType()), ArrayType(StringType())
-COMPARISON = _struct(preserved=BooleanType(), dropped=_NUMBERS, added=_NUMBERS, currency_lost=_NAMES, percent_lost=IntegerType(), corrupted=_NAMES)
-RECOVERY = _struct(start=IntegerType(), end=IntegerType(), matched=StringType(), recovered=BooleanType(), flags=_NAMES)
-_FOLD = {z + d: ord("0") + d for z in ZEROS.values() for d in range(10)}
-_WORDS = sorted(((w, m) for m, ws in SCALES.items() for w in ws), key=lambda x: -len(x[0]))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`value`, evaluated once a row, as the variable of `body`."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def strip_thousands(text: Column) -> Column:
@@ -89,61 +83,66 @@ def span_matches(text: Column, start: Column, end: Column, number: Column) -> Co
     return F.substring(text, start + 1, end - start) == F.trim(number)
 
 
-# ---- values with scale words, in Python
+# ---- values with scale words
+
+
+def close(a: Column, b: Column) -> Column:
+    return F.abs(a - b) <= TOLERANCE * F.greatest(F.lit(1.0), F.abs(a))
+
+
+def scale_of(gap: Column) -> Column:
+    """The multiplier of the longest scale word in what stands behind a number, 1 if there is none."""
+    return F.coalesce(*[F.when(F.contains(gap, F.lit(w)), F.lit(m)) for w, m in _WORDS], F.lit(1.0))
 
 
-def _close(a: float, b: float) -> bool:
-    return abs(a - b) <= TOLERANCE * max(1.0, abs(a))
+def values(text: Column) -> Column:
+    """Numbers of a text as doubles in order, each times the longest scale word within REACH characters and before another digit."""
+    folded = strip_thousands(to_ascii_digits(F.coalesce(text, F.lit(""))))
+    return let(folded, lambda t: F.zip_with(F.regexp_extract_all(t, F.lit(VALUE), 1), F.regexp_extract_all(t, F.lit(VALUE), 2), lambda n, gap: n.cast("double") * scale_of(gap)))
 
 
-def values(text: str | None) -> list[float]:
-    """Numbers of a text, each times the longest scale word that begins within REACH characters and before another digit."""
-    folded = re.sub(GROUPING_COMMA, "", (text or "").translate(_FOLD))
-    out = []
-    for m in re.finditer(PLAIN, folded):
-        window = folded[m.end() : m.end() + REACH]
-        clear = re.match(r"\D*", window).end()  # up to the next digit
-        scale = next((mult for word, mult in _WORDS if 0 <= window.find(word) <= clear), 1.0)
-        out.append(float(m.group()) * scale)
-    return out
+def _occurrences(numbers: Column) -> Column:
+    """Sorted values, each with its number among equal ones."""
+    return let(F.array_sort(numbers), lambda s: F.transform(s, lambda x, i: F.struct(x.alias("v"), (i - F.array_position(s, x)).alias("k"))))
 
 
-def multiset_difference(left: list[float], right: list[float]) -> tuple[list[float], list[float]]:
-    """Values of left without a partner in right, and the other way round; a value takes the first close one left over."""
-    rest, dropped = list(right), []
-    for v in left:
-        k = next((i for i, x in enumerate(rest) if _close(v, x)), None)
-        if k is None:
-            dropped.append(v)
-        else:
-            del rest[k]
-    return dropped, rest
+def _without(a: Column, b: Column) -> Column:
+    return F.transform(F.array_except(a, b), lambda o: o["v"])
 
 
-def _codes(text: str) -> list[str]:
-    low = text.lower()
-    return sorted(c for c, tokens in CURRENCIES.items() if any(t in low for t in tokens))
+def multiset_difference(left: Column, right: Column) -> Column:
+    """struct(dropped, added), both ascending: values of left without a partner in right, and the other way round.
 
+    Equal values are partners first; of the others a value takes the least close one that is left over.
+    """
+    none = F.array().cast("array<double>")
 
-def compare_entities(source: str | None, target: str | None) -> dict:
-    """What a translation kept; corrupted targets are named as such."""
-    source, target = source or "", target or ""
-    dropped, added = multiset_difference(values(source), values(target))
-    there = _codes(target.translate(_FOLD))
-    lost = [c for c in _codes(source.translate(_FOLD)) if c not in there]
-    fewer = max(0, sum(source.lower().count(p) for p in PERCENTS) - sum(target.lower().count(p) for p in PERCENTS))
-    bad = [name for name, pattern in (("placeholder_leak", PLACEHOLDER), ("escape_leak", ESCAPE.replace("(?iu)", "(?i)"))) if re.search(pattern, target)]
-    return {"preserved": not (dropped or added or lost or fewer), "dropped": dropped, "added": added, "currency_lost": lost, "percent_lost": fewer, "corrupted": bad}
+    def step(acc, v):
+        at = F.array_min(F.array_compact(F.transform(acc["added"], lambda x, i: F.when(close(v, x), i))))
 
+        def taken(k):
+            rest = F.concat(F.slice(acc["added"], F.lit(1), k), F.slice(acc["added"], k + 2, F.size(acc["added"])))
+            return F.struct(F.when(k.isNull(), F.array_append(acc["dropped"], v)).otherwise(acc["dropped"]).alias("dropped"), F.when(k.isNull(), acc["added"]).otherwise(rest).alias("added"))
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def extract_values(text: pd.Series) -> pd.Series:
-    return text.map(values)
+        return let(at, taken)
 
+    def rest(a, b):
+        return F.aggregate(_without(a, b), F.struct(none.alias("dropped"), _without(b, a).alias("added")), step)
 
-@F.pandas_udf(COMPARISON)
-def compare_udf(source: pd.Series, target: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([compare_entities(a, b) for a, b in zip(source, target, strict=True)], columns=["preserved", "dropped", "added", "currency_lost", "percent_lost", "corrupted"])
+    return let(_occurrences(left), lambda a: let(_occurrences(right), lambda b: rest(a, b)))
+
+
+def compare_entities(source: Column, target: Column) -> Column:
+    """struct(preserved, dropped, added, currency_lost, percent_lost, corrupted): what a translation kept; null texts are empty."""
+    source, target = (F.coalesce(x, F.lit("")) for x in (source, target))
+    lost = F.array_except(currencies(to_ascii_digits(source)), currencies(to_ascii_digits(target)))
+    fewer = F.greatest(F.lit(0), percent_markers(source) - percent_markers(target))
+
+    def told(d, lost, fewer):
+        kept = (F.size(d["dropped"]) == 0) & (F.size(d["added"]) == 0) & (F.size(lost) == 0) & (fewer == 0)
+        return F.struct(kept.alias("preserved"), d["dropped"].alias("dropped"), d["added"].alias("added"), lost.alias("currency_lost"), fewer.alias("percent_lost"), corruption_flags(target).alias("corrupted"))
+
+    return let(multiset_difference(values(source), values(target)), lambda d: let(lost, lambda c: let(fewer, lambda p: told(d, c, p))))
 
 
 def entity_flags(comparison: Column) -> Column:
@@ -152,52 +151,53 @@ def entity_flags(comparison: Column) -> Column:
     return F.concat(comparison["corrupted"], F.when(loss, F.array(F.lit("entity_loss"))).otherwise(F.array().cast("array<string>")))
 
 
-def number_or_none(text: str) -> float | None:
-    try:
-        return float(re.sub(r"[,\s]", "", text.translate(_FOLD)).rstrip(".,"))
-    except ValueError:
-        return None
+# ---- spans
+
+
+def candidates(text: Column, pattern: str = GROUPED) -> Column:
+    """array of struct(start, end, value) of the numbers of a text, in characters; folding digits keeps offsets."""
+    both = f"([^0-9]*)({pattern})"
+    empty = F.array().cast("array<struct<start: int, end: int, value: double>>")
 
+    def step(acc, x):
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["n"])
+        return F.struct(end.cast("int").alias("at"), F.array_append(acc["out"], F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), parse_number(x["n"]).alias("value"))).alias("out"))
 
-def candidates(text: str | None, pattern: str = GROUPED) -> list[tuple[int, int, float]]:
-    """(start, end, value) of the numbers of a text; folding digits keeps offsets."""
-    found = ((m.start(), m.end(), number_or_none(m.group())) for m in re.finditer(pattern, (text or "").translate(_FOLD)))
-    return [x for x in found if x[2] is not None]
+    def found(t):
+        pairs = F.zip_with(F.regexp_extract_all(t, F.lit(both), 1), F.regexp_extract_all(t, F.lit(both), 2), lambda gap, n: F.struct(gap.alias("gap"), n.alias("n")))
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: F.filter(acc["out"], lambda c: c["value"].isNotNull()))
 
+    return let(to_ascii_digits(F.coalesce(text, F.lit(""))), found)
 
-def scale_shifted(source: str, target: str, value: float) -> bool:
-    """Whether the quantity that the value denotes in the source stands in the target in another scale."""
-    meant = [v for v in values(source) if _close(v, value) or (value and v / value in SCALES)]
-    return any(_close(q, t) for q in meant for t in values(target))
 
+def scale_shifted(source: Column, target: Column, value: Column) -> Column:
+    """Whether the quantity that the value denotes among the source's values is among the target's, which come with their scale words."""
+    scaled = lambda v: (value != 0) & F.try_divide(v, value).isin(*SCALES)
+    return F.exists(source, lambda v: (close(v, value) | F.coalesce(scaled(v), F.lit(False))) & F.exists(target, lambda t: close(v, t)))
 
-def recover_span(target: str | None, number: str | None, source: str | None = "") -> dict:
-    """Where the annotated number stands in a translation, matched by value."""
-    none = {"start": None, "end": None, "matched": None, "recovered": False}
-    value = number_or_none(number or "")
-    if value is None:
-        return {**none, "flags": ["span_unparseable_source"]}
-    hits = [c for c in candidates(target) if _close(value, c[2])]
-    moved = bool(not hits and source and scale_shifted(source, target or "", value))
-    if not hits and not moved:
-        hits = [c for c in candidates(target, PLAIN) if _close(value, c[2])]
-    if not hits:
-        return {**none, "flags": ["span_not_recovered"] + ["span_scale_shift"] * moved}
-    start, end, _ = hits[0]
-    return {"start": start, "end": end, "matched": target[start:end], "recovered": True, "flags": ["span_ambiguous"] * (len(hits) > 1)}
 
+def recover_span(target: Column, number: Column, source: Column) -> Column:
+    """struct(start, end, matched, recovered, flags): where the annotated number stands in a translation, matched by value."""
+    target, source = (F.coalesce(x, F.lit("")) for x in (target, source))
 
-@F.pandas_udf(RECOVERY)
-def recover_span_udf(target: pd.Series, number: pd.Series, source: pd.Series) -> pd.DataFrame:
-    out = pd.DataFrame([recover_span(t, n, s) for t, n, s in zip(target, number, source, strict=True)], columns=["start", "end", "matched", "recovered", "flags"])
-    return out.astype({"start": "Int32", "end": "Int32"})
+    def matching(found, value):
+        return F.filter(found, lambda c: close(value, c["value"]))
 
+    def told(value, moved, hits):
+        hit = F.get(hits, F.lit(0))
+        none = F.size(hits) == 0
+        missing = F.when(moved, F.array(F.lit("span_not_recovered"), F.lit("span_scale_shift"))).otherwise(F.array(F.lit("span_not_recovered")))
+        several = F.when(F.size(hits) > 1, F.array(F.lit("span_ambiguous"))).otherwise(F.array().cast("array<string>"))
+        flags = F.when(value.isNull(), F.array(F.lit("span_unparseable_source"))).when(none, missing).otherwise(several)
+        return F.struct(hit["start"].alias("start"), hit["end"].alias("end"), F.substring(target, hit["start"] + 1, hit["end"] - hit["start"]).alias("matched"), hit.isNotNull().alias("recovered"), flags.alias("flags"))
 
-@F.pandas_udf(ArrayType(_struct(start=IntegerType(), end=IntegerType(), value=DoubleType())))
-def candidates_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"start": a, "end": b, "value": v} for a, b, v in candidates(t)])
+    def by_value(value):
+        def by_hits(grouped):
+            moved = F.coalesce((F.size(grouped) == 0) & (source != "") & scale_shifted(values(source), values(target), value), F.lit(False))
+            plain = lambda m: F.when((F.size(grouped) > 0) | m | value.isNull(), grouped).otherwise(matching(candidates(target, PLAIN), value))
+            return let(moved, lambda m: let(plain(m), lambda hits: told(value, m, hits)))
 
+        return let(matching(candidates(target), value), by_hits)
 
-@F.pandas_udf(BooleanType())
-def scale_shifted_udf(source: pd.Series, target: pd.Series, value: pd.Series) -> pd.Series:
-    return pd.Series([scale_shifted(s, t, v) for s, t, v in zip(source, target, value, strict=True)])
+    return let(parse_number(number), by_value)

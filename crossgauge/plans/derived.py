@@ -108,6 +108,30 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(n, "item_id").withColumn("labse_sim", md5_bucket(1000, F.col("item_id"), F.lit("sim")) / 1000.0)
 
 
+#: The stand-in languages of `translated`: a numbering system's zero, a scale word, its English name and multiplier, a currency token.
+SCALED = (("hin", 0x0966, "लाख", "lakh", 100_000, "रुपये"), ("ben", 0x09E6, "হাজার", "thousand", 1_000, "টাকা"), ("tel", 0x0C66, "కోటి", "crore", 10_000_000, "€"), ("mal", 0x0D66, "ദശലക്ഷം", "million", 1_000_000, "pound"))
+
+
+def translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for a translated table: doc_id, lang, number, l, r.
+
+    l is a document's whole text with an amount in a script's digits, a scale word, a currency and a percentage behind
+    it; r is what one of eight ways to translate or spoil that leaves. number: the amount as annotated.
+    """
+    x = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") * 37 + 12).alias("amount"), md5_bucket(8, F.col("doc_id"), F.lit("tr")).alias("k"), md5_bucket(4, F.col("doc_id"), F.lit("ln")).cast("int").alias("s"))
+    of = lambda i: F.element_at(F.array(*[F.lit(v[i]) for v in SCALED]), F.col("s") + 1)
+    grouped = F.format_number("amount", 0)
+    native = F.coalesce(*[F.when(F.col("s") == j, F.translate(grouped, "0123456789", "".join(chr(v[1] + d) for d in range(10)))) for j, v in enumerate(SCALED)])
+    x = x.select("doc_id", of(0).alias("lang"), "text", "k", F.col("amount").cast("string").alias("plain"), grouped.alias("grouped"), native.alias("native"), of(2).alias("scale"), of(3).alias("english"), (F.col("amount") * of(4)).cast("string").alias("whole"), of(5).alias("money"))
+    number = F.when(F.col("k") == 5, "abc").when(F.col("k") == 6, F.concat("plain", F.lit("."))).when(F.col("k") == 7, F.concat("plain", F.lit(".5,"))).otherwise(F.col("native"))
+    ways = (("grouped", "scale", "money", "50%"), ("native", "scale", "money", "50%"), ("grouped", "english", "money"), ("grouped", "<ID 3>"), ("whole", "money", "50%"), ("xx u09bc yy",), ("grouped", "grouped", "scale"), ("plain", REPLACED))
+    r = F.coalesce(*[F.when(F.col("k") == j, F.concat_ws(" ", "text", *[F.col(c) if c in x.columns else F.lit(c) for c in way])) for j, way in enumerate(ways)])
+    return x.select("doc_id", "lang", number.alias("number"), F.concat_ws(" ", "text", "native", "scale", "money", F.lit("50%")).alias("l"), r.alias("r"))
+
+
+REPLACED = "\ufffd"
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """encoder, source, target, seed, gap: source accuracy less target accuracy for every ordered pair of languages."""
     p = seeded(labelled(spark, sf_dir)).withColumn("encoder", F.explode(F.array(*map(F.lit, ENCODERS))))
@@ -148,6 +172,14 @@ picked AS (SELECT *, CASE {_pick} ELSE '{UNATTRIBUTED}' END AS label FROM fired)
 fails AS (SELECT *, CASE label {_group} END AS label_group FROM picked)"""
 SQL_SCORES = f"""scores AS (SELECT d.doc_id AS item_id, d.lang AS src_lang, d.source AS block_id, d.text AS src_text, n.lang AS tgt_lang, n.text AS tgt_text,
   {b(1000, 'd.doc_id', "'sim'")} / 1000.0 AS labse_sim FROM documents d JOIN documents n ON n.doc_id = d.doc_id + 1)"""
+_list = lambda i: "[" + ", ".join(repr(v[i]) if isinstance(v[i], str) else str(v[i]) for v in SCALED) + "][s + 1]"
+_native = " ".join(f"WHEN {j} THEN translate(grouped, '0123456789', '{''.join(chr(v[1] + d) for d in range(10))}')" for j, v in enumerate(SCALED))
+SQL_TRANSLATED = f"""amounts AS (SELECT doc_id, coalesce(text, '') AS text, doc_id * 37 + 12 AS amount, {b(8, 'doc_id', "'tr'")} AS k, {b(4, 'doc_id', "'ln'")} AS s FROM documents),
+parts AS (SELECT *, format('{{:,}}', amount) AS grouped, amount::VARCHAR AS plain, {_list(2)} AS scale, {_list(3)} AS english, (amount * {_list(4)})::VARCHAR AS whole, {_list(5)} AS money FROM amounts),
+natives AS (SELECT *, CASE s {_native} END AS native FROM parts),
+translated AS (SELECT doc_id, {_list(0)} AS lang, CASE k WHEN 5 THEN 'abc' WHEN 6 THEN plain || '.' WHEN 7 THEN plain || '.5,' ELSE native END AS number,
+  concat_ws(' ', text, native, scale, money, '50%') AS l, CASE k WHEN 0 THEN concat_ws(' ', text, grouped, scale, money, '50%') WHEN 1 THEN concat_ws(' ', text, native, scale, money, '50%') WHEN 2 THEN concat_ws(' ', text, grouped, english, money)
+  WHEN 3 THEN concat_ws(' ', text, grouped, '<ID 3>') WHEN 4 THEN concat_ws(' ', text, whole, money, '50%') WHEN 5 THEN concat_ws(' ', text, 'xx u09bc yy') WHEN 6 THEN concat_ws(' ', text, grouped, grouped, scale) ELSE concat_ws(' ', text, plain, '{REPLACED}') END AS r FROM natives)"""
 SQL_CELLS = f"""{SQL_LABELLED}, seeds AS (SELECT unnest([0, 1, 2])::INT AS seed), encoders AS (SELECT unnest(['base', 'large']) AS encoder),
 enc AS (SELECT *, {_flip('src', WRONG_SRC, 'encoder')} AS src, {_flip('tgt', WRONG_TGT, 'encoder')} AS tgt FROM labelled, seeds, encoders),
 acc AS (SELECT encoder, seed, lang, avg((src = gold)::INT::DOUBLE) AS a_src, avg((tgt = gold)::INT::DOUBLE) AS a_tgt FROM enc GROUP BY ALL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crossgauge.functions import keys as K
@@ -12,24 +13,11 @@ from crossgauge.plans import derived as D
 from crossgauge.plans.registry import query
 from crossgauge.session import table
 
-#: Pairs of texts in four scripts; both engines read the same rows.
-PAIRS = (
-    (1, "hin", "60 लाख रुपये", "6 million"), (2, "hin", "12,500 units", "12, 500 units"), (3, "ben", "May 14,2021", "14 May 2021"),
-    (4, "ben", "७ करोड़ ₹", "7 lakh"), (5, "tel", "$9 దర", "9"), (6, "tel", "41 percent up", "41 up"), (7, "hin", "३ और ৪", "3 और 4"),
-    (8, "mal", "plain", "plain <ID 3>"), (9, "ben", "plain", "xx u09bc yy"), (10, "mal", "1,234,567 രൂപ", "1234567"), (11, "tel", "5 5 5", "5 5"),
-    (12, "hin", "घर में लोग। यह ठीक है", "house"), (13, "ben", "টাকা ৫০ শতাংশ", "Tk 50%"), (14, "mal", "", "  "), (15, "tel", "లోని ఇల్లు", "ఇల్లు లోని �"),
-)
-
-
-def pairs(spark):
-    return spark.createDataFrame(PAIRS, "id int, lang string, l string, r string")
-
-
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-SQL_PAIRS = "pairs(id, lang, l, r) AS (VALUES " + ", ".join(f"({i}, {q(x)}, {q(a)}, {q(b)})" for i, x, a, b in PAIRS) + ")"
+T_SQL = D.SQL_TRANSLATED
 _ALL_DIGITS = "".join(chr(z + d) for n, z in T.ZEROS.items() if n != "ASCII" for d in range(10))
 fold = lambda x: f"translate({x}, '{_ALL_DIGITS}', '{'0123456789' * 4}')"
 count = lambda x, cls: f"len(regexp_extract_all({x}, '{cls}'))"
@@ -55,10 +43,14 @@ def hash_partition(spark, d):
     return table(spark, d, "documents").select("doc_id", K.partition_of(F.col("doc_id"), 20260903).alias("part"))
 
 
-@query("KEY-07", "KEY-08", sql="SELECT '" + K.config_hash({"seed": 1, "lang": "hin"}) + "' AS h, '" + K.fingerprint({"seed": 1, "batch_size": 8}) + "' AS fp, true AS order_free, true AS batch_free")
+@query("KEY-07", "KEY-08", sql="""WITH c AS (SELECT DISTINCT lang, source, (doc_id % 4)::INT AS seed, CASE WHEN n_chars > 1000 THEN 8 ELSE 16 END AS batch FROM documents)
+SELECT lang, source, seed, batch, substr(sha256('{"batch_size":' || batch || ',"block":"' || source || '","lang":"' || lang || '","seed":' || seed || '}'), 1, 16) AS h,
+  substr(sha256('{"block":"' || source || '","lang":"' || lang || '","seed":' || seed || '}'), 1, 16) AS fp FROM c""")
 def config_hashes(spark, d):
-    a, f = K.config_hash({"seed": 1, "lang": "hin"}), K.fingerprint({"seed": 1, "batch_size": 8})
-    return spark.createDataFrame([(a, f, a == K.config_hash({"lang": "hin", "seed": 1}), f == K.fingerprint({"seed": 1, "batch_size": 64}))], "h string, fp string, order_free boolean, batch_free boolean")
+    """Every run configuration that the documents name: its hash, and its fingerprint without the batch size."""
+    c = table(spark, d, "documents").select("lang", "source", (F.col("doc_id") % 4).cast("int").alias("seed"), F.when(F.col("n_chars") > 1000, 8).otherwise(16).alias("batch")).distinct()
+    fields = {"seed": F.col("seed"), "lang": F.col("lang"), "block": F.col("source"), "batch_size": F.col("batch")}
+    return c.select("*", K.config_hash_of(fields).alias("h"), K.fingerprint_of(fields).alias("fp"))
 
 
 @query("KEY-10", sql=f"WITH {D.SQL_LANG} SELECT d.doc_id, family, coalesce(native_block, 'MT') AS native_block FROM documents d LEFT JOIN lang_dim USING (lang)")
@@ -113,25 +105,32 @@ def clipped_text(spark, d):
 # ---- text
 
 
-@query("STR-01", "STR-02", sql=f"""WITH {SQL_PAIRS}, c AS (SELECT id, lang, {', '.join(f"{count('l', c)} AS {n}" for n, c in T.SCRIPTS.items())} FROM pairs)
-SELECT id, Deva AS deva, Beng AS beng, Telu AS telu, Mlym AS mlym, list_sort(list_filter([{', '.join(f"CASE WHEN {n} > 0 AND '{n}' <> CASE lang WHEN 'hin' THEN 'Deva' WHEN 'ben' THEN 'Beng' WHEN 'tel' THEN 'Telu' ELSE 'Mlym' END THEN '{n}' END" for n in T.SCRIPTS)}], lambda s: s IS NOT NULL)) AS alien FROM c""")
+_OWN = " ".join(f"WHEN '{x}' THEN '{n}'" for x, n in T.SCRIPT_OF.items())
+
+
+@query("STR-01", "STR-02", sql=f"""WITH {T_SQL}, c AS (SELECT doc_id, lang, {', '.join(f"{count('r', c)} AS {n}" for n, c in T.SCRIPTS.items())} FROM translated)
+SELECT doc_id, Deva AS deva, Beng AS beng, Telu AS telu, Mlym AS mlym, list_sort(list_filter([{', '.join(f"CASE WHEN {n} > 0 AND '{n}' <> CASE lang {_OWN} END THEN '{n}' END" for n in T.SCRIPTS)}], lambda s: s IS NOT NULL)) AS alien FROM c""")
 def scripts(spark, d):
+    """Characters of each script in every target, and scripts that aren't its language's."""
     own = F.element_at(F.create_map(*[F.lit(x) for kv in T.SCRIPT_OF.items() for x in kv]), F.col("lang"))
-    c = T.script_counts(F.col("l"))
-    return pairs(spark).select("id", *[c[n].alias(n.lower()) for n in T.SCRIPTS], T.foreign_scripts(F.col("l"), own).alias("alien"))
+    c = T.script_counts(F.col("r"))
+    return D.translated(spark, d).select("doc_id", *[c[n].alias(n.lower()) for n in T.SCRIPTS], T.foreign_scripts(F.col("r"), own).alias("alien"))
 
 
-@query("STR-03", "STR-07", "STR-04", sql=f"""WITH {SQL_PAIRS} SELECT id, {', '.join(f"{count('l', T._class(z))} AS d_{n.lower()}" for n, z in T.ZEROS.items())},
-  array_to_string({_systems('l')}, '+') AS systems, {fold('l')} AS folded FROM pairs""")
+@query("STR-03", "STR-07", "STR-04", sql=f"""WITH {T_SQL} SELECT doc_id, {', '.join(f"{count('l', T._class(z))} AS d_{n.lower()}" for n, z in T.ZEROS.items())},
+  array_to_string({_systems('l')}, '+') AS systems, {fold('l')} AS folded FROM translated""")
 def digits(spark, d):
+    """Digits by numbering system, the systems' names, and every source with ASCII digits."""
     c = T.digit_counts(F.col("l"))
-    return pairs(spark).select("id", *[c[n].alias(f"d_{n.lower()}") for n in T.ZEROS], F.array_join(T.digit_systems(F.col("l")), "+").alias("systems"), T.to_ascii_digits(F.col("l")).alias("folded"))
+    return D.translated(spark, d).select("doc_id", *[c[n].alias(f"d_{n.lower()}") for n in T.ZEROS], F.array_join(T.digit_systems(F.col("l")), "+").alias("systems"), T.to_ascii_digits(F.col("l")).alias("folded"))
 
 
-@query("STR-08", "AGG-25", sql=f"""WITH {SQL_PAIRS}, s AS (SELECT lang, {_systems('l')} AS a, {_systems('r')} AS b FROM pairs)
-SELECT lang, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 'none' WHEN len(a) = 0 THEN 'gained' WHEN len(b) = 0 THEN 'dropped' WHEN a = b THEN 'same' ELSE 'converted' END AS kind, count(*) AS n FROM s GROUP BY ALL""")
+@query("STR-08", "AGG-25", sql=f"""WITH {T_SQL}, s AS (SELECT lang, {_systems('l')} AS a, {_systems('r')} AS b, regexp_matches(r, '{T.PLACEHOLDER}|{T.REPLACEMENT}') AS failed FROM translated)
+SELECT lang, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 'none' WHEN len(a) = 0 THEN 'gained' WHEN len(b) = 0 THEN 'dropped' WHEN a = b THEN 'same' ELSE 'converted' END AS kind, count(*) AS n, sum(failed::INT)::BIGINT AS n_failed FROM s GROUP BY ALL""")
 def digit_transitions(spark, d):
-    return pairs(spark).groupBy("lang", T.digit_transition(F.col("l"), F.col("r")).alias("kind")).agg(F.count("*").alias("n"))
+    """What becomes of the digit system, over all pairs and over the spoilt ones."""
+    failed = F.col("r").rlike(f"{T.PLACEHOLDER}|{T.REPLACEMENT}")
+    return D.translated(spark, d).groupBy("lang", T.digit_transition(F.col("l"), F.col("r")).alias("kind")).agg(F.count("*").alias("n"), F.count_if(failed).alias("n_failed"))
 
 
 @query("STR-05", sql="SELECT lang, sum((nfc_normalize(text) = text)::INT)::BIGINT AS nfc, count(*) AS n FROM documents GROUP BY 1")
@@ -140,12 +139,12 @@ def nfc(spark, d):
     return x.groupBy("lang").agg(F.sum(T.is_nfc("text").cast("long")).alias("nfc"), F.count("*").alias("n"))
 
 
-@query("STR-06", "STR-09", "STR-10", "STR-11", "STR-12", "STR-14", sql=f"""WITH {SQL_PAIRS}, f AS (SELECT *, regexp_matches(r, '<[^>]{{1,40}}>') AS ph, regexp_matches(r, '(?i)u09[0-9a-f]{{2}}|u093[0-9a-f]|യു[0-9]|ইউ[0-9]|यू[0-9]|యు[0-9]') AS esc FROM pairs)
-SELECT id, round((length(r) + 1)::DOUBLE / (length(l) + 1), 6) AS ratio, ph AND NOT regexp_matches(l, '<[^>]{{1,40}}>') AS placeholder, esc AS escape, contains(r, '�') AS corrupt,
+@query("STR-06", "STR-09", "STR-10", "STR-11", "STR-12", "STR-14", sql=f"""WITH {T_SQL}, f AS (SELECT *, regexp_matches(r, '<[^>]{{1,40}}>') AS ph, regexp_matches(r, '(?i)u09[0-9a-f]{{2}}|u093[0-9a-f]|യു[0-9]|ইউ[0-9]|यू[0-9]|యు[0-9]') AS esc FROM translated)
+SELECT doc_id, round((length(r) + 1)::DOUBLE / (length(l) + 1), 6) AS ratio, ph AND NOT regexp_matches(l, '<[^>]{{1,40}}>') AS placeholder, esc AS escape, contains(r, '�') AS corrupt, contains(r, '‌') OR contains(r, '‍') AS joiner,
   list_filter([CASE WHEN ph THEN 'placeholder_leak' END, CASE WHEN esc THEN 'escape_leak' END], lambda x: x IS NOT NULL) AS flags FROM f""")
 def integrity_tests(spark, d):
     left, right = F.col("l"), F.col("r")
-    return pairs(spark).select("id", F.round(T.length_ratio(left, right), 6).alias("ratio"), T.placeholder_leaked(left, right).alias("placeholder"), T.escape_leaked(right).alias("escape"), T.encoding_corrupted(right).alias("corrupt"), T.corruption_flags(right).alias("flags"))
+    return D.translated(spark, d).select("doc_id", F.round(T.length_ratio(left, right), 6).alias("ratio"), T.placeholder_leaked(left, right).alias("placeholder"), T.escape_leaked(right).alias("escape"), T.encoding_corrupted(right).alias("corrupt"), (F.contains(right, F.lit(T.ZWNJ)) | F.contains(right, F.lit(T.ZWJ))).alias("joiner"), T.corruption_flags(right).alias("flags"))
 
 
 @query("STR-13", "WIN-13", sql=f"""WITH {D.SQL_SCORES}, r AS (SELECT *, (length(tgt_text) + 1)::DOUBLE / (length(src_text) + 1) AS ratio FROM scores),
@@ -166,29 +165,34 @@ def cleaned_words(spark, d):
     return w.select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
-TERMS = (("market", "markets"), ("price", "pric"), ("कर", "करा"), ("घर", "घर"), ("abcd", "abc"), ("abc", "ab"), ("বাজার", "বাজারে"), ("bank", "tank"))
-SQL_TERMS = "terms(term, stem) AS (VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, b in TERMS) + ")"
-
-
-@query("STR-16", "STR-17", sql=f"""WITH {SQL_TERMS} SELECT term, stem, CASE WHEN regexp_matches(term, '^[a-z]+$') THEN levenshtein(term, stem) END AS dist, CASE WHEN regexp_matches(term, '^[a-z]+$') THEN levenshtein(term, stem) <= 2 END AS fuzzy,
-  stem = term OR (length(term) >= 4 AND (stem = substr(term, 1, length(term) - 1) OR (length(stem) = length(term) + 1 AND starts_with(stem, term) AND regexp_matches(substr(stem, length(stem), 1), '[\\p{{Mn}}\\p{{Mc}}]')))) AS hit FROM terms""")
-def stem_matching(spark, d):
-    x = spark.createDataFrame(TERMS, "term string, stem string")
-    dist = F.when(F.col("term").rlike("^[a-z]+$"), F.levenshtein("term", "stem"))  # DuckDB counts bytes
-    return x.select("term", "stem", dist.cast("long").alias("dist"), (dist <= 2).alias("fuzzy"), T.stem_matches(F.col("term"), F.col("stem")).alias("hit"))
-
-
 _SUFFIX_SQL = " ".join(f"WHEN '{x}' THEN '^(.+?)({'|'.join(sorted(s, key=lambda v: (-len(v), v)))})$'" for x, s in T.LATIN_SUFFIXES.items())
 
 
 @query("STR-18", "MOD-06", sql=f"""WITH w AS (SELECT DISTINCT lang, unnest(string_split(lower(text), ' ')) AS word FROM documents), l AS (SELECT lang, word FROM w WHERE regexp_full_match(word, '[a-z]+'))
 SELECT lang, word, CASE WHEN regexp_extract(word, p, 2) <> '' THEN regexp_extract(word, p, 1) ELSE word END AS stem, regexp_extract(word, p, 2) AS suffix FROM (SELECT *, CASE lang {_SUFFIX_SQL} END AS p FROM l)""")
 def suffix_stripping(spark, d):
+    return _stems(spark, d)
+
+
+def _stems(spark, d):
+    """lang, word, stem, suffix of every distinct word."""
     x = table(spark, d, "documents").select("lang", F.explode(F.split(F.lower("text"), " ")).alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
     cut = F.coalesce(*[F.when(F.col("lang") == lang, T.strip_suffix(F.col("word"), s)) for lang, s in T.LATIN_SUFFIXES.items()])
     return x.select("lang", "word", cut.alias("c")).select("lang", "word", "c.stem", "c.suffix")
 
 
+_STEMS = """w AS (SELECT DISTINCT lang, unnest(string_split(lower(text), ' ')) AS word FROM documents), l AS (SELECT lang, word FROM w WHERE regexp_full_match(word, '[a-z]+'))"""
+
+
+@query("STR-16", "STR-17", sql=f"""WITH {_STEMS}, s AS (SELECT lang, word, CASE WHEN regexp_extract(word, p, 2) <> '' THEN regexp_extract(word, p, 1) ELSE word END AS stem FROM (SELECT *, CASE lang {_SUFFIX_SQL} END AS p FROM l))
+SELECT lang, word, stem, levenshtein(word, stem) AS dist, levenshtein(word, stem) <= 2 AS fuzzy, stem = word OR (length(word) >= 4 AND stem = substr(word, 1, length(word) - 1)) AS hit FROM s""")
+def stem_matching(spark, d):
+    """Every word of the documents against its own stem: edit distance, and whether the stem matches under inflection."""
+    x = _stems(spark, d)
+    dist = F.levenshtein("word", "stem")
+    return x.select("lang", "word", "stem", dist.cast("long").alias("dist"), (dist <= 2).alias("fuzzy"), T.stem_matches(F.col("word"), F.col("stem")).alias("hit"))
+
+
 LEXICON = ["the and", "in the", "de la", "der", "que"]
 
 
@@ -211,15 +215,26 @@ def masked_terms(spark, d):
     return hit.select("doc_id", "ord", "term", word.alias("word")).where("word IS NOT NULL").groupBy("doc_id").agg(F.min_by("term", "ord").alias("term"), F.min_by("word", "ord").alias("word"))
 
 
-@query("STR-22", "VEC-07", sql="""SELECT 1 AS id, [1, 2, 3] AS hit, 0.9::DOUBLE AS share UNION ALL SELECT 2, [1], 0.4::DOUBLE UNION ALL SELECT 3, [], 0.0::DOUBLE""")
+TERM = "the"
+
+
+@query("STR-22", "VEC-07", sql=f"""WITH t AS (SELECT doc_id, text, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+o AS (SELECT doc_id, i, w, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT - 1 AS e, strpos(text, '{TERM}') - 1 AS s0, {D.b(100, 'doc_id', 'i')} AS weight FROM t),
+h AS (SELECT *, s0 >= 0 AND e > s0 AND e - length(w) < s0 + {len(TERM)} AND w <> '' AS hit FROM o)
+SELECT doc_id, coalesce(sum(hit::INT), 0)::BIGINT AS n_hit, min(i) FILTER (hit) AS first_hit, round(CASE WHEN sum(weight) > 0 THEN coalesce(sum(weight) FILTER (hit), 0)::DOUBLE / sum(weight) ELSE 0 END, 6) AS share FROM h GROUP BY 1""")
 def salience_spans(spark, d):
-    toks = [(0, 0), (0, 4), (4, 9), (10, 13)]
-    x = spark.createDataFrame([(1, "good market up", "market"), (2, "good market up", "good"), (3, "good market up", "gone")], "id int, t string, term string")
-    x = x.withColumn("offs", F.array(*[F.struct(F.lit(a).alias("s"), F.lit(b).alias("e")) for a, b in toks]))
-    x = x.withColumn("term", F.when(F.col("id") == 1, "d market").otherwise(F.col("term")))
-    hit = T.overlapping_tokens(F.col("t"), F.col("term"), F.col("offs"))
-    sal = F.array(*map(F.lit, (0.1, 0.4, 0.3, 0.2)))
-    return x.select("id", hit.alias("hit"), F.round(V.salience_share(sal, hit), 6).alias("share"))
+    """The tokens that overlap a term's first occurrence, and their share of the document's salience; tokens are rows, so a text may be long."""
+    w = F.split("text", " ")
+    t = table(spark, d, "documents").select("doc_id", (F.instr("text", TERM) - 1).alias("s0"), F.posexplode(w).alias("i", "w"))
+    e = F.sum(F.length("w") + 1).over(W.partitionBy("doc_id").orderBy("i")) - 1
+    t = t.select("doc_id", "s0", (F.col("i") + 1).alias("i"), "w", e.alias("e"), md5_bucket_of("doc_id", F.col("i") + 1).alias("weight"))
+    hit = (F.col("s0") >= 0) & (F.col("e") > F.col("s0")) & (F.col("e") - F.length("w") < F.col("s0") + len(TERM)) & (F.col("w") != "")
+    share = F.when(F.sum("weight") > 0, F.sum(F.when(hit, F.col("weight")).otherwise(0)) / F.sum("weight")).otherwise(0.0)
+    return t.groupBy("doc_id").agg(F.count_if(hit).alias("n_hit"), F.min(F.when(hit, F.col("i"))).cast("long").alias("first_hit"), F.round(share, 6).alias("share"))
+
+
+def md5_bucket_of(key, number):
+    return K.md5_bucket(100, F.col(key), number)
 
 
 @query("STR-23", sql=f"""WITH {D.SQL_SCORES}, t AS (SELECT src_lang, tgt_lang, len(list_filter(regexp_split_to_array(src_text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) AS a, len(list_filter(regexp_split_to_array(tgt_text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) AS b FROM scores)
@@ -232,39 +247,87 @@ def fragmentation(spark, d):
 # ---- numbers
 
 
+_END, _JOIN = "\ue000", "\ue001"  # private characters that mark where a run of digits ends, and a comma that goes
+
+
 def _thousands(x: str) -> str:
-    one = f"regexp_replace({x}, '([0-9]),\\s*([0-9]{{3}})([^0-9]|$)', '\\1\\2\\3', 'g')"
-    return f"regexp_replace({one}, '([0-9]),\\s*([0-9]{{3}})([^0-9]|$)', '\\1\\2\\3', 'g')"
+    """Text without grouping commas. Two passes take every other comma each, for neighbours share digits."""
+    y = f"regexp_replace({x}, '([0-9]{{3}})([^0-9]|$)', '\\1{_END}\\2', 'g')"
+    for _ in range(2):
+        y = f"regexp_replace({y}, '([0-9]{_END}?),[ \\t\\n\\v\\f\\r]*([0-9]{{3}}{_END})', '\\1{_JOIN}\\2', 'g')"
+    return f"replace(replace({y}, '{_END}', ''), '{_JOIN}', '')"
 
 
-_CODES = ", ".join(f"CASE WHEN list_bool_or(list_transform({list(t)}, lambda x: contains(lower(l), x))) THEN '{c}' END" for c, t in sorted(N.CURRENCIES.items()))
+_CODES = lambda x: "list_filter([" + ", ".join(f"CASE WHEN list_bool_or(list_transform({list(t)}, lambda v: contains(lower({x}), v))) THEN '{c}' END" for c, t in sorted(N.CURRENCIES.items())) + "], lambda v: v IS NOT NULL)"
+_PERCENTS = lambda x: "(" + " + ".join(f"(length(lower({x})) - length(replace(lower({x}), '{p}', ''))) // {len(p)}" for p in N.PERCENTS) + ")"
+_NUMERALS = lambda x: f"list_sort(regexp_extract_all({fold(x)}, '[0-9]+(?:\\.[0-9]+)?'))"
 
 
-@query("NUM-03", "NUM-04", "NUM-11", "NUM-01", sql=f"""WITH {SQL_PAIRS} SELECT id, list_filter([{_CODES}], lambda x: x IS NOT NULL) AS codes, {' + '.join(f"(length(lower(l)) - length(replace(lower(l), '{p}', ''))) // {len(p)}" for p in N.PERCENTS)} AS percents,
-  list_sort(regexp_extract_all({fold('l')}, '[0-9]+(?:\\.[0-9]+)?')) AS numerals, list_sort(regexp_extract_all({fold('l')}, '[0-9]+(?:\\.[0-9]+)?')) = list_sort(regexp_extract_all({fold('r')}, '[0-9]+(?:\\.[0-9]+)?')) AS equal, {_thousands('l')} AS plain FROM pairs""")
+@query("NUM-03", "NUM-04", "NUM-11", "NUM-01", sql=f"""WITH {T_SQL} SELECT doc_id, {_CODES('l')} AS codes, {_PERCENTS('l')} AS percents, {_NUMERALS('l')} AS numerals, {_NUMERALS('l')} = {_NUMERALS('r')} AS equal, {_thousands('l')} AS plain FROM translated""")
 def money(spark, d):
+    """Currencies, percentages and numerals of every source, whether the target has the same numerals, and the source without grouping commas."""
     left = F.col("l")
-    return pairs(spark).select("id", N.currencies(left).alias("codes"), N.percent_markers(left).cast("long").alias("percents"), N.numerals(left).alias("numerals"), N.numeral_count_matches(left, F.col("r")).alias("equal"), N.strip_thousands(left).alias("plain"))
+    return D.translated(spark, d).select("doc_id", N.currencies(left).alias("codes"), N.percent_markers(left).cast("long").alias("percents"), N.numerals(left).alias("numerals"), N.numeral_count_matches(left, F.col("r")).alias("equal"), N.strip_thousands(left).alias("plain"))
 
 
-@query("NUM-02", "NUM-05", "NUM-06")
+_SCALE = "CASE " + " ".join(f"WHEN contains(gap, {q(w)}) THEN {m:.1f}" for w, m in N._WORDS) + " ELSE 1.0 END"
+
+
+def _values(x: str) -> str:
+    """The list of a folded text's values; needs the text without grouping commas as a column."""
+    n, g = (f"regexp_extract_all({x}, '([0-9]+(?:\\.[0-9]+)?)([^0-9]{{0,{N.REACH}}})', {k})" for k in (1, 2))
+    return f"list_transform(range(1, len({n}) + 1), lambda i: ({n})[i]::DOUBLE * list_transform([({g})[i]], lambda gap: ({_SCALE})::DOUBLE)[1])"
+
+
+_occ = lambda x: f"list_transform(list_sort({x}), lambda v, i: {{'v': v, 'k': i - list_position(list_sort({x}), v)}})"
+_less = lambda a, c: f"list_transform(list_filter({a}, lambda o: NOT list_contains({c}, o)), lambda o: o.v)"
+_near = lambda a, c: f"abs({a} - {c}) <= {N.TOLERANCE} * greatest(1.0, abs({a}))"
+_VALUES_SQL = f"""folded AS (SELECT *, {_thousands(fold('l'))} AS fl, {_thousands(fold('r'))} AS fr FROM translated), vals AS (SELECT *, {_values('fl')} AS vl, {_values('fr')} AS vr FROM folded)"""
+
+
+@query("NUM-02", "NUM-05", "NUM-06", sql=f"""WITH {T_SQL}, {_VALUES_SQL}, occ AS (SELECT *, {_occ('vl')} AS ol, {_occ('vr')} AS orr FROM vals), rest AS (SELECT *, {_less('ol', 'orr')} AS dl, {_less('orr', 'ol')} AS dr FROM occ),
+c AS (SELECT doc_id, vl AS values, list_filter(dl, lambda v: NOT coalesce(list_bool_or(list_transform(dr, lambda x: {_near('v', 'x')})), false)) AS dropped, list_filter(dr, lambda v: NOT coalesce(list_bool_or(list_transform(dl, lambda x: {_near('x', 'v')})), false)) AS added,
+  list_filter({_CODES(fold('l'))}, lambda y: NOT list_contains({_CODES(fold('r'))}, y)) AS currency_lost, greatest(0, {_PERCENTS('l')} - {_PERCENTS('r')}) AS percent_lost,
+  list_filter([CASE WHEN regexp_matches(r, '<[^>]{{1,40}}>') THEN 'placeholder_leak' END, CASE WHEN regexp_matches(r, '(?i)u09[0-9a-f]{{2}}|u093[0-9a-f]|യു[0-9]|ইউ[0-9]|यू[0-9]|యు[0-9]') THEN 'escape_leak' END], lambda x: x IS NOT NULL) AS corrupted FROM rest),
+p AS (SELECT *, len(dropped) = 0 AND len(added) = 0 AND len(currency_lost) = 0 AND percent_lost = 0 AS preserved FROM c)
+SELECT doc_id, values, preserved, dropped, added, currency_lost, percent_lost, CASE WHEN NOT preserved AND len(corrupted) = 0 THEN ['entity_loss'] ELSE corrupted END AS flags FROM p""")
 def entity_comparison(spark, d):
-    x = pairs(spark).select("id", N.extract_values("l").alias("values"), N.compare_udf("l", "r").alias("c"))
-    return x.select("id", "values", "c.preserved", "c.dropped", "c.added", "c.currency_lost", "c.percent_lost", N.entity_flags(F.col("c")).alias("flags"))
+    """Values with their scale words on both sides, and what each translation lost or added. In the SQL no two left-over values of a text are close."""
+    x = D.translated(spark, d).select("doc_id", N.values(F.col("l")).alias("values"), N.compare_entities(F.col("l"), F.col("r")).alias("c"))
+    return x.select("doc_id", "values", "c.preserved", "c.dropped", "c.added", "c.currency_lost", F.col("c.percent_lost").cast("long").alias("percent_lost"), N.entity_flags(F.col("c")).alias("flags"))
 
 
-@query("NUM-07", sql="WITH v(x) AS (VALUES ('1,234'), ('१२'), ('12 500.'), ('abc'), ('7.5,')) SELECT x, TRY_CAST(rtrim(regexp_replace(" + fold("x") + ", '[,\\s]', '', 'g'), '.,') AS DOUBLE) AS value FROM v")
-def number_fields(spark, d):
-    x = spark.createDataFrame([("1,234",), ("१२",), ("12 500.",), ("abc",), ("7.5,",)], "x string")
-    return x.select("x", N.parse_number(F.col("x")).alias("value"))
+_parsed = lambda x: f"TRY_CAST(rtrim(regexp_replace({x}, '[,\\s]', '', 'g'), '.,') AS DOUBLE)"
 
 
-@query("NUM-08", "NUM-09", "NUM-10", "ING-03", "AGG-34")
+@query("NUM-07", sql=f"WITH {T_SQL} SELECT doc_id, number, {_parsed(fold('number'))} AS value FROM translated")
+def number_fields(spark, d):
+    return D.translated(spark, d).select("doc_id", "number", N.parse_number(F.col("number")).alias("value"))
+
+
+def _found(name: str, joins: str) -> str:
+    """CTE of the candidates of r: lists s, e, v by text; runs of digits are marked where they end."""
+    pattern = f"([^0-9]*)([0-9]+{_END}{joins}(?:\\.[0-9]+{_END})?)"
+    size = f"list_transform(m, lambda x: length(replace(x, '{_END}', '')))"
+    return f"""{name}0 AS (SELECT doc_id, regexp_extract_all(marked, '{pattern}', 1) AS g, regexp_extract_all(marked, '{pattern}', 2) AS m FROM marked),
+{name}1 AS (SELECT doc_id, list_transform(g, lambda x: length(x)) AS lg, {size} AS lm, list_transform(m, lambda x: {_parsed(f"replace(x, '{_END}', '')")}) AS v FROM {name}0),
+{name} AS (SELECT doc_id, list_filter(list_transform(range(1, len(v) + 1), lambda i: {{'s': (list_sum(lg[1:i]) + coalesce(list_sum(lm[1:i - 1]), 0))::INT, 'e': (list_sum(lg[1:i]) + list_sum(lm[1:i]))::INT, 'v': v[i]}}), lambda c: c.v IS NOT NULL) AS c FROM {name}1)"""
+
+
+@query("NUM-08", "NUM-09", "NUM-10", "ING-03", "AGG-34", sql=f"""WITH {T_SQL}, {_VALUES_SQL}, marked AS (SELECT doc_id, regexp_replace({fold('r')}, '([0-9]+)', '\\1{_END}', 'g') AS marked FROM translated),
+{_found('grp', f'(?:,[ \t\n\v\f\r]?[0-9]{{2,3}}{_END})*')}, {_found('pln', '')},
+x AS (SELECT t.doc_id, t.lang, t.r, vl, vr, {_parsed(fold('number'))} AS value, grp.c AS c, pln.c AS pc FROM vals t JOIN grp USING (doc_id) JOIN pln USING (doc_id)),
+y AS (SELECT *, coalesce(list_filter(c, lambda o: {_near('value', 'o.v')}), []) AS hits, coalesce(list_filter(pc, lambda o: {_near('value', 'o.v')}), []) AS phits,
+  coalesce(list_bool_or(list_transform(list_filter(vl, lambda v: {_near('v', 'value')} OR (value <> 0 AND list_contains([{', '.join(f'{k:.1f}::DOUBLE' for k in N.SCALES)}], v / value))), lambda v: coalesce(list_bool_or(list_transform(vr, lambda t: {_near('v', 't')})), false))), false) AS shifted FROM x),
+z AS (SELECT *, CASE WHEN value IS NULL OR len(hits) > 0 OR shifted THEN hits ELSE phits END AS h FROM y)
+SELECT doc_id, h[1].s AS "start", h[1].e AS "end", CASE WHEN len(h) > 0 THEN substr(r, h[1].s + 1, h[1].e - h[1].s) END AS matched, len(h) > 0 AS recovered, len(c) AS n_candidates, shifted,
+  CASE WHEN value IS NULL THEN ['span_unparseable_source'] WHEN len(h) = 0 AND shifted THEN ['span_not_recovered', 'span_scale_shift'] WHEN len(h) = 0 THEN ['span_not_recovered'] WHEN len(h) > 1 THEN ['span_ambiguous'] ELSE [] END AS flags FROM z""")
 def span_recovery(spark, d):
-    rows = [(1, "70 हजार घर", "70", "70, 000 houses"), (2, "24 মিলিয়ন", "২৪", "2.4 crore, or 24 million"), (3, "211, 212", "212", "pages 211,212,219"), (4, "x", "7", "none"), (5, "5 5", "5", "5 and 5"), (6, "y", "abc", "1")]
-    x = spark.createDataFrame(rows, "id int, src string, num string, tgt string")
-    x = x.select("id", N.recover_span_udf("tgt", "num", "src").alias("r"), N.candidates_udf("tgt").alias("found"), N.scale_shifted_udf("src", "tgt", F.coalesce(N.parse_number(F.col("num")), F.lit(0.0))).alias("shifted"))
-    return x.select("id", "r.*", F.size("found").alias("n_candidates"), "shifted")
+    """Where each annotated number stands in its translation: every candidate of the whole target, scale shifts, the recovered span and its flags."""
+    x = D.translated(spark, d)
+    shifted = F.coalesce(N.scale_shifted(N.values(F.col("l")), N.values(F.col("r")), N.parse_number(F.col("number"))), F.lit(False))
+    x = x.select("doc_id", N.recover_span(F.col("r"), F.col("number"), F.col("l")).alias("s"), F.size(N.candidates(F.col("r"))).alias("n_candidates"), shifted.alias("shifted"))
+    return x.select("doc_id", "s.*", "n_candidates", "shifted")
 
 
 @query("NUM-12", sql="""SELECT lang, count(*) AS n, sum((substr(text, 1, strpos(text, ' ') - 1) = split_part(text, ' ', 1))::INT)::BIGINT AS ok FROM documents WHERE strpos(text, ' ') > 1 GROUP BY 1""")
