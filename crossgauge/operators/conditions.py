@@ -47,6 +47,14 @@ def config_differences(configs: DataFrame, key: str, a: str, b: str, fields: lis
     return wide.where(~F.col("a").eqNullSafe(F.col("b")))
 
 
+def sibling_differences(runs: DataFrame, siblings: DataFrame, on: str, fields: list[str], key: str = "run") -> DataFrame:
+    """key, on, field, own, sibling of the fields in which a run's configuration differs from its sibling's; nulls are values."""
+    fields_of = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields]))
+    own = runs.select(key, on, fields_of.alias("f")).select(key, on, "f.field", F.col("f.v").alias("own"))
+    other = siblings.select(on, fields_of.alias("f")).select(on, "f.field", F.col("f.v").alias("sibling"))
+    return own.join(other, [on, "field"]).where(~F.col("own").eqNullSafe(F.col("sibling"))).select(key, on, "field", "own", "sibling")
+
+
 def retention(registry: DataFrame, reported: DataFrame, current: DataFrame) -> DataFrame:
     """keep or orphan for every registered run, with the reason. Frames carry run_hash."""
     r = registry.join(reported.select("run_hash", F.lit(True).alias("_r")).distinct(), "run_hash", "left").join(current.select("run_hash", F.lit(True).alias("_c")).distinct(), "run_hash", "left")

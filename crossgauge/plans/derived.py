@@ -48,6 +48,24 @@ def lang_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x, FAMILY[x], NATIVE_BLOCK.get(x)) for x in LANGS], "lang string, family string, native_block string")
 
 
+#: A language is native in a block of its own when it has this share of the documents.
+NATIVE_SHARE = 0.11
+
+
+def found_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language dimension that the documents show: lang, family, native_block (null for a rare language)."""
+    n = table(spark, sf_dir, "documents").where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    block = F.when(F.col("n") >= NATIVE_SHARE * F.col("total"), F.upper(F.substring("lang", 1, 1)))
+    return n.crossJoin(F.broadcast(total)).select("lang", F.when(F.col("lang").isin("de", "en"), "A").otherwise("B").alias("family"), block.alias("native_block"))  # one row of total
+
+
+def good_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, seed of the runs whose log reaches an accuracy of 0.65: the checkpoints that are there."""
+    p = predictions(spark, sf_dir).groupBy("lang", "seed").agg(F.avg((F.col("pred_tgt") == F.col("gold")).cast("double")).alias("a"))
+    return p.where("a >= 0.65").select("lang", "seed")
+
+
 def label_dim(spark: SparkSession) -> DataFrame:
     rows = [(i, label, LABEL_GROUP[label]) for i, label in enumerate([x for _, x in PRECEDENCE] + [UNATTRIBUTED])]
     return spark.createDataFrame(rows, "ord int, label string, label_group string")
@@ -187,4 +205,7 @@ cells AS (SELECT s.encoder, s.seed, s.lang AS source, t.lang AS target, s.a_src
   FROM acc s JOIN acc t ON s.encoder = t.encoder AND s.seed = t.seed AND s.lang <> t.lang),
 gaps AS (SELECT encoder, source, target, avg(gap) AS gap_mean, coalesce(stddev_samp(gap), 0.0) AS gap_std FROM cells GROUP BY ALL)"""
 SQL_LANG = "lang_dim(lang, family, native_block) AS (VALUES ('de', 'A', 'D'), ('en', 'A', 'E'), ('es', 'B', NULL), ('fr', 'B', 'F'))"
+SQL_FOUND_LANGS = f"""lang_dim AS (SELECT lang, CASE WHEN lang IN ('de', 'en') THEN 'A' ELSE 'B' END AS family, CASE WHEN count(*) >= {NATIVE_SHARE} * (SELECT count(*) FROM documents WHERE lang IS NOT NULL) THEN upper(substr(lang, 1, 1)) END AS native_block
+  FROM documents WHERE lang IS NOT NULL GROUP BY 1)"""
+SQL_GOOD_RUNS = "good_runs AS (SELECT lang, seed FROM preds GROUP BY 1, 2 HAVING avg((pred_tgt = gold)::INT::DOUBLE) >= 0.65)"
 SQL_LABEL_DIM = "label_dim(ord, label, label_group) AS (VALUES " + ", ".join(f"({i}, '{x}', '{LABEL_GROUP[x]}')" for i, x in enumerate([x for _, x in PRECEDENCE] + [UNATTRIBUTED])) + ")"

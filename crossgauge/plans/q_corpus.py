@@ -191,35 +191,29 @@ def report_bundle(spark, d):
     return x.groupBy("name").agg(F.count("*").alias("rows")).join(x.agg((F.count_distinct("config_hash") == 1).alias("one_config")))
 
 
-@query("SRC-13", sql="SELECT 'labels' AS key, '[\"a\",\"b\"]' AS value UNION ALL SELECT 'tau', '{\"1\":0.82,\"3\":0.73}'")
+@query("SRC-13", sql=f"""WITH {D.SQL_LABELLED}, a AS (SELECT lang, list_sort(list(DISTINCT gold)) AS labels, count(*) AS n, round(avg(gold), 6) AS tau FROM labelled GROUP BY 1), b AS (SELECT lang, block_id, count(*) AS n FROM labelled GROUP BY ALL)
+SELECT a.lang, a.labels, a.tau, b.block_id, b.n AS n_block, a.n FROM a JOIN b USING (lang)""")
 def json_source(spark, d):
-    """A JSON document in the shared folder, read by Spark as one row, as keys and JSON values."""
-    path = S.scratch(spark, "config")
-    S.write_text(spark, '{\n  "tau": {"1": 0.82, "3": 0.73},\n  "labels": ["a", "b"]\n}\n', path)
-    x = spark.read.json(path, multiLine=True)
-    value = [F.struct(F.lit(c).alias("key"), F.to_json(c).alias("value")) for c in x.columns]
-    return x.select(F.explode(F.array(*value)).alias("e")).select("e.key", "e.value")
+    """Label sets, thresholds and block sizes, a JSON document for each language, written and read under a schema; broken documents would be counted as such."""
+    x, path = D.labelled(spark, d), S.scratch(spark, "config")
+    blocks = x.groupBy("lang", "block_id").agg(F.count("*").alias("n")).groupBy("lang").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("block_id", "n")))).alias("blocks"))
+    head = x.groupBy("lang").agg(F.sort_array(F.collect_set("gold")).alias("labels"), F.round(F.avg("gold"), 6).alias("tau"), F.count("*").alias("n"))
+    head.join(blocks, "lang").write.json(path)
+    read = S.read_json(spark, path, "lang string, labels array<int>, tau double, n long, blocks map<string, long>")
+    return read.select("lang", "labels", "tau", F.explode("blocks").alias("block_id", "n_block"), "n")
 
 
-@query("SRC-14", sql="""SELECT 'lr' AS key, '0.5' AS value UNION ALL SELECT 'epochs', '7' UNION ALL SELECT 'name', 'base' UNION ALL SELECT 'unknown', 'unknown configuration keys: beta'""")
+@query("SRC-14", sql="""WITH c AS (SELECT source, count(*) AS n, (avg(n_chars) / 10000)::DECIMAL(9, 4) AS lr, count(*) % 5 = 0 AS odd FROM documents GROUP BY 1)
+SELECT source, CASE WHEN n % 2 = 0 THEN 7 ELSE (n % 9)::INT END AS epochs, lr::DOUBLE AS lr, 'base-' || source AS name, false AS frozen, CASE WHEN odd THEN ['beta'] ELSE [] END AS unknown FROM c""")
 def run_config(spark, d):
-    """A configuration file over typed defaults with an override; an unknown key is refused."""
-    import os
-    import tempfile
-
-    defaults = {"lr": 0.1, "epochs": 3, "name": "x"}
-    with tempfile.TemporaryDirectory() as folder:  # the driver's own configuration file
-        paths = [os.path.join(folder, f"{k}.json") for k in "ab"]
-        for path, text in zip(paths, ('{"lr": "0.5", "name": "base"}', '{"beta": 1}'), strict=True):
-            with open(path, "w") as f:
-                f.write(text)
-        got = S.load_config(paths[0], defaults, epochs="7")
-        try:
-            S.load_config(paths[1], defaults)
-            said = "accepted"
-        except ValueError as refused:
-            said = str(refused)
-    return spark.createDataFrame([*((k, str(v)) for k, v in got.items()), ("unknown", said)], "key string, value string")
+    """A configuration text for each source over typed defaults, with an override for some; unknown keys are told."""
+    path = S.scratch(spark, "yaml")
+    x = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), (F.avg("n_chars") / 10000).cast("decimal(9,4)").alias("lr"))
+    text = F.concat_ws("\n", F.lit("# a run"), F.concat(F.lit("epochs: "), F.col("n") % 9), F.concat(F.lit("lr: '"), "lr", F.lit("'")), F.concat(F.lit("name: base-"), "source", F.lit("  # its name")), F.when(F.col("n") % 5 == 0, "beta: 1"))
+    x.select("source", "n", text.alias("text")).write.parquet(path)
+    given = F.when(F.col("n") % 2 == 0, F.create_map(F.lit("epochs"), F.lit("7"))).otherwise(F.create_map().cast("map<string,string>"))
+    config = S.typed_config(F.col("text"), {"epochs": 3, "lr": 0.1, "name": "x", "frozen": False}, given)
+    return spark.read.parquet(path).select("source", config.alias("c")).select("source", "c.*")
 
 
 # ---- audits

@@ -10,7 +10,7 @@ from crossgauge.operators import relational as R
 from crossgauge.plans import derived as D
 from crossgauge.plans.registry import query
 from crossgauge.sources import io as S
-from crossgauge.session import health, table
+from crossgauge.session import health, table, worker_versions
 
 P = D.SQL_PREDS
 
@@ -77,7 +77,10 @@ def logistic_baseline(spark, d):
     return spark.createDataFrame([(i, w) for i, w in enumerate(M.sgd_logistic(x, "x", "y", dim))], "i int, w double")
 
 
-@query("MOD-07", sql="SELECT 'time_zone' AS key, true AS ok UNION ALL SELECT 'adaptive', true")
+@query("MOD-07", sql="SELECT lang, count(*) AS n, true AS same_python, true AS same_arrow, true AS utc FROM documents GROUP BY 1")
 def environment(spark, d):
-    h = health(spark)
-    return spark.createDataFrame([("time_zone", bool(h["time_zone"])), ("adaptive", h["adaptive"] == "true")], "key string, ok boolean")
+    """Whether the Python workers that read the documents run the driver's interpreter and packages, and Spark its time zone."""
+    versions = health(spark)
+    x = table(spark, d, "documents").select("lang").mapInArrow(worker_versions, "lang string, n long, python string, arrow string")
+    ok = lambda c: F.min(F.col(c) == F.lit(versions[c])).alias(f"same_{c}")
+    return x.groupBy("lang").agg(F.sum("n").alias("n"), ok("python"), ok("arrow"), F.lit(versions["time_zone"] == "UTC").alias("utc"))

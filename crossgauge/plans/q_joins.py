@@ -158,31 +158,30 @@ def findings_sections(spark, d):
 # ---- conditions
 
 
-@query("CND-05", sql=f"""WITH {_NAT}, p AS (SELECT name, seed, split_part(train, '/', 2) AS lang FROM conds, (SELECT unnest([0, 1, 2]) AS seed)),
-s AS (SELECT *, CASE WHEN lang = 'fr' AND seed = 1 THEN 'blocked' WHEN {D.b(10, 'name', 'seed')} = 0 THEN 'failed' ELSE 'ran' END AS status FROM p) SELECT seed, status, count(*) AS n, list_sort(list(name)) AS names FROM s GROUP BY 1, 2""")
+@query("CND-05", sql=f"""WITH {D.SQL_PREDS}, {D.SQL_GOOD_RUNS}, {_NAT}, p AS (SELECT name, s.seed, split_part(train, '/', 2) AS lang FROM conds CROSS JOIN (SELECT unnest([0, 1, 2]) AS seed) s),
+s AS (SELECT p.*, CASE WHEN g.lang IS NULL THEN 'blocked' WHEN {D.b(10, 'name', 'p.seed')} = 0 THEN 'failed' ELSE 'ran' END AS status FROM p LEFT JOIN good_runs g ON g.lang = p.lang AND g.seed = p.seed) SELECT seed, status, count(*) AS n, list_sort(list(name)) AS names FROM s GROUP BY 1, 2""")
 def sweep(spark, d):
-    """A sweep over the plan, accounted: what ran, what was blocked for want of a model, what failed."""
-    registry = spark.createDataFrame([(x, s) for x in ("en", "de", "fr") for s in D.SEEDS if (x, s) != ("fr", 1)], "model_lang string, seed int")
+    """A sweep over the plan, accounted: what ran, what was blocked for want of a checkpoint, what failed."""
     fails = md5_bucket(10, F.col("name"), F.col("seed")) == 0
-    p = C.plan(C.matrix(D.lang_dim(spark)), D.SEEDS, registry).withColumn("status", F.when(F.col("status") == "blocked", "blocked").when(fails, "failed").otherwise("ran"))
-    return p.groupBy("seed", "status").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("name")).alias("names"))
+    p = C.plan(C.matrix(D.found_langs(spark, d)), D.SEEDS, D.good_runs(spark, d).withColumnRenamed("lang", "model_lang")).withColumn("status", F.when(F.col("status") == "blocked", "blocked").when(fails, "failed").otherwise("ran"))
+    return p.groupBy("seed", "status").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("name")).alias("names"))  # the conditions of a few languages
 
 
-@query("JOIN-33", sql=f"""WITH {_NAT}, r(lang, seed) AS (VALUES ('en', 0), ('fr', 1), ('es', 2)) SELECT r.lang, r.seed, count(c.name) AS n, list_sort(coalesce(list(c.name) FILTER (c.name IS NOT NULL), [])) AS unblocked, count(c.name) = 0 AS violation
-FROM r LEFT JOIN conds c ON split_part(c.train, '/', 2) = r.lang GROUP BY 1, 2""")
+@query("JOIN-33", sql=f"""WITH {D.SQL_PREDS}, r AS (SELECT lang, seed, avg((pred_tgt = gold)::INT::DOUBLE) >= 0.65 AS good FROM preds GROUP BY 1, 2), {_NAT} SELECT r.lang, r.seed, count(c.name) AS n, list_sort(coalesce(list(c.name) FILTER (c.name IS NOT NULL), [])) AS unblocked, count(c.name) = 0 AS violation
+FROM r LEFT JOIN conds c ON split_part(c.train, '/', 2) = r.lang AND good GROUP BY 1, 2""")
 def unblocked_conditions(spark, d):
-    """Which conditions each new run unblocks; a run that unblocks none breaks a rule."""
-    runs = spark.createDataFrame([("en", 0), ("fr", 1), ("es", 2)], "lang string, seed int")
-    c = C.matrix(D.lang_dim(spark)).select("name", F.get(F.split("train", "/"), 1).alias("lang"))
+    """Which conditions each run of the logs unblocks, if it is good enough; a run that unblocks none breaks a rule."""
+    runs = D.predictions(spark, d).select("lang", "seed").distinct().join(D.good_runs(spark, d).withColumn("good", F.lit(True)), ["lang", "seed"], "left")
+    c = C.matrix(D.found_langs(spark, d)).select("name", F.get(F.split("train", "/"), 1).alias("model"))
     names = F.sort_array(F.collect_list("name"))
-    return runs.join(c, "lang", "left").groupBy("lang", "seed").agg(F.count("name").alias("n"), names.alias("unblocked"), (F.count("name") == 0).alias("violation"))
+    return runs.join(c, (runs.lang == c.model) & runs.good, "left").groupBy("lang", "seed").agg(F.count("name").alias("n"), names.alias("unblocked"), (F.count("name") == 0).alias("violation"))
 
 
 @query("CND-07", sql=f"""WITH {D.SQL_CELLS}, {_NAT}, e AS (SELECT unnest(['base', 'large', 'absent']) AS encoder), t AS (SELECT name, split_part(train, '/', 2) AS source, split_part(name, '_to_', 2) AS target FROM conds WHERE kind = 'transfer')
 SELECT t.name, e.encoder, round(g.gap_mean, 6) AS gap, CASE WHEN g.gap_mean IS NULL THEN 'blocked' ELSE 'ok' END AS status FROM t CROSS JOIN e LEFT JOIN gaps g ON g.encoder = e.encoder AND g.source = t.source AND g.target = t.target""")
 def condition_rows(spark, d):
     """A row for every transfer condition and encoder, whether there is a result or not."""
-    t = C.matrix(D.lang_dim(spark)).where("kind = 'transfer'").select("name", F.get(F.split("train", "/"), 1).alias("source"), F.get(F.split("name", "_to_"), 1).alias("target"))
+    t = C.matrix(D.found_langs(spark, d)).where("kind = 'transfer'").select("name", F.get(F.split("train", "/"), 1).alias("source"), F.get(F.split("name", "_to_"), 1).alias("target"))
     t = t.withColumn("encoder", F.explode(F.array(*map(F.lit, (*D.ENCODERS, "absent")))))
     x = t.join(D.gaps(spark, d), ["encoder", "source", "target"], "left")
     return x.select("name", "encoder", r6(F.col("gap_mean"), "gap"), F.when(F.col("gap_mean").isNull(), "blocked").otherwise("ok").alias("status"))
@@ -190,13 +189,15 @@ def condition_rows(spark, d):
 
 @query("CND-11", sql=f"""WITH {_NAT}, t AS (SELECT *, split_part(train, '/', 1) AS train_block, split_part(train, '/', 2) AS source, split_part(eval, '/', 1) AS eval_block, split_part(eval, '/', 2) AS target FROM conds WHERE kind <> 'translationese')
 SELECT t.name, source, target, train_block, eval_block, source || '_seed0' AS ceiling, native, CASE WHEN native THEN 'written by people' ELSE 'translated from ' || o.lang END AS test_text
-FROM (SELECT *, kind = 'transfer' AND target <> 'es' AS native FROM t) t JOIN lang_dim o ON o.native_block = t.eval_block""")
+FROM (SELECT *, kind = 'transfer' AND target IN (SELECT lang FROM lang_dim WHERE native_block IS NOT NULL) AS native FROM t) t JOIN lang_dim o ON o.native_block = t.eval_block""")
 def described_conditions(spark, d):
     """A condition's source, target, blocks, ceiling run and what its test text is."""
     part = lambda c, i: F.get(F.split(c, "/"), i)
-    x = C.matrix(D.lang_dim(spark)).where("kind <> 'translationese'").withColumn("e", F.get("eval", 0))
-    x = x.select("name", part("train", 1).alias("source"), part("e", 1).alias("target"), part("train", 0).alias("train_block"), part("e", 0).alias("eval_block"), ((F.col("kind") == "transfer") & (part("e", 1) != "es")).alias("native"))
-    origin = D.lang_dim(spark).select(F.col("native_block").alias("eval_block"), F.col("lang").alias("origin"))
+    langs = D.found_langs(spark, d)
+    x = C.matrix(langs).where("kind <> 'translationese'").withColumn("e", F.get("eval", 0)).withColumn("target", part("e", 1))
+    own = langs.where("native_block IS NOT NULL").select(F.col("lang").alias("target"), F.lit(True).alias("own"))
+    x = x.join(F.broadcast(own), "target", "left").select("name", part("train", 1).alias("source"), "target", part("train", 0).alias("train_block"), part("e", 0).alias("eval_block"), ((F.col("kind") == "transfer") & F.coalesce("own", F.lit(False))).alias("native"))
+    origin = langs.select(F.col("native_block").alias("eval_block"), F.col("lang").alias("origin"))
     test = F.when(F.col("native"), "written by people").otherwise(F.concat(F.lit("translated from "), "origin")).alias("test_text")
     return x.join(F.broadcast(origin), "eval_block").select("name", "source", "target", "train_block", "eval_block", F.concat("source", F.lit("_seed0")).alias("ceiling"), "native", test)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossgauge.functions.keys import md5_bucket
+from crossgauge.functions.keys import md5_bucket, partition_of
 from crossgauge.operators import bootstrap as B
 from crossgauge.operators import conditions as C
 from crossgauge.operators import diagnose as G
@@ -285,27 +285,31 @@ def outcome_ladder(spark, d):
 # ---- conditions
 
 
-_NAT = f"""{D.SQL_LANG}, tr AS (SELECT 'transfer' AS kind, s.native_block AS block, s.lang AS source, t.lang AS target, s.family || '->' || t.family AS quadrant FROM lang_dim s, lang_dim t WHERE s.lang <> t.lang AND s.native_block IS NOT NULL),
+_NAT = f"""{D.SQL_FOUND_LANGS}, tr AS (SELECT 'transfer' AS kind, s.native_block AS block, s.lang AS source, t.lang AS target, s.family || '->' || t.family AS quadrant FROM lang_dim s, lang_dim t WHERE s.lang <> t.lang AND s.native_block IS NOT NULL),
 conds AS (SELECT kind, block || '_to_' || target AS name, quadrant, block || '/' || source AS train, coalesce((SELECT min(native_block) FROM lang_dim n WHERE n.lang = target), (SELECT min(native_block) FROM lang_dim o WHERE o.native_block <> block)) || '/' || target AS eval FROM tr
 UNION ALL SELECT 'transfer_mt', block || '_to_' || target || '_mt', quadrant, block || '/' || source, block || '/' || target FROM tr
 UNION ALL SELECT 'translationese', 'within_' || lang, family || '->' || family, native_block || '/' || lang, string_agg(DISTINCT o.b || '/' || lang, '|' ORDER BY o.b || '/' || lang) FROM lang_dim, (SELECT native_block AS b FROM lang_dim WHERE native_block IS NOT NULL) o WHERE native_block IS NOT NULL GROUP BY lang, family, native_block)"""
 
 
-@query("CND-01", "CND-02", "CND-03", sql=f"WITH {_NAT} SELECT kind, name, quadrant, train, eval FROM conds")
+@query("CND-01", "CND-02", "CND-03", sql=f"""WITH {_NAT}, parts AS (SELECT lang, count(*) FILTER (u < 0.5) AS n_train, count(*) FILTER (u >= 0.5) AS n_eval FROM (SELECT lang, ('0x' || substr(sha256('20260903:' || doc_id), 1, 8))::BIGINT / 4294967295.0 AS u FROM documents) GROUP BY 1)
+SELECT kind, name, quadrant, train, eval, t.n_train, e.n_eval FROM conds JOIN parts t ON t.lang = split_part(train, '/', 2) JOIN parts e ON e.lang = regexp_extract(eval, '[^/]*$')""")
 def condition_matrix(spark, d):
-    return C.matrix(D.lang_dim(spark)).select("kind", "name", "quadrant", "train", F.array_join("eval", "|").alias("eval"))
+    """The conditions that the documents' languages and blocks allow, with the documents that each trains and is evaluated on."""
+    m = C.matrix(D.found_langs(spark, d)).select("kind", "name", "quadrant", "train", F.array_join("eval", "|").alias("eval"))
+    part = partition_of(F.col("doc_id"), 20260903)
+    n = table(spark, d, "documents").groupBy("lang").agg(F.count_if(part == "train").alias("n_train"), F.count_if(part == "eval").alias("n_eval"))
+    m = m.withColumns({"a": F.substring_index("train", "/", -1), "b": F.substring_index("eval", "/", -1)})
+    return m.join(n.select(F.col("lang").alias("a"), "n_train"), "a").join(n.select(F.col("lang").alias("b"), "n_eval"), "b").drop("a", "b")
 
 
-@query("JOIN-31", sql=f"WITH {_NAT} SELECT name, seed, CASE WHEN split_part(train, '/', 2) = 'fr' AND seed = 1 THEN 'blocked' ELSE 'runnable' END AS status FROM conds, (SELECT unnest([0, 1, 2]) AS seed)")
+@query("JOIN-31", sql=f"WITH {P}, {D.SQL_GOOD_RUNS}, {_NAT} SELECT name, s.seed, CASE WHEN g.lang IS NULL THEN 'blocked' ELSE 'runnable' END AS status FROM conds CROSS JOIN (SELECT unnest([0, 1, 2]) AS seed) s LEFT JOIN good_runs g ON g.lang = split_part(train, '/', 2) AND g.seed = s.seed")
 def run_plan(spark, d):
-    registry = spark.createDataFrame([(x, s) for x in ("en", "de", "fr") for s in D.SEEDS if (x, s) != ("fr", 1)], "model_lang string, seed int")
-    return C.plan(C.matrix(D.lang_dim(spark)), D.SEEDS, registry).select("name", "seed", "status")
+    """Conditions and seeds against the checkpoints that the logs show."""
+    return C.plan(C.matrix(D.found_langs(spark, d)), D.SEEDS, D.good_runs(spark, d).withColumnRenamed("lang", "model_lang")).select("name", "seed", "status")
 
 
 @query("FLT-13", sql="""WITH s AS (SELECT source, CASE WHEN ('0x' || substr(sha256('1:' || doc_id), 1, 8))::BIGINT / 4294967295.0 < 0.5 THEN 'train' ELSE 'eval' END AS part, text FROM documents) SELECT source, count(DISTINCT text) AS leaked FROM s WHERE part = 'eval' AND text IN (SELECT t.text FROM s t WHERE t.part = 'train') GROUP BY 1""")
 def leaks(spark, d):
-    from crossgauge.functions.keys import partition_of
-
     s = table(spark, d, "documents").select("source", partition_of(F.col("doc_id"), 1).alias("part"), F.sha2("text", 256).alias("t"))
     return s.where("part = 'eval'").join(s.where("part = 'train'").select("t").distinct(), "t", "left_semi").groupBy("source").agg(F.count_distinct("t").alias("leaked"))
 
@@ -316,10 +320,21 @@ def cells_without(spark, d):
     return D.cells(spark, d).join(F.broadcast(bad), ["source", "seed"], "left_anti").groupBy("encoder", "source", "target").agg(r6(F.avg("gap"), "gap"), F.count("*").alias("n_seeds"))
 
 
-@query("CND-09", sql="SELECT 'lr' AS field, '1' AS a, '2' AS b UNION ALL SELECT 'seed', '0', '3'")
+_CONFIGS = """c AS (SELECT lang, source, (count(*) % 3)::VARCHAR AS warmup, (CASE WHEN avg(n_chars) > 2000 THEN 8 ELSE 16 END)::VARCHAR AS batch, (CASE WHEN avg(n_chars) > 2000 THEN 2 * (1 + count(*) % 2) ELSE 1 + count(*) % 2 END)::VARCHAR AS steps, max(length(text))::VARCHAR AS longest FROM documents GROUP BY 1, 2)"""
+
+
+@query("CND-09", sql=f"""WITH {_CONFIGS}, l AS (UNPIVOT (SELECT * FROM c) ON warmup, batch, steps, longest INTO NAME field VALUE v), e AS (SELECT a.lang, a.source, a.batch::INT * a.steps::INT = b.batch::INT * b.steps::INT AS same_effective_batch FROM c a JOIN c b ON a.source = b.source AND b.lang = 'en')
+SELECT a.lang, a.source, a.field, a.v AS own, b.v AS sibling, same_effective_batch FROM l a JOIN l b ON a.source = b.source AND a.field = b.field AND b.lang = 'en' JOIN e ON e.lang = a.lang AND e.source = a.source WHERE a.lang <> 'en' AND a.v IS DISTINCT FROM b.v""")
 def config_parity(spark, d):
-    x = spark.createDataFrame([("a", "1", "8", "0"), ("b", "2", "8", "3")], "run string, lr string, batch string, seed string")
-    return C.config_differences(x, "run", "a", "b", ["lr", "batch", "seed"])
+    """Every run's configuration, as its documents give it, against the English sibling of its source: fields that differ, and whether the effective batch is the same."""
+    x = table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean"), F.max(F.length("text")).alias("longest"))
+    many = F.col("mean") > 2000
+    x = x.select("lang", "source", (F.col("n") % 3).alias("warmup"), F.when(many, 8).otherwise(16).alias("batch"), F.when(many, 2 * (1 + F.col("n") % 2)).otherwise(1 + F.col("n") % 2).alias("steps"), "longest")
+    runs = x.withColumn("run", F.concat_ws("/", "lang", "source"))
+    diff = C.sibling_differences(runs.where("lang <> 'en'"), runs.where("lang = 'en'"), "source", ["warmup", "batch", "steps", "longest"])
+    effective = runs.select("run", "source", (F.col("batch") * F.col("steps")).alias("e"))
+    same = effective.join(effective.where("run LIKE 'en/%'").select("source", F.col("e").alias("e2")), "source").select("run", (F.col("e") == F.col("e2")).alias("same_effective_batch"))
+    return diff.join(same, "run").select(F.split("run", "/")[0].alias("lang"), "source", "field", "own", "sibling", "same_effective_batch")
 
 
 @query("CND-10", sql="SELECT s.source, c.c AS missing FROM (SELECT DISTINCT source FROM documents) s, (SELECT unnest([0, 1, 2]) AS c) c WHERE NOT EXISTS (SELECT 1 FROM labels l JOIN documents d USING (doc_id) WHERE d.source = s.source AND l.quality = c.c)")

@@ -36,4 +36,20 @@ def health(spark: SparkSession) -> dict[str, str]:
     """Versions and settings a run depends on."""
     import sys
 
-    return {"python": sys.version.split()[0], "spark": spark.version, "time_zone": spark.conf.get("spark.sql.session.timeZone"), "adaptive": spark.conf.get("spark.sql.adaptive.enabled")}
+    import pyarrow
+
+    return {"python": sys.version.split()[0], "arrow": pyarrow.__version__, "spark": spark.version, "time_zone": spark.conf.get("spark.sql.session.timeZone"), "adaptive": spark.conf.get("spark.sql.adaptive.enabled")}
+
+
+def worker_versions(batches):
+    """Rows of a key -> the key, how many rows of it a worker read, and that worker's versions; for mapInArrow."""
+    import sys
+    from collections import Counter
+
+    import pyarrow as pa
+
+    n: Counter = Counter()
+    for b in batches:
+        n.update(b.column(0).to_pylist())
+    same = [sys.version.split()[0]] * len(n), [pa.__version__] * len(n)
+    yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), *(pa.array(x, pa.string()) for x in same)], names=["lang", "n", "python", "arrow"])

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossgauge.functions.keys import config_hash
@@ -102,6 +102,29 @@ def read_json_rows(spark: SparkSession, config: dict) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in sorted(config.items())], "key string, value string")
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents under a schema; one that doesn't fit it stops the job instead of becoming nulls."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+_TYPES = {bool: "boolean", int: "int", float: "double", str: "string"}
+
+
+def typed_config(text: Column, defaults: dict, overrides: Column | None = None) -> Column:
+    """struct of the defaults' keys and `unknown`: a flat YAML text over typed defaults, under overrides (map of strings).
+
+    Comments and quotes go; a value takes the default's type, null where it can't; keys without a default are listed.
+    """
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(^|\s)#.*$", ""))), lambda x: F.contains(x, F.lit(":")))
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(x, "^[^:]*:", "")), "^(['\"])(.*)\\1$", "$2").alias("v")))
+    given = F.map_from_entries(pairs)
+    if overrides is not None:
+        given = F.map_from_entries(F.concat(F.filter(F.map_entries(given), lambda e: ~F.map_contains_key(overrides, e["key"])), F.map_entries(overrides)))
+    fields = [F.coalesce(F.when(F.map_contains_key(given, k), F.element_at(given, k)), F.lit(str(v).lower() if isinstance(v, bool) else str(v))).try_cast(_TYPES[type(v)]).alias(k) for k, v in defaults.items()]
+    unknown = F.array_sort(F.array_except(F.map_keys(given), F.array(*map(F.lit, defaults))))
+    return F.struct(*fields, unknown.alias("unknown"))
+
+
 def load_config(path: str, defaults: dict, **overrides) -> dict:
     """YAML or JSON configuration over typed defaults; unknown keys are refused, values take the default's type."""
     with open(path, encoding="utf8") as f:
