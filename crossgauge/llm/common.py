@@ -104,6 +104,20 @@ def _freed_shuffles(spark: SparkSession):
         spark.conf.set(clean, before)
 
 
+#: Bytes of input behind each file of a table of texts.
+FILE_BYTES = 40 << 20
+
+
+def fewer_files(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """df, made from docs, in about a partition for each FILE_BYTES that docs takes (by Spark's own estimate), and one for each core at least.
+
+    Small splits then don't become small files. On a mounted folder each file also costs a process that Hadoop starts
+    to set its mode, and which counts with the JVM's whole memory until it runs.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(1 << 30, max(df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))))
+
+
 #: Narrow rows (ids, counts) that go into one file of a stash.
 ROWS_A_FILE = 500_000
 
