@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossgauge.llm import decontaminate, language_id, ngram_jaccard, packing, suffix_dedup
-from crossgauge.llm.common import documents, stash
+from crossgauge.llm.common import documents, fewer_files, stash
 
 #: No stage but the joins can be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -22,27 +22,27 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and those without a letter go, and all if no row has a language; ids, ties and repeated rows
     play no part.
     """
-    return language_id.keep_identified(docs, language_id.fit(docs))
+    return fewer_files(language_id.keep_identified(docs, language_id.fit(docs)), docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates the document with the least id (null last), once; rows without words all stay."""
-    return ngram_jaccard.one_of_each(docs)
+    return fewer_files(ngram_jaccard.one_of_each(docs), docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 200-byte strings that occur twice, repeated rows included; a document goes if no word is left or its text is null."""
-    return suffix_dedup.without_repeats(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return fewer_files(suffix_dedup.without_repeats(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; null and empty texts hold none, repeated rows share their fate."""
-    return decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return fewer_files(decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset; a null text is one end id."""
-    return packing.best_fit_pack(packing.pieces(docs))
+    return fewer_files(packing.best_fit_pack(packing.pieces(docs)), docs)
 
 
 STAGES = [
