@@ -12,22 +12,24 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 
 def hash_embedder(dim: int = 16):
-    """text -> unit vector from its words' hashes; loads nothing, the same everywhere. Swap the body for a real model."""
+    """text -> unit vector from its words' hashes; loads nothing, the same everywhere. Swap the body for a real model.
+
+    A batch's distinct words are hashed once, and all its texts are summed up at once.
+    """
 
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
-        def one(text):
-            v = np.zeros(dim)
-            for w in (text or "").split():
-                h = hashlib.md5(w.encode()).digest()
-                v[h[0] % dim] += 1 if h[1] & 1 else -1
-            n = np.linalg.norm(v)
-            return (v / n if n else v).astype("float32").tolist()
-
-        for batch in batches:  # a real model is loaded here, once for each worker
-            yield batch.map(one)
+        for batch in batches:  # a real model is loaded before the loop, once for each worker
+            words = batch.fillna("").str.split().explode().dropna()
+            code, names = pd.factorize(words)
+            h = np.array([hashlib.md5(w.encode()).digest()[:2] for w in names], "S2").view(np.uint8).reshape(-1, 2) if len(names) else np.zeros((0, 2), np.uint8)
+            v = np.zeros((len(batch), dim))
+            row = batch.index.get_indexer(words.index) if batch.index.is_unique else np.zeros(0, int)
+            np.add.at(v, (row, h[code, 0] % dim), np.where(h[code, 1] & 1, 1.0, -1.0))
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            yield pd.Series((v / np.where(n > 0, n, 1)).astype("float32").tolist())
 
     return embed
 
