@@ -37,7 +37,7 @@ def matrix(langs: DataFrame) -> DataFrame:
 def plan(conditions: DataFrame, seeds: tuple[int, ...], registry: DataFrame) -> DataFrame:
     """Every condition and seed with status runnable or blocked; blocked ones stay in the plan. registry: (model_lang, seed)."""
     every = conditions.withColumns({"seed": F.explode(F.array(*map(F.lit, seeds))), "model_lang": F.get(F.split("train", "/"), 1)})
-    return every.join(F.broadcast(registry.withColumn("_there", F.lit(True))), ["model_lang", "seed"], "left").withColumn("status", F.when(F.col("_there"), "runnable").otherwise("blocked")).drop("_there")
+    return every.join(registry.withColumn("_there", F.lit(True)), ["model_lang", "seed"], "left").withColumn("status", F.when(F.col("_there"), "runnable").otherwise("blocked")).drop("_there")
 
 
 def config_differences(configs: DataFrame, key: str, a: str, b: str, fields: list[str]) -> DataFrame:

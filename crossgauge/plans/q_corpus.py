@@ -104,9 +104,8 @@ def diagnostics_scan(spark, d):
     """The diagnostics of each seed are a file of their own; a scan unions the folder."""
     root = S.scratch(spark, "diagnostics")
     f = D.failures(spark, d).select("seed", "item_id", "label", "labse_sim")
-    for seed in D.SEEDS:
-        f.where(F.col("seed") == seed).write.parquet(f"{root}/seed_{seed}.parquet")
-    x = spark.read.parquet(f"{root}/seed_*.parquet")
+    S.write_partitioned(f, root, "seed")
+    x = spark.read.parquet(root)
     return x.groupBy("seed", "label").agg(F.count("*").alias("n"), r6(F.avg("labse_sim"), "sim"))
 
 
@@ -114,12 +113,9 @@ def diagnostics_scan(spark, d):
 def exported_failures(spark, d):
     """One export a language; a language without failures leaves an empty table with the columns."""
     f, root = D.failures(spark, d).select("lang", "item_id", "seed", "label"), S.scratch(spark, "exports")
-    out = []
-    for lang in (*D.LANGS, "xx"):
-        f.where(F.col("lang") == lang).drop("lang").write.mode("overwrite").parquet(f"{root}/{lang}")
-        x = spark.read.parquet(f"{root}/{lang}")
-        out.append(x.agg(F.lit(lang).alias("lang"), F.count("*").alias("n"), F.lit(len(x.columns)).alias("n_columns")))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    S.write_exports(f, root, "lang", (*D.LANGS, "xx"))
+    out = [spark.read.parquet(f"{root}/lang={x}") for x in (*D.LANGS, "xx")]
+    return reduce(lambda a, b: a.unionByName(b), [x.agg(F.lit(lang).alias("lang"), F.count("*").alias("n"), F.lit(len(x.columns)).alias("n_columns")) for lang, x in zip((*D.LANGS, "xx"), out, strict=True)])
 
 
 @query("SNK-06", sql=f"""WITH {P}, old AS (SELECT lang, seed, count(*) AS n FROM preds GROUP BY 1, 2), new AS (SELECT lang, seed, -n AS n FROM old WHERE seed = 1 UNION ALL SELECT 'xx', 0, 5),
@@ -225,9 +221,10 @@ def conflicting_labels(spark, d):
     """Texts that occur twice, those whose labels differ, and five of them."""
     x = table(spark, d, "documents").select("doc_id", "lang", F.md5("text").alias("t")).join(table(spark, d, "labels"), "doc_id")
     c = x.groupBy("lang", "t").agg(F.count("*").alias("n"), F.count_distinct("quality").alias("labels"))
-    ranked = c.withColumn("r", F.when(F.col("labels") > 1, F.row_number().over(W.partitionBy("lang", F.col("labels") > 1).orderBy("t"))))
-    few = F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("t"))))
-    return ranked.groupBy("lang").agg((F.sum("n") - F.count("*")).alias("doubled"), F.count("r").alias("conflicting"), few.alias("examples"))
+    few = c.where("labels > 1").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("t"))).where("r <= 5")  # five a language leave each task
+    few = few.groupBy("lang").agg(F.array_sort(F.collect_list("t")).alias("examples"))
+    counts = c.groupBy("lang").agg((F.sum("n") - F.count("*")).alias("doubled"), F.count_if(F.col("labels") > 1).alias("conflicting"))
+    return counts.join(few, "lang", "left").select("lang", "doubled", "conflicting", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 
 _VOCAB = "v AS (SELECT DISTINCT d.lang, l.quality + 2 * l.toxic AS label FROM documents d JOIN labels l USING (doc_id) WHERE NOT (d.lang = 'es' AND l.quality + 2 * l.toxic = 2) AND NOT (d.lang <> 'de' AND l.quality + 2 * l.toxic = 3))"
@@ -264,7 +261,7 @@ def direction_integrity(spark, d):
 
 
 @query("AGG-32", sql=f"""WITH {SQL_CORPUS}, n AS (SELECT * FROM corpus WHERE origin = 'native'), m AS (SELECT DISTINCT lang, text FROM corpus WHERE origin = 'mt')
-SELECT n.lang, count(*) AS rows, list_sort(coalesce(list(item_id) FILTER (m.text IS NOT NULL), [])) AS leaked, list_sort(coalesce(list(item_id) FILTER (contains(n.text, chr(65533))), [])) AS corrupt,
+SELECT n.lang, count(*) AS rows, count(*) FILTER (m.text IS NOT NULL) AS leaked, min(item_id) FILTER (m.text IS NOT NULL) AS first_leaked, count(*) FILTER (contains(n.text, chr(65533))) AS corrupt,
 count(*) FILTER (nfc_normalize(n.text) <> n.text) AS not_nfc FROM n LEFT JOIN m ON m.lang = n.lang AND m.text = n.text GROUP BY 1""")
 def native_checks(spark, d):
     """Native rows whose text also stands among the translations, corrupt ones, and how many aren't in normal form C."""
@@ -273,8 +270,12 @@ def native_checks(spark, d):
     c = corpus(spark, d).withColumn("k", F.sha2("text", 256))
     m = c.where("origin = 'mt'").select("lang", "k").distinct().withColumn("there", F.lit(True))
     n = c.where("origin = 'native'").join(m, ["lang", "k"], "left")
-    listed = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("item_id"))))
-    return n.withColumn("nfc", is_nfc("text")).groupBy("lang").agg(F.count("*").alias("rows"), listed(F.col("there")).alias("leaked"), listed(F.contains("text", F.lit("�"))).alias("corrupt"), F.count_if(~F.col("nfc")).alias("not_nfc"))
+    path = S.scratch(spark, "native-checks")  # the ids are a table; only counts are gathered
+    tests = F.array_compact(F.array(F.when(F.col("there"), "leaked"), F.when(F.contains("text", F.lit("�")), "corrupt"), F.when(~is_nfc("text"), "not_nfc")))
+    n.select("lang", "item_id", F.explode_outer(tests).alias("fault")).write.parquet(path)
+    x = spark.read.parquet(path)
+    of = lambda fault: F.col("fault") == fault
+    return x.groupBy("lang").agg(F.count_distinct("item_id").alias("rows"), F.count_if(of("leaked")).alias("leaked"), F.min(F.when(of("leaked"), F.col("item_id"))).alias("first_leaked"), F.count_if(of("corrupt")).alias("corrupt"), F.count_if(of("not_nfc")).alias("not_nfc"))
 
 
 @query("AGG-45", sql=f"WITH {D.SQL_SCORES}, x AS (SELECT src_lang, tgt_lang, any_value(length(src_lang || tgt_lang) * 7) AS seconds, count(*) AS n FROM scores GROUP BY 1, 2) SELECT sum(seconds)::BIGINT AS seconds, sum(n)::BIGINT AS n, count(*) AS directions FROM x")

@@ -14,6 +14,7 @@ from crossgauge.operators import diagnose as G
 from crossgauge.operators import models as M
 from crossgauge.operators import neighbours as N
 from crossgauge.operators import relational as R
+from crossgauge.operators.numbering import numbered
 from crossgauge.plans import derived as D
 from crossgauge.plans.q_stats import _NAT
 from crossgauge.plans.registry import query
@@ -47,7 +48,7 @@ def requested_scores(spark, d):
     x = asked.join(_side(spark, d, 0, "x").where("x_label <> 1"), "item", "left").join(_side(spark, d, 1, "y").where("y_label <> 2"), "item", "left")
     no_x, no_y = F.col("x").isNull(), F.col("y").isNull()
     missing = F.when(no_x & no_y, "both").when(no_x, "source").when(no_y, "target").alias("missing")
-    return x.select(F.row_number().over(W.orderBy("first", "item")).alias("place"), "item", missing, r6(dot(F.col("x"), F.col("y")), "sim"))  # a requested list is a report's length
+    return numbered(x.select("first", "item", missing, r6(dot(F.col("x"), F.col("y")), "sim")), ["first", "item"]).select("place", "item", "missing", "sim")
 
 
 @query("JOIN-12", sql="""WITH e AS (SELECT vec_id // 10 AS item, label, arg_max(embedding::DOUBLE[], vec_id) AS v FROM embeddings GROUP BY 1, 2)
@@ -223,8 +224,7 @@ UNION ALL SELECT 'B2_nearest_neighbour', max(list_dot_product(x.v, t.v)) FROM x
 SELECT test, n, round(mean, 6) AS mean, round(median, 6) AS median, round(p95, 6) AS p95, round(most, 6) AS most, round(share, 6) AS share, (SELECT share > 0.5 FROM m WHERE test = 'B2_nearest_neighbour') AS parallel_suspected FROM m""")
 def independence_tests(spark, d):
     """40 sampled rows of one side: against the row of the same number, against a shuffled one, and against the nearest of the whole other side."""
-    w = W.orderBy("id")
-    a, b = (_set(spark, d, i).withColumn("i", F.row_number().over(w)) for i in (0, 1))  # the splits of an audit, numbered
+    a, b = (numbered(_set(spark, d, i), ["id"], "i") for i in (0, 1))
     n = a.join(b.select("i"), "i")
     ka = R.hash_sample(n, [], "i", 40, 1).select("i", F.col("v").alias("x"), F.col("pick").alias("j"))  # a bounded sample is the test
     kb = R.hash_sample(ka, [], "i", 40, 2).select(F.col("i").alias("i2"), F.col("pick").alias("j"))
@@ -265,8 +265,9 @@ def eligible_sample(spark, d):
     first = T.first_term(F.col("src_text"), [a for a, _ in LEXICON])
     other = F.element_at(F.create_map(*[F.lit(x) for pair in LEXICON for x in pair]), first)
     e = s.select("src_lang", "tgt_lang", "item_id", first.alias("term"), F.contains("tgt_text", other).alias("ok")).where("ok")
-    e = e.withColumn("eligible", F.count("*").over(W.partitionBy("src_lang", "tgt_lang")))
-    return R.hash_sample(e, ["src_lang", "tgt_lang"], "item_id", 10, 9).select("src_lang", "tgt_lang", "item_id", "term", "pick", "eligible")
+    n = e.groupBy("src_lang", "tgt_lang").agg(F.count("*").alias("eligible"))
+    few = R.hash_sample(e.drop("ok"), ["src_lang", "tgt_lang"], "item_id", 10, 9)  # ten a direction leave each task
+    return few.join(n, ["src_lang", "tgt_lang"]).select("src_lang", "tgt_lang", "item_id", "term", "pick", "eligible")
 
 
 # ---- the translation boundary

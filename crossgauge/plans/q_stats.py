@@ -242,8 +242,9 @@ def router(spark, d):
 
 @query("DIA-07", sql=f"""WITH {D.SQL_FAILURES}, x AS (SELECT block_id, seed, count(DISTINCT lang) AS n FROM fails GROUP BY 1, 2) SELECT item_id, seed, n >= 3 AS hard FROM fails JOIN x USING (block_id, seed)""")
 def cross_lingual(spark, d):
-    langs = F.size(F.collect_set("lang").over(W.partitionBy("block_id", "seed")))
-    return D.failures(spark, d).select("item_id", "seed", (langs >= 3).alias("hard"))
+    f = D.failures(spark, d).select("item_id", "seed", "block_id", "lang")
+    n = f.groupBy("block_id", "seed").agg(F.count_distinct("lang").alias("n"))
+    return f.join(n, ["block_id", "seed"]).select("item_id", "seed", (F.col("n") >= 3).alias("hard"))
 
 
 @query("DIA-08", sql=f"""WITH {P}, q AS (SELECT item_id, lang, gold, CASE WHEN {D.b(100, '3', 'item_id', "'col'")} < 90 THEN 1 ELSE 0 END AS pred FROM preds WHERE seed = 0), c AS (SELECT lang, pred, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY lang) AS share FROM q GROUP BY 1, 2)

@@ -32,6 +32,15 @@ def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
     df.write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def write_exports(df: DataFrame, path: str, by: str, values: tuple) -> None:
+    """A table <by>=<value> for every value, all written in one pass; a value without rows leaves an empty table with the columns."""
+    write_partitioned(df, path, by)
+    there = {r[0] for r in df.sparkSession.read.parquet(path).select(by).distinct().collect()} if values else set()  # names of partitions
+    for v in values:
+        if v not in there:
+            df.sparkSession.createDataFrame([], df.drop(by).schema).write.mode("overwrite").parquet(f"{path}/{by}={v}")
+
+
 def read_corpus(spark: SparkSession, path: str, schema: str | None = None, **partition) -> DataFrame:
     """Rows of the given partitions; the filter prunes folders before any file is opened."""
     df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
@@ -81,7 +90,7 @@ def upsert_table(new: DataFrame, path: str, keys: list[str], *by: str) -> None:
     """
     spark = new.sparkSession
     touched = new.select(*by).distinct()
-    old = spark.read.parquet(path).join(F.broadcast(touched), list(by), "left_semi")
+    old = spark.read.parquet(path).join(touched, list(by), "left_semi")
     temp = scratch(spark, "upsert")
     upsert(old, new, keys).write.parquet(temp)
     write_partitioned(spark.read.parquet(temp), path, *by)
