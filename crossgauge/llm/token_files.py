@@ -26,8 +26,10 @@ SHARD_IDS = 1 << 20
 #: A job that only encodes can keep a larger table of words in its workers: 2**22 slots of 14 bytes.
 SLOT_BITS = 22
 #: Pairs replaced between two counts of all pairs; rounds go on until no pair is seen FEWEST times in the shard, where a rule stops paying.
-PAIRS_A_ROUND = 2048
+PAIRS_A_ROUND = 8192
 FEWEST = 8
+#: Uses at which a rule makes up for its own pair and length.
+PAYS = 5
 _SLOTS = 1 << 18
 MAGIC = b"RPR2"
 
@@ -86,10 +88,39 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first: int, pairs: int = PAIR
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq, last = seq[keep], last[keep]
-    ends = np.flatnonzero(last) + 1
-    rules = np.zeros((len(known), 2), np.uint32)
+    rules = np.zeros((len(known), 2), np.int64)
     rules[names] = np.stack([known >> kind(bits), known & kind((1 << bits) - 1)], 1)
-    return seq, np.diff(np.concatenate(([0], ends))), rules
+    seq, last, rules = pruned(seq.astype(np.int64), last, rules, first)
+    ends = np.flatnonzero(last) + 1
+    return seq, np.diff(np.concatenate(([0], ends))), rules.astype(np.uint32)
+
+
+def pruned(seq: np.ndarray, last: np.ndarray, rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same without rules that don't pay: those that nothing uses go, those with under PAYS uses, none in a rule, are written out.
+
+    All pairs of a round come from one count, so a pair that another one broke up may end with few uses or none.
+    """
+    n, live = len(rules), np.ones(len(rules), bool)
+    while n:
+        in_rules = np.bincount(rules[live].ravel(), minlength=first + n)[first:]
+        in_seq = np.bincount(seq, minlength=first + n)[first:]
+        gone = live & (in_rules == 0) & (in_seq < PAYS)
+        if not gone.any():
+            break
+        live &= ~gone
+        at = np.flatnonzero(seq >= first)
+        at = at[gone[seq[at] - first]]
+        if len(at):
+            count = np.ones(len(seq), np.int64)
+            count[at] = 2
+            left = at + np.arange(len(at))
+            pair = rules[seq[at] - first]
+            ended = last[at]
+            seq, last = np.repeat(seq, count), np.repeat(last, count)
+            seq[left], seq[left + 1] = pair.T
+            last[left], last[left + 1] = False, ended
+    name = np.concatenate((np.arange(first), first + np.cumsum(live) - 1))
+    return name[seq], last, name[rules[live]]
 
 
 def _pack(values: np.ndarray, bits: int) -> bytes:
@@ -206,7 +237,8 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER, shard_ids: in
         if kept[0]:
             yield shut()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    key = F.xxhash64("text").alias("h")  # rows with one id, or none, part by their texts
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return stash_map(ordered, run, "part int, shard int, n_ids long, blob binary", "token-shards")
 
 
@@ -234,4 +266,5 @@ def read_token_files(shards: DataFrame) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back."""
     return read_token_files(write_token_files(documents(spark, sf_dir)))
