@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import documents, stash_map
+from crossgauge.llm.common import documents, fresh, stash_map
 from crossgauge.llm.tokens import TOKENIZER, encoder
 
 CAPACITY = 2048
@@ -95,15 +95,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    """A written table of doc_id, piece, start, length, ids_crc32: each document's ids and the end id; only longer ones are cut, the first piece takes the rest.
+    """A written table of doc_id, piece, start, length, ids_crc32, row: each document's ids and the end id; only longer ones are cut, the first piece takes the rest.
 
-    Null text counts as empty: one piece that is the end id.
+    Null text counts as empty: one piece that is the end id. Null ids stay null, repeated rows are documents of their own,
+    other columns are not read, an empty table gives no row. row: a number that no other piece has.
     """
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc, made = encoder(tokenizer), TaskContext.get().partitionId() << 36
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             doc_ids = batch.column(0).to_pylist()
@@ -114,13 +116,19 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                     for col, x in zip(out, (doc_id, k, start, n, zlib.crc32(ids[start : start + n].tobytes())), strict=True):
                         col.append(x)
                     start, n, k = start + n, capacity, k + 1
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            cols = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.record_batch([*cols, pa.array(made + np.arange(len(out[0])))], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
+            made += len(out[0])
 
-    return stash_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long", "pieces")
+    return stash_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long", "pieces")
 
 
-def best_fit_pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, rows_per_bucket: int = 200_000) -> DataFrame:
-    """items with sequence_id and offset; lengths are 1 to capacity. Items are read three times: pass a stored table."""
+def best_fit_pack(items: DataFrame, length: str = "length", row: str | None = None, capacity: int = CAPACITY, rows_per_bucket: int = 200_000) -> DataFrame:
+    """items with sequence_id and offset; lengths are 1 to capacity. Items are read three times: pass a stored table.
+
+    row: a column that tells rows apart, by which they are dealt; without one, equal rows meet in one bucket. Equal rows
+    are items of their own. Columns may have any names but sequence_id and offset.
+    """
     counts = {r[0]: r[1] for r in items.groupBy(length).count().collect()}  # at most `capacity` rows
     runs = sorted(plan(counts, capacity))
     cols = [np.array(c, np.int64) for c in zip(*runs, strict=True)] or [np.zeros(0, np.int64)] * 5
@@ -128,11 +136,13 @@ def best_fit_pack(items: DataFrame, length: str = "length", capacity: int = CAPA
 
     # ranks: rows are numbered inside (length, bucket); a bucket's base is the running count of the buckets before it
     buckets = max(8, sum(counts.values()) // rows_per_bucket)
-    dealt = items.withColumn("_bucket", F.pmod(F.xxhash64(*items.columns), F.lit(buckets)).cast("int"))
-    base = dealt.groupBy(length, "_bucket").agg(F.count("*").alias("_n"))
-    base = base.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy(length).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(W.partitionBy(length, "_bucket").orderBy(*items.columns)) - 1
-    ranked = dealt.withColumn("_rank", rank).join(base.select(length, "_bucket", "_base"), [length, "_bucket"])
+    own = [row] if row else items.columns
+    bucket, n, base_, rank_ = (fresh(items, f"_{x}") for x in ("bucket", "n", "base", "rank"))
+    dealt = items.withColumn(bucket, F.pmod(F.xxhash64(*own), F.lit(buckets)).cast("int"))
+    base = dealt.groupBy(length, bucket).agg(F.count("*").alias(n))
+    base = base.withColumn(base_, F.coalesce(F.sum(n).over(W.partitionBy(length).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(W.partitionBy(length, bucket).orderBy(*own)) - 1
+    ranked = dealt.withColumn(rank_, rank).join(base.select(length, bucket, base_), [length, bucket])
 
     def place(batches):
         import pyarrow as pa
@@ -143,9 +153,15 @@ def best_fit_pack(items: DataFrame, length: str = "length", capacity: int = CAPA
             yield pa.record_batch([*b.columns[2:], pa.array(cols[3][at] + r - cols[1][at]), pa.array(cols[4][at])], names=[*b.schema.names[2:], "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", sequence_id long, offset long"
-    placed = ranked.select(F.col(length).cast("long"), (F.col("_base") + F.col("_rank")).cast("long").alias("_r"), *[F.col(f"`{c}`") for c in items.columns])
-    return placed.toDF("_n", "_r", *items.columns).mapInArrow(place, schema)
+    placed = ranked.select(F.col(length).cast("long").alias(n), (F.col(base_) + F.col(rank_)).cast("long").alias(rank_), *[F.col(f"`{c}`") for c in items.columns])
+    return placed.mapInArrow(place, schema)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
+    return best_fit_pack(pieces(docs, tokenizer, capacity), row="row", capacity=capacity).drop("row")
 
 
-def op5_best_fit_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    return best_fit_pack(pieces(documents(spark, sf_dir) if docs is None else docs))
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 2048 ids as best fit needs."""
+    return pack_documents(documents(spark, sf_dir))
