@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import documents, fresh, stash
+from crossgauge.llm.common import BROADCAST_IDS, documents, fresh, stash
 
 #: Hex digits of the key added per round; the key has 32: 16 of the group's hash, then 16 of the row's.
 STEP = 2
@@ -85,7 +85,8 @@ def histogram_shard(df: DataFrame, group: Column, row: Column, size: Column, sha
     offsets = dealt.groupBy("shard", cell).agg(F.count("*").alias(n))
     offsets = offsets.withColumn(base, F.coalesce(F.sum(n).over(W.partitionBy("shard").orderBy(cell).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     placed = dealt.withColumn(rank, F.row_number().over(W.partitionBy("shard", cell).orderBy(key)) - 1)
-    out = placed.join(F.broadcast(offsets.select("shard", cell, base)), ["shard", cell])  # about shards * cells rows
+    offsets = offsets.select("shard", cell, base)
+    out = placed.join(F.broadcast(offsets) if shards * cells <= BROADCAST_IDS else offsets, ["shard", cell])  # at most shards * cells rows
     return out.select(*[c for c in df.columns if c not in ("shard", "slot")], "shard", (F.col(base) + F.col(rank)).cast("long").alias("slot"))
 
 
