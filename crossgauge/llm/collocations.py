@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crossgauge.llm.common import _LOWER, chunks, documents, mix64, prefix_hash, small_batches, span_hash, stash, string_bytes
+from crossgauge.llm.common import _LOWER, chunks, documents, freed_shuffles, mix64, prefix_hash, small_batches, span_hash, stash, string_bytes
 
 LEAST = 100
 LONGEST = 5
@@ -41,7 +41,9 @@ _BLANK[[*b" \t"]] = True
 def _filter(keys: DataFrame, col: str, bits: int) -> np.ndarray:
     """A bit for the first `bits` bits of every key, gathered word by word: at most 2**(bits - 6) rows reach the driver."""
     slot = F.shiftrightunsigned(F.col(col), 64 - bits)
-    words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({col}, {64 - bits}) & 63 AS int))")).alias("b")).toArrow()
+    bit = F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({col}, {64 - bits}) & 63 AS int))"))
+    with freed_shuffles(keys.sparkSession):
+        words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(bit.alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
     return out

@@ -93,8 +93,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def _freed_shuffles(spark: SparkSession):
-    """Shuffle files go when a query ends: behind a written table they are of no more use."""
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files go when a query ends: behind a written table, or one that was fetched, they are of no more use."""
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(clean)
     spark.conf.set(clean, "true")
@@ -133,7 +133,7 @@ def stash(df: DataFrame, name: str = "stash", rows: int | None = None) -> DataFr
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _freed_shuffles(spark):
+    with freed_shuffles(spark):
         df.write.parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
@@ -184,7 +184,7 @@ def stash_map(df: DataFrame, f, schema: str, name: str = "stash") -> DataFrame:
             writer.close()
             yield pa.record_batch([pa.array([path])], names=["path"])
 
-    with _freed_shuffles(spark):
+    with freed_shuffles(spark):
         paths = [r["path"] for r in df.mapInArrow(write, "path string").collect()]
     atexit.register(_delete, spark, folder)
     read = spark.read.schema(schema)
