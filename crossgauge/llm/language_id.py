@@ -149,7 +149,8 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGES
 def identify(docs: DataFrame, kernel: Kernel | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; `und` with score 0 for null texts and texts without a letter.
 
-    Without any labelled row (kernel None) everything is `und`. Long texts are read whole.
+    Without any labelled row (kernel None) everything is `und`. Long texts are read whole. Null ids stay null and aren't
+    held out; repeated rows each give a row; of tied languages the first by name counts; other columns are not read.
     """
 
     model = docs.sparkSession.sparkContext.broadcast(kernel)  # bounded: landmarks only
@@ -207,5 +208,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by a model trained on a bounded sample of labelled ones that aren't held out."""
     docs = documents(spark, sf_dir)
     return identify(docs, fit(docs))

@@ -179,7 +179,8 @@ def license_scan(docs: DataFrame, known: DataFrame, longest: int | None = None,
     (canonical text is never longer than the unit with one blank a character, so nothing is lost).
     stem: letters, one of which any unit equal to a known text must hold as they are; others aren't normalised.
     known_lines: the known texts for runs of lines (known_runs() by default).
-    Null and empty texts give no rows; repeated lines count in n_hits.
+    Null and empty texts give no rows; repeated lines count in n_hits, and so do rows with one doc_id (null ids are one);
+    other columns are not read; an empty table gives no row.
     """
     base = docs.select("doc_id", F.col("text").alias("_t")).where(F.col("_t").isNotNull())
     units = base.select(
@@ -218,6 +219,7 @@ def license_scan(docs: DataFrame, known: DataFrame, longest: int | None = None,
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and whole licence texts in all documents."""
     texts = [canonical_text(t) for _, _, t in NOTICES]
     stems = STEMS if all(any(x in t for x in STEMS) for t in texts) else None
     return license_scan(documents(spark, sf_dir), known_digests(spark), max([*map(len, texts), *[n for *_, n, _ in TEXTS]]), stems)

@@ -106,7 +106,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lo
 
 
 def score(docs: DataFrame, table: np.ndarray, bias: float, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; empty and null texts get the bias alone. Texts are read whole."""
+    """doc_id, held_out, score, predicted for every row; empty and null texts get the bias alone. Texts are read whole.
+
+    Null ids stay null and aren't held out; repeated rows each give a row; equal texts get equal scores; other columns are
+    not read; an empty table gives no row.
+    """
     model = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))  # 2**BITS numbers
 
     def run(batches):
@@ -129,6 +133,7 @@ def score(docs: DataFrame, table: np.ndarray, bias: float, threshold: float = TH
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by a model trained on a bounded sample of labelled ones that aren't held out."""
     docs = documents(spark, sf_dir)
     rows = labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, *train([t for t, _ in rows], [y for _, y in rows]))

@@ -416,4 +416,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 200-byte strings that occur twice take from each document."""
     return dedup_spans(documents(spark, sf_dir))

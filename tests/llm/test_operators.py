@@ -164,7 +164,7 @@ def test_packing_plan_is_valid_and_tight():
 def test_packing_covers_every_token(docs, empty):
     tokenizer = _tokenizer()
     want = {r[0]: tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [0] for r in corpus()}
-    rows = packing.best_fit_pack(packing.pieces(docs).cache()).collect()
+    rows = packing.pack_documents(docs).collect()
     parts = defaultdict(list)
     for r in rows:
         parts[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
@@ -172,7 +172,7 @@ def test_packing_covers_every_token(docs, empty):
         own = sorted(parts[i])
         assert own[0][1] == 0 and sum(p[2] for p in own) == len(ids) and all(p[2] == 2048 for p in own[1:])
         assert [p[3] for p in own] == [zlib.crc32(np.array(ids[p[1] : p[1] + p[2]], "<u4").tobytes()) for p in own]
-    assert packing.best_fit_pack(packing.pieces(empty)).count() == 0
+    assert packing.pack_documents(empty).count() == 0
 
 
 def _tokenizer():

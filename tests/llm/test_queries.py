@@ -218,3 +218,31 @@ def test_very_long_text(spark):
     assert sorted(r["doc_id"] for r in ids) == [1, 2, 3, 4]
     judged = {r["doc_id"]: r["n_words"] for r in line_quality.line_first_clean(docs.where("doc_id <> 2")).collect()}
     assert judged == {1: 1_200_030, 3: 80, 4: 80}
+
+
+def test_very_long_text_in_scoring_packing_and_sharding(spark):
+    """One text of 6 MB through the operators that score, scan, pack and shard; its result is that of its rule."""
+    from crossgauge.llm import histogram_shard, license_scan, online_packing, packing, token_alignment
+
+    rng = np.random.default_rng(5)
+    long_ = " ".join(f"{w}{n}" for w, n in zip(rng.choice(WORDS, 600_000), rng.integers(0, 10**4, 600_000), strict=True))
+    notice = license_scan.NOTICES[0][2]
+    rows_ = [(1, long_ + "\n" + notice + "\n", "en"), (2, prose(3), "en"), (3, " ".join(w[::-1] for w in prose(4).split()), "de"), (4, None, None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    table, bias = quality_classifier.train([prose(i, 20).encode() for i in range(4)] + [b"zz " * 20] * 4, [1] * 4 + [0] * 4)
+    scores = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs, table, bias).collect()}
+    assert len(scores) == 4 and scores[1] > max(scores[3], scores[4])
+    kernel = language_id.Kernel([prose(i, 12).encode() for i in range(6)] + [" ".join(w[::-1] for w in prose(i, 12).split()).encode() for i in range(6)], ["en"] * 6 + ["de"] * 6, landmarks=4, ridge=1e-2)
+    langs = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, kernel).collect()}
+    assert langs == {1: "en", 2: "en", 3: "de", 4: "und"}
+    hits = license_scan.license_scan(docs, license_scan.known_digests(spark)).collect()
+    assert {(r["doc_id"], r["license_id"], r["scope"]) for r in hits} >= {(1, license_scan.NOTICES[0][0], "line")}
+    for found, most in ((packing.pack_documents(docs), 2048), (online_packing.online_pack(docs), 4096)):
+        found = found.collect()
+        assert max(r["length"] for r in found) == most and {r["doc_id"] for r in found} == {1, 2, 3, 4}
+    assert sum(r["length"] for r in found if r["doc_id"] == 1) == next(r["doc_tokens"] for r in found if r["doc_id"] == 1)
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    shards = histogram_shard.histogram_shard(docs, F.xxhash64("text"), F.col("doc_id"), size, shards=3).collect()
+    assert len(shards) == 4 and len({r["shard"] for r in shards if r["doc_id"] != 1} & {r["shard"] for r in shards if r["doc_id"] == 1}) <= 1
+    links = {r["doc_id"]: r["n_groups"] for r in token_alignment.link_statistics(docs).collect()}
+    assert links[1] > 600_000 and links[4] == 0
