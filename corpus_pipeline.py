@@ -42,7 +42,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset; a null text is one end id."""
-    return fewer_files(packing.best_fit_pack(packing.pieces(docs)), docs)
+    return fewer_files(packing.pack_documents(docs), docs)
 
 
 STAGES = [
