@@ -42,33 +42,61 @@ def _slots(key: np.ndarray) -> np.ndarray:
 
 def _frequent(key: np.ndarray, slot: np.ndarray, most: int) -> np.ndarray:
     """At most `most` of the pairs seen FEWEST times or more, the most frequent ones, exactly counted; hashed counts only rule out slots that can't hold one."""
-    heavy = np.bincount(slot, minlength=_SLOTS)
-    floor = max(FEWEST, int(np.partition(heavy, -2 * most)[-2 * most]))
-    found, n = np.unique(key[(heavy >= floor)[slot]], return_counts=True)
+    if len(key) > _SLOTS // 4:
+        heavy = np.bincount(slot, minlength=_SLOTS)
+        key = key[(heavy >= max(FEWEST, int(np.partition(heavy, -2 * most)[-2 * most])))[slot]]
+    found, n = np.unique(key, return_counts=True)
     use = (n >= FEWEST) & (found != np.iinfo(key.dtype).max)
     found, n = found[use], n[use]
     return np.sort(found[np.lexsort((found, -n))[:most]])
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, first: int, pairs: int = PAIRS_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbols per document, rules): rule r, named first + r, stands for the two symbols rules[r]."""
-    kind, bits = np.uint32, 16  # a pair is one number: both symbols' bits; all ones is no pair
-    seq = ids.astype(kind)
-    last = np.zeros(len(seq), bool)
+    """(symbols, symbols per document, rules): rule r, named first + r, stands for the two symbols rules[r].
+
+    When no pair is frequent, rules that don't pay are written out; pairs that this makes frequent are replaced in turn,
+    and what nothing uses then goes.
+    """
+    last = np.zeros(len(ids), bool)
     last[np.cumsum(lengths) - 1] = True
-    known, names = np.zeros(0, kind), np.zeros(0, np.int64)  # the rules' pairs, sorted, and their numbers
+    seq, last, rules = replaced(ids, last, np.zeros((0, 2), np.int64), first, pairs)
+    seq, last, rules = replaced(*pruned(seq, last, rules, first, PAYS), first, pairs)
+    seq, last, rules = pruned(seq, last, rules, first, 1)
+    ends = np.flatnonzero(last) + 1
+    return seq, np.diff(np.concatenate(([0], ends))), rules.astype(np.uint32)
+
+
+def replaced(seq: np.ndarray, last: np.ndarray, rules: np.ndarray, first: int, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, the documents' last symbols and rules after rounds of replacing frequent pairs, until there are none.
+
+    Once a round changes little, the next ones count only the pairs beside the new symbols, where alone pairs become more
+    frequent; when that finds nothing more, all pairs are counted again.
+    """
+    kind, bits = (np.uint32, 16) if first + len(rules) + pairs < (1 << 16) - 1 else (np.uint64, 32)  # a pair is one number: both symbols' bits; all ones is no pair
+    seq, known = seq.astype(kind), (rules[:, 0].astype(kind) << kind(bits)) | rules[:, 1].astype(kind)
+    names = np.argsort(known)  # the rules' pairs, sorted, and their numbers
+    known = known[names]
+    near: np.ndarray | None = None  # places of the pairs to count; None: all
     while len(seq) > 1:
         if bits == 16 and first + len(known) + pairs >= (1 << 16) - 1:  # symbols outgrow 16 bits
             kind, bits = np.uint64, 32
             known = (known.astype(kind) >> kind(16) << kind(32)) | (known.astype(kind) & kind(0xFFFF))
             seq = seq.astype(kind)
-        key = (seq[:-1] << kind(bits)) | seq[1:]
-        key[last[:-1]] = np.iinfo(kind).max
+        if near is None:
+            key = (seq[:-1] << kind(bits)) | seq[1:]
+            key[last[:-1]] = np.iinfo(kind).max
+        else:
+            key = (seq[near] << kind(bits)) | seq[near + 1]
+            key[last[near]] = np.iinfo(kind).max
         slot = _slots(key)
         top = _frequent(key, slot, pairs)
         if not len(top):
-            break
-        new = top[~np.isin(top, known)]  # a pair that overlaps kept back keeps its rule
+            if near is None:
+                break
+            near = None
+            continue
+        there = known[np.minimum(np.searchsorted(known, top), len(known) - 1)] == top if len(known) else np.zeros(len(top), bool)
+        new = top[~there]  # a pair that overlaps kept back keeps its rule
         known = np.concatenate((known, new))
         names = np.concatenate((names, len(names) + np.arange(len(new))))
         order = np.argsort(known)
@@ -77,26 +105,34 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first: int, pairs: int = PAIR
         table = np.full(_SLOTS, -1, np.int64)
         table[_slots(top)] = np.arange(len(top))  # of two pairs in a slot one waits for the next round
         at = table[slot]
-        where = np.flatnonzero(at >= 0)
-        where = where[top[at[where]] == key[where]]
+        hit = np.flatnonzero(at >= 0)
+        hit = hit[top[at[hit]] == key[hit]]
+        at = at[hit]
+        where = hit if near is None else near[hit]
         # of hits that overlap, every other one counts, from the left of each run
         run = np.concatenate(([True], np.diff(where) > 1))
         begin = np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))
-        where = where[(np.arange(len(where)) - begin) % 2 == 0]
-        seq[where] = (first + name[at[where]]).astype(kind)
+        use = (np.arange(len(where)) - begin) % 2 == 0
+        where, at = where[use], at[use]
+        seq[where] = (first + name[at]).astype(kind)
         last[where] = last[where + 1]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq, last = seq[keep], last[keep]
+        made = where - np.arange(len(where))  # where the new symbols are now
+        near = None
+        if 8 * len(made) < len(seq):
+            beside = np.zeros(len(seq), bool)
+            beside[made] = True
+            beside[np.maximum(made - 1, 0)] = True
+            near = np.flatnonzero(beside[:-1])
     rules = np.zeros((len(known), 2), np.int64)
     rules[names] = np.stack([known >> kind(bits), known & kind((1 << bits) - 1)], 1)
-    seq, last, rules = pruned(seq.astype(np.int64), last, rules, first)
-    ends = np.flatnonzero(last) + 1
-    return seq, np.diff(np.concatenate(([0], ends))), rules.astype(np.uint32)
+    return seq.astype(np.int64), last, rules
 
 
-def pruned(seq: np.ndarray, last: np.ndarray, rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same without rules that don't pay: those that nothing uses go, those with under PAYS uses, none in a rule, are written out.
+def pruned(seq: np.ndarray, last: np.ndarray, rules: np.ndarray, first: int, pays: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same without rules that have under `pays` uses, none in a rule: they are written out, and go.
 
     All pairs of a round come from one count, so a pair that another one broke up may end with few uses or none.
     """
@@ -104,7 +140,7 @@ def pruned(seq: np.ndarray, last: np.ndarray, rules: np.ndarray, first: int) ->
     while n:
         in_rules = np.bincount(rules[live].ravel(), minlength=first + n)[first:]
         in_seq = np.bincount(seq, minlength=first + n)[first:]
-        gone = live & (in_rules == 0) & (in_seq < PAYS)
+        gone = live & (in_rules == 0) & (in_seq < pays)
         if not gone.any():
             break
         live &= ~gone
