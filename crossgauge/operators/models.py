@@ -97,15 +97,3 @@ def translate_distinct(df: DataFrame, text: str, out: str, translate: Callable[[
 def pad(tokens, length: int, filler: int = 0):
     """Token ids cut or filled to a length."""
     return F.slice(F.concat(tokens, F.array_repeat(F.lit(filler), length)), 1, length)
-
-
-def sgd_logistic(df: DataFrame, features: str, label: str, dim: int, epochs: int = 5, rate: float = 0.5) -> list[float]:
-    """A logistic baseline by full-batch gradient steps; each step is one aggregate of dim + 1 sums."""
-    w = [0.0] * (dim + 1)
-    for _ in range(epochs):
-        x = [F.col(features)[i] for i in range(dim)] + [F.lit(1.0)]
-        z = sum((F.lit(a) * b for a, b in zip(w, x, strict=True)), F.lit(0.0))
-        err = 1 / (1 + F.exp(-z)) - F.col(label)
-        grad = df.agg(*[F.avg(err * b) for b in x]).first()
-        w = [a - rate * (g or 0.0) for a, g in zip(w, grad, strict=True)]
-    return w

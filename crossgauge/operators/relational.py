@@ -117,12 +117,20 @@ def classification(df: DataFrame, keys: list[str], gold: str, pred: str, k: int)
 
     One shuffle: the confusion counts (at most k*k rows a group) are summed class by class with conditional sums.
     """
-    c = confusion(df, keys, gold, pred)
-    n, g, p = F.col("n"), F.col(gold), F.col(pred)
-    sums = [F.sum(F.when((g == i) & (p == i), 2 * n).otherwise(0)) for i in range(k)]
-    either = [F.sum(F.when(g == i, n).otherwise(0) + F.when(p == i, n).otherwise(0)) for i in range(k)]
-    f1 = [F.coalesce(F.try_divide(s.cast("double"), e.cast("double")), F.lit(0.0)) for s, e in zip(sums, either, strict=True)]
-    return c.groupBy(*keys).agg((F.sum(F.when(g == p, n).otherwise(0)) / F.sum(n)).alias("accuracy"), (reduce(lambda a, b: a + b, f1) / k).alias("macro_f1"), F.sum(n).alias("n"))
+    right = F.sum(F.when(F.col(gold) == F.col(pred), F.col("n")).otherwise(0))
+    return confusion(df, keys, gold, pred).groupBy(*keys).agg((right / F.sum("n")).alias("accuracy"), weighted_macro_f1(pred, "n", k, gold).alias("macro_f1"), F.sum("n").alias("n"))
+
+
+def weighted_macro_f1(pred: str, n: str, classes: int, gold: str = "gold") -> Column:
+    """Macro-F1 over a fixed label set as an aggregate of (gold, pred) cells with counts; an absent class counts 0."""
+
+    def one(k: int) -> Column:
+        real, hit = F.col(gold) == k, F.col(pred) == k
+        both = F.sum(F.when(real & hit, 2 * F.col(n)).otherwise(0))
+        either = F.sum(F.when(real, F.col(n)).otherwise(0) + F.when(hit, F.col(n)).otherwise(0))
+        return F.coalesce(F.try_divide(both.cast("double"), either.cast("double")), F.lit(0.0))
+
+    return reduce(lambda a, b: a + b, [one(k) for k in range(classes)]) / classes
 
 
 def mean_std(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from crossgauge.operators import conditions as C
 from crossgauge.operators import models as M
 from crossgauge.operators import relational as R
+from crossgauge.operators import training as TR
 from crossgauge.plans import derived as D
 from crossgauge.plans.registry import query
 from crossgauge.sources import files as FS
@@ -173,12 +175,47 @@ def kept_runs(spark, d):
     return C.retention(every.select("run_id", "run_hash"), good.where("accuracy >= 0.66").select("run_hash"), now.where("lang = 'fr' AND seed = 0").select("run_hash")).select("run_id", "verdict")
 
 
-@query("MOD-03", "MOD-04")
-def logistic_baseline(spark, d):
-    """A logistic baseline trained by aggregated gradient steps on all dimensions of the vectors."""
-    x = table(spark, d, "embeddings").select(F.col("embedding").alias("x"), (F.col("label") == 0).cast("double").alias("y"))
-    dim = x.agg(F.max(F.size("x"))).first()[0] or 0
-    return spark.createDataFrame([(i, w) for i, w in enumerate(M.sgd_logistic(x, "x", "y", dim))], "i int, w double")
+@query("CND-12", sql=f"""WITH {P}, n AS (SELECT lang, count(*) AS n FROM preds GROUP BY 1)
+SELECT lang, n AS rows, CASE lang WHEN 'fr' THEN ['no partition key encoder_id'] WHEN 'es' THEN ['column gold is string'] WHEN 'de' THEN ['column seed is int64', 'no column pred'] ELSE [] END AS faults FROM n UNION ALL SELECT 'xx', 0, ['no rows']""")
+def artefact_contract(spark, d):
+    """Logs whose paths or schemas break the contract, found by their footers: every artefact names its encoder, and its columns and types are the same."""
+    p, root = D.predictions(spark, d).select("lang", "item_id", "seed", "gold", F.col("pred_tgt").alias("pred")), S.scratch(spark, "artefacts")
+    as_due = lambda x: x.where("lang NOT IN ('fr', 'es', 'de')").drop("lang")
+    parts = {"en": as_due(p), "fr": p.where("lang = 'fr'").drop("lang"), "es": p.where("lang = 'es'").drop("lang").withColumn("gold", F.col("gold").cast("string")), "de": p.where("lang = 'de'").select("item_id", F.col("seed").cast("long").alias("seed"), "gold"), "xx": as_due(p).limit(0)}
+    for lang, x in parts.items():
+        x.coalesce(1).write.parquet(f"{root}/lang={lang}" if lang == "fr" else f"{root}/encoder_id=base/lang={lang}")
+    found = FS.footers(spark, root).select(F.element_at("keys", "lang").alias("lang"), "rows", FS.contract_faults(["encoder_id", "lang"], {"item_id": "int64", "seed": "int32", "gold": "int32", "pred": "int32"}).alias("faults"))
+    return found
+
+
+@query("MOD-03")
+def trained_baseline(spark, d):
+    """A logistic baseline of label 0 on all vectors, trained with a validation part and early stop."""
+    path = S.scratch(spark, "training")
+    x = table(spark, d, "embeddings").where("embedding IS NOT NULL")
+    x.select(F.col("embedding").cast("array<double>").alias("x"), (F.col("label") == 0).cast("double").alias("y"), TR.dealt(F.col("vec_id")).alias("part")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    fit = TR.train(rows, (rows.agg(F.max(F.size("x"))).first()[0] or 0) + 1, l2=1e-2, rounds=30)
+    return spark.createDataFrame([(i, float(w), fit.stopped, fit.overfit) for i, w in enumerate(fit.weights)], "i int, w double, stopped string, overfit boolean")
+
+
+_STEPS_IG = 16
+
+
+@query("MOD-04", sql=f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), u AS (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e),
+w AS (SELECT list(8 * (a - b) ORDER BY i) AS w FROM (SELECT i, avg(v) FILTER (label = 0) AS a, avg(v) FILTER (label <> 0) AS b FROM u GROUP BY 1)), z AS (SELECT vec_id, x, w, list_dot_product(w, x) AS z FROM e, w),
+g AS (SELECT *, list_avg(list_transform(range({_STEPS_IG}), lambda k: 1 / (1 + exp(-z * (k + 0.5) / {_STEPS_IG})) * (1 - 1 / (1 + exp(-z * (k + 0.5) / {_STEPS_IG}))))) AS m FROM z),
+t AS (SELECT *, list_transform(x, lambda v, i: v * w[i] * m) AS a FROM g)
+SELECT vec_id, list_position(list_transform(a, lambda v: abs(v)), list_max(list_transform(a, lambda v: abs(v)))) - 1 AS top, round(list_sum(a), 6) AS total, round(1 / (1 + exp(-z)) - 0.5, 6) AS delta FROM t""")
+def attributions(spark, d):
+    """Integrated gradients of a centroid model of label 0 for every vector: the dimension that counts most, the sum, and what it should be."""
+    x = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    means = x.select("label", F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg(F.when(F.col("label") == 0, F.col("v"))).alias("a"), F.avg(F.when(F.col("label") != 0, F.col("v"))).alias("b"))
+    w = [8 * (r["a"] - r["b"]) for r in means.orderBy("i").collect()]  # a number for each dimension
+    out = TR.integrated_gradients(x, "x", TR.Logistic(np.array([*w, 0.0])), steps=_STEPS_IG)
+    size = F.transform("attribution", F.abs)
+    total = F.aggregate("attribution", F.lit(0.0), lambda s, v: s + v)
+    return out.select("vec_id", (F.array_position(size, F.array_max(size)) - 1).alias("top"), F.round(total, 6).alias("total"), F.round("delta", 6).alias("delta"))
 
 
 @query("MOD-07", sql="SELECT lang, count(*) AS n, true AS same_python, true AS same_arrow, true AS utc FROM documents GROUP BY 1")

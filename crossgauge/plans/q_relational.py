@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crossgauge.operators import neighbours as N
 from crossgauge.operators import relational as R
+from crossgauge.operators.quantiles import quantiles
 from crossgauge.plans import derived as D
 from crossgauge.plans.registry import query
 from crossgauge.session import table
@@ -356,7 +357,7 @@ def matched_rates(spark, d):
 SELECT src_lang, tau, round(avg((labse_sim < tau)::INT::DOUBLE), 6) AS rejected, CASE WHEN avg((labse_sim < tau)::INT::DOUBLE) > 0.2 THEN 'raise' ELSE 'keep' END AS verdict FROM scores JOIN q USING (src_lang) WHERE src_lang <> tgt_lang GROUP BY 1, 2""")
 def calibration(spark, d):
     s = D.scores(spark, d).select("src_lang", "tgt_lang", "labse_sim")
-    q = s.where("src_lang = tgt_lang").groupBy("src_lang").agg(F.round(F.percentile("labse_sim", 0.05), 2).alias("tau"))
+    q = quantiles(s.where("src_lang = tgt_lang"), ["src_lang"], "labse_sim", [0.05]).select("src_lang", F.round(F.col("q")[0], 2).alias("tau"))
     x = s.where("src_lang <> tgt_lang").join(q, "src_lang").groupBy("src_lang", "tau").agg(F.avg((F.col("labse_sim") < F.col("tau")).cast("double")).alias("r"))
     return x.select("src_lang", "tau", r6(F.col("r"), "rejected"), F.when(F.col("r") > 0.2, "raise").otherwise("keep").alias("verdict"))
 

@@ -52,16 +52,6 @@ _CELLS = "cells AS (SELECT lang, seed, gold, pred_src, pred_tgt, count(*) AS n F
 _BY_RUN = f"{_CELLS}, {_draws_sql('lang, seed', 'gold, pred_src, pred_tgt')}"
 
 
-def _f1(pred, n):
-    """Macro-F1 over the classes 0 and 1 of weighted (gold, pred) cells."""
-    def one(k):
-        both = F.sum(F.when((F.col("gold") == k) & (F.col(pred) == k), 2 * F.col(n)).otherwise(0))
-        either = F.sum(F.when(F.col("gold") == k, F.col(n)).otherwise(0) + F.when(F.col(pred) == k, F.col(n)).otherwise(0))
-        return F.coalesce(F.try_divide(both.cast("double"), either.cast("double")), F.lit(0.0))
-
-    return (one(0) + one(1)) / 2
-
-
 def _f1_sql(pred: str) -> str:
     def one(k):
         return f"coalesce(sum(CASE WHEN gold = {k} AND {pred} = {k} THEN 2 * m ELSE 0 END)::DOUBLE / nullif(sum(CASE WHEN gold = {k} THEN m ELSE 0 END + CASE WHEN {pred} = {k} THEN m ELSE 0 END), 0), 0)"
@@ -79,7 +69,7 @@ SELECT lang, seed, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_con
 def metric_interval(spark, d):
     """Item bootstrap of macro-F1, every language and seed."""
     _, draws = _run_draws(spark, d)
-    ci = B.interval(draws.groupBy("lang", "seed", "b").agg(_f1("pred_tgt", "m").alias("f1")), ["lang", "seed"], "f1")
+    ci = B.interval(draws.groupBy("lang", "seed", "b").agg(R.weighted_macro_f1("pred_tgt", "m", 2).alias("f1")), ["lang", "seed"], "f1")
     return ci.select("lang", "seed", r6(F.col("low"), "low"), r6(F.col("high"), "high"))
 
 

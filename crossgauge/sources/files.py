@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 from pyspark.sql.types import StructType
@@ -135,3 +135,46 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Runs)
     return spark.read.format("runs").load(path)
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """path, keys (partition values of the folders), columns (name -> type), rows, readable of every Parquet file, from its footer alone.
+
+    Footers are read on the executors; no data page is. Types are named as Arrow names them.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+    def read(batches):
+        import re
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            rows = []
+            for name in b.column(0).to_pylist():
+                system, place = _file_system(name)
+                keys = dict(re.findall(r"([^/=]+)=([^/]+)(?=/)", place))
+                try:
+                    with system.open_input_file(place) as f:
+                        meta = pq.read_metadata(f)
+                    schema = meta.schema.to_arrow_schema()
+                    rows.append((name, list(keys.items()), [(c.name, str(c.type)) for c in schema], meta.num_rows, True))
+                except (OSError, pa.ArrowInvalid):
+                    rows.append((name, list(keys.items()), [], None, False))
+            text = pa.map_(pa.string(), pa.string())
+            kinds = (pa.string(), text, text, pa.int64(), pa.bool_())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], names=["path", "keys", "columns", "rows", "readable"])
+
+    n = max(1, spark.sparkContext.defaultParallelism)
+    return files.repartition(n, "path").mapInArrow(read, "path string, keys map<string,string>, columns map<string,string>, rows long, readable boolean")
+
+
+def contract_faults(keys: list[str], columns: dict[str, str]) -> Column:
+    """What a footer breaks of a contract: partition keys that its path must have, columns and their types that its schema must have, rows."""
+    tests = [F.when(~F.map_contains_key("keys", k), f"no partition key {k}") for k in keys]
+    for name, kind in columns.items():
+        there = F.map_contains_key("columns", name)
+        tests.append(F.when(~there, f"no column {name}").when(F.element_at("columns", name) != kind, F.concat(F.lit(f"column {name} is "), F.element_at("columns", name))))
+    tests.append(F.when(F.col("rows") == 0, "no rows"))
+    return F.when(~F.col("readable"), F.array(F.lit("not readable"))).otherwise(F.array_compact(F.array(*tests)))
