@@ -9,6 +9,7 @@ from crossgauge.functions import keys as K
 from crossgauge.functions import numbers as N
 from crossgauge.functions import text as T
 from crossgauge.functions import vectors as V
+from crossgauge.operators import segmentation as MS
 from crossgauge.plans import derived as D
 from crossgauge.plans.registry import query
 from crossgauge.session import table
@@ -168,7 +169,7 @@ def cleaned_words(spark, d):
 _SUFFIX_SQL = " ".join(f"WHEN '{x}' THEN '^(.+?)({'|'.join(sorted(s, key=lambda v: (-len(v), v)))})$'" for x, s in T.LATIN_SUFFIXES.items())
 
 
-@query("STR-18", "MOD-06", sql=f"""WITH w AS (SELECT DISTINCT lang, unnest(string_split(lower(text), ' ')) AS word FROM documents), l AS (SELECT lang, word FROM w WHERE regexp_full_match(word, '[a-z]+'))
+@query("STR-18", sql=f"""WITH w AS (SELECT DISTINCT lang, unnest(string_split(lower(text), ' ')) AS word FROM documents), l AS (SELECT lang, word FROM w WHERE regexp_full_match(word, '[a-z]+'))
 SELECT lang, word, CASE WHEN regexp_extract(word, p, 2) <> '' THEN regexp_extract(word, p, 1) ELSE word END AS stem, regexp_extract(word, p, 2) AS suffix FROM (SELECT *, CASE lang {_SUFFIX_SQL} END AS p FROM l)""")
 def suffix_stripping(spark, d):
     return _stems(spark, d)
@@ -181,6 +182,14 @@ def _stems(spark, d):
     return x.select("lang", "word", cut.alias("c")).select("lang", "word", "c.stem", "c.suffix")
 
 
+@query("MOD-06")
+def morph_segmentation(spark, d):
+    """Every word of the documents by the best rung there is: a learned lexicon for English and French, suffix rules for German, none for Spanish."""
+    x = _stems(spark, d).select("lang", "word")
+    lexicon = MS.learn(x.where("lang IN ('en', 'fr')"), rounds=4)
+    return MS.segment(x, lexicon, {"de": T.LATIN_SUFFIXES["de"]})
+
+
 _STEMS = """w AS (SELECT DISTINCT lang, unnest(string_split(lower(text), ' ')) AS word FROM documents), l AS (SELECT lang, word FROM w WHERE regexp_full_match(word, '[a-z]+'))"""
 
 
