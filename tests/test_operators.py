@@ -98,13 +98,19 @@ def test_upsert_stream(spark, tmp_path):
 
 
 def test_logistic_baseline_takes_whole_vectors(spark):
+    """The registered baseline against a local solution on the rows that its hash deals to training."""
+    from crossgauge.operators import training as T
     from crossgauge.plans import q_io
     from tests.conftest import SF
-
-    x = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
-    v, y = np.array(x["embedding"].tolist(), float), (x["label"] == 0).to_numpy(float)
-    v, w = np.hstack([v, np.ones((len(v), 1))]), np.zeros(v.shape[1] + 1)
-    for _ in range(5):
-        w -= 0.5 * v.T @ (1 / (1 + np.exp(-v @ w)) - y) / len(v)
-    got = [r["w"] for r in sorted(q_io.logistic_baseline(spark, SF).collect())]
-    assert np.allclose(got, w)
+    from tests.test_training import newton
+
+    x = spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("part", T.dealt(F.col("vec_id"))).collect()
+    v, y = (np.array([r[c] for r in x if r["part"] == "train"], float) for c in ("embedding", "label"))
+    got = sorted(q_io.trained_baseline(spark, SF).collect())
+    w = np.array([r["w"] for r in got])
+    assert len(w) == v.shape[1] + 1 and {r["stopped"] for r in got} <= {"converged", "early", "limit"}
+    best = newton(v, (y == 0).astype(float), 1e-2)
+    loss = lambda w: T.Logistic(w).loss(v, (y == 0).astype(float))[0] / len(y) + 1e-2 * (w[:-1] @ w[:-1]) / 2
+    assert loss(best) <= loss(w) + 1e-12 and loss(w) < loss(np.zeros(len(w)))
+    if got[0]["stopped"] != "early":
+        assert loss(w) - loss(best) < 1e-4
