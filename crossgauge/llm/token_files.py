@@ -160,18 +160,17 @@ def pruned(seq: np.ndarray, last: np.ndarray, rules: np.ndarray, first: int, pay
 
 
 def _pack(values: np.ndarray, bits: int) -> bytes:
-    """Numbers as so many bits each, one after another."""
-    return np.packbits((values[:, None] >> np.arange(bits, dtype=values.dtype)) & values.dtype.type(1) != 0).tobytes()
+    """Numbers below 2**32 as so many bits each, lowest first, one after another."""
+    each = np.unpackbits(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4), axis=1, count=bits, bitorder="little")
+    return np.packbits(each).tobytes()
 
 
 def _unpack(blob: np.ndarray, begin: int, n: int, bits: int) -> np.ndarray:
     """n numbers from the begin-th on, of the bytes of _pack."""
     low, high = begin * bits // 8, -(-(begin + n) * bits // 8)
-    flat = np.unpackbits(blob[low:high])[begin * bits - 8 * low :][: n * bits].reshape(n, bits)
-    out = np.zeros(n, np.int64)
-    for k in range(bits):
-        out |= flat[:, k].astype(np.int64) << k
-    return out
+    each = np.zeros((n, 32), np.uint8)
+    each[:, :bits] = np.unpackbits(blob[low:high])[begin * bits - 8 * low :][: n * bits].reshape(n, bits)
+    return np.packbits(each, axis=1, bitorder="little").view("<u4").ravel().astype(np.int64)
 
 
 def encode_shard(doc_ids, ids: np.ndarray, lengths: np.ndarray, first: int, pairs: int = PAIRS_A_ROUND) -> bytes:
