@@ -39,6 +39,16 @@ def _doc_of(off: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(off, at, side="right") - 1
 
 
+def _encoded(texts: list[bytes], plain: list[str | None], tokenizer) -> list[list[int]]:
+    """Ids of texts: those with a plain form, one piece of letters in the model's symbols, go straight to the model."""
+    model = tokenizer.model
+    out = [None if p is None else [t.id for t in model.tokenize(p)] for p in plain]
+    rest = [i for i, x in enumerate(out) if x is None]
+    for i, e in zip(rest, tokenizer.encode_batch([texts[i].decode() for i in rest], add_special_tokens=False) if rest else (), strict=True):
+        out[i] = e.ids
+    return out
+
+
 def _finds(data: np.ndarray, literal: bytes) -> list[int]:
     raw, out = data.tobytes(), []
     at = raw.find(literal)
@@ -158,7 +168,7 @@ class Folded(Segments):
         return np.insert(doc, at + 1, doc[at]), np.insert(start, at + 1, cut[at]), np.insert(cut, at + 1, end[at]), odd
 
     def encode(self, texts):
-        return [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        return _encoded(texts, [t.lower().decode() if t.isalpha() else None for t in texts], self.tokenizer)  # of bytes: ASCII letters
 
 
 class ByteLevel(Segments):
@@ -175,6 +185,7 @@ class ByteLevel(Segments):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         super().__init__(self.tokenizer.get_vocab_size(), **sizes)
+        self.blank = _byte_symbols()[32]
         byte = {c: b for b, c in _byte_symbols().items()}
         vocab = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
         self.bytes = [bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode() for token, _ in vocab]
@@ -204,7 +215,7 @@ class ByteLevel(Segments):
         return _doc_of(off, start), start, np.append(start[1:], len(data)), odd
 
     def encode(self, texts):
-        return [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        return _encoded(texts, [self.blank + t[1:].decode() if t[:1] == b" " and t[1:].isalpha() else None for t in texts], self.tokenizer)
 
 
 class Pieces(Segments):
