@@ -72,16 +72,12 @@ def replaced(seq: np.ndarray, last: np.ndarray, rules: np.ndarray, first: int, p
     Once a round changes little, the next ones count only the pairs beside the new symbols, where alone pairs become more
     frequent; when that finds nothing more, all pairs are counted again.
     """
-    kind, bits = (np.uint32, 16) if first + len(rules) + pairs < (1 << 16) - 1 else (np.uint64, 32)  # a pair is one number: both symbols' bits; all ones is no pair
+    kind, bits = (np.uint32, 16) if first + len(rules) < (1 << 16) - 1 else (np.uint64, 32)  # a pair is one number: both symbols' bits; all ones is no pair
     seq, known = seq.astype(kind), (rules[:, 0].astype(kind) << kind(bits)) | rules[:, 1].astype(kind)
     names = np.argsort(known)  # the rules' pairs, sorted, and their numbers
     known = known[names]
     near: np.ndarray | None = None  # places of the pairs to count; None: all
     while len(seq) > 1:
-        if bits == 16 and first + len(known) + pairs >= (1 << 16) - 1:  # symbols outgrow 16 bits
-            kind, bits = np.uint64, 32
-            known = (known.astype(kind) >> kind(16) << kind(32)) | (known.astype(kind) & kind(0xFFFF))
-            seq = seq.astype(kind)
         if near is None:
             key = (seq[:-1] << kind(bits)) | seq[1:]
             key[last[:-1]] = np.iinfo(kind).max
@@ -97,6 +93,10 @@ def replaced(seq: np.ndarray, last: np.ndarray, rules: np.ndarray, first: int, p
             continue
         there = known[np.minimum(np.searchsorted(known, top), len(known) - 1)] == top if len(known) else np.zeros(len(top), bool)
         new = top[~there]  # a pair that overlaps kept back keeps its rule
+        if bits == 16 and first + len(known) + len(new) >= (1 << 16) - 1:  # symbols outgrow 16 bits: count again with more
+            known = (known.astype(np.uint64) >> np.uint64(16) << np.uint64(32)) | (known.astype(np.uint64) & np.uint64(0xFFFF))
+            kind, bits, seq = np.uint64, 32, seq.astype(np.uint64)
+            continue
         known = np.concatenate((known, new))
         names = np.concatenate((names, len(names) + np.arange(len(new))))
         order = np.argsort(known)

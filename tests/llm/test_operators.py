@@ -532,3 +532,14 @@ def test_groups_in_pairs_of_blocks(spark, monkeypatch, block, tokens):
     sets = [frozenset(shingles(t)) for t in texts]
     classes = set(sets)
     assert got == {i: sum(s != t and 5 * len(s & t) >= 4 * len(s | t) for t in classes) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("first", [65_500, 65_534, 65_535, 70_000, 300])
+def test_symbols_may_outgrow_16_bits(first):
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, min(first, 60_000), 6) for _ in range(300)]
+    docs = [np.concatenate([words[k] for k in rng.zipf(1.3, 40) % 300]).astype(np.uint32) for _ in range(200)]
+    blob = token_files.encode_shard(list(range(200)), np.concatenate(docs), np.array([len(x) for x in docs]), first, pairs=64)
+    shard = token_files.Shard(blob)
+    assert (shard.expand(shard.symbols()) == np.concatenate(docs)).all() and len(shard.rules) > 100
+    assert all((shard.document(k) == docs[k]).all() for k in range(0, 200, 17))
