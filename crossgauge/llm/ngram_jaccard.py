@@ -365,15 +365,14 @@ def _named(docs: DataFrame) -> DataFrame:
     held = stash_map(held, sets, "cls long, n long, tokens array<long>", "candidates")
     if held.count() > n_members:  # a class's chosen row is there more than once
         held = stash(held.dropDuplicates(["cls"]), "candidates")
-    n_tokens = held.agg(F.sum("n")).first()[0] or 0
-    buckets = max(parts, -(-n_tokens // POSTINGS_A_BUCKET))
+    buckets = max(parts, -(-(held.agg(F.sum("n")).first()[0] or 0) // POSTINGS_A_BUCKET))
 
     w = W.partitionBy("cls")
     several = shared_tokens(held, buckets).withColumns({"own": F.col("n") - F.count("*").over(w), "place": F.row_number().over(w.orderBy("k", "token"))})
     core = several.where(F.col("place") + F.col("own") - F.floor(F.col("n") * F.col("n") / F.lit(1 << 32)) <= F.col("n") - F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}") + 1).select("token", "cls", "n")
-    core = stash(core, "core", n_tokens // 5 + 2 * n_members)
+    core = stash(core, "core")  # as many tasks as it has parts: a task keeps the sorted rows of all its parts until it ends
     hubs = core.groupBy("token").agg(F.min(F.struct("n", "cls")).alias("hub"), F.count("*").alias("k")).where("k > 1")  # the smallest has the fewest neighbours
-    groups = stash(core.join(hubs, "token").select(F.col("hub.cls").alias("grp"), "cls", "n").distinct(), "groups", core.count())
+    groups = stash(core.join(hubs, "token").select(F.col("hub.cls").alias("grp"), "cls", "n").distinct(), "groups")
     unstash(core)
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("tokens") / TOKENS_A_BLOCK)).cast("int")
     sizes = groups.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).select("grp", blocks.alias("blocks"))
