@@ -262,21 +262,18 @@ def direction_integrity(spark, d):
 
 
 @query("AGG-32", sql=f"""WITH {SQL_CORPUS}, n AS (SELECT * FROM corpus WHERE origin = 'native'), m AS (SELECT DISTINCT lang, text FROM corpus WHERE origin = 'mt')
-SELECT n.lang, count(*) AS rows, count(*) FILTER (m.text IS NOT NULL) AS leaked, min(item_id) FILTER (m.text IS NOT NULL) AS first_leaked, count(*) FILTER (contains(n.text, chr(65533))) AS corrupt,
+SELECT n.lang, count(*) AS rows, list_sort(coalesce(list(item_id) FILTER (m.text IS NOT NULL), [])) AS leaked, list_sort(coalesce(list(item_id) FILTER (contains(n.text, chr(65533))), [])) AS corrupt,
 count(*) FILTER (nfc_normalize(n.text) <> n.text) AS not_nfc FROM n LEFT JOIN m ON m.lang = n.lang AND m.text = n.text GROUP BY 1""")
 def native_checks(spark, d):
-    """Native rows whose text also stands among the translations, corrupt ones, and how many aren't in normal form C."""
+    """Ids of native rows whose text also stands among the translations and of corrupt ones, and how many rows aren't in normal form C."""
     from crossgauge.functions.text import is_nfc
 
     c = corpus(spark, d).withColumn("k", F.sha2("text", 256))
     m = c.where("origin = 'mt'").select("lang", "k").distinct().withColumn("there", F.lit(True))
     n = c.where("origin = 'native'").join(m, ["lang", "k"], "left")
-    path = S.scratch(spark, "native-checks")  # the ids are a table; only counts are gathered
-    tests = F.array_compact(F.array(F.when(F.col("there"), "leaked"), F.when(F.contains("text", F.lit("�")), "corrupt"), F.when(~is_nfc("text"), "not_nfc")))
-    n.select("lang", "item_id", F.explode_outer(tests).alias("fault")).write.parquet(path)
-    x = spark.read.parquet(path)
-    of = lambda fault: F.col("fault") == fault
-    return x.groupBy("lang").agg(F.count_distinct("item_id").alias("rows"), F.count_if(of("leaked")).alias("leaked"), F.min(F.when(of("leaked"), F.col("item_id"))).alias("first_leaked"), F.count_if(of("corrupt")).alias("corrupt"), F.count_if(of("not_nfc")).alias("not_nfc"))
+    listed = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("item_id"))))
+    tests = n.select("lang", "item_id", "there", F.contains("text", F.lit("�")).alias("corrupt"), is_nfc("text").alias("nfc"))
+    return tests.groupBy("lang").agg(F.count("*").alias("rows"), listed(F.col("there")).alias("leaked"), listed(F.col("corrupt")).alias("corrupt"), F.count_if(~F.col("nfc")).alias("not_nfc"))
 
 
 @query("AGG-45", sql=f"WITH {D.SQL_SCORES}, x AS (SELECT src_lang, tgt_lang, any_value(length(src_lang || tgt_lang) * 7) AS seconds, count(*) AS n FROM scores GROUP BY 1, 2) SELECT sum(seconds)::BIGINT AS seconds, sum(n)::BIGINT AS n, count(*) AS directions FROM x")
