@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from crossgauge.functions.keys import md5_bucket
 from crossgauge.operators import relational as R
-from crossgauge.operators.quantiles import quantiles
 from crossgauge.plans import derived as D
 from crossgauge.plans.registry import query
 from crossgauge.session import table
@@ -253,12 +252,9 @@ SELECT src_lang, tgt_lang, count(*) AS n, round(any_value(med), 6) AS median_rat
 sum(contains(tgt_text, chr(65533))::INT)::BIGINT AS replaced FROM r JOIN m USING (src_lang, tgt_lang) GROUP BY 1, 2""")
 def direction_integrity(spark, d):
     """Counters of damaged rows in every translation direction, against the direction's median length ratio."""
-    x = D.scores(spark, d).withColumn("ratio", (F.length("tgt_text") + 1) / (F.length("src_text") + 1))
-    med = quantiles(x, ["src_lang", "tgt_lang"], "ratio", [0.5]).select("src_lang", "tgt_lang", F.col("q")[0].alias("med"))
-    x, blank = x.join(med, ["src_lang", "tgt_lang"]), F.trim("tgt_text") == ""
-    return x.groupBy("src_lang", "tgt_lang").agg(
-        F.count("*").alias("n"), r6(F.first("med"), "median_ratio"), F.count_if(~blank & (F.col("ratio") < 0.5 * F.col("med"))).alias("truncated"), F.count_if(blank).alias("empty"),
-        F.count_if(F.col("src_text") == F.col("tgt_text")).alias("copied"), F.count_if(F.contains("tgt_text", F.lit("�"))).alias("replaced"))
+    x = D.measured_pairs(spark, d).where("src_lang IS NOT NULL AND tgt_lang IS NOT NULL")
+    of = {"truncated": ~F.col("blank") & (F.col("ratio") < 0.5 * F.col("med")), "empty": F.col("blank"), "copied": F.col("copied"), "replaced": F.col("replaced")}
+    return x.groupBy("src_lang", "tgt_lang").agg(F.count("*").alias("n"), r6(F.first("med"), "median_ratio"), *[F.sum(test.cast("long")).alias(name) for name, test in of.items()])
 
 
 @query("AGG-32", sql=f"""WITH {SQL_CORPUS}, n AS (SELECT * FROM corpus WHERE origin = 'native'), m AS (SELECT DISTINCT lang, text FROM corpus WHERE origin = 'mt')
