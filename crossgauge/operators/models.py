@@ -11,25 +11,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 
+#: Characters of the texts that the embedder splits into words at once: a worker's memory doesn't depend on a batch's size.
+SLICE = 1 << 20
+
+
+def _slices(texts: list[str], size: int) -> Iterator[list[str]]:
+    """The texts in order, as runs of at most `size` characters or one text."""
+    part, n = [], 0
+    for t in texts:
+        if part and n + len(t) > size:
+            yield part
+            part, n = [], 0
+        part.append(t)
+        n += len(t)
+    if part:
+        yield part
+
+
 def hash_embedder(dim: int = 16):
     """text -> unit vector from its words' hashes; loads nothing, the same everywhere. Swap the body for a real model.
 
-    A batch's distinct words are hashed once, and all its texts are summed up at once.
+    A slice's distinct words are hashed once, and all its texts are summed up at once.
     """
 
-    @F.pandas_udf(ArrayType(FloatType()))
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def vectors(texts: list[str]):
         import numpy as np
 
+        words = [t.split() for t in texts]
+        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        code, names = pd.factorize(np.array([x for w in words for x in w], object))
+        h = np.array([hashlib.md5(w.encode()).digest()[:2] for w in names], "S2").view(np.uint8).reshape(-1, 2) if len(names) else np.zeros((0, 2), np.uint8)
+        v = np.zeros((len(texts), dim))
+        np.add.at(v, (row, h[code, 0] % dim), np.where(h[code, 1] & 1, 1.0, -1.0))
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return (v / np.where(n > 0, n, 1)).astype("float32")
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:  # a real model is loaded before the loop, once for each worker
-            words = batch.fillna("").str.split().explode().dropna()
-            code, names = pd.factorize(words)
-            h = np.array([hashlib.md5(w.encode()).digest()[:2] for w in names], "S2").view(np.uint8).reshape(-1, 2) if len(names) else np.zeros((0, 2), np.uint8)
-            v = np.zeros((len(batch), dim))
-            row = batch.index.get_indexer(words.index) if batch.index.is_unique else np.zeros(0, int)
-            np.add.at(v, (row, h[code, 0] % dim), np.where(h[code, 1] & 1, 1.0, -1.0))
-            n = np.linalg.norm(v, axis=1, keepdims=True)
-            yield pd.Series((v / np.where(n > 0, n, 1)).astype("float32").tolist())
+            yield pd.Series([v for part in _slices(batch.fillna("").tolist(), SLICE) for v in vectors(part)], dtype=object)
 
     return embed
 
