@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ CURRENCIES = {
 }
 PERCENTS = ("%", "प्रतिशत", "फीसदी", "শতাংশ", "শতকরা", "శాతం", "ശതമാനം", "percent")
 #: A comma between digits that groups, a plain number, a grouped number, and the reach of a scale word.
-GROUPING_COMMA = r"(?<=\d),\s*(?=\d{3}(?!\d))"
+GROUPING_COMMA = r",(?<=\d,)\s*(?=\d{3}(?!\d))"
 PLAIN = r"\d+(?:\.\d+)?"
 GROUPED = r"\d+(?:,\s?\d{2,3}(?!\d))*(?:\.\d+)?"
 REACH = 12
@@ -51,18 +52,25 @@ def strip_thousands(text: Column) -> Column:
 
 def currencies(text: Column) -> Column:
     """Sorted distinct codes whose tokens occur in the lower-cased text."""
-    low = F.lower(text)
-    found = [F.when(_any_of(low, tokens), code) for code, tokens in sorted(CURRENCIES.items())]
-    return F.array_compact(F.array(*found))
+    return let(F.lower(text), _codes)
+
+
+def _codes(low: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(_any_of(low, tokens), code) for code, tokens in sorted(CURRENCIES.items())]))
 
 
 def _any_of(text: Column, tokens: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains(text, t))
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in tokens])
 
 
 def percent_markers(text: Column) -> Column:
-    low = F.lower(text)
-    return sum((F.regexp_count(low, F.lit(re.escape(p) if p == "%" else p)) for p in PERCENTS), F.lit(0))
+    return let(F.lower(text), _percents)
+
+
+def _percents(low: Column) -> Column:
+    """Null texts have no count; a marker that isn't there costs no regular expression."""
+    count = lambda p: F.when(~F.contains(low, F.lit(p)), F.lit(0)).otherwise(F.regexp_count(low, F.lit(re.escape(p) if p == "%" else p)))
+    return sum((count(p) for p in PERCENTS), F.lit(0))
 
 
 def parse_number(text: Column) -> Column:
@@ -97,8 +105,11 @@ def scale_of(gap: Column) -> Column:
 
 def values(text: Column) -> Column:
     """Numbers of a text as doubles in order, each times the longest scale word within REACH characters and before another digit."""
-    folded = strip_thousands(to_ascii_digits(F.coalesce(text, F.lit(""))))
-    return let(folded, lambda t: F.zip_with(F.regexp_extract_all(t, F.lit(VALUE), 1), F.regexp_extract_all(t, F.lit(VALUE), 2), lambda n, gap: n.cast("double") * scale_of(gap)))
+    return _values(to_ascii_digits(F.coalesce(text, F.lit(""))))
+
+
+def _values(folded: Column) -> Column:
+    return let(strip_thousands(folded), lambda t: F.zip_with(F.regexp_extract_all(t, F.lit(VALUE), 1), F.regexp_extract_all(t, F.lit(VALUE), 2), lambda n, gap: n.cast("double") * scale_of(gap)))
 
 
 def _occurrences(numbers: Column) -> Column:
@@ -134,15 +145,27 @@ def multiset_difference(left: Column, right: Column) -> Column:
 
 def compare_entities(source: Column, target: Column) -> Column:
     """struct(preserved, dropped, added, currency_lost, percent_lost, corrupted): what a translation kept; null texts are empty."""
+    return values_compared(source, target)["c"]
+
+
+def values_compared(source: Column, target: Column) -> Column:
+    """struct(values, c): the source's values, and compare_entities. A text is folded and lower-cased once, whatever is looked for in it."""
     source, target = (F.coalesce(x, F.lit("")) for x in (source, target))
-    lost = F.array_except(currencies(to_ascii_digits(source)), currencies(to_ascii_digits(target)))
-    fewer = F.greatest(F.lit(0), percent_markers(source) - percent_markers(target))
 
-    def told(d, lost, fewer):
+    def told(v, d, lost, fewer):
         kept = (F.size(d["dropped"]) == 0) & (F.size(d["added"]) == 0) & (F.size(lost) == 0) & (fewer == 0)
-        return F.struct(kept.alias("preserved"), d["dropped"].alias("dropped"), d["added"].alias("added"), lost.alias("currency_lost"), fewer.alias("percent_lost"), corruption_flags(target).alias("corrupted"))
+        c = F.struct(kept.alias("preserved"), d["dropped"].alias("dropped"), d["added"].alias("added"), lost.alias("currency_lost"), fewer.alias("percent_lost"), corruption_flags(target).alias("corrupted"))
+        return F.struct(v.alias("values"), c.alias("c"))
+
+    def told_of(a, b):
+        lost, fewer = F.array_except(a["codes"], b["codes"]), F.greatest(F.lit(0), a["percents"] - b["percents"])
+        return let(multiset_difference(a["values"], b["values"]), lambda d: let(lost, lambda c: let(fewer, lambda p: told(a["values"], d, c, p))))
+
+    def read(text):
+        folded = lambda t: let(F.lower(t), lambda low: F.struct(_values(t).alias("values"), _codes(low).alias("codes"), _percents(low).alias("percents")))
+        return let(to_ascii_digits(text), folded)
 
-    return let(multiset_difference(values(source), values(target)), lambda d: let(lost, lambda c: let(fewer, lambda p: told(d, c, p))))
+    return let(read(source), lambda a: let(read(target), lambda b: told_of(a, b)))
 
 
 def entity_flags(comparison: Column) -> Column:
