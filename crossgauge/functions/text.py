@@ -1,11 +1,11 @@
-"""Text and Unicode expressions; all but the NFC test stay in the JVM."""
+"""Text and Unicode expressions; all but the NFC test and the token weights stay in the JVM."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, LongType
 
 #: Script blocks without the shared dandas, and each numbering system's zero.
 SCRIPTS = {
@@ -83,6 +83,23 @@ def is_nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else is_normalized("NFC", t))
 
 
+@F.pandas_udf(LongType())
+def token_weights(key: pd.Series, n: pd.Series) -> pd.Series:
+    """Sum of keys.md5_bucket(100, key, i) over a document's token numbers i from 1 to n; null keys are left out of the hash as there."""
+    from hashlib import md5
+
+    def total(k, n):
+        start = md5(b"" if k is None else f"{k}:".encode())
+        out = 0
+        for i in range(1, n + 1):
+            h = start.copy()
+            h.update(b"%d" % i)
+            out += int.from_bytes(h.digest()[:4]) % 100
+        return out
+
+    return pd.Series([total(k, m) for k, m in zip(key, n, strict=True)], dtype="int64")
+
+
 def length_ratio(source: Column, target: Column) -> Column:
     return (F.length(target) + 1) / (F.length(source) + 1)
 
